@@ -1,0 +1,27 @@
+"""Join helpers: broadcast a side only after checking its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables (roster, aliases, team memberships, audiences) are
+# broadcast only when a bounded count proves them small; otherwise the join
+# stays a shuffle join (AQE may still convert it at runtime).
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
+
+    The check reads at most ``max_rows + 1`` rows (a LIMIT job), so its cost
+    is bounded by the threshold, not by the table.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def fixed_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose size is fixed by construction (parameters,
+    lookup tables with a constant number of rows)."""
+    return F.broadcast(df)
