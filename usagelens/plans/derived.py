@@ -1,0 +1,168 @@
+"""Semi-structured inputs derived from the fixture rows by Spark.
+
+The reference reads OTLP payloads, invocation-log events, usage-report
+pages and roster CSV text. For the registered queries these inputs are
+generated from the fixture facts (so their size follows the tables), then
+fed through the real parsers; the oracle is the fixture rows themselves.
+Variants (camelCase vs snake_case, key fallbacks, value kinds, event-name
+forms) are chosen by the row id so every branch is exercised.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from usagelens.sources import fixtures
+
+PAYLOAD_GROUP = 8   # records per payload: ids are unique, so a payload holds at most 8 rows
+
+
+# ── OTLP payloads ───────────────────────────────────────────────────────────
+def _value(kind: str, col: Column, snake: bool) -> Column:
+    """An AnyValue with one kind set; the others are NULL (dropped by
+    to_json). Field types are fixed per kind so all attributes share a type."""
+    kinds = {"s": ("stringValue", "string_value", "string"), "i": ("intValue", "int_value", "string"),
+             "d": ("doubleValue", "double_value", "double"), "b": ("boolValue", "bool_value", "boolean")}
+    fields = []
+    for k, (camel, sn, tp) in kinds.items():
+        v = col if k == kind else F.lit(None)
+        fields.append(v.cast(tp).alias(sn if snake else camel))
+    return F.struct(*fields)
+
+
+def _attr(key, kind: str, col: Column, snake: bool) -> Column:
+    k = key if isinstance(key, Column) else F.lit(key)
+    return F.when(col.isNotNull(), F.struct(k.alias("key"), _value(kind, col, snake).alias("value")))
+
+
+def _pick(keys: list[str], sel: Column) -> Column:
+    out = F.lit(keys[0])
+    for i, k in enumerate(keys[1:], 1):
+        out = F.when(sel == i, F.lit(k)).otherwise(out)
+    return out
+
+
+def _records(t) -> DataFrame:
+    """All fact rows as (id, event, ts, resource attrs, record attrs) in
+    one row set, plus an unknown event and a value-less attribute case."""
+    b = t.extra["base"]
+    i = F.col("id")
+    per_table = []
+
+    def add(df, event, rec_attrs_fn):
+        per_table.append((df, event, rec_attrs_fn))
+
+    def req_attrs(sn):
+        return [
+            _attr(_pick(["gen_ai.request.model", "model", "modelID", "model_id"], i % 4), "s", F.col("model"), sn),
+            F.when(i % 2 == 0, _attr(_pick(["cost_usd", "cost", "cost.usd", "claude_code.cost.usage"], (i / 4).cast("int") % 4),
+                                     "d", F.col("cost_usd"), sn))
+            .otherwise(_attr(_pick(["cost_usd", "cost", "cost.usd", "claude_code.cost.usage"], (i / 4).cast("int") % 4),
+                             "s", F.col("cost_usd"), sn)),
+            _attr(_pick(["gen_ai.usage.input_tokens", "input_tokens", "llm.usage.prompt_tokens",
+                         "gen_ai.usage.prompt_tokens", "tokens.input", "input"], i % 6), "i", F.col("input_tokens"), sn),
+            _attr(_pick(["gen_ai.usage.output_tokens", "output_tokens", "llm.usage.completion_tokens",
+                         "gen_ai.usage.completion_tokens", "tokens.output", "output"], (i + 1) % 6), "i",
+                  F.when(F.col("k") != 0, F.col("output_tokens")), sn),
+            _attr(_pick(["cache_read_input_tokens", "gen_ai.usage.cache_read_input_tokens", "cache_read_tokens",
+                         "tokens.cacheRead"], i % 4), "i", F.col("cache_read_tokens"), sn),
+            _attr(_pick(["cache_creation_input_tokens", "gen_ai.usage.cache_creation_input_tokens",
+                         "cache_creation_tokens", "tokens.cacheCreation"], (i + 2) % 4), "d",
+                  F.col("cache_creation_tokens"), sn),
+            _attr(_pick(["duration_ms", "duration"], i % 2), "i", F.col("duration_ms"), sn),
+            _attr(_pick(["response.content", "gen_ai.response.content"], i % 2), "s", F.col("response_content"), sn),
+        ]
+
+    def tool_attrs(sn):
+        ok = F.col("success") == 1
+        return [
+            _attr(_pick(["tool.name", "tool_name"], i % 2), "s", F.col("tool_name"), sn),
+            F.when(ok & (i % 2 == 0), _attr("tool.success", "b", F.lit(True), sn))
+            .when(ok, _attr("tool.success", "s", F.lit("true"), sn))
+            .when(i % 2 == 0, _attr("tool.success", "s", F.lit("false"), sn)),
+            _attr(_pick(["tool.duration_ms", "duration_ms"], i % 2), "i", F.col("duration_ms"), sn),
+            _attr("tool.error", "s", F.col("error"), sn),
+        ]
+
+    def prompt_attrs(sn):
+        return [
+            _attr(_pick(["prompt.length", "prompt_length"], i % 2), "i", F.col("prompt_length"), sn),
+            _attr(_pick(["prompt", "prompt.content"], i % 2), "s", F.col("prompt_content"), sn),
+        ]
+
+    def error_attrs(sn):
+        return [
+            _attr("error.message", "s", F.col("error_message"), sn),
+            _attr("http.status_code", "i", F.col("status_code"), sn),
+            _attr("retry.count", "i", F.col("retries"), sn),
+        ]
+
+    def decision_attrs(sn):
+        # A rejected decision every 7th id carries an attribute without a
+        # value (to_json drops the NULL value): it must be quarantined.
+        no_value = F.when(F.lit(False), _value("s", F.lit("x"), sn))
+        broken = F.when((F.col("decision") == "reject") & (i % 7 == 0),
+                        F.struct(F.lit("broken").alias("key"), no_value.alias("value")))
+        return [
+            broken,
+            _attr("tool.name", "s", F.col("tool_name"), sn),
+            _attr("tool.decision", "s", F.col("decision"), sn),
+        ]
+
+    add(fixtures.api_requests(b, extra=(F.col("k"),)), "api_request", req_attrs)
+    add(fixtures.tool_uses(b), "tool_result", tool_attrs)
+    add(fixtures.user_prompts(b), "user_prompt", prompt_attrs)
+    add(fixtures.api_errors(b), "api_error", error_attrs)
+    add(fixtures.api_errors(b).filter(F.col("retries") == 2), "hook_run", error_attrs)
+    add(fixtures.tool_decisions(b), "tool_decision", decision_attrs)
+    return per_table
+
+
+def otlp_payloads(t) -> DataFrame:
+    """(file, value): one JSON payload per group of PAYLOAD_GROUP ids."""
+    i = F.col("id")
+    parts = []
+    for df, event, attrs_fn in _records(t):
+        src = F.col("source") if "source" in df.columns else F.lit(None).cast("string")
+        for sn in (False, True):
+            d = df.filter(((i / PAYLOAD_GROUP).cast("bigint") % 2 == 1) == F.lit(sn))
+            ra = attrs_fn(sn)
+            rec_level_email = i % 2 == 1
+            rec_attrs = [
+                _attr("session.id", "s", F.col("session_id"), sn),
+                _attr("prompt.id", "s", F.col("prompt_id"), sn),
+                _attr("user.email", "s", F.when(rec_level_email, F.col("user_email")), sn),
+                _attr("event.name", "s", F.when(i % 3 == 2, F.lit("claude_code." + event)), sn),
+            ] + ra
+            res_attrs = [
+                _attr("service.name", "s", F.translate(src, "_", "-"), sn),
+                _attr("user.email", "s", F.when(~rec_level_email, F.col("user_email")), sn),
+                _attr("session.id", "s", F.when(i % 5 == 0, F.lit("resource-level")), sn),
+            ]
+            arr = F.filter(F.array(*rec_attrs), lambda a: a.isNotNull())
+            body_name = F.when(i % 3 == 0, F.lit("claude_code." + event)).when(i % 3 == 1, F.lit(event))
+            nanos = (F.unix_micros(F.col("timestamp")) * 1000).cast("string")
+            tname, oname = ("time_unix_nano", "observed_time_unix_nano") if sn else ("timeUnixNano", "observedTimeUnixNano")
+            record = F.struct(
+                F.when(i % 7 != 0, nanos).alias(tname),
+                F.when(i % 7 == 0, nanos).alias(oname),
+                F.when(body_name.isNotNull(), F.struct(body_name.alias("string_value" if sn else "stringValue")))
+                .alias("body"),
+                arr.alias("attributes"),
+            )
+            rl = F.struct(
+                F.struct(F.filter(F.array(*res_attrs), lambda a: a.isNotNull()).alias("attributes")).alias("resource"),
+                F.array(F.struct(F.array(record).alias("log_records" if sn else "logRecords")))
+                .alias("scope_logs" if sn else "scopeLogs"),
+            )
+            js = F.to_json(rl)
+            parts.append(d.select(i.alias("id"), F.lit(sn).alias("snake"), js.alias("rl")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    g = rows.groupBy((i / PAYLOAD_GROUP).cast("bigint").alias("payload"), "snake").agg(
+        F.array_sort(F.collect_list(F.struct("id", "rl"))).alias("rls"))
+    key = F.when(F.col("snake"), F.lit("resource_logs")).otherwise(F.lit("resourceLogs"))
+    value = F.concat(F.lit('{"'), key, F.lit('":['), F.array_join(F.transform("rls", lambda x: x["rl"]), ","), F.lit("]}"))
+    return g.select(F.concat(F.lit("payload-"), F.col("payload").cast("string")).alias("file"), value.alias("value"))

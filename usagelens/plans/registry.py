@@ -247,3 +247,55 @@ def q_timeline(spark, sf_dir):
 @register("session_timeline_tools")
 def q_timeline_tools(spark, sf_dir):
     return stable(sessions.session_timeline_tools(_t(spark, sf_dir)))
+
+
+# ── OTLP ingest round trip ──────────────────────────────────────────────────
+def _otlp_records(spark, sf_dir):
+    from usagelens.plans import derived
+    from usagelens.sources import otlp
+
+    t = _t(spark, sf_dir)
+    return otlp.flatten_otlp(derived.otlp_payloads(t), fixtures.AS_OF)
+
+
+def _otlp_table(name):
+    def q(spark, sf_dir):
+        from usagelens.sources import otlp
+
+        return stable(otlp.route(_otlp_records(spark, sf_dir))[name].drop("id"))
+    q.__name__ = f"q_otlp_{name}"
+    return q
+
+
+for _name in ("api_requests", "tool_uses", "user_prompts", "api_errors", "tool_decisions"):
+    register(f"otlp_{_name}")(_otlp_table(_name))
+
+
+@register("otlp_ingest_counts")
+def q_otlp_counts(spark, sf_dir):
+    from usagelens.sources import otlp
+
+    return otlp.ingest_counts(_otlp_records(spark, sf_dir))
+
+
+@register("otlp_missing_usage")
+def q_otlp_missing(spark, sf_dir):
+    from usagelens.sources import otlp
+
+    return otlp.missing_usage_report(_otlp_records(spark, sf_dir))
+
+
+@register("otlp_attribute_profile")
+def q_otlp_profile(spark, sf_dir):
+    from usagelens.sources import otlp
+
+    return otlp.attribute_profile(_otlp_records(spark, sf_dir))
+
+
+@register("otlp_quarantine")
+def q_otlp_quarantine(spark, sf_dir):
+    from usagelens.plans import derived
+    from usagelens.sources import otlp
+
+    q = otlp.quarantine(derived.otlp_payloads(_t(spark, sf_dir)), fixtures.AS_OF)
+    return q.groupBy("reason").agg(F.count(F.lit(1)).alias("records"))

@@ -70,7 +70,7 @@ def _common(b: DataFrame) -> list[Column]:
     ]
 
 
-def api_requests(b: DataFrame) -> DataFrame:
+def api_requests(b: DataFrame, extra: tuple = ()) -> DataFrame:
     k, i = F.col("k"), F.col("id")
     model = (F.when(k % 5 == 0, "model-a").when(k % 5 == 1, "model-b")
              .when(k % 5 == 2, "model-c").when(k % 5 == 3, "model-d"))
@@ -90,10 +90,11 @@ def api_requests(b: DataFrame) -> DataFrame:
         F.concat(F.lit("response "), i.cast("string")).alias("response_content"),
         source.alias("source"),
         _null("string").alias("aws_request_id"),
+        *extra,
     )
 
 
-def tool_uses(b: DataFrame) -> DataFrame:
+def tool_uses(b: DataFrame, extra: tuple = ()) -> DataFrame:
     k, i = F.col("k"), F.col("id")
     return b.filter((F.col("event_type") == "click") & (k < 80)).select(
         *_common(b),
@@ -101,33 +102,37 @@ def tool_uses(b: DataFrame) -> DataFrame:
         F.when(k % 20 == 0, 0).otherwise(1).alias("success"),
         F.when(k % 13 != 0, 10 + (i * 11) % 3000).alias("duration_ms"),
         F.when(k % 20 == 0, F.lit("Command failed")).alias("error"),
+        *extra,
     )
 
 
-def tool_decisions(b: DataFrame) -> DataFrame:
+def tool_decisions(b: DataFrame, extra: tuple = ()) -> DataFrame:
     k = F.col("k")
     return b.filter((F.col("event_type") == "click") & (k >= 80)).select(
         *_common(b),
         F.concat(F.lit("tool_"), (k % 10).cast("string")).alias("tool_name"),
         F.when(k % 4 == 0, "reject").otherwise("accept").alias("decision"),
+        *extra,
     )
 
 
-def user_prompts(b: DataFrame) -> DataFrame:
+def user_prompts(b: DataFrame, extra: tuple = ()) -> DataFrame:
     return b.filter(F.col("event_type") == "signup").select(
         *_common(b),
         (20 + F.col("k")).cast("bigint").alias("prompt_length"),
         F.concat(F.lit("prompt "), F.col("id").cast("string")).alias("prompt_content"),
+        *extra,
     )
 
 
-def api_errors(b: DataFrame) -> DataFrame:
+def api_errors(b: DataFrame, extra: tuple = ()) -> DataFrame:
     k = F.col("k")
     return b.filter(F.col("event_type") == "error").select(
         *_common(b),
         F.when(k % 2 == 0, "Rate limit exceeded").otherwise("Internal server error").alias("error_message"),
         F.when(k % 2 == 0, 429).otherwise(500).alias("status_code"),
         (k % 3).alias("retries"),
+        *extra,
     )
 
 
@@ -216,6 +221,8 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
     t.user_aliases = initial_aliases(t)
     t.extra["sparse_requests"] = sparse_requests(read_table(spark, sf_dir, "orders"))
+    t.extra["events"] = events
+    t.extra["base"] = b
     return t
 
 
