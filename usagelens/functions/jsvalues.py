@@ -44,3 +44,17 @@ def first_present(m: Column, keys: list[str]) -> Column:
 def first_truthy(m: Column, keys: list[str]) -> Column:
     """a[k1] || a[k2] || ... || null: first non-empty value."""
     return F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in keys])
+
+
+MONEY_DECIMAL = "decimal(38,10)"
+
+
+def money_sum(c) -> Column:
+    """SUM of a money column as an exact decimal, returned as double.
+
+    Floating-point sums depend on the order rows are added, which differs
+    with partitioning; a half-cent tie then rounds either way under
+    ``js_round``. Summing exactly makes billing figures identical on every
+    run and cluster size."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.sum(col.cast(MONEY_DECIMAL)).cast("double")

@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagelens.functions.jsvalues import js_round
+from usagelens.functions.jsvalues import js_round, money_sum
 from usagelens.operators.aliases import mask
 from usagelens.operators.filters import in_period
 from usagelens.operators.joins import checked_broadcast
@@ -114,7 +114,7 @@ def billing_by_user(spark: SparkSession, t: Tables, plan: PlanConfig, as_of: dt.
     r = in_period(t.api_requests, p.start, p.end)
     j = join_roster(r, t.org_members)
     out = j.groupBy("user_email", "name", "seat_tier", "billing_model").agg(
-        F.sum("cost_usd").alias("api_equivalent_cost"),
+        money_sum("cost_usd").alias("api_equivalent_cost"),
         F.count(F.lit(1)).alias("requests"),
         F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).cast("bigint").alias("tokens"),
     ).withColumn(
@@ -129,7 +129,7 @@ def billing_by_user(spark: SparkSession, t: Tables, plan: PlanConfig, as_of: dt.
 def billing_totals(by_user: DataFrame) -> DataFrame:
     """Total list cost (2 dp) and total tokens over the per-user rows."""
     return by_user.agg(
-        js_round(F.coalesce(F.sum(F.coalesce("api_equivalent_cost", F.lit(0.0))), F.lit(0.0)), 2)
+        js_round(F.coalesce(money_sum(F.coalesce("api_equivalent_cost", F.lit(0.0))), F.lit(0.0)), 2)
         .alias("total_api_equivalent_cost"),
         F.coalesce(F.sum(F.coalesce("tokens", F.lit(0))), F.lit(0)).cast("bigint").alias("total_tokens"),
     )
@@ -152,7 +152,7 @@ def commitment_pool(t: Tables, plan: PlanConfig, as_of: dt.datetime, tz: str = "
     """List cost of enterprise members inside the commitment window."""
     start, end = commitment_window(plan, as_of, tz)
     return enterprise_spend(t.api_requests, t.org_members, start, end).agg(
-        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("list_cost"))
+        F.coalesce(money_sum("cost_usd"), F.lit(0.0)).alias("list_cost"))
 
 
 def commitment_status(t: Tables, plan: PlanConfig, as_of: dt.datetime, tz: str = "UTC") -> DataFrame | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.functions.jsvalues import js_round
+from usagelens.functions.jsvalues import js_round, money_sum
 from usagelens.operators.aliases import mask
 
 
@@ -16,7 +16,7 @@ def reported_cost_by_user(records: DataFrame, aliases: DataFrame | None = None,
     out = records.filter(F.col("email").isNotNull() & (F.col("email") != "")).groupBy("email").agg(
         F.count(F.lit(1)).alias("days_active"),
         F.sum("tokens").cast("bigint").alias("reported_tokens"),
-        F.sum("cents").alias("_cents"),
+        money_sum("cents").alias("_cents"),
     ).select("email", (js_round(F.col("_cents")) / 100).alias("reported_cost"), "reported_tokens", "days_active")
     if masked:
         out = mask(out, aliases, cols=("email",), key="email")

@@ -299,3 +299,233 @@ def q_otlp_quarantine(spark, sf_dir):
 
     q = otlp.quarantine(derived.otlp_payloads(_t(spark, sf_dir)), fixtures.AS_OF)
     return q.groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+# ── billing ─────────────────────────────────────────────────────────────────
+PLAN15 = fixtures.PlanConfig(billing_cycle_day=15, commitment_amount_usd=2000, commitment_discount_pct=25)
+
+
+@register("billing_by_user")
+def q_billing_by_user(spark, sf_dir):
+    from usagelens.operators import billing
+
+    return stable(billing.billing_by_user(spark, _t(spark, sf_dir), fixtures.PLAN, fixtures.AS_OF))
+
+
+@register("billing_by_user_cycle15_masked")
+def q_billing_by_user15(spark, sf_dir):
+    from usagelens.operators import billing
+
+    return stable(billing.billing_by_user(spark, _t(spark, sf_dir), PLAN15, fixtures.AS_OF, masked=True))
+
+
+@register("billing_totals")
+def q_billing_totals(spark, sf_dir):
+    from usagelens.operators import billing
+
+    return stable(billing.billing_totals(billing.billing_by_user(spark, _t(spark, sf_dir), fixtures.PLAN, fixtures.AS_OF)))
+
+
+@register("commitment_status")
+def q_commitment(spark, sf_dir):
+    from usagelens.operators import billing
+
+    return stable(billing.commitment_status(_t(spark, sf_dir), fixtures.PLAN, fixtures.AS_OF))
+
+
+@register("commitment_status_period_fallback")
+def q_commitment15(spark, sf_dir):
+    from usagelens.operators import billing
+
+    return stable(billing.commitment_status(_t(spark, sf_dir), PLAN15, fixtures.AS_OF))
+
+
+@register("join_roster")
+def q_join_roster(spark, sf_dir):
+    from usagelens.operators import billing
+
+    t = _t(spark, sf_dir)
+    return billing.join_roster(t.api_requests, t.org_members).select(
+        "id", "user_email", "name", "seat_tier", "billing_model")
+
+
+@register("enterprise_spend")
+def q_enterprise_spend(spark, sf_dir):
+    from usagelens.operators import billing
+
+    t = _t(spark, sf_dir)
+    return stable(billing.enterprise_spend(t.api_requests, t.org_members, dt.datetime(2024, 1, 1),
+                                           dt.datetime(2024, 1, 15)).select("id", "user_email", "cost_usd"))
+
+
+@register("not_in_roster")
+def q_not_in_roster(spark, sf_dir):
+    from usagelens.operators import billing
+
+    t = _t(spark, sf_dir)
+    return billing.not_in_roster(t.api_requests, t.org_members)
+
+
+# ── roster, teams, aliases ──────────────────────────────────────────────────
+@register("roster_with_telemetry")
+def q_roster_tele(spark, sf_dir):
+    from usagelens.operators import roster
+
+    t = _t(spark, sf_dir)
+    return stable(roster.roster_with_telemetry(t.api_requests, t.org_members))
+
+
+@register("roster_with_telemetry_masked")
+def q_roster_tele_m(spark, sf_dir):
+    from usagelens.operators import roster
+
+    t = _t(spark, sf_dir)
+    return stable(roster.roster_with_telemetry(t.api_requests, t.org_members, t.user_aliases, masked=True))
+
+
+@register("roster_csv_merge")
+def q_roster_merge(spark, sf_dir):
+    from usagelens.operators import roster
+    from usagelens.plans import derived
+    from usagelens.sources import roster_csv
+
+    t = _t(spark, sf_dir)
+    rows = roster_csv.parse_roster_lines(derived.roster_lines(t))
+    return stable(roster.merge_roster(t.org_members, rows, fixtures.AS_OF))
+
+
+@register("roster_csv_rows")
+def q_roster_rows(spark, sf_dir):
+    from usagelens.plans import derived
+    from usagelens.sources import roster_csv
+
+    rows = roster_csv.parse_roster_lines(derived.roster_lines(_t(spark, sf_dir)))
+    return rows.drop("file")
+
+
+@register("patch_roster")
+def q_patch(spark, sf_dir):
+    from usagelens.operators import roster
+    from usagelens.plans import derived
+
+    t = _t(spark, sf_dir)
+    return stable(roster.patch_roster(t.org_members, derived.roster_patches(t), fixtures.AS_OF, t.user_aliases))
+
+
+@register("patch_roster_rejects")
+def q_patch_rejects(spark, sf_dir):
+    from usagelens.operators import roster
+    from usagelens.plans import derived
+
+    _, bad = roster.validate_patches(derived.roster_patches(_t(spark, sf_dir)))
+    return bad.select("seq", "email", "reason")
+
+
+@register("team_changes")
+def q_team_changes(spark, sf_dir):
+    from usagelens.operators import teams
+    from usagelens.plans import derived
+
+    t = _t(spark, sf_dir)
+    _, members = teams.apply_team_changes(t.teams, t.team_members, derived.team_changes(t), t.user_aliases)
+    return members
+
+
+@register("team_changes_teams")
+def q_team_changes_teams(spark, sf_dir):
+    from usagelens.operators import teams
+    from usagelens.plans import derived
+
+    t = _t(spark, sf_dir)
+    tm, _ = teams.apply_team_changes(t.teams, t.team_members, derived.team_changes(t), t.user_aliases)
+    return tm.select("id", "name")
+
+
+@register("team_rosters")
+def q_team_rosters(spark, sf_dir):
+    from usagelens.operators import teams
+
+    t = _t(spark, sf_dir)
+    return teams.team_rosters(t.teams, t.team_members, nested=False)
+
+
+@register("team_rosters_masked")
+def q_team_rosters_m(spark, sf_dir):
+    from usagelens.operators import teams
+
+    t = _t(spark, sf_dir)
+    return teams.team_rosters(t.teams, t.team_members, t.user_aliases, masked=True, nested=False)
+
+
+@register("all_identities")
+def q_identities(spark, sf_dir):
+    from usagelens.operators import aliases
+
+    return aliases.all_identities(_t(spark, sf_dir))
+
+
+@register("assign_aliases")
+def q_assign_aliases(spark, sf_dir):
+    from usagelens.operators import aliases
+
+    t = _t(spark, sf_dir)
+    return stable(aliases.assign_aliases(aliases.all_identities(t), t.user_aliases, fixtures.AS_OF))
+
+
+@register("mask_strict")
+def q_mask_strict(spark, sf_dir):
+    from usagelens.operators import aliases
+
+    t = _t(spark, sf_dir)
+    return aliases.mask(t.api_errors.select("id", "user_email", "error_message"), t.user_aliases, strict=True)
+
+
+# ── usage report ────────────────────────────────────────────────────────────
+REPORT_FROM, REPORT_TO = dt.date(2024, 1, 5), dt.date(2024, 1, 25)
+
+
+@register("reported_cost_by_user")
+def q_reported(spark, sf_dir):
+    from usagelens.operators import report
+    from usagelens.plans import derived
+    from usagelens.sources import usage_report
+
+    recs = usage_report.parse_usage_pages(derived.usage_pages(_t(spark, sf_dir)), REPORT_FROM, REPORT_TO)
+    return stable(report.reported_cost_by_user(recs))
+
+
+# ── model-invocation logs ───────────────────────────────────────────────────
+def _inv(spark, sf_dir):
+    from usagelens.plans import derived
+    from usagelens.sources import invocations
+
+    t = _t(spark, sf_dir)
+    ev = invocations.parse_invocation_events(derived.invocation_events(t))
+    return t, ev, derived.stored_request_ids(t)
+
+
+@register("invocation_sync")
+def q_inv_sync(spark, sf_dir):
+    from usagelens.plans import derived
+    from usagelens.sources import invocations
+
+    t, ev, stored = _inv(spark, sf_dir)
+    out = invocations.sync_invocations(ev, stored, dt.datetime.fromisoformat(derived.SYNC_FROM), fixtures.AS_OF)
+    return stable(out.drop("id"), digits=8)
+
+
+@register("invocation_sync_stats")
+def q_inv_stats(spark, sf_dir):
+    from usagelens.plans import derived
+    from usagelens.sources import invocations
+
+    t, ev, stored = _inv(spark, sf_dir)
+    return invocations.sync_stats(ev, stored, dt.datetime.fromisoformat(derived.SYNC_FROM), fixtures.AS_OF)
+
+
+@register("backfill_model_ids")
+def q_backfill(spark, sf_dir):
+    from usagelens.plans import derived
+    from usagelens.sources import invocations
+
+    return invocations.backfill_model_ids(derived.raw_model_rows(_t(spark, sf_dir)))
