@@ -529,3 +529,46 @@ def q_backfill(spark, sf_dir):
     from usagelens.sources import invocations
 
     return invocations.backfill_model_ids(derived.raw_model_rows(_t(spark, sf_dir)))
+
+
+# ── streaming (availableNow runs over landed files) ─────────────────────────
+@register("stream_usage_windows")
+def q_stream_windows(spark, sf_dir):
+    from usagelens.plans import streams
+
+    return stable(streams.stream_usage_windows(spark, sf_dir))
+
+
+@register("stream_daily_cost")
+def q_stream_daily(spark, sf_dir):
+    from usagelens.plans import streams
+
+    return stable(streams.stream_daily_cost(spark, sf_dir))
+
+
+@register("stream_otlp_api_requests")
+def q_stream_otlp(spark, sf_dir):
+    from usagelens.plans import streams
+
+    return stable(streams.stream_otlp_table(spark, sf_dir, "api_requests"))
+
+
+@register("stream_otlp_tool_decisions")
+def q_stream_otlp_dec(spark, sf_dir):
+    from usagelens.plans import streams
+
+    return stable(streams.stream_otlp_table(spark, sf_dir, "tool_decisions"))
+
+
+@register("stream_alias_coverage")
+def q_stream_alias(spark, sf_dir):
+    from usagelens.plans import streams
+
+    return streams.stream_alias_coverage(spark, sf_dir)
+
+
+@register("stream_invocations")
+def q_stream_inv(spark, sf_dir):
+    from usagelens.plans import streams
+
+    return stable(streams.stream_invocations(spark, sf_dir), digits=8)

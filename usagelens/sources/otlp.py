@@ -116,11 +116,18 @@ def _first_nonempty(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
-def nanos_to_ts(nanos: Column, as_of: dt.datetime) -> Column:
+def nanos_to_ts(nanos: Column, as_of: dt.datetime | Column | None) -> Column:
     """Epoch nanoseconds (text) -> timestamp truncated to ms; missing
-    -> ``as_of`` (the reference uses the arrival time)."""
+    -> ``as_of`` (the reference uses the arrival time; None = the batch's
+    processing time)."""
     ms = F.floor(nanos.try_cast("decimal(30,0)") / F.lit(1_000_000)).cast("bigint")
-    return F.coalesce(F.timestamp_millis(ms), F.lit(as_of).cast("timestamp"))
+    if as_of is None:
+        fallback = F.current_timestamp()
+    elif isinstance(as_of, Column):
+        fallback = as_of
+    else:
+        fallback = F.lit(as_of).cast("timestamp")
+    return F.coalesce(F.timestamp_millis(ms), fallback)
 
 
 def canonical_event(name: Column) -> Column:
