@@ -17,8 +17,12 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     The check reads at most ``max_rows + 1`` rows (a LIMIT job), so its cost
     is bounded by the threshold, not by the table.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    small = getattr(df, "_usagelens_small", {}).get(max_rows)
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        # Remember the answer on this (immutable) DataFrame.
+        df._usagelens_small = {**getattr(df, "_usagelens_small", {}), max_rows: small}
+    return F.broadcast(df) if small else df
 
 
 def fixed_broadcast(df: DataFrame) -> DataFrame:

@@ -119,48 +119,59 @@ def _records(t) -> DataFrame:
     return per_table
 
 
+# camelCase -> snake_case key names of the OTLP JSON encoding.
+SNAKE_KEYS = [
+    ("resourceLogs", "resource_logs"), ("scopeLogs", "scope_logs"), ("logRecords", "log_records"),
+    ("timeUnixNano", "time_unix_nano"), ("observedTimeUnixNano", "observed_time_unix_nano"),
+    ("stringValue", "string_value"), ("intValue", "int_value"), ("doubleValue", "double_value"),
+    ("boolValue", "bool_value"),
+]
+
+
 def otlp_payloads(t) -> DataFrame:
-    """(file, value): one JSON payload per group of PAYLOAD_GROUP ids."""
+    """(file, value): one JSON payload per group of PAYLOAD_GROUP ids; odd
+    groups use snake_case keys throughout."""
     i = F.col("id")
     parts = []
     for df, event, attrs_fn in _records(t):
         src = F.col("source") if "source" in df.columns else F.lit(None).cast("string")
-        for sn in (False, True):
-            d = df.filter(((i / PAYLOAD_GROUP).cast("bigint") % 2 == 1) == F.lit(sn))
-            ra = attrs_fn(sn)
-            rec_level_email = i % 2 == 1
-            rec_attrs = [
-                _attr("session.id", "s", F.col("session_id"), sn),
-                _attr("prompt.id", "s", F.col("prompt_id"), sn),
-                _attr("user.email", "s", F.when(rec_level_email, F.col("user_email")), sn),
-                _attr("event.name", "s", F.when(i % 3 == 2, F.lit("claude_code." + event)), sn),
-            ] + ra
-            res_attrs = [
-                _attr("service.name", "s", F.translate(src, "_", "-"), sn),
-                _attr("user.email", "s", F.when(~rec_level_email, F.col("user_email")), sn),
-                _attr("session.id", "s", F.when(i % 5 == 0, F.lit("resource-level")), sn),
-            ]
-            arr = F.filter(F.array(*rec_attrs), lambda a: a.isNotNull())
-            body_name = F.when(i % 3 == 0, F.lit("claude_code." + event)).when(i % 3 == 1, F.lit(event))
-            nanos = (F.unix_micros(F.col("timestamp")) * 1000).cast("string")
-            tname, oname = ("time_unix_nano", "observed_time_unix_nano") if sn else ("timeUnixNano", "observedTimeUnixNano")
-            record = F.struct(
-                F.when(i % 7 != 0, nanos).alias(tname),
-                F.when(i % 7 == 0, nanos).alias(oname),
-                F.when(body_name.isNotNull(), F.struct(body_name.alias("string_value" if sn else "stringValue")))
-                .alias("body"),
-                arr.alias("attributes"),
-            )
-            rl = F.struct(
-                F.struct(F.filter(F.array(*res_attrs), lambda a: a.isNotNull()).alias("attributes")).alias("resource"),
-                F.array(F.struct(F.array(record).alias("log_records" if sn else "logRecords")))
-                .alias("scope_logs" if sn else "scopeLogs"),
-            )
-            js = F.to_json(rl)
-            parts.append(d.select(i.alias("id"), F.lit(sn).alias("snake"), js.alias("rl")))
+        parts.append(df.select(
+            "id", "timestamp", "session_id", "prompt_id", "user_email", src.alias("source"),
+            F.lit(event).alias("event"), F.array(*attrs_fn(False)).alias("extra")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rec_level_email = i % 2 == 1
+    ev = F.col("event")
+    base_attrs = F.array(
+        _attr("session.id", "s", F.col("session_id"), False),
+        _attr("prompt.id", "s", F.col("prompt_id"), False),
+        _attr("user.email", "s", F.when(rec_level_email, F.col("user_email")), False),
+        _attr("event.name", "s", F.when(i % 3 == 2, F.concat(F.lit("claude_code."), ev)), False),
+    )
+    res_attrs = F.array(
+        _attr("service.name", "s", F.translate("source", "_", "-"), False),
+        _attr("user.email", "s", F.when(~rec_level_email, F.col("user_email")), False),
+        _attr("session.id", "s", F.when(i % 5 == 0, F.lit("resource-level")), False),
+    )
+    body_name = F.when(i % 3 == 0, F.concat(F.lit("claude_code."), ev)).when(i % 3 == 1, ev)
+    nanos = (F.unix_micros(F.col("timestamp")) * 1000).cast("string")
+    record = F.struct(
+        F.when(i % 7 != 0, nanos).alias("timeUnixNano"),
+        F.when(i % 7 == 0, nanos).alias("observedTimeUnixNano"),
+        F.when(body_name.isNotNull(), F.struct(body_name.alias("stringValue"))).alias("body"),
+        F.array_compact(F.concat(base_attrs, F.col("extra"))).alias("attributes"),
+    )
+    rl = F.struct(
+        F.struct(F.array_compact(res_attrs).alias("attributes")).alias("resource"),
+        F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"),
+    )
+    snake = (i / PAYLOAD_GROUP).cast("bigint") % 2 == 1
+    js = F.to_json(rl)
+    snake_js = js
+    for camel, sn in SNAKE_KEYS:
+        snake_js = F.regexp_replace(snake_js, f'"{camel}":', f'"{sn}":')
+    rows = rows.select("id", snake.alias("snake"), F.when(snake, snake_js).otherwise(js).alias("rl"))
     g = rows.groupBy((i / PAYLOAD_GROUP).cast("bigint").alias("payload"), "snake").agg(
         F.array_sort(F.collect_list(F.struct("id", "rl"))).alias("rls"))
     key = F.when(F.col("snake"), F.lit("resource_logs")).otherwise(F.lit("resourceLogs"))

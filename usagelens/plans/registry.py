@@ -250,19 +250,31 @@ def q_timeline_tools(spark, sf_dir):
 
 
 # ── OTLP ingest round trip ──────────────────────────────────────────────────
+_OTLP: dict = {}
+
+
 def _otlp_records(spark, sf_dir):
+    """Derived payloads -> records -> routed tables, built once per session."""
     from usagelens.plans import derived
     from usagelens.sources import otlp
 
-    t = _t(spark, sf_dir)
-    return otlp.flatten_otlp(derived.otlp_payloads(t), fixtures.AS_OF)
+    key = (fixtures.session_key(spark), sf_dir)
+    if key not in _OTLP:
+        t = _t(spark, sf_dir)
+        payloads = derived.otlp_payloads(t)
+        records = otlp.flatten_otlp(payloads, fixtures.AS_OF)
+        _OTLP[key] = (payloads, records, otlp.route(records))
+    return _OTLP[key][1]
+
+
+def _otlp_routed(spark, sf_dir):
+    _otlp_records(spark, sf_dir)
+    return _OTLP[(fixtures.session_key(spark), sf_dir)][2]
 
 
 def _otlp_table(name):
     def q(spark, sf_dir):
-        from usagelens.sources import otlp
-
-        return stable(otlp.route(_otlp_records(spark, sf_dir))[name].drop("id"))
+        return stable(_otlp_routed(spark, sf_dir)[name].drop("id"))
     q.__name__ = f"q_otlp_{name}"
     return q
 
@@ -297,7 +309,9 @@ def q_otlp_quarantine(spark, sf_dir):
     from usagelens.plans import derived
     from usagelens.sources import otlp
 
-    q = otlp.quarantine(derived.otlp_payloads(_t(spark, sf_dir)), fixtures.AS_OF)
+    _otlp_records(spark, sf_dir)
+    payloads = _OTLP[(fixtures.session_key(spark), sf_dir)][0]
+    q = otlp.quarantine(payloads, fixtures.AS_OF)
     return q.groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
 
 

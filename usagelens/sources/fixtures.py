@@ -205,8 +205,24 @@ def sparse_requests(orders: DataFrame) -> DataFrame:
     )
 
 
+_TABLES: dict = {}
+
+
+def session_key(spark: SparkSession) -> int:
+    return spark._jsparkSession.hashCode()
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The fixture tables of ``sf_dir``, built once per session (DataFrames
+    are immutable plans, so every query can share them)."""
     configure(spark)
+    key = (session_key(spark), os.path.abspath(sf_dir))
+    if key not in _TABLES:
+        _TABLES[key] = _build_tables(spark, sf_dir)
+    return _TABLES[key]
+
+
+def _build_tables(spark: SparkSession, sf_dir: str) -> Tables:
     events = read_table(spark, sf_dir, "events")
     b = base(events)
     t = Tables(

@@ -31,10 +31,12 @@ def _st(*names, t=S) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n in names])
 
 
-# OTLP AnyValue kinds in the order the value is chosen.
+# OTLP AnyValue kinds in the order the value is chosen, then
+# the structured kinds (kept as raw JSON text).
 SCALAR_KINDS = ["stringValue", "string_value", "intValue", "int_value",
                 "doubleValue", "double_value", "boolValue", "bool_value"]
 OTHER_KINDS = ["arrayValue", "array_value", "kvlistValue", "kvlist_value", "bytesValue", "bytes_value"]
+CORRUPT = "_corrupt_record"
 
 ANY_VALUE = _st(*SCALAR_KINDS, *OTHER_KINDS)
 ATTRIBUTES = T.ArrayType(T.StructType([T.StructField("key", S), T.StructField("value", ANY_VALUE)]))
@@ -53,7 +55,8 @@ RESOURCE_LOGS = T.StructType([
     T.StructField("scope_logs", T.ArrayType(SCOPE_LOGS)),
 ])
 PAYLOAD = T.StructType([T.StructField("resourceLogs", T.ArrayType(RESOURCE_LOGS)),
-                        T.StructField("resource_logs", T.ArrayType(RESOURCE_LOGS))])
+                        T.StructField("resource_logs", T.ArrayType(RESOURCE_LOGS)),
+                        T.StructField(CORRUPT, S)])
 
 # Event names routed to the five fact tables.
 EVENT_PREFIX = "claude_code."
@@ -68,13 +71,27 @@ EVENTS = {
 
 
 # ── attribute maps ──────────────────────────────────────────────────────────
+# Each attribute's JavaScript value is computed once, when the map is built
+# (one ``transform`` over the values); lookups are then plain map probes.
+# Measured alternatives (rules applied at every lookup, or values parsed as
+# maps) generate far larger code and ran 2-3x slower.
+def _has_null(arr: Column) -> Column:
+    """Whether an array holds a NULL element (ascending sort puts NULLs
+    first); no lambda needed."""
+    return F.coalesce(F.size(arr) > 0, F.lit(False)) & F.try_element_at(F.sort_array(arr), F.lit(1)).isNull()
+
+
 def _attr_value(v: Column) -> Column:
-    """struct(v, f) for one AnyValue."""
+    """struct(v, f) for one AnyValue (B3): ``v`` is the first of string,
+    int, double, bool (camelCase before snake_case) or the value's JSON;
+    ``f`` marks values JavaScript treats as falsy ('', numeric 0 from
+    doubleValue, false); intValue keeps its string encoding ('0' truthy)."""
     s = F.coalesce(v["stringValue"], v["string_value"])
     i = F.coalesce(v["intValue"], v["int_value"])
     d = F.coalesce(v["doubleValue"], v["double_value"])
     b = F.coalesce(v["boolValue"], v["bool_value"])
-    val = F.coalesce(s, i, d, b, F.to_json(v))
+    structured = [F.concat(F.lit('{"' + k + '":'), v[k], F.lit("}")) for k in OTHER_KINDS]
+    val = F.coalesce(s, i, d, b, *structured, F.when(v.isNotNull(), F.lit("{}")))
     falsy = (
         F.when(s.isNotNull(), s == "")
         .when(i.isNotNull(), F.lit(False))
@@ -87,15 +104,25 @@ def _attr_value(v: Column) -> Column:
 
 def attr_map(attrs: Column) -> Column:
     """Attribute list -> map<key, struct(v, f)>; a repeated key keeps
-    the last value (session conf mapKeyDedupPolicy=LAST_WIN)."""
-    kept = F.filter(F.coalesce(attrs, F.array().cast(ATTRIBUTES)), lambda a: a["key"].isNotNull())
-    return F.map_from_entries(F.transform(kept, lambda a: F.struct(
-        a["key"].alias("key"), _attr_value(a["value"]).alias("value"))))
+    the last value (session conf mapKeyDedupPolicy=LAST_WIN). NULL when an
+    attribute has no key (malformed; such records are quarantined)."""
+    a = F.coalesce(attrs, F.array().cast(ATTRIBUTES))
+    return F.when(~_has_null(a["key"]), F.map_from_arrays(a["key"], F.transform(a["value"], _attr_value)))
+
+
+def malformed_attrs(attrs: Column) -> Column:
+    """An attribute without a key or without a value (the reference throws)."""
+    a = F.coalesce(attrs, F.array().cast(ATTRIBUTES))
+    return _has_null(a["key"]) | _has_null(a["value"])
+
+
+ATTR_MAP = T.MapType(S, T.StructType([T.StructField("v", S), T.StructField("f", T.BooleanType())]))
 
 
 def merge_attrs(resource: Column, record: Column) -> Column:
     """Resource attributes overlaid by record attributes."""
-    return F.map_concat(resource, record)
+    empty = F.create_map().cast(ATTR_MAP)
+    return F.map_concat(F.coalesce(resource, empty), F.coalesce(record, empty))
 
 
 def present(m: Column, keys: list[str]) -> Column:
@@ -142,10 +169,10 @@ def source_of(attrs: Column) -> Column:
 
 # ── flatten ─────────────────────────────────────────────────────────────────
 def parse_payloads(payloads: DataFrame) -> DataFrame:
-    """(file, value) -> (file, p, bad_json). ``value`` is one payload."""
-    return payloads.select(
-        "file", F.from_json("value", PAYLOAD).alias("p"),
-        F.get_json_object("value", "$").isNull().alias("bad_json"))
+    """(file, value) -> (file, p, bad_json). ``value`` is one payload; text
+    that is not JSON lands in the corrupt-record field (no second parse)."""
+    p = payloads.select("file", F.from_json("value", PAYLOAD, {"columnNameOfCorruptRecord": CORRUPT}).alias("p"))
+    return p.select("file", "p", (F.col("p").isNull() | F.col(f"p.{CORRUPT}").isNotNull()).alias("bad_json"))
 
 
 def flatten_records(parsed: DataFrame) -> DataFrame:
@@ -165,8 +192,7 @@ def normalize_records(records: DataFrame, as_of: dt.datetime) -> DataFrame:
     with an attribute that has no value (the reference throws there)."""
     rec_map = attr_map(F.col("rec.attributes"))
     attrs = merge_attrs(attr_map(F.col("res_attrs")), rec_map)
-    no_value = (F.exists(F.coalesce("rec.attributes", F.array().cast(ATTRIBUTES)), lambda a: a["value"].isNull())
-                | F.exists(F.coalesce("res_attrs", F.array().cast(ATTRIBUTES)), lambda a: a["value"].isNull()))
+    no_value = malformed_attrs(F.col("rec.attributes")) | malformed_attrs(F.col("res_attrs"))
     name = F.coalesce(
         _first_nonempty(F.col("rec.body.stringValue"), F.col("rec.body.string_value")),
         truthy(rec_map, ["event.name"]), F.lit(""))
