@@ -1,0 +1,150 @@
+"""OTLP ingest edge cases on hand-written payloads."""
+
+import datetime as dt
+import json
+
+import pytest
+
+from usagelens.sources import otlp
+
+AS_OF = dt.datetime(2024, 5, 1, 12, 0, 0)
+
+
+def sv(x):
+    return {"stringValue": x}
+
+
+def attrs(**kv):
+    return [{"key": k.replace("__", "."), "value": v} for k, v in kv.items()]
+
+
+def payload(records, resource=None, snake=False):
+    rl = {"resource": {"attributes": resource or []}, "scopeLogs": [{"logRecords": records}]}
+    p = {"resourceLogs": [rl]}
+    text = json.dumps(p)
+    if snake:
+        for a, b in otlp_snake():
+            text = text.replace(f'"{a}":', f'"{b}":')
+    return text
+
+
+def otlp_snake():
+    from usagelens.plans.derived import SNAKE_KEYS
+
+    return SNAKE_KEYS
+
+
+def ingest(spark, payloads):
+    df = spark.createDataFrame([(f"f{i}", p) for i, p in enumerate(payloads)], "file string, value string")
+    recs = otlp.flatten_otlp(df, AS_OF)
+    return recs, otlp.route(recs)
+
+
+NS = "1704067200123456789"   # 2024-01-01T00:00:00.123456789Z
+
+
+def test_api_request_fallbacks_and_coercion(spark):
+    recs = [
+        {"timeUnixNano": NS, "body": sv("claude_code.api_request"),
+         "attributes": attrs(model=sv(""), modelID=sv("m1"), cost=sv(" 1.5 "), input=sv("12abc"),
+                             tokens__output={"intValue": "7"}, cache_read_tokens={"doubleValue": 3.0},
+                             duration=sv("1e3"), user__email=sv("a@x"), session__id=sv("s1"))},
+        {"timeUnixNano": NS, "body": sv("api_request"),
+         "attributes": attrs(gen_ai__request__model=sv("m2"), cost_usd=sv("1.5d"), input_tokens=sv(""),
+                             output_tokens={"boolValue": True})},
+        {"attributes": attrs(event__name=sv("claude_code.api_request"), session__id=sv(""))},
+    ]
+    _, t = ingest(spark, [payload(recs, resource=attrs(service__name=sv("open-code")))])
+    rows = sorted(t["api_requests"].collect(), key=lambda r: r["model"] or "")
+    assert len(rows) == 3
+    r0, r1, r2 = rows
+    assert r0["model"] is None and r0["timestamp"] == AS_OF          # no timestamp -> as_of
+    assert r0["session_id"] is None                                   # '' is not truthy
+    assert (r1["model"], r1["cost_usd"], r1["input_tokens"], r1["output_tokens"], r1["cache_read_tokens"],
+            r1["duration_ms"]) == ("m1", 1.5, 12, 7, 3, 1)
+    assert r1["timestamp"] == dt.datetime(2024, 1, 1, 0, 0, 0, 123000)  # truncated to ms
+    assert r1["source"] == "open_code"
+    assert (r2["model"], r2["cost_usd"], r2["input_tokens"], r2["output_tokens"]) == ("m2", None, None, None)
+
+
+def test_record_overrides_resource_and_duplicates(spark):
+    recs = [{"timeUnixNano": NS, "body": sv("claude_code.user_prompt"),
+             "attributes": attrs(user__email=sv("rec@x"), prompt=sv("first")) + attrs(prompt=sv("second"))}]
+    res = attrs(user__email=sv("res@x"), session__id=sv("s-res"))
+    _, t = ingest(spark, [payload(recs, resource=res)])
+    r = t["user_prompts"].first()
+    assert (r["user_email"], r["session_id"], r["prompt_content"]) == ("rec@x", "s-res", "second")
+
+
+def test_event_name_only_from_record(spark):
+    recs = [{"timeUnixNano": NS, "attributes": attrs(tool__name=sv("Bash"))}]
+    recs_ok = [{"timeUnixNano": NS, "attributes": attrs(event__name=sv("tool_result"), tool__name=sv("Bash"))}]
+    res = attrs(event__name=sv("claude_code.tool_result"))
+    _, t = ingest(spark, [payload(recs, resource=res), payload(recs_ok)])
+    assert t["tool_uses"].count() == 1
+
+
+@pytest.mark.parametrize("value,want", [({"boolValue": True}, 1), (sv("true"), 1), (sv("false"), 0),
+                                        ({"boolValue": False}, 0), (None, 0), ({"intValue": "1"}, 0)])
+def test_tool_success(spark, value, want):
+    a = attrs(tool_name=sv("Read"))
+    if value is not None:
+        a += [{"key": "tool.success", "value": value}]
+    _, t = ingest(spark, [payload([{"timeUnixNano": NS, "body": sv("claude_code.tool_result"), "attributes": a}])])
+    assert t["tool_uses"].first()["success"] == want
+
+
+def test_falsy_double_zero_in_or_chain(spark):
+    a = attrs(tool__duration_ms={"doubleValue": 0}, duration_ms=sv("25"), tool__name=sv("X"))
+    _, t = ingest(spark, [payload([{"timeUnixNano": NS, "body": sv("tool_result"), "attributes": a}])])
+    assert t["tool_uses"].first()["duration_ms"] == 25
+
+
+def test_snake_case_payload(spark):
+    recs = [{"timeUnixNano": NS, "body": sv("claude_code.api_error"),
+             "attributes": attrs(error__message=sv("boom"), http__status_code={"intValue": "529"},
+                                 retry__count={"intValue": "0"})}]
+    _, t = ingest(spark, [payload(recs, snake=True)])
+    r = t["api_errors"].first()
+    assert (r["error_message"], r["status_code"], r["retries"]) == ("boom", 529, 0)
+    assert r["timestamp"] == dt.datetime(2024, 1, 1, 0, 0, 0, 123000)
+
+
+def test_quarantine_unknown_and_bad_json(spark):
+    good = {"timeUnixNano": NS, "body": sv("claude_code.tool_decision"),
+            "attributes": attrs(tool__name=sv("Edit"), tool__decision=sv("accept"))}
+    broken = {"timeUnixNano": NS, "body": sv("claude_code.tool_decision"),
+              "attributes": [{"key": "tool.name"}]}
+    unknown = {"timeUnixNano": NS, "body": sv("claude_code.session_start"), "attributes": []}
+    texts = [payload([good, broken, unknown]), "not json {", json.dumps({"other": 1})]
+    recs, t = ingest(spark, texts)
+    assert t["tool_decisions"].count() == 1
+    counts = {r["target"]: r["records"] for r in otlp.ingest_counts(recs).collect()}
+    assert counts == {"tool_decisions": 1, "(unknown)": 1}
+    df = spark.createDataFrame([(f"f{i}", p) for i, p in enumerate(texts)], "file string, value string")
+    reasons = sorted(r["reason"] for r in otlp.quarantine(df, AS_OF).collect())
+    assert reasons == ["attribute without value", "invalid JSON"]
+
+
+def test_structured_value_kept_as_json(spark):
+    a = [{"key": "prompt", "value": {"arrayValue": {"values": [sv("x")]}}}]
+    _, t = ingest(spark, [payload([{"timeUnixNano": NS, "body": sv("user_prompt"), "attributes": a}])])
+    assert t["user_prompts"].first()["prompt_content"] == '{"arrayValue":{"values":[{"stringValue":"x"}]}}'
+
+
+def test_missing_usage_report(spark):
+    recs = [{"timeUnixNano": NS, "body": sv("api_request"), "attributes": attrs(model=sv("m"))},
+            {"timeUnixNano": NS, "body": sv("api_request"), "attributes": attrs(cost_usd=sv("0"))}]
+    r, _ = ingest(spark, [payload(recs)])
+    rows = otlp.missing_usage_report(r).collect()
+    assert [(x["source"], x["attribute_keys"], x["records"]) for x in rows] == [("claude_code", "model", 1)]
+
+
+def test_read_otlp_from_files(spark, tmp_path):
+    recs = [{"timeUnixNano": NS, "body": sv("user_prompt"), "attributes": attrs(prompt__length=sv("12.7"))}]
+    (tmp_path / "a.json").write_text(payload(recs) + "\n" + payload(recs) + "\n")
+    df = otlp.read_otlp(spark, str(tmp_path), AS_OF)
+    t = otlp.route(df)
+    rows = t["user_prompts"].collect()
+    assert [r["prompt_length"] for r in rows] == [12, 12]
+    assert len({r["id"] for r in rows}) == 2
