@@ -177,8 +177,9 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
 
 def flatten_records(parsed: DataFrame) -> DataFrame:
     """B2: resourceLogs -> scopeLogs -> logRecords (empty levels give no
-    rows); positions are kept for the stable record id."""
-    rl = parsed.filter(~F.col("bad_json")).select(
+    rows, and so does text that is not JSON); positions are kept for the
+    stable record id."""
+    rl = parsed.select(
         "file", F.posexplode(F.coalesce("p.resourceLogs", "p.resource_logs")).alias("rl_pos", "rl"))
     sl = rl.select("file", "rl_pos", F.col("rl.resource.attributes").alias("res_attrs"),
                    F.posexplode(F.coalesce("rl.scopeLogs", "rl.scope_logs")).alias("sl_pos", "sl"))

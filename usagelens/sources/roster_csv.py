@@ -31,18 +31,24 @@ def read_roster_lines(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_
     return checked.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
+def _js_trim(c):
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _cells(c):
+    """``line.split(",").map(c => c.trim())`` without a lambda."""
+    return F.split(_js_trim(c), r"\s*,\s*")
+
+
 def parse_roster_lines(lines: DataFrame) -> DataFrame:
     """Lines (file, line, value) -> rows (file, line, email, name, role,
     status, seat_tier, billing_model_raw); ``line`` keeps file order."""
-    nonblank = lines.filter(F.trim("value") != "")
+    nonblank = lines.filter(_js_trim(F.col("value")) != "")
     headers = nonblank.groupBy("file").agg(F.min_by("value", "line").alias("_h"), F.min("line").alias("_hline"))
-    headers = headers.select(
-        F.col("file").alias("_hfile"), "_hline",
-        F.transform(F.split("_h", ","), lambda c: F.lower(F.trim(c))).alias("_cols"))
+    headers = headers.select(F.col("file").alias("_hfile"), "_hline", _cells(F.lower("_h")).alias("_cols"))
     j = nonblank.join(checked_broadcast(headers), F.col("file") == F.col("_hfile"))
     pos = {k: F.array_position("_cols", k) for k in HEADERS}
-    body = j.filter(F.col("line") > F.col("_hline")).withColumn(
-        "_cells", F.transform(F.split("value", ","), lambda c: F.trim(c)))
+    body = j.filter(F.col("line") > F.col("_hline")).withColumn("_cells", _cells(F.col("value")))
 
     def cell(k):
         return F.when(pos[k] > 0, F.try_element_at("_cells", pos[k].cast("int")))
