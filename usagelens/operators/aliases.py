@@ -87,3 +87,9 @@ def mask(
         if c in df.columns:
             j = j.withColumn(c, alias if strict else F.coalesce(alias, F.col(c)))
     return j.drop("_m_email", "_m_alias")
+
+
+def alias_lookup(df: DataFrame, aliases: DataFrame, key: str = "user_email") -> DataFrame:
+    """Each row with the alias of its ``key`` column (NULL if none)."""
+    a = checked_broadcast(aliases.select(F.col("email").alias("_l_email"), F.col("alias")))
+    return df.join(a, F.col(key) == F.col("_l_email"), "left").drop("_l_email")

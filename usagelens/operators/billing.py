@@ -198,3 +198,17 @@ def seat_costs(plan: PlanConfig) -> dict:
         "standard_overage_pct": plan.standard_seat_overage_pct or 0,
         "premium_overage_pct": plan.premium_seat_overage_pct or 0,
     }
+
+
+def billing_summary(spark: SparkSession, t: Tables, plan: PlanConfig, as_of: dt.datetime,
+                    masked: bool = False, tz: str = "UTC") -> dict:
+    """The billing view as one bundle: period (one-row DataFrame), seat
+    costs, commitment pacing (or None), totals and per-user rows."""
+    by_user = billing_by_user(spark, t, plan, as_of, masked=masked, tz=tz)
+    return {
+        "billing_period": billing_period_df(spark, billing_period(as_of, plan.billing_cycle_day, tz)),
+        "seat_costs": seat_costs(plan),
+        "commitment": commitment_status(t, plan, as_of, tz),
+        "totals": billing_totals(by_user),
+        "by_user": by_user,
+    }

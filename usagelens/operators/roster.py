@@ -113,3 +113,9 @@ def roster_with_telemetry(requests: DataFrame, members: DataFrame, aliases: Data
     if masked:
         out = mask(out, aliases, cols=("email", "name"), key="email")
     return out.orderBy(F.coalesce("name", "email"), "email")
+
+
+def roster_listing(members: DataFrame) -> DataFrame:
+    """H8: the roster as listed after an import, by name (NULLs first)."""
+    return members.select("email", "name", "seat_tier", "billing_model", "status", "imported_at") \
+        .orderBy(F.asc_nulls_first("name"), "email")

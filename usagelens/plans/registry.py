@@ -586,3 +586,48 @@ def q_stream_inv(spark, sf_dir):
     from usagelens.plans import streams
 
     return stable(streams.stream_invocations(spark, sf_dir), digits=8)
+
+
+# ── filtered / masked variants of the main analytics ────────────────────────
+MASKED = Filters(masked=True)
+
+
+@register("cost_over_time_filtered")
+def q_cot_f(spark, sf_dir):
+    return stable(usage.cost_over_time(spark, _t(spark, sf_dir), MIXED))
+
+
+@register("hourly_activity_filtered")
+def q_hourly_f(spark, sf_dir):
+    return stable(usage.hourly_activity(spark, _t(spark, sf_dir), MIXED))
+
+
+@register("by_user_filtered")
+def q_by_user_f(spark, sf_dir):
+    return stable(usage.by_user(spark, _t(spark, sf_dir), MIXED, nested=False))
+
+
+@register("user_model_breakdown_filtered")
+def q_umb_f(spark, sf_dir):
+    return stable(usage.user_model_breakdown(spark, _t(spark, sf_dir), MIXED))
+
+
+@register("sessions_masked")
+def q_sessions_m(spark, sf_dir):
+    return stable(sessions.sessions(spark, _t(spark, sf_dir), MASKED))
+
+
+@register("recent_events_masked")
+def q_recent_m(spark, sf_dir):
+    return stable(feed.recent_events(spark, _t(spark, sf_dir), MASKED, limit="120"))
+
+
+@register("weekly_windows_masked")
+def q_weekly_m(spark, sf_dir):
+    return stable(windows.weekly_windows(spark, _t(spark, sf_dir), MASKED))
+
+
+@register("session_timeline_one_session")
+def q_timeline_one(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return stable(sessions.session_timeline(t, "s_1_2024-01-05", nested=False))

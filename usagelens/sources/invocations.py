@@ -66,6 +66,12 @@ def keep_invocations(events: DataFrame) -> DataFrame:
         & F.col("log.requestId").isNotNull() & (F.col("log.requestId") != ""))
 
 
+def new_ids_only(new: DataFrame, stored_ids: DataFrame, key: str = "aws_request_id") -> DataFrame:
+    """Rows whose request id is not stored yet (anti join)."""
+    s = stored_ids.select(F.col(key).alias("_rid")).filter(F.col("_rid").isNotNull())
+    return new.join(s, new[key] == F.col("_rid"), "left_anti")
+
+
 def dedup_by_request_id(new: DataFrame, stored_ids: DataFrame | None) -> DataFrame:
     """First event per request id (event time, file, position), and
     only ids not stored already (an anti join; exact, no state expiry)."""

@@ -157,6 +157,29 @@ def nanos_to_ts(nanos: Column, as_of: dt.datetime | Column | None) -> Column:
     return F.coalesce(F.timestamp_millis(ms), fallback)
 
 
+def otlp_schema() -> T.StructType:
+    """B1: the payload schema (camelCase and snake_case at every level)."""
+    return PAYLOAD
+
+
+def event_name(body: Column, record_attrs: Column) -> Column:
+    """Non-empty body.stringValue, else body.string_value, else the
+    record's own ``event.name`` attribute (not the resource's), else ''."""
+    return F.coalesce(_first_nonempty(body["stringValue"], body["string_value"]),
+                      truthy(record_attrs, ["event.name"]), F.lit(""))
+
+
+def identity_cols(attrs: Column) -> list[Column]:
+    """Session, prompt, user and organisation columns (empty -> NULL)."""
+    return [
+        truthy(attrs, ["session.id"]).alias("session_id"),
+        truthy(attrs, ["prompt.id"]).alias("prompt_id"),
+        truthy(attrs, ["user.email"]).alias("user_email"),
+        truthy(attrs, ["user.id", "user.account_uuid"]).alias("user_id"),
+        truthy(attrs, ["organization.id"]).alias("org_id"),
+    ]
+
+
 def canonical_event(name: Column) -> Column:
     """Drop the leading product prefix of the event name."""
     return F.regexp_replace(name, "^" + EVENT_PREFIX.replace(".", r"\."), "")
@@ -194,9 +217,7 @@ def normalize_records(records: DataFrame, as_of: dt.datetime) -> DataFrame:
     rec_map = attr_map(F.col("rec.attributes"))
     attrs = merge_attrs(attr_map(F.col("res_attrs")), rec_map)
     no_value = malformed_attrs(F.col("rec.attributes")) | malformed_attrs(F.col("res_attrs"))
-    name = F.coalesce(
-        _first_nonempty(F.col("rec.body.stringValue"), F.col("rec.body.string_value")),
-        truthy(rec_map, ["event.name"]), F.lit(""))
+    name = event_name(F.col("rec.body"), rec_map)
     nanos = _first_nonempty(F.col("rec.timeUnixNano"), F.col("rec.time_unix_nano"),
                             F.col("rec.observedTimeUnixNano"), F.col("rec.observed_time_unix_nano"))
     out = records.select(
@@ -208,16 +229,8 @@ def normalize_records(records: DataFrame, as_of: dt.datetime) -> DataFrame:
         no_value.alias("quarantined"),
     )
     a = F.col("attrs")
-    return out.select(
-        "*",
-        canonical_event(F.col("event_name")).alias("event"),
-        source_of(a).alias("source"),
-        truthy(a, ["session.id"]).alias("session_id"),
-        truthy(a, ["prompt.id"]).alias("prompt_id"),
-        truthy(a, ["user.email"]).alias("user_email"),
-        truthy(a, ["user.id", "user.account_uuid"]).alias("user_id"),
-        truthy(a, ["organization.id"]).alias("org_id"),
-    )
+    return out.select("*", canonical_event(F.col("event_name")).alias("event"), source_of(a).alias("source"),
+                      *identity_cols(a))
 
 
 def flatten_otlp(payloads: DataFrame, as_of: dt.datetime) -> DataFrame:
