@@ -280,9 +280,9 @@ def usage_pages(t) -> DataFrame:
 ROSTER_HEADER = "EMAIL,Billing Model,Name ,role,Status,seat TIER"
 
 
-def roster_lines(t) -> DataFrame:
+def roster_lines(t, ids: DataFrame | None = None) -> DataFrame:
     """(file, line, value) CSV lines derived from the telemetry users."""
-    ids = identities(t)
+    ids = identities(t) if ids is None else ids
     u, e = F.col("uid"), F.col("email")
     tier = F.when(u % 3 == 0, "Premium").when(u % 3 == 1, "Standard").otherwise("")
     model = F.when(u % 4 == 0, "Enterprise").when(u % 4 == 1, "").when(u % 4 == 2, "other").otherwise("seat")
@@ -302,10 +302,10 @@ def roster_lines(t) -> DataFrame:
         F.lit("roster.csv").alias("file"), "line", "value")
 
 
-def roster_patches(t) -> DataFrame:
+def roster_patches(t, ids: DataFrame | None = None) -> DataFrame:
     """(seq, email, billing_model, seat_tier) patches from the telemetry
     users; some use the user's alias, some are invalid or empty."""
-    ids = identities(t)
+    ids = identities(t) if ids is None else ids
     a = t.user_aliases.select(F.col("email").alias("_ae"), "alias")
     j = ids.join(a, ids["email"] == a["_ae"], "left")
     u = F.col("uid")
@@ -320,9 +320,9 @@ def roster_patches(t) -> DataFrame:
     return first.unionByName(empty)
 
 
-def team_changes(t) -> DataFrame:
+def team_changes(t, ids: DataFrame | None = None) -> DataFrame:
     """(seq, team_id, user_email, op) changes from the telemetry users."""
-    ids = identities(t)
+    ids = identities(t) if ids is None else ids
     u, e = F.col("uid"), F.col("email")
     add = ids.select((u * 2).alias("seq"), (u % 4 + 1).alias("team_id"), F.concat(F.lit(" "), e).alias("user_email"),
                      F.lit("add").alias("op"))

@@ -258,11 +258,15 @@ def _otlp_records(spark, sf_dir):
     from usagelens.plans import derived
     from usagelens.sources import otlp
 
+    from usagelens.plans import landed
+
     key = (fixtures.session_key(spark), sf_dir)
     if key not in _OTLP:
-        t = _t(spark, sf_dir)
-        payloads = derived.otlp_payloads(t)
-        records = otlp.flatten_otlp(payloads, fixtures.AS_OF)
+        path = landed.otlp_payload_dir(spark, sf_dir)
+        payloads = spark.read.text(path).select(
+            F.concat_ws("#", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")).alias("file"),
+            "value")
+        records = otlp.read_otlp(spark, path, fixtures.AS_OF)
         _OTLP[key] = (payloads, records, otlp.route(records))
     return _OTLP[key][1]
 
@@ -403,8 +407,10 @@ def q_roster_merge(spark, sf_dir):
     from usagelens.plans import derived
     from usagelens.sources import roster_csv
 
+    from usagelens.plans import landed
+
     t = _t(spark, sf_dir)
-    rows = roster_csv.parse_roster_lines(derived.roster_lines(t))
+    rows = roster_csv.parse_roster_lines(derived.roster_lines(t, landed.identities(spark, sf_dir)))
     return stable(roster.merge_roster(t.org_members, rows, fixtures.AS_OF))
 
 
@@ -413,7 +419,9 @@ def q_roster_rows(spark, sf_dir):
     from usagelens.plans import derived
     from usagelens.sources import roster_csv
 
-    rows = roster_csv.parse_roster_lines(derived.roster_lines(_t(spark, sf_dir)))
+    from usagelens.plans import landed
+
+    rows = roster_csv.parse_roster_lines(derived.roster_lines(_t(spark, sf_dir), landed.identities(spark, sf_dir)))
     return rows.drop("file")
 
 
@@ -422,8 +430,11 @@ def q_patch(spark, sf_dir):
     from usagelens.operators import roster
     from usagelens.plans import derived
 
+    from usagelens.plans import landed
+
     t = _t(spark, sf_dir)
-    return stable(roster.patch_roster(t.org_members, derived.roster_patches(t), fixtures.AS_OF, t.user_aliases))
+    patches = derived.roster_patches(t, landed.identities(spark, sf_dir))
+    return stable(roster.patch_roster(t.org_members, patches, fixtures.AS_OF, t.user_aliases))
 
 
 @register("patch_roster_rejects")
@@ -431,7 +442,9 @@ def q_patch_rejects(spark, sf_dir):
     from usagelens.operators import roster
     from usagelens.plans import derived
 
-    _, bad = roster.validate_patches(derived.roster_patches(_t(spark, sf_dir)))
+    from usagelens.plans import landed
+
+    _, bad = roster.validate_patches(derived.roster_patches(_t(spark, sf_dir), landed.identities(spark, sf_dir)))
     return bad.select("seq", "email", "reason")
 
 
@@ -440,8 +453,11 @@ def q_team_changes(spark, sf_dir):
     from usagelens.operators import teams
     from usagelens.plans import derived
 
+    from usagelens.plans import landed
+
     t = _t(spark, sf_dir)
-    _, members = teams.apply_team_changes(t.teams, t.team_members, derived.team_changes(t), t.user_aliases)
+    changes = derived.team_changes(t, landed.identities(spark, sf_dir))
+    _, members = teams.apply_team_changes(t.teams, t.team_members, changes, t.user_aliases)
     return members
 
 
@@ -450,8 +466,11 @@ def q_team_changes_teams(spark, sf_dir):
     from usagelens.operators import teams
     from usagelens.plans import derived
 
+    from usagelens.plans import landed
+
     t = _t(spark, sf_dir)
-    tm, _ = teams.apply_team_changes(t.teams, t.team_members, derived.team_changes(t), t.user_aliases)
+    changes = derived.team_changes(t, landed.identities(spark, sf_dir))
+    tm, _ = teams.apply_team_changes(t.teams, t.team_members, changes, t.user_aliases)
     return tm.select("id", "name")
 
 
@@ -504,7 +523,10 @@ def q_reported(spark, sf_dir):
     from usagelens.plans import derived
     from usagelens.sources import usage_report
 
-    recs = usage_report.parse_usage_pages(derived.usage_pages(_t(spark, sf_dir)), REPORT_FROM, REPORT_TO)
+    from usagelens.plans import landed
+
+    recs = usage_report.read_usage_report(spark, landed.usage_report_dir(spark, sf_dir), REPORT_FROM, REPORT_TO,
+                                          one_page_per_file=False)
     return stable(report.reported_cost_by_user(recs))
 
 
@@ -513,8 +535,10 @@ def _inv(spark, sf_dir):
     from usagelens.plans import derived
     from usagelens.sources import invocations
 
+    from usagelens.plans import landed
+
     t = _t(spark, sf_dir)
-    ev = invocations.parse_invocation_events(derived.invocation_events(t))
+    ev = invocations.read_invocation_logs(spark, landed.invocation_log_dir(spark, sf_dir))
     return t, ev, derived.stored_request_ids(t)
 
 

@@ -9,40 +9,24 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.plans import derived
+from usagelens.plans import derived, landed
 from usagelens.session import scratch_path
 from usagelens.sources import facts, fixtures
 from usagelens.streaming import ingest, live
 
 SENTINEL_TS = dt.datetime(2100, 1, 1)
-SENTINEL_USER = "__sentinel__"
-FILES = 6
+SENTINEL_USER = landed.SENTINEL_USER
 # Files of a landed folder are not streamed in time order, so the test runs
 # use a watermark wider than the data's span: nothing is late, and the
 # sentinel still moves the watermark past every real window.
 TEST_WATERMARK = "365 days"
 
 
-def _land_requests(spark: SparkSession, t, root: str) -> str:
-    """api_requests + one far-future sentinel row (it advances the
-    watermark so every real window is emitted), as parquet files."""
-    cols = ["id", "timestamp", "user_email", "cost_usd", "input_tokens", "output_tokens"]
-    req = t.api_requests.select(*cols)
-    sentinel = spark.createDataFrame(
-        [(-1, SENTINEL_TS, SENTINEL_USER, 0.0, 0, 0)],
-        "id bigint, timestamp timestamp, user_email string, cost_usd double, input_tokens bigint, output_tokens bigint")
-    path = f"{root}/requests"
-    req.repartitionByRange(FILES, "timestamp").write.parquet(path)
-    sentinel.write.mode("append").parquet(path)
-    return path
-
-
 def _run_live(spark: SparkSession, sf_dir: str, build, name: str) -> DataFrame:
-    t = fixtures.load_tables(spark, sf_dir)
+    src = landed.requests_with_sentinel(spark, sf_dir)
     root = scratch_path(spark, name)
-    src = _land_requests(spark, t, root)
     schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(src)
     q = (build(stream).writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", f"{root}/_checkpoint").option("path", f"{root}/out")
          .trigger(availableNow=True).start())
@@ -61,13 +45,11 @@ def stream_daily_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _otlp_ingested(spark: SparkSession, sf_dir: str, with_aliases: bool = False) -> tuple[str, str | None]:
-    t = fixtures.load_tables(spark, sf_dir)
+    src = landed.otlp_payload_dir(spark, sf_dir)
     root = scratch_path(spark, "o1")
-    payloads = derived.otlp_payloads(t)
-    payloads.select("value").repartition(FILES).write.text(f"{root}/in")
     alias_path = f"{root}/aliases" if with_aliases else None
-    q = ingest.stream_ingest_otlp(spark, f"{root}/in", f"{root}/facts", f"{root}/_checkpoint",
-                                  as_of=fixtures.AS_OF, alias_path=alias_path, max_files_per_trigger=2)
+    q = ingest.stream_ingest_otlp(spark, src, f"{root}/facts", f"{root}/_checkpoint",
+                                  as_of=fixtures.AS_OF, alias_path=alias_path, max_files_per_trigger=3)
     q.awaitTermination()
     return f"{root}/facts", alias_path
 
@@ -88,17 +70,15 @@ def stream_alias_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fixtures.load_tables(spark, sf_dir)
+    src = landed.invocation_log_dir(spark, sf_dir)
     root = scratch_path(spark, "o2")
-    ev = derived.invocation_events(t)
-    ev.select("timestamp", "message", F.to_date(F.timestamp_millis("timestamp")).alias("day")) \
-        .repartition("day").write.partitionBy("day").json(f"{root}/in")
     sink = f"{root}/requests"
     # Ids stored before the stream started.
     derived.stored_request_ids(t).withColumn("batch_id", F.lit(-1).cast("bigint")) \
         .write.partitionBy("batch_id").parquet(sink)
     q = ingest.stream_ingest_invocations(
-        spark, f"{root}/in", sink, f"{root}/_checkpoint",
-        last_sync=dt.datetime.fromisoformat(derived.SYNC_FROM), as_of=fixtures.AS_OF, max_files_per_trigger=3)
+        spark, src, sink, f"{root}/_checkpoint",
+        last_sync=dt.datetime.fromisoformat(derived.SYNC_FROM), as_of=fixtures.AS_OF, max_files_per_trigger=12)
     q.awaitTermination()
     out = spark.read.option("mergeSchema", "true").parquet(sink).filter(F.col("batch_id") >= 0)
     return out.select("timestamp", "user_email", "model", "cost_usd", "input_tokens", "output_tokens", "source",

@@ -56,9 +56,11 @@ def parse_usage_pages(pages: DataFrame, start: dt.date | None = None, end: dt.da
     )
 
 
-def read_usage_report(spark: SparkSession, root: str, start: dt.date, end: dt.date) -> DataFrame:
+def read_usage_report(spark: SparkSession, root: str, start: dt.date, end: dt.date,
+                      one_page_per_file: bool = True) -> DataFrame:
     """Pages under ``root`` for days in [start, end); the date predicate
-    prunes the date= partitions."""
-    pages = spark.read.option("wholetext", True).text(root)
-    pages = pages.withColumn("date", F.col("date").cast("date"))
+    prunes the date= partitions. Pages are whole files (as fetched) or, with
+    ``one_page_per_file=False``, one JSON page per line."""
+    reader = spark.read.option("wholetext", True) if one_page_per_file else spark.read
+    pages = reader.text(root).withColumn("date", F.col("date").cast("date"))
     return parse_usage_pages(pages, start, end)
