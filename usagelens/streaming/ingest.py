@@ -66,7 +66,8 @@ def otlp_batch_writer(sink_root: str, as_of: dt.datetime | None = None, alias_pa
         try:
             facts.write_facts(otlp.route(records), sink_root, batch_id=batch_id)
             bad = records.filter("quarantined").select("id", "ingest_pos", "event_name", "timestamp")
-            bad.write.mode("overwrite").parquet(f"{sink_root.rstrip('/')}/_quarantine/batch_id={batch_id}")
+            if not bad.isEmpty():  # a cheap probe of the persisted batch
+                bad.write.mode("overwrite").parquet(f"{sink_root.rstrip('/')}/_quarantine/batch_id={batch_id}")
             if alias_path:
                 # One writer assigns aliases to first-seen emails.
                 current = _read_aliases(spark, alias_path)
