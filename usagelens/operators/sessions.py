@@ -84,8 +84,10 @@ def session_timeline(t: Tables, session_ids=None, nested: bool = True) -> DataFr
     k = F.col("kind")
     order = F.struct("timestamp", "id")
     aggs = [
-        F.count_if(k == 0).alias("_np"),
-        F.count_if(k == 1).alias("_nr"),
+        # The kinds present (at most 3 values). Being a typed aggregate it
+        # also lets Spark run the whole aggregation hash-based (struct-valued
+        # max_by alone would force a sort-based aggregate).
+        F.collect_set("kind").alias("_kinds"),
         F.max_by(F.struct("timestamp", "prompt_content", "prompt_length"), F.when(k == 0, order)).alias("_p"),
         F.max_by(F.struct("response_content", "model"), F.when(k == 1, order)).alias("_r"),
         F.min(F.when(k == 1, F.col("timestamp"))).alias("_first_req"),
@@ -99,8 +101,9 @@ def session_timeline(t: Tables, session_ids=None, nested: bool = True) -> DataFr
     if nested:
         aggs.append(F.array_sort(F.collect_list(F.when(k == 2, F.struct(
             "timestamp", "id", "tool_name", "success", "duration_ms", "error")))).alias("_tools"))
-    g = u.groupBy("session_id", "prompt_id").agg(*aggs).filter((F.col("_np") + F.col("_nr")) > 0)
-    has_prompt = F.col("_np") > 0
+    g = u.groupBy("session_id", "prompt_id").agg(*aggs).filter(
+        F.array_contains("_kinds", 0) | F.array_contains("_kinds", 1))
+    has_prompt = F.array_contains("_kinds", 0)
     cols = [
         "session_id", "prompt_id",
         F.when(has_prompt, F.col("_p.timestamp")).otherwise(F.col("_first_req")).alias("timestamp"),
