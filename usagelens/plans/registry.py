@@ -25,6 +25,8 @@ SOURCE_BEDROCK = Filters(source="bedrock")
 MIXED = Filters(from_="2024-01-03", to="2024-01-28T12:00:00", teams=(1, 2), source="opencode")
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# Stored (not computed) doubles: passed through unrounded, as the oracle does.
+RAW = ("cost_usd",)
 
 
 def register(name: str):
@@ -121,12 +123,12 @@ def q_known_users_masked(spark, sf_dir):
 
 @register("sample_rows")
 def q_sample_rows(spark, sf_dir):
-    return stable(usage.sample_rows(spark, _t(spark, sf_dir)))
+    return stable(usage.sample_rows(spark, _t(spark, sf_dir)), keep=RAW)
 
 
 # ── filters (the filtered rows themselves) ──────────────────────────────────
 def _rows(df):
-    return stable(df.select("id", "timestamp", "user_email", "source", "cost_usd"))
+    return stable(df.select("id", "timestamp", "user_email", "source", "cost_usd"), keep=RAW)
 
 
 @register("filter_time_range")
@@ -226,17 +228,17 @@ def q_sessions(spark, sf_dir):
 
 @register("recent_events")
 def q_recent(spark, sf_dir):
-    return stable(feed.recent_events(spark, _t(spark, sf_dir), ALL))
+    return stable(feed.recent_events(spark, _t(spark, sf_dir), ALL), keep=RAW)
 
 
 @register("recent_events_audience")
 def q_recent_aud(spark, sf_dir):
-    return stable(feed.recent_events(spark, _t(spark, sf_dir), AUDIENCE_CLEAR, limit=200))
+    return stable(feed.recent_events(spark, _t(spark, sf_dir), AUDIENCE_CLEAR, limit=200), keep=RAW)
 
 
 @register("events_union")
 def q_events_union(spark, sf_dir):
-    return stable(feed.events_union(spark, _t(spark, sf_dir), ALL))
+    return stable(feed.events_union(spark, _t(spark, sf_dir), ALL), keep=RAW)
 
 
 @register("session_timeline")
@@ -278,7 +280,7 @@ def _otlp_routed(spark, sf_dir):
 
 def _otlp_table(name):
     def q(spark, sf_dir):
-        return stable(_otlp_routed(spark, sf_dir)[name].drop("id"))
+        return stable(_otlp_routed(spark, sf_dir)[name].drop("id"), keep=RAW)
     q.__name__ = f"q_otlp_{name}"
     return q
 
@@ -373,7 +375,7 @@ def q_enterprise_spend(spark, sf_dir):
 
     t = _t(spark, sf_dir)
     return stable(billing.enterprise_spend(t.api_requests, t.org_members, dt.datetime(2024, 1, 1),
-                                           dt.datetime(2024, 1, 15)).select("id", "user_email", "cost_usd"))
+                                           dt.datetime(2024, 1, 15)).select("id", "user_email", "cost_usd"), keep=RAW)
 
 
 @register("not_in_roster")
@@ -588,7 +590,7 @@ def q_stream_daily(spark, sf_dir):
 def q_stream_otlp(spark, sf_dir):
     from usagelens.plans import streams
 
-    return stable(streams.stream_otlp_table(spark, sf_dir, "api_requests"))
+    return stable(streams.stream_otlp_table(spark, sf_dir, "api_requests"), keep=RAW)
 
 
 @register("stream_otlp_tool_decisions")
@@ -643,7 +645,7 @@ def q_sessions_m(spark, sf_dir):
 
 @register("recent_events_masked")
 def q_recent_m(spark, sf_dir):
-    return stable(feed.recent_events(spark, _t(spark, sf_dir), MASKED, limit="120"))
+    return stable(feed.recent_events(spark, _t(spark, sf_dir), MASKED, limit="120"), keep=RAW)
 
 
 @register("weekly_windows_masked")
