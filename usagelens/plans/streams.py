@@ -63,7 +63,7 @@ def stream_alias_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     _, alias_path = _otlp_ingested(spark, sf_dir, with_aliases=True)
-    a = spark.read.parquet(alias_path)
+    a = ingest.read_aliases(spark, alias_path)
     unique = F.count(F.lit(1)).over(Window.partitionBy("alias")) == 1
     return a.select("email", (F.col("alias").rlike(r"^USER-[1-9][0-9]*$") & unique).alias("valid"))
 

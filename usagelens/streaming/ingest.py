@@ -48,13 +48,26 @@ def _with_record_key(batch: DataFrame) -> DataFrame:
                         "value")
 
 
-def _read_aliases(spark: SparkSession, path: str | None) -> DataFrame | None:
+def read_aliases(spark: SparkSession, path: str | None, before: int | None = None) -> DataFrame | None:
+    """The latest committed version of a versioned alias table
+    (``path/version=N``, each a complete table with a _SUCCESS marker)."""
     if not path:
         return None
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no alias table yet
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
         return None
+    versions = []
+    for st in fs.listStatus(hpath):
+        name = st.getPath().getName()
+        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            v = int(name.split("=", 1)[1])
+            if before is None or v < before:
+                versions.append(v)
+    if not versions:
+        return None
+    return spark.read.parquet(f"{path.rstrip('/')}/version={max(versions)}")
 
 
 def otlp_batch_writer(sink_root: str, as_of: dt.datetime | None = None, alias_path: str | None = None):
@@ -69,14 +82,15 @@ def otlp_batch_writer(sink_root: str, as_of: dt.datetime | None = None, alias_pa
             if not bad.isEmpty():  # a cheap probe of the persisted batch
                 bad.write.mode("overwrite").parquet(f"{sink_root.rstrip('/')}/_quarantine/batch_id={batch_id}")
             if alias_path:
-                # One writer assigns aliases to first-seen emails.
-                current = _read_aliases(spark, alias_path)
+                # One writer assigns aliases to first-seen emails. Each
+                # batch writes a complete new version into its own folder, so
+                # a failed or replayed batch never damages the previous one.
+                current = read_aliases(spark, alias_path, before=batch_id)
                 seen = records.filter(~F.col("quarantined") & F.col("user_email").isNotNull()) \
                     .select(F.col("user_email").alias("email")).distinct()
-                new_table = assign_aliases(seen, current, as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
-                staged = f"{alias_path.rstrip('/')}_staging/batch_id={batch_id}"
-                new_table.write.mode("overwrite").parquet(staged)
-                spark.read.parquet(staged).write.mode("overwrite").parquet(alias_path)
+                now = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+                assign_aliases(seen, current, now).write.mode("overwrite") \
+                    .parquet(f"{alias_path.rstrip('/')}/version={batch_id}")
         finally:
             records.unpersist()
     return run
