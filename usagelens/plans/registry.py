@@ -656,4 +656,19 @@ def q_weekly_m(spark, sf_dir):
 @register("session_timeline_one_session")
 def q_timeline_one(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return stable(sessions.session_timeline(t, "s_1_2024-01-05", nested=False))
+    return stable(sessions.session_timeline(t, "s_12_2024-01-30", nested=False))
+
+
+@register("session_conversation")
+def q_conversation(spark, sf_dir):
+    """J1 as the reference serves it: one session's ordered conversation
+    (nested), flattened to one row per entry with its position; the tool
+    list becomes an ordered name list."""
+    t = _t(spark, sf_dir)
+    c = sessions.session_conversation(t, "s_12_2024-01-30")
+    e = c.select("session_id", F.posexplode("conversation").alias("pos", "e"))
+    return stable(e.select(
+        "session_id", "pos", F.col("e.prompt_id").alias("prompt_id"), F.col("e.timestamp").alias("timestamp"),
+        F.col("e.prompt").alias("prompt"), F.col("e.response").alias("response"), F.col("e.model").alias("model"),
+        F.col("e.cost_usd").alias("cost_usd"), F.size("e.tools").alias("tool_count"),
+        F.concat_ws(",", F.col("e.tools.tool_name")).alias("tool_names")))
