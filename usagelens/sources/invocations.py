@@ -116,19 +116,20 @@ def sync_invocations(events: DataFrame, stored_ids: DataFrame | None, last_sync:
 
 def sync_stats(events: DataFrame, stored_ids: DataFrame | None, last_sync: dt.datetime | None,
                as_of: dt.datetime) -> DataFrame:
-    """Inserted / skipped counts of one sync (skipped = valid records
-    whose id was stored or repeated within the batch). One aggregation."""
-    kept = keep_invocations(invocation_window(events, last_sync, as_of))
-    w = Window.partitionBy(F.col("log.requestId")).orderBy("timestamp", "file", "pos")
-    ranked = kept.withColumn("_rn", F.row_number().over(w))
+    """Inserted / skipped counts of one sync: inserted = distinct ids not
+    stored yet, skipped = the other valid records (stored or repeated). One
+    aggregation; the distinct count is partially aggregated before its
+    shuffle, so a hot id does not concentrate in one task."""
+    kept = keep_invocations(invocation_window(events, last_sync, as_of)).select(F.col("log.requestId").alias("rid"))
     if stored_ids is not None:
         s = checked_broadcast(stored_ids.select(F.col("aws_request_id").alias("_rid"))
                               .filter(F.col("_rid").isNotNull()).distinct())
-        ranked = ranked.join(s, F.col("log.requestId") == F.col("_rid"), "left")
+        kept = kept.join(s, F.col("rid") == F.col("_rid"), "left")
     else:
-        ranked = ranked.withColumn("_rid", F.lit(None).cast("string"))
-    new = (F.col("_rn") == 1) & F.col("_rid").isNull()
-    return ranked.agg(F.count_if(new).alias("inserted"), F.count_if(~new).alias("skipped"))
+        kept = kept.withColumn("_rid", F.lit(None).cast("string"))
+    counts = kept.agg(F.count(F.lit(1)).alias("_valid"),
+                      F.countDistinct(F.when(F.col("_rid").isNull(), F.col("rid"))).alias("inserted"))
+    return counts.select("inserted", (F.col("_valid") - F.col("inserted")).alias("skipped"))
 
 
 def backfill_model_ids(requests: DataFrame) -> DataFrame:
