@@ -43,3 +43,21 @@ def test_restart_and_replay_are_idempotent(spark, tmp_path):
     again = sorted(r["prompt_length"] for r in facts.read_fact(spark, sink, "user_prompts").collect())
     assert again == first
     assert {r["email"]: r["alias"] for r in ingest.read_aliases(spark, al).collect()} == aliases_1
+
+
+def test_stored_tables_prune_partitions(spark, tmp_path):
+    from usagelens.operators import usage
+    from usagelens.params import Filters
+    from usagelens.sources import fixtures
+
+    t = fixtures.load_tables(spark, "/root/testdata/sf0.001")
+    root = str(tmp_path / "facts")
+    facts.write_facts({"api_requests": t.api_requests, "tool_uses": t.tool_uses, "user_prompts": t.user_prompts,
+                       "api_errors": t.api_errors, "tool_decisions": t.tool_decisions}, root)
+    stored = facts.load_stored_tables(spark, root)
+    f = Filters(from_="2024-01-05", to="2024-01-06T12:00:00")
+    got = usage.by_model(spark, stored, f).collect()
+    want = usage.by_model(spark, t, f).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    plan = usage.by_model(spark, stored, f)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan

@@ -22,9 +22,26 @@ def ts_lit(v: dt.datetime | dt.date | str) -> Column:
     return F.lit(v).cast("timestamp")
 
 
+PARTITION_DATE = "event_date"
+
+
+def _prune(df: DataFrame, lo=None, hi=None) -> DataFrame:
+    """Stored fact tables are partitioned by the UTC date of ``timestamp``;
+    a time predicate alone does not prune those folders, so the implied
+    date bounds are added whenever the column is present."""
+    if PARTITION_DATE not in df.columns:
+        return df
+    if lo is not None:
+        df = df.filter(F.col(PARTITION_DATE) >= F.to_date(ts_lit(lo)))
+    if hi is not None:
+        df = df.filter(F.col(PARTITION_DATE) <= F.to_date(ts_lit(hi)))
+    return df
+
+
 def time_range(df: DataFrame, from_=None, to=None, col: str = "timestamp") -> DataFrame:
     """Both ends inclusive, each optional. Timestamps are compared as
     instants, so to='2024-01-31' keeps the row at exactly midnight."""
+    df = _prune(df, from_, to)
     if from_ is not None:
         df = df.filter(F.col(col) >= ts_lit(from_))
     if to is not None:
@@ -34,6 +51,7 @@ def time_range(df: DataFrame, from_=None, to=None, col: str = "timestamp") -> Da
 
 def in_period(df: DataFrame, start, end, col: str = "timestamp") -> DataFrame:
     """Half-open period start <= ts < end."""
+    df = _prune(df, start, end)
     return df.filter((F.col(col) >= ts_lit(start)) & (F.col(col) < ts_lit(end)))
 
 

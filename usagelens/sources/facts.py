@@ -9,14 +9,15 @@ from pyspark.sql import types as T
 from usagelens import schemas
 
 
-def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+def align_schema(df: DataFrame, schema: T.StructType, extra: tuple[str, ...] = ()) -> DataFrame:
     """Add missing columns as NULL and cast to the declared types, in
-    declared order (older files lack later-added columns)."""
+    declared order (older files lack later-added columns); ``extra``
+    columns are kept as they are."""
     cols = []
     for f in schema.fields:
         c = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *[F.col(c) for c in extra if c in df.columns])
 
 
 def write_facts(tables: dict[str, DataFrame], root: str, mode: str = "append",
@@ -34,8 +35,21 @@ def write_facts(tables: dict[str, DataFrame], root: str, mode: str = "append",
             w.mode(mode).parquet(path)
 
 
-def read_fact(spark: SparkSession, root: str, name: str) -> DataFrame:
+def read_fact(spark: SparkSession, root: str, name: str, keep_partition_date: bool = False) -> DataFrame:
     """A stored fact table; ``mergeSchema`` reconciles files written before
-    a column was added."""
+    a column was added. With ``keep_partition_date`` the ``event_date``
+    partition column stays, so time filters prune partitions."""
     df = spark.read.option("mergeSchema", "true").parquet(f"{root.rstrip('/')}/{name}")
-    return align_schema(df, schemas.FACTS[name])
+    return align_schema(df, schemas.FACTS[name], extra=("event_date",) if keep_partition_date else ())
+
+
+def load_stored_tables(spark: SparkSession, facts_root: str, dims: dict | None = None):
+    """Tables over the sink's fact tables (partition pruning enabled) plus
+    optional dimension DataFrames (org_members, user_aliases, teams,
+    team_members)."""
+    from usagelens.params import Tables
+    from usagelens.session import configure
+
+    configure(spark)
+    f = {n: read_fact(spark, facts_root, n, keep_partition_date=True) for n in schemas.FACTS}
+    return Tables(**f, **(dims or {}))
