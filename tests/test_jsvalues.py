@@ -37,3 +37,11 @@ def test_money_sum_is_order_independent(spark):
     a = spark.createDataFrame(vals, "x double").agg(money_sum("x")).first()[0]
     b = spark.createDataFrame(list(reversed(vals)), "x double").repartition(7).agg(money_sum("x")).first()[0]
     assert a == b == 600.0
+
+
+@pytest.mark.parametrize("raw,want", [(None, 50), ("", 50), ("abc", 50), ("0", 50), ("-5", 50), ("12.7", 12),
+                                      (" 7x", 7), (900, 500), ("500", 500), (20, 20)])
+def test_feed_limit(raw, want):
+    from usagelens.operators.feed import feed_limit
+
+    assert feed_limit(raw) == want

@@ -14,11 +14,12 @@ MAX_LIMIT = 500
 
 
 def feed_limit(limit) -> int:
-    """min(parse(limit) or 50, 500); 0, junk and negatives -> 50."""
-    try:
-        n = int(str(limit).strip())
-    except (TypeError, ValueError):
-        n = 0
+    """min(parseInt(limit) or 50, 500): the leading integer ('12.7' -> 12);
+    0 and junk -> 50; negatives -> 50 (the reference would drop the cap)."""
+    import re
+
+    m = re.match(r"\s*([+-]?\d+)", "" if limit is None else str(limit))
+    n = int(m.group(1)) if m else 0
     if n <= 0:
         n = DEFAULT_LIMIT
     return min(n, MAX_LIMIT)
