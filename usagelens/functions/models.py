@@ -36,12 +36,12 @@ def normalize_model(raw: Column) -> Column:
 
 
 def backfill_model_id(model: Column) -> Column:
-    """One-time rewrite of stored ids: each prefix test is a case-insensitive
-    LIKE applied in sequence, so 'US.anthropic.x' loses both prefixes."""
-    out = model
-    for p in REGION_PREFIXES + [VENDOR_PREFIX]:
-        out = F.when(out.ilike(p + ".%"), F.substring(out, len(p) + 2, 1 << 30)).otherwise(out)
-    return out
+    """One-time rewrite of stored ids: each prefix is stripped at most once,
+    case-insensitively, in the fixed order (so 'US.anthropic.x' loses both
+    prefixes, 'eu.us.x' keeps 'us.'). A single anchored pattern with the
+    prefixes as ordered optional groups does exactly that in one pass."""
+    groups = "".join(f"({p}\\.)?" for p in REGION_PREFIXES + [VENDOR_PREFIX])
+    return F.regexp_replace(model, "^(?i)" + groups, "")
 
 
 def list_price(model: Column, tokens_in: Column, tokens_out: Column) -> Column:

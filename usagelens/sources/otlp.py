@@ -266,17 +266,24 @@ def _common() -> list[Column]:
     return [F.col(c) for c in ("id", "timestamp", "session_id", "prompt_id", "user_email", "user_id", "org_id")]
 
 
+def _usage(a: Column) -> list[Column]:
+    """cost, input and output tokens of an api_request (B11 fallbacks)."""
+    return [
+        to_num(present(a, ["cost_usd", "cost", "cost.usd", "claude_code.cost.usage"])).alias("cost_usd"),
+        to_int(present(a, ["gen_ai.usage.input_tokens", "input_tokens", "llm.usage.prompt_tokens",
+                           "gen_ai.usage.prompt_tokens", "tokens.input", "input"])).alias("input_tokens"),
+        to_int(present(a, ["gen_ai.usage.output_tokens", "output_tokens", "llm.usage.completion_tokens",
+                           "gen_ai.usage.completion_tokens", "tokens.output", "output"])).alias("output_tokens"),
+    ]
+
+
 def to_api_requests(df: DataFrame) -> DataFrame:
     """B11."""
     a = F.col("attrs")
     return df.select(
         *_common(),
         truthy(a, ["gen_ai.request.model", "model", "modelID", "model_id"]).alias("model"),
-        to_num(present(a, ["cost_usd", "cost", "cost.usd", "claude_code.cost.usage"])).alias("cost_usd"),
-        to_int(present(a, ["gen_ai.usage.input_tokens", "input_tokens", "llm.usage.prompt_tokens",
-                           "gen_ai.usage.prompt_tokens", "tokens.input", "input"])).alias("input_tokens"),
-        to_int(present(a, ["gen_ai.usage.output_tokens", "output_tokens", "llm.usage.completion_tokens",
-                           "gen_ai.usage.completion_tokens", "tokens.output", "output"])).alias("output_tokens"),
+        *_usage(a),
         to_int(present(a, ["cache_read_input_tokens", "gen_ai.usage.cache_read_input_tokens",
                            "cache_read_tokens", "tokens.cacheRead"])).alias("cache_read_tokens"),
         to_int(present(a, ["cache_creation_input_tokens", "gen_ai.usage.cache_creation_input_tokens",
@@ -361,10 +368,9 @@ def missing_usage_report(records: DataFrame) -> DataFrame:
     """api_request records with no cost, input or output tokens, per
     source and attribute-key set."""
     r = records.filter((F.col("event") == "api_request") & ~F.col("quarantined"))
-    req = to_api_requests(r).select("id", "cost_usd", "input_tokens", "output_tokens")
-    miss = req.filter(F.col("cost_usd").isNull() & F.col("input_tokens").isNull() & F.col("output_tokens").isNull())
-    j = r.join(miss.select("id"), "id", "left_semi")
-    return j.groupBy("source", F.array_join(F.array_sort(F.map_keys("attrs")), ",").alias("attribute_keys")).agg(
+    u = r.select("source", "attrs", *_usage(F.col("attrs")))
+    miss = u.filter(F.col("cost_usd").isNull() & F.col("input_tokens").isNull() & F.col("output_tokens").isNull())
+    return miss.groupBy("source", F.array_join(F.array_sort(F.map_keys("attrs")), ",").alias("attribute_keys")).agg(
         F.count(F.lit(1)).alias("records"))
 
 
