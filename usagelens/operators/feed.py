@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.operators.aliases import mask
-from usagelens.operators.filters import apply_filters
+from usagelens.operators.filters import apply_filters, resolve_audience
 from usagelens.params import Filters, Tables
 
 DEFAULT_LIMIT = 50
@@ -29,9 +29,11 @@ def events_union(spark: SparkSession, t: Tables, f: Filters) -> DataFrame:
     """UNION ALL of requests, tool uses, prompts and errors. Slot
     ``model`` carries model / tool name / NULL / error message, slot
     ``cost_usd`` carries cost / duration / prompt length / status code."""
+    aud = resolve_audience(spark, t, f)
+
     def a(df):
         # Audience only: no time or source filter on the feed.
-        return apply_filters(spark, df, t, f, with_source=False, with_time=False)
+        return apply_filters(spark, df, t, f, with_source=False, with_time=False, aud=aud)
 
     d, s, lg, n = "double", "string", "bigint", lambda tp: F.lit(None).cast(tp)
     req = a(t.api_requests).select(

@@ -90,7 +90,9 @@ def resolve_audience(spark: SparkSession, t: Tables, f: Filters) -> DataFrame |
     parts = []
     users = [u.strip() for u in (f.users or ()) if u and u.strip()]
     if users:
-        parts.append(spark.createDataFrame([(u,) for u in users], "email string"))
+        # A literal list as a plan (not a parallelized Python list), so equal
+        # audiences are recognised and their broadcast is reused.
+        parts.append(spark.range(1).select(F.explode(F.array(*[F.lit(u) for u in users])).alias("email")))
     team_ids = [int(x) for x in (f.teams or ())]
     if team_ids and t.team_members is not None:
         parts.append(

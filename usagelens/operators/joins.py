@@ -11,17 +11,26 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
+_CHECKED: dict = {}
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
 
     The check reads at most ``max_rows + 1`` rows (a LIMIT job), so its cost
-    is bounded by the threshold, not by the table.
+    is bounded by the threshold, not by the table. The answer is remembered
+    per logical plan (semantic hash, confirmed with ``sameSemantics``), so
+    rebuilding the same dimension view does not count it again.
     """
-    small = getattr(df, "_usagelens_small", {}).get(max_rows)
+    key = (df.sparkSession._jsparkSession.hashCode(), df.semanticHash(), max_rows)
+    small = None
+    for other, answer in _CHECKED.get(key, []):
+        if df.sameSemantics(other):
+            small = answer
+            break
     if small is None:
         small = df.limit(max_rows + 1).count() <= max_rows
-        # Remember the answer on this (immutable) DataFrame.
-        df._usagelens_small = {**getattr(df, "_usagelens_small", {}), max_rows: small}
+        _CHECKED.setdefault(key, []).append((df, small))
     return F.broadcast(df) if small else df
 
 

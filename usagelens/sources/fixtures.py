@@ -236,10 +236,25 @@ def _build_tables(spark: SparkSession, sf_dir: str) -> Tables:
         team_members=team_members_from_events(events),
     )
     t.user_aliases = initial_aliases(t)
+    _land_dimensions(spark, t)
     t.extra["sparse_requests"] = sparse_requests(read_table(spark, sf_dir, "orders"))
     t.extra["events"] = events
     t.extra["base"] = b
     return t
 
 
+def _land_dimensions(spark: SparkSession, t: Tables) -> None:
+    """Dimensions are small stored tables in production. Here they are
+    derived from ``events``; write them once per session under the
+    checkpoint folder and read them back, so queries do not re-derive them
+    from full scans."""
+    from usagelens.session import scratch_path
+
+    root = scratch_path(spark, "dims")
+    for name in ("org_members", "team_members", "user_aliases"):
+        path = f"{root}/{name}"
+        getattr(t, name).write.parquet(path)
+        setattr(t, name, spark.read.parquet(path))
+
+
 DEFAULT_FILTERS = Filters()
