@@ -55,7 +55,7 @@ def _otlp_ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         src = landed.otlp_payload_dir(spark, sf_dir)
         root = scratch_path(spark, "o1")
         q = ingest.stream_ingest_otlp(spark, src, f"{root}/facts", f"{root}/_checkpoint", as_of=fixtures.AS_OF,
-                                      alias_path=f"{root}/aliases", max_files_per_trigger=3)
+                                      alias_path=f"{root}/aliases", max_files_per_trigger=4)
         q.awaitTermination()
         _RUNS[key] = (f"{root}/facts", f"{root}/aliases")
     return _RUNS[key]

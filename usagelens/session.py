@@ -54,10 +54,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; create a private one only when
-    none is configured (local tests)."""
+    """Use the session's checkpoint folder (shared storage on a cluster).
+    Only a local-mode session without one gets a private temporary folder;
+    on a cluster a machine-local folder would break retries, so it is an
+    error to leave ``spark.checkpoint.dir`` unset there."""
     d = checkpoint_dir(spark)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         d = tempfile.mkdtemp(prefix="usagelens-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
