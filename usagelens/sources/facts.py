@@ -21,11 +21,14 @@ def align_schema(df: DataFrame, schema: T.StructType, extra: tuple[str, ...] = (
 
 
 def write_facts(tables: dict[str, DataFrame], root: str, mode: str = "append",
-                batch_id: int | None = None) -> None:
+                batch_id: int | None = None, parallel: bool = False) -> None:
     """One parquet table per fact, partitioned by UTC event date. With a
     ``batch_id`` each table is written to ``batch_id=N`` with overwrite, so
-    a replayed micro-batch replaces its own output (idempotent)."""
-    for name, df in tables.items():
+    a replayed micro-batch replaces its own output (idempotent). With
+    ``parallel`` the independent table writes are submitted as concurrent
+    jobs (useful when one batch is too small to fill the cluster)."""
+    def write(item):
+        name, df = item
         out = align_schema(df, schemas.FACTS[name]).withColumn("event_date", F.to_date("timestamp"))
         path = f"{root.rstrip('/')}/{name}"
         w = out.write.partitionBy("event_date")
@@ -34,6 +37,16 @@ def write_facts(tables: dict[str, DataFrame], root: str, mode: str = "append",
         else:
             w.mode(mode).parquet(path)
 
+    if not parallel:
+        for item in tables.items():
+            write(item)
+        return
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        for f in [pool.submit(write, item) for item in tables.items()]:
+            f.result()  # re-raises the first failure; the batch is then replayed
+
 
 def read_fact(spark: SparkSession, root: str, name: str, keep_partition_date: bool = False) -> DataFrame:
     """A stored fact table; ``mergeSchema`` reconciles files written before

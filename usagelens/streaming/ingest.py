@@ -77,7 +77,7 @@ def otlp_batch_writer(sink_root: str, as_of: dt.datetime | None = None, alias_pa
         configure(spark)
         records = otlp.flatten_otlp(_with_record_key(batch), as_of).persist()
         try:
-            facts.write_facts(otlp.route(records), sink_root, batch_id=batch_id)
+            facts.write_facts(otlp.route(records), sink_root, batch_id=batch_id, parallel=True)
             bad = records.filter("quarantined").select("id", "ingest_pos", "event_name", "timestamp")
             if not bad.isEmpty():  # a cheap probe of the persisted batch
                 bad.write.mode("overwrite").parquet(f"{sink_root.rstrip('/')}/_quarantine/batch_id={batch_id}")
