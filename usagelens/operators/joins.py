@@ -32,9 +32,3 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
         small = df.limit(max_rows + 1).count() <= max_rows
         _CHECKED.setdefault(key, []).append((df, small))
     return F.broadcast(df) if small else df
-
-
-def fixed_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose size is fixed by construction (parameters,
-    lookup tables with a constant number of rows)."""
-    return F.broadcast(df)
