@@ -28,7 +28,7 @@ from usagelens.operators.usage import (  # noqa: F401
 from usagelens.operators.windows import (  # noqa: F401
     label_requests, per_user_windows, session_windows, usage_windows, weekly_windows, window_flags, window_summary,
 )
-from usagelens.sources.facts import align_schema, read_fact, write_facts  # noqa: F401
+from usagelens.sources.facts import align_schema, load_stored_tables, read_fact, write_facts  # noqa: F401
 from usagelens.sources.invocations import (  # noqa: F401
     backfill_model_ids, dedup_by_request_id, invocation_window, invocations_to_requests, keep_invocations,
     new_ids_only, read_invocation_logs, sync_invocations, sync_stats,
