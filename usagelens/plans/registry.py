@@ -672,3 +672,18 @@ def q_conversation(spark, sf_dir):
         F.col("e.prompt").alias("prompt"), F.col("e.response").alias("response"), F.col("e.model").alias("model"),
         F.col("e.cost_usd").alias("cost_usd"), F.size("e.tools").alias("tool_count"),
         F.concat_ws(",", F.col("e.tools.tool_name")).alias("tool_names")))
+
+
+# ── skew: one user holds a third of all requests ────────────────────────────
+HOT_USER = "hot@example.com"
+
+
+@register("session_windows_hot_user")
+def q_windows_hot(spark, sf_dir):
+    """Every third request is re-attributed to one user; the bucketed plan
+    pre-aggregates that user's rows before the shuffle and windows over at
+    most (time span / 5 h) bucket rows for it."""
+    t = _t(spark, sf_dir)
+    r = t.api_requests.withColumn(
+        "user_email", F.when(F.col("id") % 3 == 0, F.lit(HOT_USER)).otherwise(F.col("user_email")))
+    return stable(windows.session_windows(spark, t, ALL, requests=r))
