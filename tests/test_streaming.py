@@ -34,6 +34,9 @@ def test_restart_and_replay_are_idempotent(spark, tmp_path):
     assert first == sorted(f * 10 + j for f in range(3) for j in range(4))
     assert sorted(aliases_1.values()) == ["USER-1", "USER-2", "USER-3"]
 
+    counts = spark.read.json(os.path.join(sink, "_ingest_counts")).collect()
+    assert sorted(r["user_prompts"] for r in counts) == [4, 4, 4] and all(r["unknown"] == 0 for r in counts)
+
     run()  # restart: nothing new
     for name in ("2", ".2.crc"):  # as if the driver died before committing batch 2
         path = os.path.join(ck, "commits", name)

@@ -73,11 +73,29 @@ def read_aliases(spark: SparkSession, path: str | None, before: int | None = Non
 def otlp_batch_writer(sink_root: str, as_of: dt.datetime | None = None, alias_path: str | None = None):
     """The foreachBatch body of O1 (+ O5 when ``alias_path`` is given)."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        from pyspark.sql import Observation
+
         spark = batch.sparkSession
         configure(spark)
-        records = otlp.flatten_otlp(_with_record_key(batch), as_of).persist()
+        # B20 per batch: counts gathered while the batch is first computed
+        # (no extra pass), stored as one row next to the facts.
+        obs = Observation(f"ingest_{batch_id}")
+        counts = [F.count_if((F.col("event") == ev) & ~F.col("quarantined")).alias(tb)
+                  for ev, tb in otlp.EVENTS.items()]
+        known = F.col("event").isin(*otlp.EVENTS)
+        records = otlp.flatten_otlp(_with_record_key(batch), as_of).observe(
+            obs, *counts, F.count_if(~known & ~F.col("quarantined")).alias("unknown"),
+            F.count_if("quarantined").alias("quarantined"), F.count(F.lit(1)).alias("records")).persist()
         try:
+            records.count()  # materialise once; the observation fires here
             facts.write_facts(otlp.route(records), sink_root, batch_id=batch_id, parallel=True)
+            m = obs.get
+            spark.createDataFrame([(batch_id, *[int(m[k]) for k in (*otlp.EVENTS.values(), "unknown", "quarantined",
+                                                                     "records")])],
+                                  "batch_id bigint, " + ", ".join(f"{k} bigint" for k in (*otlp.EVENTS.values(),
+                                                                                          "unknown", "quarantined",
+                                                                                          "records"))) \
+                .coalesce(1).write.mode("overwrite").json(f"{sink_root.rstrip('/')}/_ingest_counts/batch_id={batch_id}")
             bad = records.filter("quarantined").select("id", "ingest_pos", "event_name", "timestamp")
             if not bad.isEmpty():  # a cheap probe of the persisted batch
                 bad.write.mode("overwrite").parquet(f"{sink_root.rstrip('/')}/_quarantine/batch_id={batch_id}")
