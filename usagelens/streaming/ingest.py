@@ -140,9 +140,18 @@ def invocation_batch_writer(sink_path: str, last_sync: dt.datetime | None, as_of
             stored = spark.read.parquet(sink_path).filter(F.col("batch_id") != batch_id).select("aws_request_id")
         except Exception:  # noqa: BLE001 - first batch, nothing stored
             stored = None
-        rows = invocations.invocations_to_requests(
-            invocations.dedup_by_request_id(invocations.keep_invocations(ev), stored))
+        from pyspark.sql import Observation
+
+        # C7 per batch: valid and inserted counts observed during the write.
+        valid, inserted = Observation(f"valid_{batch_id}"), Observation(f"inserted_{batch_id}")
+        kept = invocations.keep_invocations(ev).observe(valid, F.count(F.lit(1)).alias("n"))
+        rows = invocations.invocations_to_requests(invocations.dedup_by_request_id(kept, stored)) \
+            .observe(inserted, F.count(F.lit(1)).alias("n"))
         rows.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
+        n_in = int(inserted.get["n"])
+        spark.createDataFrame([(batch_id, n_in, int(valid.get["n"]) - n_in)],
+                              "batch_id bigint, inserted bigint, skipped bigint") \
+            .coalesce(1).write.mode("overwrite").json(f"{sink_path.rstrip('/')}/_sync_stats/batch_id={batch_id}")
     return run
 
 
