@@ -64,3 +64,18 @@ def test_stored_tables_prune_partitions(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want))
     plan = usage.by_model(spark, stored, f)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_invocation_stream_stats_equal_batch(spark):
+    from pyspark.sql import functions as F
+
+    from tests.conftest import SF_SMALL
+    from usagelens.plans import streams
+    from usagelens.plans.registry import REGISTRY
+    from usagelens.sources import fixtures
+
+    streams.stream_invocations(spark, SF_SMALL)
+    sink = streams._RUNS[("o2", fixtures.session_key(spark), SF_SMALL)]
+    s = spark.read.json(f"{sink}/_sync_stats").agg(F.sum("inserted"), F.sum("skipped")).first()
+    b = REGISTRY["invocation_sync_stats"](spark, SF_SMALL).first()
+    assert (s[0], s[1]) == (b["inserted"], b["skipped"])

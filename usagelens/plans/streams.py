@@ -87,6 +87,7 @@ def stream_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, src, sink, f"{root}/_checkpoint",
         last_sync=dt.datetime.fromisoformat(derived.SYNC_FROM), as_of=fixtures.AS_OF, max_files_per_trigger=12)
     q.awaitTermination()
+    _RUNS[("o2", fixtures.session_key(spark), sf_dir)] = sink
     out = spark.read.option("mergeSchema", "true").parquet(sink).filter(F.col("batch_id") >= 0)
     return out.select("timestamp", "user_email", "model", "cost_usd", "input_tokens", "output_tokens", "source",
                       "aws_request_id")
