@@ -43,7 +43,7 @@ def _pick(keys: list[str], sel: Column) -> Column:
     return out
 
 
-def _records(t) -> DataFrame:
+def _records(t) -> list:
     """All fact rows as (id, event, ts, resource attrs, record attrs) in
     one row set, plus an unknown event and a value-less attribute case."""
     b = t.extra["base"]

@@ -167,20 +167,13 @@ def team_members_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def all_identities(t: Tables) -> DataFrame:
-    """Distinct non-null emails over the five fact tables."""
-    facts = [t.api_requests, t.tool_uses, t.user_prompts, t.api_errors, t.tool_decisions]
-    out = None
-    for df in facts:
-        e = df.select(F.col("user_email").alias("email")).filter(F.col("email").isNotNull())
-        out = e if out is None else out.unionByName(e)
-    return out.distinct()
-
-
 def initial_aliases(t: Tables) -> DataFrame:
-    """USER-1..USER-10 for the ten lowest emails (a top-k, so bounded)."""
+    """USER-1..USER-10 for the ten lowest emails (a top-k, so the window
+    below runs over ten rows)."""
     from pyspark.sql import Window
 
+    from usagelens.operators.aliases import all_identities
+
     low = all_identities(t).orderBy("email").limit(INITIAL_ALIASES)
     return low.select(
         "email",
