@@ -39,3 +39,32 @@ def test_filters_reach_the_scan(spark, tables):
     df = usage.by_model(spark, tables, Filters(source="bedrock"))
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(event_type, [purchase,view])" in p or "event_type" in p
+
+
+def test_otlp_ingest_is_narrow(spark):
+    import datetime as dt
+    import json
+
+    from usagelens.sources import otlp
+
+    rec = {"timeUnixNano": "1", "body": {"stringValue": "api_request"},
+           "attributes": [{"key": "model", "value": {"stringValue": "m"}}]}
+    df = spark.createDataFrame([("f", json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [rec]}]}]}))],
+                               "file string, value string")
+    routed = otlp.route(otlp.flatten_otlp(df, dt.datetime(2024, 1, 1)))
+    for out in routed.values():
+        assert "Exchange" not in plan(out)
+
+
+def test_request_dedup_limits_each_id_before_the_shuffle(spark):
+    import json
+
+    from usagelens.sources import invocations
+
+    msg = json.dumps({"schemaType": "ModelInvocationLog", "operation": "InvokeModel", "requestId": "r"})
+    ev = spark.createDataFrame([(1, msg, "f", 0), (2, msg, "f", 1)],
+                               "timestamp bigint, message string, file string, pos bigint")
+    d = invocations.dedup_by_request_id(invocations.keep_invocations(invocations.parse_invocation_events(ev)), None)
+    p = plan(d)
+    assert "WindowGroupLimit" in p and p.rfind("WindowGroupLimit") > p.find("Exchange")
+    assert d.count() == 1
