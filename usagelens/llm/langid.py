@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from usagelens.llm.common import col, fresh, remainder
 
@@ -57,7 +58,7 @@ def presence(text: str) -> np.ndarray:
     return seen
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _presence_bits(texts: pd.Series) -> pd.Series:
     return pd.Series([np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in texts])
 

@@ -43,8 +43,11 @@ def _written(spans):
 @register("op5_pii")
 def op5(spark, sf_dir):
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-              for k, name in enumerate(pii.KINDS)]
+
+    def count(k):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{pii.KINDS[k]}")
+
+    counts = [count(k) for k in range(len(pii.KINDS))]
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         _written(F.col("spans")).alias("spans"))
 
