@@ -158,7 +158,7 @@ def _blocks(queries: DataFrame, df: DataFrame, n_docs: int, mean: float) -> Iter
         vocab = {r["term"]: i for i, r in enumerate(known)}
         n = np.array([r["n"] for r in known], dtype=np.float64)
         idf = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
-        terms = [np.array(sorted(vocab[t] for t in r["terms"]), dtype=np.int64) for r in rows]
+        terms = [np.array(sorted(vocab[t] for t in r["terms"] if t in vocab), dtype=np.int64) for r in rows]
         yield QueryBlock([r["query_id"] for r in rows], terms, vocab, idf, mean)
 
 
