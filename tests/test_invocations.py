@@ -55,6 +55,14 @@ def test_sync(spark):
     assert (st["inserted"], st["skipped"]) == (2, 2)
 
 
+def test_odd_log_times_fall_back(spark):
+    rows = [(MS, msg("a", ts="yesterday")), (MS, msg("b", ts="Mon, 01 Jan 2024 00:00:00 GMT")), (MS, msg("c", ts="2024-01-01T10:00:00+02:00")),
+            (MS, msg("d", ts="99999-99-99"))]
+    out = {r["aws_request_id"]: r["timestamp"] for r in invocations.sync_invocations(events(spark, rows), None, None, AS_OF).collect()}
+    noon = dt.datetime(2024, 1, 1, 12)
+    assert out == {"a": noon, "b": dt.datetime(2024, 1, 1), "c": dt.datetime(2024, 1, 1, 8), "d": noon}
+
+
 def test_lookback_default(spark):
     rows = [(MS, msg("a")), (MS - 2 * 86_400_000, msg("b"))]
     out = invocations.sync_invocations(events(spark, rows), None, None, AS_OF)

@@ -147,4 +147,52 @@ def test_read_otlp_from_files(spark, tmp_path):
     t = otlp.route(df)
     rows = t["user_prompts"].collect()
     assert [r["prompt_length"] for r in rows] == [12, 12]
-    assert len({r["id"] for r in rows}) == 2
+    assert len({r["id"] for r in rows}) == 1  # equal payload lines have equal ids, and both count
+
+
+def test_keys_and_order_do_not_depend_on_the_split(spark, tmp_path):
+    from usagelens.operators import usage
+    from usagelens.plans.registry import usage_tables
+
+    text = [payload([{"timeUnixNano": NS, "body": sv("api_request"), "attributes": attrs(model=sv(f"m{i}"))}]) for i in range(300)]
+    (tmp_path / "a.json").write_text("\n".join(text) + "\n")
+    seen, size = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("4k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            req = otlp.route(otlp.read_otlp(spark, str(tmp_path), AS_OF))["api_requests"]
+            n = req.rdd.getNumPartitions()
+            ids = {r["id"] for r in req.collect()}
+            last = [r["model"] for r in usage.sample_rows(spark, usage_tables(api_requests=req), 5).collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append((n, ids, last))
+    assert seen[0][0] > seen[1][0] and seen[0][1] == seen[1][1] and len(seen[0][1]) == 300
+    assert seen[0][2] == seen[1][2] == ["m299", "m298", "m297", "m296", "m295"]
+
+
+def test_poison_values_do_not_stop_the_batch(spark):
+    recs = [{"timeUnixNano": "9" * 40, "body": sv("api_error"), "attributes": attrs(http__status_code={"intValue": "99999999999"},
+                                                                                retry__count=sv("9" * 30))},
+            {"timeUnixNano": "-1", "body": sv("api_error"), "attributes": attrs(http__status_code=sv("x"))}]
+    _, t = ingest(spark, [payload(recs)])
+    rows = sorted(t["api_errors"].collect(), key=lambda r: str(r["status_code"]))
+    assert (rows[0]["status_code"], rows[0]["retries"], rows[0]["timestamp"]) == (99999999999, None, AS_OF)
+    assert rows[1]["status_code"] is None
+
+
+@pytest.mark.parametrize("value,want", [({"futureValue": {"a": 1}}, '{"futureValue":{"a":1}}'), ("bare", '"bare"'), (12, "12"),
+                                        (True, "true"), ([1, 2], "[1,2]"), ({}, "{}")])
+@pytest.mark.parametrize("snake", [False, True])
+def test_unknown_kinds_and_bare_values_are_kept_as_json(spark, value, want, snake):
+    a = [{"key": "other", "value": sv("x")}, {"key": "prompt", "value": value}]
+    recs, t = ingest(spark, [payload([{"timeUnixNano": NS, "body": sv("user_prompt"), "attributes": a}], snake=snake)])
+    assert recs.filter("quarantined").count() == 0
+    assert t["user_prompts"].first()["prompt_content"] == want
+
+
+def test_a_null_value_is_quarantined_once_with_its_payload(spark):
+    text = payload([{"timeUnixNano": NS, "body": sv("user_prompt"), "attributes": [{"key": "prompt", "value": None}]}])
+    recs, t = ingest(spark, [text])
+    assert t["user_prompts"].count() == 0
+    assert [(r["reason"], r["payload"]) for r in otlp.quarantined(recs).collect()] == [("attribute without value", text)]

@@ -38,7 +38,46 @@ def test_mask_is_broadcast(spark, tables):
 def test_filters_reach_the_scan(spark, tables):
     df = usage.by_model(spark, tables, Filters(source="bedrock"))
     p = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(event_type, [purchase,view])" in p or "event_type" in p
+    assert "PushedFilters: [In(event_type, [purchase,view])" in p
+
+
+def test_by_user_is_one_scan(spark, tables):
+    p = plan(usage.by_user(spark, tables, Filters(), nested=False))
+    assert p.count("FileScan parquet") == 1 and "Join" not in p and p.count("Exchange hashpartitioning") == 2
+
+
+def test_window_summary_does_not_sort(spark, tables):
+    p = plan(windows.window_summary(windows.session_windows(spark, tables, Filters(), ordered=False)))
+    assert "rangepartitioning" not in p
+
+
+def test_timeline_has_no_global_sort(spark, tables):
+    from usagelens.operators import sessions
+
+    assert "rangepartitioning" not in plan(sessions.session_timeline(tables, nested=False))
+
+
+def test_joins_start_no_job_while_planning(spark, tables):
+    from usagelens.operators import billing
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        billing.join_roster(tables.api_requests, tables.org_members)
+        usage.by_user(spark, tables, Filters(masked=True), nested=False)
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_attribute_maps_are_built_once(spark):
+    import datetime as dt
+
+    from usagelens.sources import otlp
+
+    df = spark.createDataFrame([("f", "{}")], "file string, value string")
+    p = plan(otlp.missing_usage_report(otlp.flatten_otlp(df, dt.datetime(2024, 1, 1))))
+    assert p.count("map_from_arrays") <= 2 and p.count("from_json") == 1
 
 
 def test_otlp_ingest_is_narrow(spark):

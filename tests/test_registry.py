@@ -10,8 +10,10 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 from tools.check_oracle import TABLES, digest
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from usagelens.plans import oracle
+from usagelens.plans.registry import REGISTRY as QUERIES
+
+ORACLE = oracle.build()
 FAST = [n for n in QUERIES if not n.startswith("stream_")]
 STREAM = [n for n in QUERIES if n.startswith("stream_")]
 
@@ -30,6 +32,7 @@ def test_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(ORACLE) == set(QUERIES)  # every registered query has oracle SQL
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def _check(spark, con, name):

@@ -1,10 +1,17 @@
 """Structured Streaming ingest: restart and replay leave no duplicates."""
 
 import datetime as dt
+import glob
 import json
 import os
 
-from usagelens.sources import facts
+import pytest
+from pyspark.sql import functions as F
+
+from usagelens import schemas
+from usagelens.operators import usage
+from usagelens.params import Filters
+from usagelens.sources import facts, otlp
 from usagelens.streaming import ingest
 
 AS_OF = dt.datetime(2024, 5, 1)
@@ -48,9 +55,94 @@ def test_restart_and_replay_are_idempotent(spark, tmp_path):
     assert {r["email"]: r["alias"] for r in ingest.read_aliases(spark, al).collect()} == aliases_1
 
 
+def _start(spark, src, tmp_path, name, **kw):
+    ingest.stream_ingest_otlp(spark, str(src), str(tmp_path / "facts"), str(tmp_path / name), as_of=AS_OF,
+                              alias_path=str(tmp_path / "aliases"), **kw).awaitTermination()
+
+
+def test_rejected_payloads_are_kept_with_their_text(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    broken = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"attributes": [{"key": "x"}]}]}]}]})
+    (src / "a.json").write_text("\n".join([_payload(1), "not json {", _payload(2), '{"resourceLogs":[{', broken]) + "\n")
+    _start(spark, src, tmp_path, "ck")
+    got = sorted((r["reason"], r["payload"]) for r in ingest.read_quarantine(spark, str(tmp_path / "facts")).collect())
+    assert got == [("attribute without value", broken), ("invalid JSON", "not json {"), ("invalid JSON", '{"resourceLogs":[{')]
+    counts = spark.read.json(str(tmp_path / "facts" / "_ingest_counts")).first()
+    assert (counts["user_prompts"], counts["bad_payloads"], counts["quarantined"], counts["records"]) == (2, 2, 3, 3)
+
+
+def test_fresh_checkpoint_and_batch_writes_share_a_root(spark, tmp_path):
+    src, more, root = tmp_path / "in", tmp_path / "more", str(tmp_path / "facts")
+    src.mkdir(), more.mkdir()
+    (src / "a.json").write_text(_payload(1) + "\n" + _payload(2) + "\n")
+    (more / "b.json").write_text(_payload(3) + "\n" + _payload(4) + "\n")
+    _start(spark, src, tmp_path, "ck1")
+    _start(spark, more, tmp_path, "ck2")
+    recs = otlp.flatten_otlp(spark.createDataFrame([("f", _payload(5))], "file string, value string"), AS_OF)
+    otlp.ingest_otlp(recs, root)
+    assert sorted(r["prompt_length"] for r in facts.read_fact(spark, root, "user_prompts").collect()) == [1, 2, 3, 4, 5]
+    al = ingest.read_aliases(spark, str(tmp_path / "aliases")).collect()
+    assert sorted(r["alias"] for r in al) == ["USER-1", "USER-2", "USER-3"] and len({r["email"] for r in al}) == 3
+    t = facts.load_stored_tables(spark, root)  # four of the five tables hold nothing
+    assert t.api_requests.count() == 0 and usage.summary(spark, t, Filters()).first()["total_prompts"] == 5
+    ingest_name = "again"
+    for _ in range(2):  # the same name replaces its own rows
+        otlp.ingest_otlp(recs, root, ingest_name)
+    assert facts.read_fact(spark, root, "user_prompts").count() == 6
+    assert facts.read_fact(spark, str(tmp_path / "nowhere"), "tool_uses").count() == 0
+
+
+def test_a_day_is_written_to_few_files(spark, tmp_path, tables):
+    root = str(tmp_path / "facts")
+    facts.write_facts({"api_requests": tables.api_requests.repartition(16)}, root)
+    days = tables.api_requests.select(F.to_date("timestamp")).distinct().count()
+    assert len(glob.glob(f"{root}/api_requests/event_date=*/ingest=*/part-*")) <= days + 2
+    assert facts.read_fact(spark, root, "api_requests").schema.fieldNames() == schemas.API_REQUESTS.fieldNames()
+
+
+def test_failing_id_read_fails_the_batch(spark, tmp_path):
+    src, root = tmp_path / "in", str(tmp_path / "facts")
+    src.mkdir()
+    msg = json.dumps({"schemaType": "ModelInvocationLog", "operation": "InvokeModel", "requestId": "R1", "modelId": "m"})
+    (src / "a.json").write_text(json.dumps({"timestamp": 1704067200000, "message": msg}) + "\n")
+
+    def run(name):
+        ingest.stream_ingest_invocations(spark, str(src), root, str(tmp_path / name)).awaitTermination()
+
+    run("ck1")
+    run("ck2")  # R1 is stored already
+    assert [r["aws_request_id"] for r in facts.read_fact(spark, root, "api_requests").collect()] == ["R1"]
+    (part,) = glob.glob(f"{root}/_request_ids/bucket=*/ingest=*/part-*")
+    with open(part, "wb") as f:
+        f.write(b"no parquet")
+    for crc in glob.glob(os.path.join(os.path.dirname(part), ".*.crc")):
+        os.truncate(crc, 0)
+    with pytest.raises(Exception):
+        run("ck3")
+    assert facts.read_fact(spark, root, "api_requests").count() == 1
+
+
+def test_late_rows_count_and_a_sink_has_one_stream(spark, tmp_path):
+    from usagelens.streaming import live
+
+    src = tmp_path / "in"
+    days = [dt.datetime(2024, 1, 1), dt.datetime(2024, 3, 1), dt.datetime(2024, 1, 1, 1), dt.datetime(2024, 1, 1, 3)]
+    for i, d in enumerate(days):
+        spark.createDataFrame([(d, None if i == 3 else "u@x", 1.0, 1, 1)], "timestamp timestamp, user_email string, cost_usd double, input_tokens bigint, "
+                              "output_tokens bigint").coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    out, out2 = str(tmp_path / "daily"), str(tmp_path / "windows")
+    live.stream_daily_cost(stream, out, str(tmp_path / "c1")).awaitTermination()
+    assert {r["day"].month: r["requests"] for r in live.read_daily_cost(spark, out).collect()} == {1: 3, 3: 1}
+    live.stream_usage_windows(stream, out2, str(tmp_path / "c2")).awaitTermination()
+    got = sorted((str(r["user_email"]), r["window_id"], r["request_count"]) for r in live.read_usage_windows(spark, out2).collect())
+    assert got == [("None", 1, 1), ("u@x", 1, 2), ("u@x", 2, 1)]
+    with pytest.raises(Exception, match="another stream"):
+        live.stream_daily_cost(stream, out, str(tmp_path / "c3")).awaitTermination()
+
+
 def test_stored_tables_prune_partitions(spark, tmp_path):
-    from usagelens.operators import usage
-    from usagelens.params import Filters
     from usagelens.sources import fixtures
 
     t = fixtures.load_tables(spark, "/root/testdata/sf0.001")
@@ -67,15 +159,11 @@ def test_stored_tables_prune_partitions(spark, tmp_path):
 
 
 def test_invocation_stream_stats_equal_batch(spark):
-    from pyspark.sql import functions as F
-
     from tests.conftest import SF_SMALL
     from usagelens.plans import streams
     from usagelens.plans.registry import REGISTRY
-    from usagelens.sources import fixtures
 
-    streams.stream_invocations(spark, SF_SMALL)
-    sink = streams._RUNS[("o2", fixtures.session_key(spark), SF_SMALL)]
+    sink = streams._synced(spark, SF_SMALL)
     s = spark.read.json(f"{sink}/_sync_stats").agg(F.sum("inserted"), F.sum("skipped")).first()
     b = REGISTRY["invocation_sync_stats"](spark, SF_SMALL).first()
     assert (s[0], s[1]) == (b["inserted"], b["skipped"])

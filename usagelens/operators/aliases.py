@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.operators.joins import checked_broadcast
 from usagelens.params import Tables
+from usagelens.session import ensure_checkpoint_dir
 
 ALIAS_PREFIX = "USER-"
 
@@ -23,14 +23,24 @@ def all_identities(t: Tables) -> DataFrame:
 
 
 def alias_number(alias_col) -> F.Column:
-    return F.substring(alias_col, len(ALIAS_PREFIX) + 1, 1 << 30).try_cast("int")
+    return F.substring(alias_col, len(ALIAS_PREFIX) + 1, 1 << 30).try_cast("bigint")
 
 
 def assign_aliases(
     identities: DataFrame, current: DataFrame | None, as_of: dt.datetime, n_ranges: int | None = None
 ) -> DataFrame:
     """L1: aliases for emails that have none, USER-(max+1).. in email order;
-    existing aliases are kept. Returns the full alias table.
+    existing aliases are kept. Returns the full alias table."""
+    added = new_aliases(identities, current, as_of, n_ranges)
+    if current is None:
+        return added
+    return current.select("email", "alias", "created_at").unionByName(added)
+
+
+def new_aliases(
+    identities: DataFrame, current: DataFrame | None, as_of: dt.datetime, n_ranges: int | None = None
+) -> DataFrame:
+    """The aliases L1 adds to ``current``.
 
     Numbering is a global rank, computed without a single-task window:
     range-partition the new emails, checkpoint (so the ranges are stable if
@@ -38,6 +48,7 @@ def assign_aliases(
     row per range), and rank within each range.
     """
     spark = identities.sparkSession
+    ensure_checkpoint_dir(spark)
     new = identities.select("email").filter(F.col("email").isNotNull()).distinct()
     if current is not None:
         new = new.join(current.select("email"), "email", "left_anti")
@@ -62,14 +73,11 @@ def assign_aliases(
     ).filter(F.col("_range") >= 0)
     local = ranged.withColumn("_pos", F.row_number().over(Window.partitionBy("_range").orderBy("email")))
     numbered = local.join(F.broadcast(offsets), "_range")
-    added = numbered.select(
+    return numbered.select(
         "email",
         F.concat(F.lit(ALIAS_PREFIX), (F.col("_off") + F.col("_pos")).cast("string")).alias("alias"),
         F.lit(as_of).cast("timestamp").alias("created_at"),
     )
-    if current is None:
-        return added
-    return current.select("email", "alias", "created_at").unionByName(added)
 
 
 def mask(
@@ -80,7 +88,7 @@ def mask(
     NULL with ``strict=True``."""
     if aliases is None:
         return df
-    a = checked_broadcast(aliases.select(F.col("email").alias("_m_email"), F.col("alias").alias("_m_alias")))
+    a = aliases.select(F.col("email").alias("_m_email"), F.col("alias").alias("_m_alias"))
     j = df.join(a, F.col(key) == F.col("_m_email"), "left")
     alias = F.col("_m_alias")
     for c in cols:
@@ -91,5 +99,5 @@ def mask(
 
 def alias_lookup(df: DataFrame, aliases: DataFrame, key: str = "user_email") -> DataFrame:
     """Each row with the alias of its ``key`` column (NULL if none)."""
-    a = checked_broadcast(aliases.select(F.col("email").alias("_l_email"), F.col("alias")))
+    a = aliases.select(F.col("email").alias("_l_email"), F.col("alias"))
     return df.join(a, F.col(key) == F.col("_l_email"), "left").drop("_l_email")

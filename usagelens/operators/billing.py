@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from usagelens.functions.jsvalues import js_round, money_sum
 from usagelens.operators.aliases import mask
 from usagelens.operators.filters import in_period
-from usagelens.operators.joins import checked_broadcast
 from usagelens.params import PlanConfig, Tables
 
 _MS_PER_DAY = 86_400_000
@@ -77,7 +76,7 @@ def join_roster(requests: DataFrame, members: DataFrame | None) -> DataFrame:
     if members is None:
         members = requests.sparkSession.createDataFrame(
             [], "email string, name string, seat_tier string, billing_model string, imported_at timestamp")
-    m = checked_broadcast(roster_by_lower_email(members).select(
+    m = (roster_by_lower_email(members).select(
         "_lemail", F.col("name").alias("_m_name"), F.col("seat_tier").alias("_m_tier"),
         F.col("billing_model").alias("_m_model")))
     j = requests.join(m, F.lower(requests["user_email"]) == m["_lemail"], "left")
@@ -102,7 +101,7 @@ def not_in_roster(requests: DataFrame, members: DataFrame | None) -> DataFrame:
     users = requests.select("user_email").filter(F.col("user_email").isNotNull()).distinct()
     if members is None:
         return users
-    m = checked_broadcast(members.select(F.lower("email").alias("_lemail")).filter(F.col("_lemail").isNotNull()))
+    m = members.select(F.lower("email").alias("_lemail")).filter(F.col("_lemail").isNotNull())
     return users.join(m, F.lower(users["user_email"]) == m["_lemail"], "left_anti")
 
 

@@ -10,19 +10,16 @@ from usagelens.operators.filters import apply_filters, resolve_audience
 from usagelens.params import Filters, Tables
 
 DEFAULT_LIMIT = 50
-MAX_LIMIT = 500
 
 
 def feed_limit(limit) -> int:
-    """min(parseInt(limit) or 50, 500): the leading integer ('12.7' -> 12);
-    0 and junk -> 50; negatives -> 50 (the reference would drop the cap)."""
+    """parseInt(limit) or 50: the leading integer ('12.7' -> 12); 0, junk and
+    negatives -> 50."""
     import re
 
     m = re.match(r"\s*([+-]?\d+)", "" if limit is None else str(limit))
     n = int(m.group(1)) if m else 0
-    if n <= 0:
-        n = DEFAULT_LIMIT
-    return min(n, MAX_LIMIT)
+    return n if n > 0 else DEFAULT_LIMIT
 
 
 def events_union(spark: SparkSession, t: Tables, f: Filters) -> DataFrame:
@@ -37,29 +34,35 @@ def events_union(spark: SparkSession, t: Tables, f: Filters) -> DataFrame:
 
     d, s, lg, n = "double", "string", "bigint", lambda tp: F.lit(None).cast(tp)
     req = a(t.api_requests).select(
-        F.lit("api_request").alias("type"), "timestamp", "user_email", "model",
+        F.lit("api_request").alias("type"), "id", "timestamp", "user_email", "model",
         F.col("cost_usd").cast(d).alias("cost_usd"), "session_id",
         F.col("input_tokens").cast(lg).alias("input_tokens"), F.col("output_tokens").cast(lg).alias("output_tokens"),
         "source")
     tool = a(t.tool_uses).select(
-        F.lit("tool_use").alias("type"), "timestamp", "user_email", F.col("tool_name").alias("model"),
+        F.lit("tool_use").alias("type"), "id", "timestamp", "user_email", F.col("tool_name").alias("model"),
         F.col("duration_ms").cast(d).alias("cost_usd"), "session_id", n(lg).alias("input_tokens"),
         n(lg).alias("output_tokens"), n(s).alias("source"))
     prompt = a(t.user_prompts).select(
-        F.lit("prompt").alias("type"), "timestamp", "user_email", n(s).alias("model"),
+        F.lit("prompt").alias("type"), "id", "timestamp", "user_email", n(s).alias("model"),
         F.col("prompt_length").cast(d).alias("cost_usd"), "session_id", n(lg).alias("input_tokens"),
         n(lg).alias("output_tokens"), n(s).alias("source"))
     err = a(t.api_errors).select(
-        F.lit("error").alias("type"), "timestamp", "user_email", F.col("error_message").alias("model"),
+        F.lit("error").alias("type"), "id", "timestamp", "user_email", F.col("error_message").alias("model"),
         F.col("status_code").cast(d).alias("cost_usd"), "session_id", n(lg).alias("input_tokens"),
         n(lg).alias("output_tokens"), n(s).alias("source"))
     return req.unionByName(tool).unionByName(prompt).unionByName(err)
 
 
+def newest_first() -> list:
+    """Newest first; rows of one instant in a fixed order, so that a cut among
+    them is repeatable."""
+    return [F.desc("timestamp"), F.asc("type"), F.desc("id")]
+
+
 def recent_events(spark: SparkSession, t: Tables, f: Filters, limit=DEFAULT_LIMIT) -> DataFrame:
     """H3: newest ``limit`` events (a top-k: each task keeps its own k)."""
     k = feed_limit(limit)
-    out = events_union(spark, t, f).orderBy(F.desc("timestamp"), "type").limit(k)
+    out = events_union(spark, t, f).orderBy(*newest_first()).limit(k)
     if f.masked:
-        out = mask(out, t.user_aliases).orderBy(F.desc("timestamp"), "type")
+        out = mask(out, t.user_aliases).orderBy(*newest_first())
     return out

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.operators.joins import checked_broadcast
 from usagelens.params import Filters, Tables
 
 ALIAS_PATTERN = r"^USER-\d+$"
@@ -75,7 +74,7 @@ def unmask(values: DataFrame, col: str, aliases: DataFrame | None) -> DataFrame:
     aliased email; anything else (or an unknown alias) passes through."""
     if aliases is None:
         return values
-    a = checked_broadcast(aliases.select(F.col("alias").alias("_alias"), F.col("email").alias("_email")))
+    a = aliases.select(F.col("alias").alias("_alias"), F.col("email").alias("_email"))
     looks = F.col(col).rlike(ALIAS_PATTERN)
     joined = values.join(a, looks & (F.col(col) == F.col("_alias")), "left")
     return joined.withColumn(col, F.coalesce(F.col("_email"), F.col(col))).drop("_alias", "_email")
@@ -115,7 +114,7 @@ def audience(df: DataFrame, emails: DataFrame | None, col: str = "user_email") -
     (a semi join; an empty audience gives no rows)."""
     if emails is None:
         return df
-    a = checked_broadcast(emails.select(F.col("email").alias("_aud")))
+    a = emails.select(F.col("email").alias("_aud"))
     return df.join(a, F.col(col) == F.col("_aud"), "left_semi")
 
 

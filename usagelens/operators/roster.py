@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from usagelens.operators.aliases import mask
 from usagelens.operators.filters import unmask
-from usagelens.operators.joins import checked_broadcast
 
 ROSTER_COLS = ["email", "name", "role", "status", "seat_tier", "billing_model", "imported_at"]
 VALID_BILLING_MODELS = ("seat", "enterprise")
@@ -17,7 +16,9 @@ VALID_SEAT_TIERS = ("Standard", "Premium")
 
 
 def merge_roster(current: DataFrame | None, rows: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """K1: upsert CSV rows (``line`` order = file order) by exact email.
+    """K1: upsert CSV rows by exact email. Several files count as imported one
+    after the other in the order of their names, ``line`` is the order inside
+    a file.
 
     name/role/status/seat_tier/imported_at are overwritten (also by NULL) by
     the file's last row for the email; billing_model only by the last
@@ -26,10 +27,11 @@ def merge_roster(current: DataFrame | None, rows: DataFrame, as_of: dt.datetime)
     """
     spark = rows.sparkSession
     raw = F.lower(F.trim(F.coalesce("billing_model_raw", F.lit(""))))
+    at = F.struct("file", "line") if "file" in rows.columns else F.col("line")
     mapped = F.when(raw == "enterprise", "enterprise").otherwise("seat")
     f = rows.filter(F.col("email").isNotNull() & (F.col("email") != "")).groupBy("email").agg(
-        F.max_by(F.struct("name", "role", "status", "seat_tier"), F.col("line")).alias("_last"),
-        F.max_by(mapped, F.when(raw != "", F.col("line"))).alias("_bm"),
+        F.max_by(F.struct("name", "role", "status", "seat_tier"), at).alias("_last"),
+        F.max_by(mapped, F.when(raw != "", at)).alias("_bm"),
     ).withColumn("_in_file", F.lit(True))
     if current is None:
         current = spark.createDataFrame([], ",".join(
@@ -61,9 +63,9 @@ def validate_patches(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad_bm = F.col("billing_model").isNotNull() & ~bm.isin(*VALID_BILLING_MODELS)
     bad_tier = tier.isNotNull() & ~tier.isin(*VALID_SEAT_TIERS)
     empty = F.col("billing_model").isNull() & tier.isNull()
-    reason = (F.when(bad_bm, "billing_model must be 'seat' or 'enterprise'")
-              .when(bad_tier, "seat_tier must be 'Standard' or 'Premium'")
-              .when(empty, "No update fields provided"))
+    reason = (F.when(bad_bm, "bad_billing_model")
+              .when(bad_tier, "bad_seat_tier")
+              .when(empty, "no_fields"))
     tagged = patches.withColumn("reason", reason).withColumn("billing_model", bm)
     return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull())
 
@@ -103,7 +105,7 @@ def roster_with_telemetry(requests: DataFrame, members: DataFrame, aliases: Data
     imported = members.select(
         "email", "name", "seat_tier", F.coalesce("billing_model", F.lit("seat")).alias("billing_model"),
         "status", "imported_at", F.lit("imported").alias("source"))
-    lm = checked_broadcast(members.select(F.lower("email").alias("_le")).filter(F.col("_le").isNotNull()))
+    lm = members.select(F.lower("email").alias("_le")).filter(F.col("_le").isNotNull())
     users = requests.select(F.col("user_email").alias("email")).filter(F.col("email").isNotNull())
     tele = users.join(lm, F.lower(users["email"]) == lm["_le"], "left_anti").select(
         "email", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("seat_tier"),

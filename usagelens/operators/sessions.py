@@ -78,7 +78,8 @@ def session_timeline(t: Tables, session_ids=None, nested: bool = True) -> DataFr
 
     ``nested=True`` adds the ``tools`` array (bounded by one prompt's tool
     calls); ``nested=False`` gives tool counts instead, for unbounded data.
-    Rows are ordered by session, time, prompts before request-only entries.
+    The rows of a session lie together, ordered by time, prompts before
+    request-only entries (sorted within the partitions: no global sort).
     """
     u = _timeline_rows(t, session_ids)
     k = F.col("kind")
@@ -120,7 +121,8 @@ def session_timeline(t: Tables, session_ids=None, nested: bool = True) -> DataFr
             x["duration_ms"].alias("duration_ms"), x["error"].alias("error"))).alias("tools"))
     else:
         cols += ["tool_count", "tool_failures"]
-    return g.select(*cols).orderBy("session_id", "timestamp", F.desc("has_prompt"), "prompt_id")
+    return g.select(*cols).repartition("session_id").sortWithinPartitions(
+        "session_id", "timestamp", F.desc("has_prompt"), "prompt_id")
 
 
 def session_timeline_tools(t: Tables, session_ids=None) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from usagelens.operators.aliases import mask
 from usagelens.operators.filters import unmask
-from usagelens.operators.joins import checked_broadcast
 
 
 def apply_team_changes(teams: DataFrame, members: DataFrame, changes: DataFrame,
@@ -27,8 +26,8 @@ def apply_team_changes(teams: DataFrame, members: DataFrame, changes: DataFrame,
         ch = unmask(ch, "user_email", aliases)
     drops = ch.filter(F.col("op") == "drop_team").groupBy("team_id").agg(F.min("seq").alias("_drop_seq"))
     live_teams = teams.join(drops, teams["id"] == drops["team_id"], "left_anti")
-    tids = checked_broadcast(teams.select(F.col("id").alias("_tid")))
-    d = checked_broadcast(drops.withColumnRenamed("team_id", "_dtid"))
+    tids = teams.select(F.col("id").alias("_tid"))
+    d = drops.withColumnRenamed("team_id", "_dtid")
     edits = (
         ch.filter(F.col("op").isin("add", "remove") & F.col("user_email").isNotNull() & (F.col("user_email") != ""))
         .join(tids, F.col("team_id") == F.col("_tid"), "left_semi")

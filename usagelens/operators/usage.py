@@ -106,33 +106,43 @@ def _models_per_user(um: DataFrame) -> DataFrame:
         "user_email",
         F.nullif(F.col("_top.model"), F.lit("")).alias("top_model"),
         F.coalesce(F.col("_top.total_tokens"), F.lit(0).cast("bigint")).alias("top_model_tokens"),
-        F.transform("_models", lambda e: F.struct(
-            e["model"].alias("model"), e["requests"].alias("requests"),
-            e["cost"].alias("cost"), e["total_tokens"].alias("total_tokens"))).alias("models"),
+        _models_list(F.col("_models")).alias("models"),
     )
 
 
+def _models_list(entries: F.Column) -> F.Column:
+    return F.transform(entries, lambda e: F.struct(
+        e["model"].alias("model"), e["requests"].alias("requests"),
+        e["cost"].alias("cost"), e["total_tokens"].alias("total_tokens")))
+
+
 def top_model(spark: SparkSession, t: Tables, f: Filters) -> DataFrame:
     """Per user, the model with the most tokens."""
     return _models_per_user(user_model_breakdown(spark, t, f)).drop("models")
 
 
 def by_user(spark: SparkSession, t: Tables, f: Filters, nested: bool = True) -> DataFrame:
-    """Per user totals + distinct sessions + top model (+ models list)."""
-    aud = resolve_audience(spark, t, f)
-    r = filtered_requests(spark, t, f, aud=aud)
-    main = r.groupBy("user_email").agg(*_token_sums(), F.countDistinct("session_id").alias("sessions"))
-    um = r.groupBy("user_email", "model").agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("cost_usd").alias("cost"),
-        F.sum(_all_tokens()).cast("bigint").alias("total_tokens"))
-    per = _models_per_user(um)
-    if not nested:
-        per = per.drop("models")
-    out = main.join(per.withColumnRenamed("user_email", "_u"),
-                    main["user_email"].eqNullSafe(F.col("_u")), "left").drop("_u")
-    out = out.withColumn("top_model_tokens", F.coalesce("top_model_tokens", F.lit(0).cast("bigint")))
-    if nested:
-        out = out.withColumn("models", F.coalesce("models", F.array()))
+    """Per user totals + distinct sessions + top model (+ models list).
+
+    One scan: grouping sets give the (user, model) sums and the distinct (user,
+    session) pairs, pre-aggregated before their exchange; a second aggregation
+    over these few rows makes the user's row."""
+    r = filtered_requests(spark, t, f)
+    fine = r.groupingSets([["user_email", "model"], ["user_email", "session_id"]], "user_email", "model", "session_id").agg(
+        F.grouping("model").alias("_by_session"), *_token_sums(), F.sum(_all_tokens()).cast("bigint").alias("total_tokens"))
+    by_model_row = F.col("_by_session") == 0
+    entry = F.when(by_model_row, F.struct(
+        F.negative("total_tokens").alias("neg_tokens"), F.col("model").alias("model"), F.col("requests").alias("requests"),
+        F.col("cost").alias("cost"), F.col("total_tokens").alias("total_tokens")))
+    sums = ("requests", "cost", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
+    out = fine.groupBy("user_email").agg(
+        *[F.sum(F.when(by_model_row, F.col(c))).alias(c) for c in sums],
+        F.count_if(~by_model_row & F.col("session_id").isNotNull()).alias("sessions"),
+        F.min(entry).alias("_top"), *([F.sort_array(F.collect_list(entry)).alias("_models")] if nested else []))
+    out = out.select(
+        "user_email", *sums, "sessions", F.nullif(F.col("_top.model"), F.lit("")).alias("top_model"),
+        F.coalesce(F.col("_top.total_tokens"), F.lit(0).cast("bigint")).alias("top_model_tokens"),
+        *([_models_list(F.col("_models")).alias("models")] if nested else []))
     if f.masked:
         out = mask(out, t.user_aliases)
     return out.orderBy(F.desc("cost"))
@@ -169,12 +179,14 @@ def known_users(spark: SparkSession, t: Tables, masked: bool = False) -> DataFra
         return d.orderBy("user_email")
     m = mask(d, t.user_aliases)
     num = F.when(F.col("user_email").startswith(ALIAS_PREFIX),
-                 F.substring("user_email", len(ALIAS_PREFIX) + 1, 1 << 30).try_cast("int"))
+                 F.substring("user_email", len(ALIAS_PREFIX) + 1, 1 << 30).try_cast("bigint"))
     return m.orderBy(num.isNull(), num, "user_email")
 
 
 def sample_rows(spark: SparkSession, t: Tables, n: int = 10) -> DataFrame:
-    """H7: the latest stored requests (top-n by id)."""
-    return t.api_requests.select(
-        "id", "timestamp", "model", "cost_usd", "input_tokens", "output_tokens",
-        "cache_read_tokens", "cache_creation_tokens").orderBy(F.desc("id")).limit(n)
+    """H7: the latest stored requests: by arrival where the rows carry it
+    (ingested data), else by id. A top-k: each task keeps its own n rows."""
+    r = t.api_requests
+    order = [F.desc_nulls_last("ingest_seq")] if "ingest_seq" in r.columns else []
+    cols = ["id", "timestamp", "model", "cost_usd", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"]
+    return r.orderBy(*order, F.desc("id")).limit(n).select(*cols)

@@ -11,9 +11,9 @@ pre-aggregated into fixed time buckets one threshold wide (a hash
 aggregate with map-side combine, so a user holding a third of all rows is
 reduced before the shuffle). The gap test then runs on bucket summaries:
 LAG(max ts) over the user's buckets, a running sum of "new window" flags,
-and a regroup per window -- all on the same hash partitioning of
-user_email, so one exchange carries the windowing. A user has at most
-(time span / threshold) buckets, whatever their row count.
+and a regroup per window, all on one hash partitioning of user_email. Two
+exchanges: partial bucket sums by (user, bucket), then bucket rows by user.
+A user has at most (time span / threshold) buckets, whatever their row count.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ _US_PER_S = 1_000_000
 _US_PER_H = 3_600_000_000
 
 
-def _buckets(requests: DataFrame, gap_seconds: int) -> DataFrame:
+def buckets(requests: DataFrame, gap_seconds: int) -> DataFrame:
+    """One row per (user, time bucket one threshold wide): first and last
+    instant, cost, tokens, requests. Works on a stream as it is."""
     us = F.unix_micros(F.col("timestamp"))
     width = gap_seconds * _US_PER_S
     return (
@@ -49,9 +51,14 @@ def _buckets(requests: DataFrame, gap_seconds: int) -> DataFrame:
 def window_flags(requests: DataFrame, gap_seconds: int) -> DataFrame:
     """F1 + F2 on bucket summaries: gap_seconds to the user's previous
     request (whole seconds, rounded) and the running window_id."""
+    return bucket_flags(buckets(requests, gap_seconds), gap_seconds)
+
+
+def bucket_flags(rows: DataFrame, gap_seconds: int) -> DataFrame:
+    """``window_flags`` of ready buckets."""
     w = Window.partitionBy("user_email").orderBy("bucket")
     prev = F.lag("t1").over(w)
-    b = _buckets(requests, gap_seconds).withColumn(
+    b = rows.withColumn(
         "gap_seconds", F.round((F.col("t0") - prev) / F.lit(float(_US_PER_S))))
     flag = F.when(F.col("gap_seconds").isNull() | (F.col("gap_seconds") > gap_seconds), 1).otherwise(0)
     return b.withColumn("window_id", F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -59,8 +66,13 @@ def window_flags(requests: DataFrame, gap_seconds: int) -> DataFrame:
 
 def usage_windows(requests: DataFrame, gap_seconds: int) -> DataFrame:
     """one row per (user, window)."""
+    return bucket_windows(buckets(requests, gap_seconds), gap_seconds)
+
+
+def bucket_windows(rows: DataFrame, gap_seconds: int) -> DataFrame:
+    """``usage_windows`` of ready buckets."""
     return (
-        window_flags(requests, gap_seconds)
+        bucket_flags(rows, gap_seconds)
         .groupBy("user_email", "window_id")
         .agg(F.sum("cost").alias("total_cost"),
              F.sum("tokens").cast("bigint").alias("total_tokens"),
@@ -72,7 +84,7 @@ def usage_windows(requests: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 def per_user_windows(windows: DataFrame) -> DataFrame:
-    """per-user rollup of the windows, most expensive first."""
+    """per-user rollup of the windows (unordered)."""
     return (
         windows.groupBy("user_email")
         .agg(F.count(F.lit(1)).alias("window_count"),
@@ -80,7 +92,6 @@ def per_user_windows(windows: DataFrame) -> DataFrame:
              F.sum("total_tokens").cast("bigint").alias("total_tokens"),
              F.sum("request_count").cast("bigint").alias("total_requests"),
              F.round(F.sum("duration_hours"), 4).alias("total_hours"))
-        .orderBy(F.desc("total_cost"))
     )
 
 
@@ -95,24 +106,28 @@ def label_requests(requests: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 def gap_windows(spark: SparkSession, t: Tables, f: Filters, gap_seconds: int,
-                requests: DataFrame | None = None) -> DataFrame:
-    """F5/F6 body. The filter is applied before the gap test (it changes the
-    windows), so it is written first; Catalyst keeps it below the window."""
+                requests: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    """F5/F6 body, most expensive first (``ordered=False`` leaves out the sort,
+    for what only sums the rows up). The filter is applied before the gap test
+    (it changes the windows), so it is written first; Catalyst keeps it below
+    the window."""
     r = apply_filters(spark, requests if requests is not None else t.api_requests, t, f)
     out = per_user_windows(usage_windows(r, gap_seconds))
     if f.masked:
-        out = mask(out, t.user_aliases).orderBy(F.desc("total_cost"))
-    return out
+        out = mask(out, t.user_aliases)
+    return out.orderBy(F.desc("total_cost")) if ordered else out
 
 
-def session_windows(spark: SparkSession, t: Tables, f: Filters, requests: DataFrame | None = None) -> DataFrame:
+def session_windows(spark: SparkSession, t: Tables, f: Filters, requests: DataFrame | None = None,
+                    ordered: bool = True) -> DataFrame:
     """5-hour windows, per-user rollup."""
-    return gap_windows(spark, t, f, SESSION_GAP_SECONDS, requests)
+    return gap_windows(spark, t, f, SESSION_GAP_SECONDS, requests, ordered)
 
 
-def weekly_windows(spark: SparkSession, t: Tables, f: Filters, requests: DataFrame | None = None) -> DataFrame:
+def weekly_windows(spark: SparkSession, t: Tables, f: Filters, requests: DataFrame | None = None,
+                   ordered: bool = True) -> DataFrame:
     """7-day-gap windows, per-user rollup."""
-    return gap_windows(spark, t, f, WEEKLY_GAP_SECONDS, requests)
+    return gap_windows(spark, t, f, WEEKLY_GAP_SECONDS, requests, ordered)
 
 
 def window_summary(per_user: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.sources import fixtures
+from usagelens.sources import fixtures, otlp
 
+BARE = "BARE:"
+FAR_NANOS = "9" * 29  # beyond every timestamp
 PAYLOAD_GROUP = 8   # records per payload: ids are unique, so a payload holds at most 8 rows
 
 
@@ -23,7 +25,7 @@ def _value(kind: str, col: Column, snake: bool) -> Column:
     """An AnyValue with one kind set; the others are NULL (dropped by
     to_json). Field types are fixed per kind so all attributes share a type."""
     kinds = {"s": ("stringValue", "string_value", "string"), "i": ("intValue", "int_value", "string"),
-             "d": ("doubleValue", "double_value", "double"), "b": ("boolValue", "bool_value", "boolean")}
+             "d": ("doubleValue", "double_value", "double"), "b": ("boolValue", "bool_value", "boolean"), "o": ("otherValue", "otherValue", "string")}
     fields = []
     for k, (camel, sn, tp) in kinds.items():
         v = col if k == kind else F.lit(None)
@@ -55,46 +57,48 @@ def _records(t) -> list:
 
     def req_attrs(sn):
         return [
-            _attr(_pick(["gen_ai.request.model", "model", "modelID", "model_id"], i % 4), "s", F.col("model"), sn),
-            F.when(i % 2 == 0, _attr(_pick(["cost_usd", "cost", "cost.usd", "claude_code.cost.usage"], (i / 4).cast("int") % 4),
+            _attr(_pick(otlp.MODEL_KEYS, i % 4), "s", F.col("model"), sn),
+            F.when(i % 2 == 0, _attr(_pick(otlp.COST_KEYS, (i / 4).cast("int") % 4),
                                      "d", F.col("cost_usd"), sn))
-            .otherwise(_attr(_pick(["cost_usd", "cost", "cost.usd", "claude_code.cost.usage"], (i / 4).cast("int") % 4),
+            .otherwise(_attr(_pick(otlp.COST_KEYS, (i / 4).cast("int") % 4),
                              "s", F.col("cost_usd"), sn)),
-            _attr(_pick(["gen_ai.usage.input_tokens", "input_tokens", "llm.usage.prompt_tokens",
-                         "gen_ai.usage.prompt_tokens", "tokens.input", "input"], i % 6), "i", F.col("input_tokens"), sn),
-            _attr(_pick(["gen_ai.usage.output_tokens", "output_tokens", "llm.usage.completion_tokens",
-                         "gen_ai.usage.completion_tokens", "tokens.output", "output"], (i + 1) % 6), "i",
+            _attr(_pick(otlp.INPUT_KEYS, i % 6), "i", F.col("input_tokens"), sn),
+            _attr(_pick(otlp.OUTPUT_KEYS, (i + 1) % 6), "i",
                   F.when(F.col("k") != 0, F.col("output_tokens")), sn),
-            _attr(_pick(["cache_read_input_tokens", "gen_ai.usage.cache_read_input_tokens", "cache_read_tokens",
-                         "tokens.cacheRead"], i % 4), "i", F.col("cache_read_tokens"), sn),
-            _attr(_pick(["cache_creation_input_tokens", "gen_ai.usage.cache_creation_input_tokens",
-                         "cache_creation_tokens", "tokens.cacheCreation"], (i + 2) % 4), "d",
+            _attr(_pick(otlp.CACHE_READ_KEYS, i % 4), "i", F.col("cache_read_tokens"), sn),
+            _attr(_pick(otlp.CACHE_CREATION_KEYS, (i + 2) % 4), "d",
                   F.col("cache_creation_tokens"), sn),
-            _attr(_pick(["duration_ms", "duration"], i % 2), "i", F.col("duration_ms"), sn),
-            _attr(_pick(["response.content", "gen_ai.response.content"], i % 2), "s", F.col("response_content"), sn),
+            _attr(_pick(otlp.DURATION_KEYS, i % 2), "i", F.col("duration_ms"), sn),
+            _attr(_pick(otlp.RESPONSE_KEYS, i % 2), "s", F.col("response_content"), sn),
+            _attr("app.version", "s", F.when(i % 6 != 0, F.concat(F.lit("1."), (i % 9).cast("string"))), sn),
+            _attr("terminal.type", "s", F.when(i % 5 == 1, F.lit("xterm")), sn),
         ]
 
     def tool_attrs(sn):
         ok = F.col("success") == 1
         return [
-            _attr(_pick(["tool.name", "tool_name"], i % 2), "s", F.col("tool_name"), sn),
+            _attr(_pick(otlp.TOOL_KEYS, i % 2), "s", F.col("tool_name"), sn),
             F.when(ok & (i % 2 == 0), _attr("tool.success", "b", F.lit(True), sn))
             .when(ok, _attr("tool.success", "s", F.lit("true"), sn))
             .when(i % 2 == 0, _attr("tool.success", "s", F.lit("false"), sn)),
-            _attr(_pick(["tool.duration_ms", "duration_ms"], i % 2), "i", F.col("duration_ms"), sn),
-            _attr("tool.error", "s", F.col("error"), sn),
+            _attr(_pick(otlp.TOOL_DURATION_KEYS, i % 2), "i", F.col("duration_ms"), sn),
+            # every other error is of a kind the format does not know: kept as its JSON
+            F.when(i % 2 == 0, _attr("tool.error", "o", F.col("error"), sn)).otherwise(_attr("tool.error", "s", F.col("error"), sn)),
         ]
 
     def prompt_attrs(sn):
         return [
-            _attr(_pick(["prompt.length", "prompt_length"], i % 2), "i", F.col("prompt_length"), sn),
-            _attr(_pick(["prompt", "prompt.content"], i % 2), "s", F.col("prompt_content"), sn),
+            _attr(_pick(otlp.PROMPT_LENGTH_KEYS, i % 2), "i", F.col("prompt_length"), sn),
+            # a marked value becomes a bare JSON string below
+            _attr(_pick(otlp.PROMPT_KEYS, i % 2), "s", F.concat(F.when(i % 9 == 0, F.lit(BARE)).otherwise(F.lit("")),
+                                                                F.col("prompt_content")), sn),
         ]
 
     def error_attrs(sn):
         return [
             _attr("error.message", "s", F.col("error_message"), sn),
-            _attr("http.status_code", "i", F.col("status_code"), sn),
+            # a number no 32-bit counter can hold
+            _attr("http.status_code", "i", F.when(i % 11 == 0, F.lit("99999999999")).otherwise(F.col("status_code").cast("string")), sn),
             _attr("retry.count", "i", F.col("retries"), sn),
         ]
 
@@ -129,8 +133,9 @@ SNAKE_KEYS = [
 
 
 def otlp_payloads(t) -> DataFrame:
-    """(file, value): one JSON payload per group of PAYLOAD_GROUP ids; odd
-    groups use snake_case keys throughout."""
+    """(payload, file, value): one JSON payload per group of PAYLOAD_GROUP ids;
+    odd groups use snake_case keys throughout. Some records hold values that
+    must not stop an ingest, and some lines are no JSON."""
     i = F.col("id")
     parts = []
     for df, event, attrs_fn in _records(t):
@@ -148,14 +153,18 @@ def otlp_payloads(t) -> DataFrame:
         _attr("prompt.id", "s", F.col("prompt_id"), False),
         _attr("user.email", "s", F.when(rec_level_email, F.col("user_email")), False),
         _attr("event.name", "s", F.when(i % 3 == 2, F.concat(F.lit("claude_code."), ev)), False),
+        _attr("user.id", "s", F.when(i % 4 == 0, F.concat(F.lit("uid-"), (i % 50).cast("string"))), False),
+        _attr("user.account_uuid", "s", F.when(i % 4 <= 1, F.concat(F.lit("acct-"), (i % 50).cast("string"))), False),
     )
     res_attrs = F.array(
         _attr("service.name", "s", F.translate("source", "_", "-"), False),
         _attr("user.email", "s", F.when(~rec_level_email, F.col("user_email")), False),
         _attr("session.id", "s", F.when(i % 5 == 0, F.lit("resource-level")), False),
+        _attr("organization.id", "s", F.when(i % 3 != 0, F.concat(F.lit("org-"), (i % 5).cast("string"))), False),
     )
     body_name = F.when(i % 3 == 0, F.concat(F.lit("claude_code."), ev)).when(i % 3 == 1, ev)
-    nanos = (F.unix_micros(F.col("timestamp")) * 1000).cast("string")
+    far = (ev == "user_prompt") & (i % 13 == 0)
+    nanos = F.when(far, F.lit(FAR_NANOS)).otherwise((F.unix_micros(F.col("timestamp")) * 1000).cast("string"))
     record = F.struct(
         F.when(i % 7 != 0, nanos).alias("timeUnixNano"),
         F.when(i % 7 == 0, nanos).alias("observedTimeUnixNano"),
@@ -167,7 +176,7 @@ def otlp_payloads(t) -> DataFrame:
         F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"),
     )
     snake = (i / PAYLOAD_GROUP).cast("bigint") % 2 == 1
-    js = F.to_json(rl)
+    js = F.regexp_replace(F.to_json(rl), r'\{"stringValue":"' + BARE + r'([^"]*)"\}', '"$1"')
     snake_js = js
     for camel, sn in SNAKE_KEYS:
         snake_js = F.regexp_replace(snake_js, f'"{camel}":', f'"{sn}":')
@@ -176,7 +185,12 @@ def otlp_payloads(t) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("id", "rl"))).alias("rls"))
     key = F.when(F.col("snake"), F.lit("resource_logs")).otherwise(F.lit("resourceLogs"))
     value = F.concat(F.lit('{"'), key, F.lit('":['), F.array_join(F.transform("rls", lambda x: x["rl"]), ","), F.lit("]}"))
-    return g.select(F.concat(F.lit("payload-"), F.col("payload").cast("string")).alias("file"), value.alias("value"))
+    good = g.select("payload", F.concat(F.lit("payload-"), F.col("payload").cast("string")).alias("file"), value.alias("value"))
+    # text that is not JSON, or breaks off
+    bad = fixtures.user_prompts(t.extra["base"]).filter((i % 17).isin(0, 1)).select(
+        (i / PAYLOAD_GROUP).cast("bigint").alias("payload"), F.concat(F.lit("bad-"), i.cast("string")).alias("file"),
+        F.concat(F.when(i % 17 == 0, F.lit("not json {")).otherwise(F.lit('{"resourceLogs":[{"scopeLogs":[{"')), i.cast("string")).alias("value"))
+    return good.unionByName(bad)
 
 
 def _uid(email: Column) -> Column:
@@ -224,7 +238,8 @@ def invocation_events(t) -> DataFrame:
         F.when(k % 23 == 0, "Converse").otherwise("InvokeModel").alias("operation"),
         request_id(k).alias("requestId"),
         raw_model_id(k).alias("modelId"),
-        F.when(k % 5 != 0, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("timestamp"),
+        F.when(k % 37 == 5, "yesterday").when(k % 37 == 6, "Mon, 01 Jan 2024 00:00:00 GMT")
+        .when(k % 5 != 0, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("timestamp"),
         F.struct(F.when(F.col("user_email").isNull(), F.lit("arn:aws:iam::123456789012:root"))
                  .otherwise(F.concat(F.lit("arn:aws:sts::123456789012:assumed-role/Dev/"), F.col("user_email"))).alias("arn"))
         .alias("identity"),
@@ -253,9 +268,12 @@ def raw_model_rows(t) -> DataFrame:
 
 
 # ── usage-report pages ──────────────────────────────────────────────────────
+PAGE_RECORDS = 100
+
+
 def usage_pages(t) -> DataFrame:
     """(date, value) pages: one record per (user, day, model group) with a
-    per-model breakdown; pages split by a hash of the email."""
+    per-model breakdown; a day's pages hold some PAGE_RECORDS records each."""
     r = t.api_requests
     grp = F.when(F.col("model").isin("model-a", "model-b"), 0).otherwise(1)
     per_model = r.groupBy("user_email", F.to_date("timestamp").alias("date"), grp.alias("grp"), "model").agg(
@@ -270,8 +288,9 @@ def usage_pages(t) -> DataFrame:
         F.struct(F.col("user_email").alias("email_address")).alias("actor"),
         F.transform("mb", lambda m: F.struct(m["tokens"].alias("tokens"), m["estimated_cost"].alias("estimated_cost")))
         .alias("model_breakdown")).alias("record"))
-    page = F.pmod(F.xxhash64(F.coalesce("user_email", F.lit(""))), F.lit(4))
-    pages = rec.groupBy("date", page.alias("page")).agg(F.collect_list("record").alias("data"))
+    days = rec.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / PAGE_RECORDS).alias("pages"))
+    page = F.pmod(F.xxhash64(F.coalesce("user_email", F.lit(""))), F.col("pages"))
+    pages = rec.join(days, "date").groupBy("date", page.alias("page")).agg(F.collect_list("record").alias("data"))
     return pages.select("date", F.to_json(F.struct(
         "data", F.lit(False).alias("has_more"), F.lit(None).cast("string").alias("next_page"))).alias("value"))
 
@@ -281,7 +300,8 @@ ROSTER_HEADER = "EMAIL,Billing Model,Name ,role,Status,seat TIER"
 
 
 def roster_lines(t, ids: DataFrame | None = None) -> DataFrame:
-    """(file, line, value) CSV lines derived from the telemetry users."""
+    """(file, line, value) lines of two CSV files derived from the telemetry
+    users; the second renames some members of the first."""
     ids = identities(t) if ids is None else ids
     u, e = F.col("uid"), F.col("email")
     tier = F.when(u % 3 == 0, "Premium").when(u % 3 == 1, "Standard").otherwise("")
@@ -297,9 +317,13 @@ def roster_lines(t, ids: DataFrame | None = None) -> DataFrame:
     junk = ids.filter(u % 10 >= 5).select(
         (u * 4 + 3).alias("line"),
         F.when(u % 10 == 5, F.lit("   ")).otherwise(F.lit(",,,,,")).alias("value"))
+    second = ids.filter(u % 5 == 0).select(
+        (u + 1).alias("line"),
+        F.concat_ws(",", e, F.lit(""), F.concat(F.lit("Second "), u.cast("string")), F.lit("owner"),
+                    F.lit("active"), F.lit("Premium")).alias("value"))
     header = ids.sparkSession.createDataFrame([(0, ROSTER_HEADER)], "line bigint, value string")
-    return header.unionByName(main).unionByName(dup).unionByName(junk).select(
-        F.lit("roster.csv").alias("file"), "line", "value")
+    first = header.unionByName(main).unionByName(dup).unionByName(junk).withColumn("file", F.lit("a.csv"))
+    return first.unionByName(header.unionByName(second).withColumn("file", F.lit("b.csv"))).select("file", "line", "value")
 
 
 def roster_patches(t, ids: DataFrame | None = None) -> DataFrame:

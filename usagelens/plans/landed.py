@@ -12,7 +12,11 @@ from usagelens.session import scratch_path
 from usagelens.sources import fixtures
 
 _LANDED: dict = {}
-PAYLOAD_FILES = 8
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Files to land: they follow the cluster, and some streams need several."""
+    return max(8, spark.sparkContext.defaultParallelism)
 
 
 def _land(spark: SparkSession, sf_dir: str, name: str, write) -> str:
@@ -25,9 +29,10 @@ def _land(spark: SparkSession, sf_dir: str, name: str, write) -> str:
 
 
 def otlp_payload_dir(spark: SparkSession, sf_dir: str) -> str:
-    """NDJSON files, one OTLP payload per line."""
+    """NDJSON files, one OTLP payload per line, in the order of the rows' ids."""
     def write(t, path):
-        derived.otlp_payloads(t).select("value").repartition(PAYLOAD_FILES).write.text(path)
+        derived.otlp_payloads(t).repartitionByRange(_tasks(spark), "payload", "value").sortWithinPartitions("payload", "value") \
+            .select("value").write.text(path)
     return _land(spark, sf_dir, "otlp", write)
 
 
@@ -36,14 +41,14 @@ def invocation_log_dir(spark: SparkSession, sf_dir: str) -> str:
     def write(t, path):
         ev = derived.invocation_events(t)
         ev.select("timestamp", "message", F.to_date(F.timestamp_millis("timestamp")).alias("day")) \
-            .repartition("day").write.partitionBy("day").json(path)
+            .hint("rebalance", F.col("day")).write.partitionBy("day").json(path)
     return _land(spark, sf_dir, "invocations", write)
 
 
 def usage_report_dir(spark: SparkSession, sf_dir: str) -> str:
     """date=YYYY-MM-DD folders, one JSON page per line."""
     def write(t, path):
-        derived.usage_pages(t).repartition("date").write.partitionBy("date").text(path)
+        derived.usage_pages(t).hint("rebalance", F.col("date")).write.partitionBy("date").text(path)
     return _land(spark, sf_dir, "usage-report", write)
 
 
@@ -54,19 +59,25 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_land(spark, sf_dir, "identities", write))
 
 
-SENTINEL_USER = "__sentinel__"
-
+HOT_USER = "hot@example.com"
 
-def requests_with_sentinel(spark: SparkSession, sf_dir: str) -> str:
-    """api_requests (the columns the live queries use) plus one far-future
-    sentinel row that moves the watermark past every real window."""
-    import datetime as dt
 
+def requests_dir(spark: SparkSession, sf_dir: str, hot: bool = False) -> str:
+    """api_requests (the columns the live queries use) in files without any
+    time order, so that most rows of a stream over them are late; ``hot``: one
+    user holds a third of the rows."""
     def write(t, path):
         cols = ["id", "timestamp", "user_email", "cost_usd", "input_tokens", "output_tokens"]
-        t.api_requests.select(*cols).repartitionByRange(6, "timestamp").write.parquet(path)
-        spark.createDataFrame(
-            [(-1, dt.datetime(2100, 1, 1), SENTINEL_USER, 0.0, 0, 0)],
-            "id bigint, timestamp timestamp, user_email string, cost_usd double, input_tokens bigint, "
-            "output_tokens bigint").write.mode("append").parquet(path)
-    return _land(spark, sf_dir, "requests-sentinel", write)
+        r = t.api_requests.select(*cols)
+        if hot:
+            r = r.withColumn("user_email", F.when(F.col("id") % 3 == 0, F.lit(HOT_USER)).otherwise(F.col("user_email")))
+        r.repartition(_tasks(spark), "id").write.parquet(path)
+    return _land(spark, sf_dir, f"requests-{hot}", write)
+
+
+def roster_csv_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Roster CSV files, imported in the order of their names."""
+    def write(t, path):
+        derived.roster_lines(t, identities(spark, sf_dir)).repartitionByRange("file").sortWithinPartitions("file", "line") \
+            .select("file", "value").write.partitionBy("file").text(path)
+    return _land(spark, sf_dir, "roster", write)

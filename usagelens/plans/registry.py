@@ -25,6 +25,7 @@ SOURCE_BEDROCK = Filters(source="bedrock")
 MIXED = Filters(from_="2024-01-03", to="2024-01-28T12:00:00", teams=(1, 2), source="opencode")
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+A_SESSION = "s_4_2024-01-24"   # has entries of two prompts in every table size
 # Stored (not computed) doubles: passed through unrounded, as the oracle does.
 RAW = ("cost_usd",)
 
@@ -40,6 +41,21 @@ def _t(spark, sf_dir):
     return fixtures.load_tables(spark, sf_dir)
 
 
+def usage_tables(**tables):
+    from usagelens.params import Tables
+
+    return Tables(**{n: tables.get(n) for n in ("api_requests", "tool_uses", "user_prompts", "api_errors", "tool_decisions")})
+
+
+def _placed(df):
+    """A sorted result with each row's place (small results only: the place is
+    a count over the whole result)."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.orderBy("_place")).alias("place")
+    return df.withColumn("_place", F.monotonically_increasing_id()).select(at, *df.columns)
+
+
 # ── flat aggregates ─────────────────────────────────────────────────────────
 @register("summary")
 def q_summary(spark, sf_dir):
@@ -96,6 +112,21 @@ def q_by_user_masked(spark, sf_dir):
     return stable(usage.by_user(spark, _t(spark, sf_dir), Filters(masked=True), nested=False))
 
 
+@register("by_model_order")
+def q_by_model_order(spark, sf_dir):
+    return _placed(usage.by_model(spark, _t(spark, sf_dir), ALL)).select("place", "model")
+
+
+@register("cost_over_time_order")
+def q_cot_order(spark, sf_dir):
+    return _placed(usage.cost_over_time(spark, _t(spark, sf_dir), ALL)).select("place", "day")
+
+
+@register("known_users_masked_order")
+def q_known_users_order(spark, sf_dir):
+    return _placed(usage.known_users(spark, _t(spark, sf_dir), masked=True))
+
+
 @register("tool_stats")
 def q_tool_stats(spark, sf_dir):
     return stable(usage.tool_stats(spark, _t(spark, sf_dir), ALL))
@@ -149,6 +180,19 @@ def q_f_nobody(spark, sf_dir):
     return _rows(filters.audience(t.api_requests, filters.resolve_audience(spark, t, NOBODY)))
 
 
+@register("filter_audience_blank")
+def q_f_blank(spark, sf_dir):
+    """A list of blank users is an audience of nobody."""
+    t = _t(spark, sf_dir)
+    return _rows(filters.audience(t.api_requests, filters.resolve_audience(spark, t, Filters(users=(" ", "")))))
+
+
+@register("filter_audience_unknown_team")
+def q_f_unknown_team(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return _rows(filters.audience(t.api_requests, filters.resolve_audience(spark, t, Filters(teams=(999,)))))
+
+
 @register("resolve_audience")
 def q_resolve(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -211,13 +255,14 @@ def q_weekly_windows_ev(spark, sf_dir):
 
 @register("window_summary")
 def q_window_summary(spark, sf_dir):
-    return stable(windows.window_summary(windows.session_windows(spark, _t(spark, sf_dir), ALL)))
+    return stable(windows.window_summary(windows.session_windows(spark, _t(spark, sf_dir), ALL, ordered=False)))
 
 
 @register("window_summary_weekly")
 def q_window_summary_w(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return stable(windows.window_summary(windows.weekly_windows(spark, t, ALL, requests=t.extra["sparse_requests"])))
+    return stable(windows.window_summary(windows.weekly_windows(spark, t, ALL, requests=t.extra["sparse_requests"],
+                                                                ordered=False)))
 
 
 # ── sessions, feed, timeline ────────────────────────────────────────────────
@@ -226,6 +271,11 @@ def q_sessions(spark, sf_dir):
     return stable(sessions.sessions(spark, _t(spark, sf_dir), ALL))
 
 
+@register("sessions_all")
+def q_sessions_all(spark, sf_dir):
+    return stable(sessions.sessions(spark, _t(spark, sf_dir), ALL, limit=None))
+
+
 @register("recent_events")
 def q_recent(spark, sf_dir):
     return stable(feed.recent_events(spark, _t(spark, sf_dir), ALL), keep=RAW)
@@ -257,7 +307,6 @@ _OTLP: dict = {}
 
 def _otlp_records(spark, sf_dir):
     """Derived payloads -> records -> routed tables, built once per session."""
-    from usagelens.plans import derived
     from usagelens.sources import otlp
 
     from usagelens.plans import landed
@@ -265,22 +314,19 @@ def _otlp_records(spark, sf_dir):
     key = (fixtures.session_key(spark), sf_dir)
     if key not in _OTLP:
         path = landed.otlp_payload_dir(spark, sf_dir)
-        payloads = spark.read.text(path).select(
-            F.concat_ws("#", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")).alias("file"),
-            "value")
         records = otlp.read_otlp(spark, path, fixtures.AS_OF)
-        _OTLP[key] = (payloads, records, otlp.route(records))
-    return _OTLP[key][1]
+        _OTLP[key] = (records, otlp.route(records))
+    return _OTLP[key][0]
 
 
 def _otlp_routed(spark, sf_dir):
     _otlp_records(spark, sf_dir)
-    return _OTLP[(fixtures.session_key(spark), sf_dir)][2]
+    return _OTLP[(fixtures.session_key(spark), sf_dir)][1]
 
 
 def _otlp_table(name):
     def q(spark, sf_dir):
-        return stable(_otlp_routed(spark, sf_dir)[name].drop("id"), keep=RAW)
+        return stable(_otlp_routed(spark, sf_dir)[name].drop("id", "ingest_seq"), keep=RAW)
     q.__name__ = f"q_otlp_{name}"
     return q
 
@@ -312,13 +358,20 @@ def q_otlp_profile(spark, sf_dir):
 
 @register("otlp_quarantine")
 def q_otlp_quarantine(spark, sf_dir):
-    from usagelens.plans import derived
+    """Rejects by reason, with the text of those that are no JSON."""
     from usagelens.sources import otlp
 
-    _otlp_records(spark, sf_dir)
-    payloads = _OTLP[(fixtures.session_key(spark), sf_dir)][0]
-    q = otlp.quarantine(payloads, fixtures.AS_OF)
-    return q.groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+    q = otlp.quarantined(_otlp_records(spark, sf_dir))
+    text = F.when(F.col("reason") == otlp.BAD_JSON, F.col("payload"))
+    return q.groupBy("reason", text.alias("payload")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@register("otlp_record_keys")
+def q_otlp_keys(spark, sf_dir):
+    """Every record has its own id, and its place in the payload."""
+    r = _otlp_records(spark, sf_dir).filter(F.coalesce(F.col("reason") != "invalid JSON", F.lit(True)))
+    return r.groupBy(F.col("ingest_pos.rl_pos").alias("rl_pos"), F.col("ingest_pos.rec_pos").alias("rec_pos")).agg(
+        F.count(F.lit(1)).alias("records"), F.countDistinct("id").alias("ids"))
 
 
 # ── billing ─────────────────────────────────────────────────────────────────
@@ -360,6 +413,30 @@ def q_commitment15(spark, sf_dir):
     return stable(billing.commitment_status(_t(spark, sf_dir), PLAN15, fixtures.AS_OF))
 
 
+@register("billing_summary")
+def q_billing_summary(spark, sf_dir):
+    """The billing view's parts as rows: period, seat prices, totals, users, pacing."""
+    from usagelens.operators import billing
+
+    b = billing.billing_summary(spark, _t(spark, sf_dir), fixtures.PLAN, fixtures.AS_OF)
+    row = lambda part, value: (F.lit(part).alias("part"), F.round(value.cast("double"), 6).alias("value"))
+    p, out = b["billing_period"], []
+    for c in ("days_elapsed", "days_remaining", "total_days"):
+        out.append(p.select(*row(c, F.col(c))))
+    for c in ("start", "end"):
+        out.append(p.select(*row(c, F.unix_seconds(c))))
+    totals = b["totals"]
+    out += [totals.select(*row(c, F.col(c))) for c in totals.columns]
+    for name, value in b["seat_costs"].items():
+        out.append(totals.select(*row(name, F.lit(float(value)))))
+    out.append(b["by_user"].agg(F.count(F.lit(1)).alias("n")).select(*row("users", F.col("n"))))
+    out.append(b["commitment"].select(*row("commitment_consumed", F.col("consumed"))))
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.unionByName(o)
+    return rows
+
+
 @register("join_roster")
 def q_join_roster(spark, sf_dir):
     from usagelens.operators import billing
@@ -406,25 +483,36 @@ def q_roster_tele_m(spark, sf_dir):
 @register("roster_csv_merge")
 def q_roster_merge(spark, sf_dir):
     from usagelens.operators import roster
-    from usagelens.plans import derived
-    from usagelens.sources import roster_csv
-
     from usagelens.plans import landed
+    from usagelens.sources import roster_csv
 
     t = _t(spark, sf_dir)
-    rows = roster_csv.parse_roster_lines(derived.roster_lines(t, landed.identities(spark, sf_dir)))
+    rows = roster_csv.read_roster_csv(spark, landed.roster_csv_dir(spark, sf_dir))
     return stable(roster.merge_roster(t.org_members, rows, fixtures.AS_OF))
 
 
 @register("roster_csv_rows")
 def q_roster_rows(spark, sf_dir):
-    from usagelens.plans import derived
+    from usagelens.plans import landed
     from usagelens.sources import roster_csv
 
+    return roster_csv.read_roster_csv(spark, landed.roster_csv_dir(spark, sf_dir)).drop("file", "line")
+
+
+@register("roster_upserted_count")
+def q_roster_upserted(spark, sf_dir):
+    from usagelens.operators import roster
     from usagelens.plans import landed
+    from usagelens.sources import roster_csv
 
-    rows = roster_csv.parse_roster_lines(derived.roster_lines(_t(spark, sf_dir), landed.identities(spark, sf_dir)))
-    return rows.drop("file")
+    return roster.upserted_count(roster_csv.read_roster_csv(spark, landed.roster_csv_dir(spark, sf_dir)))
+
+
+@register("roster_listing")
+def q_roster_listing(spark, sf_dir):
+    from usagelens.operators import roster
+
+    return stable(_placed(roster.roster_listing(_t(spark, sf_dir).org_members)))
 
 
 @register("patch_roster")
@@ -586,18 +674,56 @@ def q_stream_daily(spark, sf_dir):
     return stable(streams.stream_daily_cost(spark, sf_dir))
 
 
-@register("stream_otlp_api_requests")
-def q_stream_otlp(spark, sf_dir):
+@register("stream_usage_windows_hot_user")
+def q_stream_windows_hot(spark, sf_dir):
+    """A third of the stream's rows belong to one user."""
+    from usagelens.plans import streams
+
+    return stable(streams.stream_usage_windows(spark, sf_dir, hot=True))
+
+
+def _stream_otlp_table(name):
+    def q(spark, sf_dir):
+        from usagelens.plans import streams
+
+        return stable(streams.stream_otlp_table(spark, sf_dir, name), keep=RAW)
+    return q
+
+
+for _name in ("api_requests", "tool_uses", "user_prompts", "api_errors", "tool_decisions"):
+    register(f"stream_otlp_{_name}")(_stream_otlp_table(_name))
+
+
+@register("stream_otlp_quarantine")
+def q_stream_quarantine(spark, sf_dir):
+    from usagelens.plans import streams
+
+    q = streams.stream_otlp_quarantine(spark, sf_dir)
+    text = F.when(F.col("reason") == "invalid JSON", F.col("payload"))
+    return q.groupBy("reason", text.alias("payload")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@register("sample_rows_ingested")
+def q_stream_sample(spark, sf_dir):
+    """H7 over ingested data: the latest rows by arrival of one batch read."""
+    t = usage_tables(api_requests=_otlp_routed(spark, sf_dir)["api_requests"])
+    return stable(usage.sample_rows(spark, t).drop("id"), keep=RAW)
+
+
+@register("stream_synced_by_model")
+def q_synced_by_model(spark, sf_dir):
+    """Requests synced from the invocation log are found by every analytic."""
     from usagelens.plans import streams
 
-    return stable(streams.stream_otlp_table(spark, sf_dir, "api_requests"), keep=RAW)
+    return stable(usage.by_model(spark, streams.synced_tables(spark, sf_dir), Filters(source="bedrock")))
 
 
-@register("stream_otlp_tool_decisions")
-def q_stream_otlp_dec(spark, sf_dir):
+@register("stream_ingested_summary")
+def q_ingested_summary(spark, sf_dir):
+    """KPIs over the tables a stream has written."""
     from usagelens.plans import streams
 
-    return stable(streams.stream_otlp_table(spark, sf_dir, "tool_decisions"))
+    return stable(usage.summary(spark, streams.ingested_tables(spark, sf_dir), ALL))
 
 
 @register("stream_alias_coverage")
@@ -656,7 +782,7 @@ def q_weekly_m(spark, sf_dir):
 @register("session_timeline_one_session")
 def q_timeline_one(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return stable(sessions.session_timeline(t, "s_12_2024-01-30", nested=False))
+    return stable(sessions.session_timeline(t, A_SESSION, nested=False))
 
 
 @register("session_conversation")
@@ -665,7 +791,7 @@ def q_conversation(spark, sf_dir):
     (nested), flattened to one row per entry with its position; the tool
     list becomes an ordered name list."""
     t = _t(spark, sf_dir)
-    c = sessions.session_conversation(t, "s_12_2024-01-30")
+    c = sessions.session_conversation(t, A_SESSION)
     e = c.select("session_id", F.posexplode("conversation").alias("pos", "e"))
     return stable(e.select(
         "session_id", "pos", F.col("e.prompt_id").alias("prompt_id"), F.col("e.timestamp").alias("timestamp"),

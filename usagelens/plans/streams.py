@@ -14,42 +14,30 @@ from usagelens.session import scratch_path
 from usagelens.sources import facts, fixtures
 from usagelens.streaming import ingest, live
 
-SENTINEL_TS = dt.datetime(2100, 1, 1)
-SENTINEL_USER = landed.SENTINEL_USER
-# Files of a landed folder are not streamed in time order, so the test runs
-# use a watermark wider than the data's span: nothing is late, and the
-# sentinel still moves the watermark past every real window.
-TEST_WATERMARK = "365 days"
 
-
-def _run_live(spark: SparkSession, sf_dir: str, build, name: str) -> DataFrame:
-    src = landed.requests_with_sentinel(spark, sf_dir)
+def _live(spark: SparkSession, src: str, name: str, start) -> str:
     root = scratch_path(spark, name)
     schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(src)
-    q = (build(stream).writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", f"{root}/_checkpoint").option("path", f"{root}/out")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    start(stream, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    return f"{root}/out"
 
 
-def stream_usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run_live(spark, sf_dir, lambda s: live.stream_usage_windows(s, watermark=TEST_WATERMARK), "o3")
-    return out.filter(F.col("user_email").isNull() | (F.col("user_email") != SENTINEL_USER))
+def stream_usage_windows(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
+    src = landed.requests_dir(spark, sf_dir, hot)
+    return live.read_usage_windows(spark, _live(spark, src, "o3", live.stream_usage_windows)).drop("window_id")
 
 
 def stream_daily_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run_live(spark, sf_dir, lambda s: live.stream_daily_cost(s, watermark=TEST_WATERMARK), "o4")
-    return out.filter(F.col("day") < F.lit(SENTINEL_TS.date()))
+    return live.read_daily_cost(spark, _live(spark, landed.requests_dir(spark, sf_dir), "o4", live.stream_daily_cost))
 
 
 _RUNS: dict = {}
 
 
 def _otlp_ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """One ingest stream per session (five fact tables + aliases); the
-    streaming queries below read its outputs."""
+    """One ingest stream per session (five fact tables, quarantine, aliases);
+    the streaming queries below read its outputs."""
     key = (fixtures.session_key(spark), sf_dir)
     if key not in _RUNS:
         src = landed.otlp_payload_dir(spark, sf_dir)
@@ -63,31 +51,51 @@ def _otlp_ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 
 def stream_otlp_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     root, _ = _otlp_ingested(spark, sf_dir)
-    return facts.read_fact(spark, root, name).drop("id")
+    return facts.read_fact(spark, root, name).drop("id", "ingest_seq")
 
 
-def stream_alias_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+def stream_otlp_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = _otlp_ingested(spark, sf_dir)
+    return ingest.read_quarantine(spark, root)
+
+
+def ingested_tables(spark: SparkSession, sf_dir: str):
+    root, _ = _otlp_ingested(spark, sf_dir)
+    return facts.load_stored_tables(spark, root)
+
 
+def stream_alias_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored alias, whether it is unique, and whether the numbers run
+    from 1 without a gap."""
     _, alias_path = _otlp_ingested(spark, sf_dir)
     a = ingest.read_aliases(spark, alias_path)
-    unique = F.count(F.lit(1)).over(Window.partitionBy("alias")) == 1
-    return a.select("email", (F.col("alias").rlike(r"^USER-[1-9][0-9]*$") & unique).alias("valid"))
+    number = F.regexp_extract("alias", r"^USER-([1-9][0-9]*)$", 1).try_cast("bigint")
+    span = a.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("alias").alias("d"), F.min(number).alias("lo"), F.max(number).alias("hi"))
+    valid = (F.col("d") == F.col("n")) & (F.col("lo") == 1) & (F.col("hi") == F.col("n"))
+    whole = span.select(F.lit(1).alias("one"), valid.alias("valid"))  # one row
+    return a.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").select("email", "valid")
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> str:
+    """Facts with some request ids stored before, then one sync stream."""
+    key = ("o2", fixtures.session_key(spark), sf_dir)
+    if key not in _RUNS:
+        t = fixtures.load_tables(spark, sf_dir)
+        src = landed.invocation_log_dir(spark, sf_dir)
+        root = scratch_path(spark, "o2")
+        sink = f"{root}/facts"
+        facts.write_request_ids(derived.stored_request_ids(t), sink, "before")
+        ingest.stream_ingest_invocations(
+            spark, src, sink, f"{root}/_checkpoint", last_sync=dt.datetime.fromisoformat(derived.SYNC_FROM),
+            as_of=fixtures.AS_OF, max_files_per_trigger=12).awaitTermination()
+        _RUNS[key] = sink
+    return _RUNS[key]
 
 
 def stream_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixtures.load_tables(spark, sf_dir)
-    src = landed.invocation_log_dir(spark, sf_dir)
-    root = scratch_path(spark, "o2")
-    sink = f"{root}/requests"
-    # Ids stored before the stream started.
-    derived.stored_request_ids(t).withColumn("batch_id", F.lit(-1).cast("bigint")) \
-        .write.partitionBy("batch_id").parquet(sink)
-    q = ingest.stream_ingest_invocations(
-        spark, src, sink, f"{root}/_checkpoint",
-        last_sync=dt.datetime.fromisoformat(derived.SYNC_FROM), as_of=fixtures.AS_OF, max_files_per_trigger=12)
-    q.awaitTermination()
-    _RUNS[("o2", fixtures.session_key(spark), sf_dir)] = sink
-    out = spark.read.option("mergeSchema", "true").parquet(sink).filter(F.col("batch_id") >= 0)
-    return out.select("timestamp", "user_email", "model", "cost_usd", "input_tokens", "output_tokens", "source",
-                      "aws_request_id")
+    return facts.read_fact(spark, _synced(spark, sf_dir), "api_requests").select(
+        "timestamp", "user_email", "model", "cost_usd", "input_tokens", "output_tokens", "source", "aws_request_id")
+
+
+def synced_tables(spark: SparkSession, sf_dir: str):
+    return facts.load_stored_tables(spark, _synced(spark, sf_dir))

@@ -11,8 +11,12 @@ def _struct(*cols) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in cols])
 
 
+# Arrival order: time of ingest, then file, place in the file (start of the
+# block it was read in, then the row), then the place inside the payload.
+INGEST_SEQ = _struct(("at", TS), ("file", S), ("block", L), ("row", L), ("rl", I), ("sl", I), ("rec", I))
+
 COMMON = [
-    ("id", L), ("timestamp", TS), ("session_id", S), ("prompt_id", S),
+    ("id", L), ("ingest_seq", INGEST_SEQ), ("timestamp", TS), ("session_id", S), ("prompt_id", S),
     ("user_email", S), ("user_id", S), ("org_id", S),
 ]
 
@@ -25,7 +29,7 @@ API_REQUESTS = _struct(
 )
 TOOL_USES = _struct(*COMMON, ("tool_name", S), ("success", I), ("duration_ms", L), ("error", S))
 USER_PROMPTS = _struct(*COMMON, ("prompt_length", L), ("prompt_content", S))
-API_ERRORS = _struct(*COMMON, ("error_message", S), ("status_code", I), ("retries", I))
+API_ERRORS = _struct(*COMMON, ("error_message", S), ("status_code", L), ("retries", L))
 TOOL_DECISIONS = _struct(*COMMON, ("tool_name", S), ("decision", S))
 
 FACTS = {

@@ -1,12 +1,28 @@
-"""The fact-table sink and additive schema alignment."""
+"""The fact-table sink and additive schema alignment.
+
+One layout for batch and streaming writers: ``table/event_date=D/ingest=K``.
+``ingest`` names the write (a stream and its batch, or one batch call), so a
+replayed write replaces exactly its own folders and writers never touch each
+other's. ``event_date`` is outermost, so time filters prune whole days.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagelens import schemas
+from usagelens.session import configure, path_exists
+
+PARTITIONS = T.StructType([T.StructField("event_date", T.DateType()), T.StructField("ingest", T.StringType())])
+# Stored request ids lie in so many hash buckets: a sync reads only the
+# buckets its own ids fall into.
+ID_BUCKETS = 32
+ID_INDEX = T.StructType([T.StructField("aws_request_id", T.StringType()), T.StructField("bucket", T.IntegerType()),
+                         T.StructField("ingest", T.StringType())])
 
 
 def align_schema(df: DataFrame, schema: T.StructType, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -20,39 +36,50 @@ def align_schema(df: DataFrame, schema: T.StructType, extra: tuple[str, ...] = (
     return df.select(*cols, *[F.col(c) for c in extra if c in df.columns])
 
 
-def write_facts(tables: dict[str, DataFrame], root: str, mode: str = "append",
-                batch_id: int | None = None, parallel: bool = False) -> None:
-    """One parquet table per fact, partitioned by UTC event date. With a
-    ``batch_id`` each table is written to ``batch_id=N`` with overwrite, so
-    a replayed micro-batch replaces its own output (idempotent). With
-    ``parallel`` the independent table writes are submitted as concurrent
-    jobs (useful when one batch is too small to fill the cluster)."""
+def new_ingest() -> str:
+    return f"batch-{uuid.uuid4().hex[:16]}"
+
+
+def _write(df: DataFrame, path: str, *partitions: str) -> None:
+    """Replace the partitions that ``df`` holds. The rows are rebalanced by the
+    first partition column: few files where a value is small, several tasks
+    where it is large."""
+    df.hint("rebalance", F.col(partitions[0])).write.partitionBy(*partitions).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_facts(tables: dict[str, DataFrame], root: str, ingest: str | None = None, parallel: bool = False) -> str:
+    """One parquet table per fact. ``ingest`` names this write (default: a
+    new name); the same name again replaces the earlier write's days. With
+    ``parallel`` the independent table writes are submitted as concurrent jobs
+    (useful when one batch is too small to fill the cluster)."""
+    ingest = ingest or new_ingest()
+
     def write(item):
         name, df = item
-        out = align_schema(df, schemas.FACTS[name]).withColumn("event_date", F.to_date("timestamp"))
-        path = f"{root.rstrip('/')}/{name}"
-        w = out.write.partitionBy("event_date")
-        if batch_id is not None:
-            w.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        else:
-            w.mode(mode).parquet(path)
+        out = align_schema(df, schemas.FACTS[name])
+        out = out.withColumn("event_date", F.to_date("timestamp")).withColumn("ingest", F.lit(ingest))
+        _write(out, f"{root.rstrip('/')}/{name}", "event_date", "ingest")
 
     if not parallel:
         for item in tables.items():
             write(item)
-        return
+        return ingest
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(max_workers=len(tables)) as pool:
         for f in [pool.submit(write, item) for item in tables.items()]:
             f.result()  # re-raises the first failure; the batch is then replayed
+    return ingest
 
 
 def read_fact(spark: SparkSession, root: str, name: str, keep_partition_date: bool = False) -> DataFrame:
-    """A stored fact table; ``mergeSchema`` reconciles files written before
-    a column was added. With ``keep_partition_date`` the ``event_date``
+    """A stored fact table, read with its declared schema (no footer is opened
+    for it; columns that older files lack are NULL). A table nothing was
+    written to is empty. With ``keep_partition_date`` the ``event_date``
     partition column stays, so time filters prune partitions."""
-    df = spark.read.option("mergeSchema", "true").parquet(f"{root.rstrip('/')}/{name}")
+    path = f"{root.rstrip('/')}/{name}"
+    schema = T.StructType(schemas.FACTS[name].fields + PARTITIONS.fields)
+    df = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
     return align_schema(df, schemas.FACTS[name], extra=("event_date",) if keep_partition_date else ())
 
 
@@ -61,8 +88,35 @@ def load_stored_tables(spark: SparkSession, facts_root: str, dims: dict | None =
     optional dimension DataFrames (org_members, user_aliases, teams,
     team_members)."""
     from usagelens.params import Tables
-    from usagelens.session import configure
 
     configure(spark)
     f = {n: read_fact(spark, facts_root, n, keep_partition_date=True) for n in schemas.FACTS}
     return Tables(**f, **(dims or {}))
+
+
+# ── ids of synced requests ──────────────────────────────────────────────────
+def id_bucket(c="aws_request_id"):
+    return F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int")
+
+
+def write_request_ids(ids: DataFrame, root: str, ingest: str) -> None:
+    """Note the request ids (``aws_request_id``) that ``ingest`` has stored."""
+    rows = ids.select("aws_request_id").where("aws_request_id is not null")
+    _write(rows.withColumn("bucket", id_bucket()).withColumn("ingest", F.lit(ingest)),
+           f"{root.rstrip('/')}/_request_ids", "bucket", "ingest")
+
+
+def read_request_ids(spark: SparkSession, root: str, buckets: list[int] | None = None,
+                     without: str | None = None) -> DataFrame | None:
+    """Stored request ids, of some buckets only, without those of one ingest
+    (its replay replaces them); None if none were ever stored. A folder that
+    exists but cannot be read is an error."""
+    path = f"{root.rstrip('/')}/_request_ids"
+    if not path_exists(spark, path):
+        return None
+    ids = spark.read.schema(ID_INDEX).parquet(path)
+    if buckets is not None:
+        ids = ids.where(F.col("bucket").isin(buckets))
+    if without is not None:
+        ids = ids.where(F.col("ingest") != without)
+    return ids.select("aws_request_id")

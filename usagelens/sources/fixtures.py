@@ -15,7 +15,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.params import Filters, PlanConfig, Tables
+from usagelens.params import PlanConfig, Tables
 from usagelens.session import configure
 
 # Fixed parameters of the registered queries.
@@ -26,7 +26,6 @@ PLAN = PlanConfig(
     commitment_end_date="2024-12-31", commitment_discount_pct=10,
 )
 TEAM_NAMES = [(1, "alpha"), (2, "beta"), (3, "empty")]
-INITIAL_ALIASES = 10
 IMPORTED_AT = dt.datetime(2024, 1, 1, 0, 0, 0)
 
 
@@ -168,18 +167,11 @@ def team_members_from_events(events: DataFrame) -> DataFrame:
 
 
 def initial_aliases(t: Tables) -> DataFrame:
-    """USER-1..USER-10 for the ten lowest emails (a top-k, so the window
-    below runs over ten rows)."""
-    from pyspark.sql import Window
+    """Aliases for the users with an even number, in the order of their emails."""
+    from usagelens.operators.aliases import all_identities, assign_aliases
 
-    from usagelens.operators.aliases import all_identities
-
-    low = all_identities(t).orderBy("email").limit(INITIAL_ALIASES)
-    return low.select(
-        "email",
-        F.concat(F.lit("USER-"), F.row_number().over(Window.orderBy("email")).cast("string")).alias("alias"),
-        F.lit(IMPORTED_AT).cast("timestamp").alias("created_at"),
-    )
+    number = F.regexp_extract("email", "[0-9]+", 0).cast("bigint")
+    return assign_aliases(all_identities(t).filter(number % 2 == 0), None, IMPORTED_AT)
 
 
 def sparse_requests(orders: DataFrame) -> DataFrame:
@@ -248,6 +240,3 @@ def _land_dimensions(spark: SparkSession, t: Tables) -> None:
         path = f"{root}/{name}"
         getattr(t, name).write.parquet(path)
         setattr(t, name, spark.read.parquet(path))
-
-
-DEFAULT_FILTERS = Filters()

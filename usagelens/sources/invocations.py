@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagelens.functions.models import arn_user, backfill_model_id, list_price, normalize_model
-from usagelens.operators.joins import checked_broadcast
 
 EVENT = T.StructType([T.StructField("timestamp", T.LongType()), T.StructField("message", T.StringType())])
 MESSAGE = T.StructType([
@@ -77,10 +76,21 @@ def dedup_by_request_id(new: DataFrame, stored_ids: DataFrame | None) -> DataFra
     only ids not stored already (an anti join; exact, no state expiry)."""
     w = Window.partitionBy(F.col("log.requestId")).orderBy("timestamp", "file", "pos")
     first = new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    if stored_ids is None:
-        return first
+    return first if stored_ids is None else without_stored(first, stored_ids)
+
+
+def without_stored(events: DataFrame, stored_ids: DataFrame) -> DataFrame:
+    """Parsed events whose request id is not stored yet."""
     s = stored_ids.select(F.col("aws_request_id").alias("_rid")).filter(F.col("_rid").isNotNull())
-    return first.join(s, F.col("log.requestId") == F.col("_rid"), "left_anti")
+    return events.join(s, F.col("log.requestId") == F.col("_rid"), "left_anti")
+
+
+def log_time(text) -> F.Column:
+    """The log's own time: ISO 8601 or the HTTP date form; anything else is
+    NULL (the event's time then counts)."""
+    http = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
+    return F.coalesce(F.try_to_timestamp(F.regexp_replace(text, "Z$", "")),
+                      F.try_to_timestamp(http, F.lit("dd MMM yyyy HH:mm:ss 'GMT'")))
 
 
 def invocations_to_requests(events: DataFrame) -> DataFrame:
@@ -90,10 +100,9 @@ def invocations_to_requests(events: DataFrame) -> DataFrame:
     tout = F.coalesce(F.col("log.output.outputTokenCount"), F.lit(0)).cast("bigint")
     model = normalize_model(F.col("log.modelId"))
     log_ts = F.nullif(F.col("log.timestamp"), F.lit(""))
-    ts = F.when(log_ts.isNotNull(), F.to_timestamp(F.regexp_replace(log_ts, "Z$", ""))) \
-        .otherwise(F.timestamp_millis("timestamp"))
+    ts = F.coalesce(log_time(log_ts), F.timestamp_millis("timestamp"))
     return events.select(
-        F.xxhash64("file", "pos", F.col("log.requestId")).alias("id"),
+        F.xxhash64("file", "message", F.col("log.requestId")).alias("id"),
         ts.alias("timestamp"),
         arn_user(F.col("log.identity.arn")).alias("user_email"),
         model.alias("model"),
@@ -110,7 +119,7 @@ def sync_invocations(events: DataFrame, stored_ids: DataFrame | None, last_sync:
     """A4 + C1 + C2 + C6: the rows one sync inserts."""
     kept = keep_invocations(invocation_window(events, last_sync, as_of))
     if stored_ids is not None:
-        stored_ids = checked_broadcast(stored_ids.select("aws_request_id"))
+        stored_ids = stored_ids.select("aws_request_id")
     return invocations_to_requests(dedup_by_request_id(kept, stored_ids))
 
 
@@ -122,7 +131,7 @@ def sync_stats(events: DataFrame, stored_ids: DataFrame | None, last_sync: dt.da
     shuffle, so a hot id does not concentrate in one task."""
     kept = keep_invocations(invocation_window(events, last_sync, as_of)).select(F.col("log.requestId").alias("rid"))
     if stored_ids is not None:
-        s = checked_broadcast(stored_ids.select(F.col("aws_request_id").alias("_rid"))
+        s = (stored_ids.select(F.col("aws_request_id").alias("_rid"))
                               .filter(F.col("_rid").isNotNull()).distinct())
         kept = kept.join(s, F.col("rid") == F.col("_rid"), "left")
     else:

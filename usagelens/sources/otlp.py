@@ -61,6 +61,24 @@ PAYLOAD = T.StructType([T.StructField("resourceLogs", T.ArrayType(RESOURCE_LOGS)
 # Event names routed to the five fact tables.
 EVENT_PREFIX = "claude_code."
 DEFAULT_SOURCE = "claude_code"
+# Attribute keys of the wire format, in the order they are tried.
+MODEL_KEYS = ["gen_ai.request.model", "model", "modelID", "model_id"]
+COST_KEYS = ["cost_usd", "cost", "cost.usd", "claude_code.cost.usage"]
+INPUT_KEYS = ["gen_ai.usage.input_tokens", "input_tokens", "llm.usage.prompt_tokens", "gen_ai.usage.prompt_tokens",
+              "tokens.input", "input"]
+OUTPUT_KEYS = ["gen_ai.usage.output_tokens", "output_tokens", "llm.usage.completion_tokens",
+               "gen_ai.usage.completion_tokens", "tokens.output", "output"]
+CACHE_READ_KEYS = ["cache_read_input_tokens", "gen_ai.usage.cache_read_input_tokens", "cache_read_tokens", "tokens.cacheRead"]
+CACHE_CREATION_KEYS = ["cache_creation_input_tokens", "gen_ai.usage.cache_creation_input_tokens", "cache_creation_tokens",
+                       "tokens.cacheCreation"]
+DURATION_KEYS = ["duration_ms", "duration"]
+RESPONSE_KEYS = ["response.content", "gen_ai.response.content"]
+TOOL_KEYS = ["tool.name", "tool_name"]
+TOOL_DURATION_KEYS = ["tool.duration_ms", "duration_ms"]
+PROMPT_LENGTH_KEYS = ["prompt.length", "prompt_length"]
+PROMPT_KEYS = ["prompt", "prompt.content"]
+USER_ID_KEYS = ["user.id", "user.account_uuid"]
+# Event name -> fact table.
 EVENTS = {
     "api_request": "api_requests",
     "tool_result": "tool_uses",
@@ -70,28 +88,44 @@ EVENTS = {
 }
 
 
+# Fixed value: the largest distance from the epoch a JavaScript date can have.
+MAX_MS = 8_640_000_000_000_000
+
+
 # ── attribute maps ──────────────────────────────────────────────────────────
 # Each attribute's JavaScript value is computed once, when the map is built
 # (one ``transform`` over the values); lookups are then plain map probes.
 # Measured alternatives (rules applied at every lookup, or values parsed as
 # maps) generate far larger code and ran 2-3x slower.
-def _has_null(arr: Column) -> Column:
-    """Whether an array holds a NULL element (ascending sort puts NULLs
-    first); no lambda needed."""
-    return F.coalesce(F.size(arr) > 0, F.lit(False)) & F.try_element_at(F.sort_array(arr), F.lit(1)).isNull()
+def _any(arr: Column, test) -> Column:
+    return F.coalesce(F.exists(arr, test), F.lit(False))
+
+
+def _unread(v: Column) -> Column:
+    """A value that the AnyValue schema could not hold: an unknown kind, or not
+    an object (the parser leaves every field, or the struct itself, NULL)."""
+    return v.isNull() | F.coalesce(*[v[k] for k in SCALAR_KINDS + OTHER_KINDS]).isNull()
+
 
+def _raw_value(text: Column, path: Column, i: Column) -> Column:
+    """JSON of the i-th attribute's value, from the payload text (only read for
+    values that the schema could not hold); NULL if it has none."""
+    raw = F.call_function("get_json_object", text, F.concat(path, F.lit("["), i.cast("string"), F.lit("].value")))
+    return F.when(raw.rlike(r"^([\[{].*|-?[0-9][0-9.eE+-]*|true|false)$"), raw).otherwise(F.concat(F.lit('"'), raw, F.lit('"')))
 
-def _attr_value(v: Column) -> Column:
+
+def _attr_value(v: Column, raw: Column) -> Column:
     """struct(v, f) for one AnyValue (B3): ``v`` is the first of string,
-    int, double, bool (camelCase before snake_case) or the value's JSON;
-    ``f`` marks values JavaScript treats as falsy ('', numeric 0 from
-    doubleValue, false); intValue keeps its string encoding ('0' truthy)."""
+    int, double, bool (camelCase before snake_case) or the value's JSON
+    (``raw`` where the schema could not hold it); ``f`` marks values JavaScript
+    treats as falsy ('', numeric 0 from doubleValue, false); intValue keeps its
+    string encoding ('0' truthy)."""
     s = F.coalesce(v["stringValue"], v["string_value"])
     i = F.coalesce(v["intValue"], v["int_value"])
     d = F.coalesce(v["doubleValue"], v["double_value"])
     b = F.coalesce(v["boolValue"], v["bool_value"])
     structured = [F.concat(F.lit('{"' + k + '":'), v[k], F.lit("}")) for k in OTHER_KINDS]
-    val = F.coalesce(s, i, d, b, *structured, F.when(v.isNotNull(), F.lit("{}")))
+    val = F.coalesce(s, i, d, b, *structured, raw)
     falsy = (
         F.when(s.isNotNull(), s == "")
         .when(i.isNotNull(), F.lit(False))
@@ -102,18 +136,26 @@ def _attr_value(v: Column) -> Column:
     return F.struct(val.alias("v"), falsy.alias("f"))
 
 
-def attr_map(attrs: Column) -> Column:
+def attr_map(attrs: Column, text: Column | None = None, path: Column | None = None) -> Column:
     """Attribute list -> map<key, struct(v, f)>; a repeated key keeps
     the last value (session conf mapKeyDedupPolicy=LAST_WIN). NULL when an
-    attribute has no key (malformed; such records are quarantined)."""
+    attribute has no key (malformed; such records are quarantined). ``text``
+    and ``path`` say where the list lies in the payload, for values that are
+    kept as JSON."""
     a = F.coalesce(attrs, F.array().cast(ATTRIBUTES))
-    return F.when(~_has_null(a["key"]), F.map_from_arrays(a["key"], F.transform(a["value"], _attr_value)))
 
+    def value(v, i):
+        raw = F.lit(None).cast("string") if text is None else F.when(_unread(v), _raw_value(text, path, i))
+        return _attr_value(v, raw)
+
+    return F.when(~_any(a["key"], lambda k: k.isNull()), F.map_from_arrays(a["key"], F.transform(a["value"], value)))
 
-def malformed_attrs(attrs: Column) -> Column:
-    """An attribute without a key or without a value (the reference throws)."""
+
+def malformed_attrs(attrs: Column, m: Column) -> Column:
+    """An attribute without a key or without a value (the reference throws);
+    ``m`` is the list's map."""
     a = F.coalesce(attrs, F.array().cast(ATTRIBUTES))
-    return _has_null(a["key"]) | _has_null(a["value"])
+    return m.isNull() | (_any(a["value"], lambda v: v.isNull()) & _any(F.map_values(m), lambda e: e["v"].isNull()))
 
 
 ATTR_MAP = T.MapType(S, T.StructType([T.StructField("v", S), T.StructField("f", T.BooleanType())]))
@@ -147,7 +189,8 @@ def nanos_to_ts(nanos: Column, as_of: dt.datetime | Column | None) -> Column:
     """Epoch nanoseconds (text) -> timestamp truncated to ms; missing
     -> ``as_of`` (the reference uses the arrival time; None = the batch's
     processing time)."""
-    ms = F.floor(nanos.try_cast("decimal(30,0)") / F.lit(1_000_000)).cast("bigint")
+    ms = F.floor(nanos.try_cast("decimal(30,0)") / F.lit(1_000_000)).try_cast("bigint")
+    ms = F.when(F.abs(ms) <= MAX_MS, ms)  # beyond that no timestamp can hold it
     if as_of is None:
         fallback = F.current_timestamp()
     elif isinstance(as_of, Column):
@@ -175,7 +218,7 @@ def identity_cols(attrs: Column) -> list[Column]:
         truthy(attrs, ["session.id"]).alias("session_id"),
         truthy(attrs, ["prompt.id"]).alias("prompt_id"),
         truthy(attrs, ["user.email"]).alias("user_email"),
-        truthy(attrs, ["user.id", "user.account_uuid"]).alias("user_id"),
+        truthy(attrs, USER_ID_KEYS).alias("user_id"),
         truthy(attrs, ["organization.id"]).alias("org_id"),
     ]
 
@@ -190,43 +233,83 @@ def source_of(attrs: Column) -> Column:
     return F.coalesce(F.translate(truthy(attrs, ["service.name"]), "-", "_"), F.lit(DEFAULT_SOURCE))
 
 
+# Why a payload or record is quarantined.
+BAD_JSON, NO_VALUE = "invalid JSON", "attribute without value"
+
+
 # ── flatten ─────────────────────────────────────────────────────────────────
 def parse_payloads(payloads: DataFrame) -> DataFrame:
-    """(file, value) -> (file, p, bad_json). ``value`` is one payload; text
-    that is not JSON lands in the corrupt-record field (no second parse)."""
-    p = payloads.select("file", F.from_json("value", PAYLOAD, {"columnNameOfCorruptRecord": CORRUPT}).alias("p"))
-    return p.select("file", "p", (F.col("p").isNull() | F.col(f"p.{CORRUPT}").isNotNull()).alias("bad_json"))
+    """(file, value[, block, row]) -> (file, block, row, value, p, bad_json).
+    ``value`` is one payload; text that is not JSON lands in the corrupt-record
+    field (no second parse). A payload in which only some value has another
+    type than declared is kept: the parser leaves that value NULL."""
+    none = F.lit(None).cast("bigint")
+    place = [F.col(c) if c in payloads.columns else none.alias(c) for c in ("block", "row")]
+    p = payloads.select("file", *place, "value", F.explode_outer(F.array(
+        F.from_json("value", PAYLOAD, {"columnNameOfCorruptRecord": CORRUPT}))).alias("p"))
+    unread = F.coalesce("p.resourceLogs", "p.resource_logs").isNull() & F.col(f"p.{CORRUPT}").isNotNull()
+    return p.select("file", "block", "row", "value", "p", (F.col("p").isNull() | unread).alias("bad_json"))
 
 
 def flatten_records(parsed: DataFrame) -> DataFrame:
     """B2: resourceLogs -> scopeLogs -> logRecords (empty levels give no
-    rows, and so does text that is not JSON); positions are kept for the
-    stable record id."""
-    rl = parsed.select(
-        "file", F.posexplode(F.coalesce("p.resourceLogs", "p.resource_logs")).alias("rl_pos", "rl"))
-    sl = rl.select("file", "rl_pos", F.col("rl.resource.attributes").alias("res_attrs"),
-                   F.posexplode(F.coalesce("rl.scopeLogs", "rl.scope_logs")).alias("sl_pos", "sl"))
-    return sl.select("file", "rl_pos", "res_attrs", "sl_pos",
-                     F.posexplode(F.coalesce("sl.logRecords", "sl.log_records")).alias("rec_pos", "rec"))
+    rows). Text that is not JSON gives one row without a record, so that it
+    reaches the quarantine in the same pass. Positions are kept for the record
+    id and the arrival order, paths for values that are kept as JSON."""
+    def level(bad, camel, snake):
+        return F.when(bad, F.array(F.lit(None))).otherwise(F.coalesce(camel, snake))
+
+    def path(before, pos, camel, name, snake):
+        key = F.when(F.col(camel).isNotNull(), F.lit(name)).otherwise(F.lit(snake))
+        return F.concat(before, key, F.lit("["), pos.cast("string"), F.lit("]"))
+
+    keep = ["file", "block", "row", "value", "bad_json"]
+    bad = F.col("bad_json")
+    rl = parsed.select(*keep, "p", F.posexplode(level(bad, "p.resourceLogs", "p.resource_logs")).alias("rl_pos", "rl"))
+    rl = rl.select(*keep, "rl_pos", "rl", path(F.lit("$."), F.col("rl_pos"), "p.resourceLogs", "resourceLogs", "resource_logs").alias("rl_path"))
+    sl = rl.select(*keep, "rl_pos", "rl", "rl_path", F.posexplode(level(bad, "rl.scopeLogs", "rl.scope_logs")).alias("sl_pos", "sl"))
+    sl = sl.select(*keep, "rl_pos", "rl_path", F.col("rl.resource.attributes").alias("res_attrs"), "sl_pos", "sl",
+                   path(F.concat("rl_path", F.lit(".")), F.col("sl_pos"), "rl.scopeLogs", "scopeLogs", "scope_logs").alias("sl_path"))
+    rec = sl.select(*keep, "rl_pos", "rl_path", "res_attrs", "sl_pos", "sl", "sl_path",
+                    F.posexplode(level(bad, "sl.logRecords", "sl.log_records")).alias("rec_pos", "rec"))
+    return rec.select(*keep, "rl_pos", "rl_path", "res_attrs", "sl_pos", "rec_pos", "rec",
+                      path(F.concat("sl_path", F.lit(".")), F.col("rec_pos"), "sl.logRecords", "logRecords", "log_records").alias("rec_path"))
 
 
 def normalize_records(records: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row per log record with the event, timestamp, merged
-    attributes, source and identity columns. ``quarantined`` marks records
-    with an attribute that has no value (the reference throws there)."""
-    rec_map = attr_map(F.col("rec.attributes"))
-    attrs = merge_attrs(attr_map(F.col("res_attrs")), rec_map)
-    no_value = malformed_attrs(F.col("rec.attributes")) | malformed_attrs(F.col("res_attrs"))
-    name = event_name(F.col("rec.body"), rec_map)
+    attributes, source and identity columns. ``reason`` says why a row is
+    quarantined (NULL: it is not), ``payload`` then holds its text.
+
+    ``id`` hashes the file, the payload's content and the place inside the
+    payload: it does not depend on how the file was split (a payload line that
+    is repeated in one file repeats its ids). ``ingest_seq`` is the arrival
+    order. The maps come out of a generator, so each is built once and not
+    inlined into every expression that looks something up."""
+    text = F.col("value")
+    recs = records.select("*", F.explode_outer(F.array(F.struct(
+        attr_map(F.col("rec.attributes"), text, F.concat("rec_path", F.lit(".attributes"))).alias("rec"),
+        attr_map(F.col("res_attrs"), text, F.concat("rl_path", F.lit(".resource.attributes"))).alias("res")))).alias("maps"))
+    no_value = malformed_attrs(F.col("rec.attributes"), F.col("maps.rec")) | malformed_attrs(F.col("res_attrs"), F.col("maps.res"))
+    reason = F.when(F.col("bad_json"), BAD_JSON).when(no_value, NO_VALUE)
+    recs = recs.withColumn("reason", reason).withColumn("attrs", F.explode_outer(F.array(
+        merge_attrs(F.col("maps.res"), F.col("maps.rec")))))
+    name = event_name(F.col("rec.body"), F.col("maps.rec"))
     nanos = _first_nonempty(F.col("rec.timeUnixNano"), F.col("rec.time_unix_nano"),
                             F.col("rec.observedTimeUnixNano"), F.col("rec.observed_time_unix_nano"))
-    out = records.select(
-        F.xxhash64("file", "rl_pos", "sl_pos", "rec_pos").alias("id"),
-        F.struct("file", "rl_pos", "sl_pos", "rec_pos").alias("ingest_pos"),
+    at = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    content = F.xxhash64(text)
+    out = recs.select(
+        F.xxhash64(F.col("file"), content, F.col("rl_pos"), F.col("sl_pos"), F.col("rec_pos")).alias("id"),
+        F.struct("file", content.alias("payload"), "rl_pos", "sl_pos", "rec_pos").alias("ingest_pos"),
+        F.struct(at.alias("at"), "file", "block", "row", F.col("rl_pos").alias("rl"), F.col("sl_pos").alias("sl"),
+                 F.col("rec_pos").alias("rec")).alias("ingest_seq"),
         nanos_to_ts(nanos, as_of).alias("timestamp"),
         name.alias("event_name"),
-        attrs.alias("attrs"),
-        no_value.alias("quarantined"),
+        "attrs",
+        "reason",
+        F.col("reason").isNotNull().alias("quarantined"),
+        F.when(F.col("reason").isNotNull(), text).alias("payload"),
     )
     a = F.col("attrs")
     return out.select("*", canonical_event(F.col("event_name")).alias("event"), source_of(a).alias("source"),
@@ -244,36 +327,39 @@ def read_otlp(spark: SparkSession, path: str, as_of: dt.datetime, one_per_file:
     most 10 MB in the reference, which bounds that task)."""
     configure(spark)
     reader = spark.read.option("wholetext", True) if one_per_file else spark.read
-    df = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    if not one_per_file:
-        df = df.withColumn("file", F.concat_ws("#", "file", F.monotonically_increasing_id().cast("string")))
-    return flatten_otlp(df, as_of)
+    return flatten_otlp(with_place(reader.text(path)), as_of)
+
+
+def with_place(lines: DataFrame) -> DataFrame:
+    """(file, block, row, value) of text lines: where each was read. Within a
+    file, (block, row) follows the order of the lines, however it is split."""
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("row"), "value")
 
 
 def quarantine(payloads: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Rejected input: payloads that are not JSON, records with an
-    attribute lacking a value."""
-    parsed = parse_payloads(payloads)
-    bad = parsed.filter("bad_json").select("file", F.lit("invalid JSON").alias("reason"),
-                                           F.lit(None).cast("bigint").alias("id"))
-    recs = normalize_records(flatten_records(parsed), as_of).filter("quarantined").select(
-        F.col("ingest_pos.file").alias("file"), F.lit("attribute without value").alias("reason"), "id")
-    return bad.unionByName(recs)
+    """Rejected input with its text: payloads that are not JSON, records with
+    an attribute lacking a value."""
+    return quarantined(flatten_otlp(payloads, as_of))
+
+
+def quarantined(records: DataFrame) -> DataFrame:
+    """The quarantined rows among ``records``: file, reason, id, payload (a
+    rejected payload can be replayed from its text)."""
+    return records.filter("quarantined").select(F.col("ingest_pos.file").alias("file"), "reason", "id", "payload")
 
 
 # ── routing and projections ─────────────────────────────────────────────────
 def _common() -> list[Column]:
-    return [F.col(c) for c in ("id", "timestamp", "session_id", "prompt_id", "user_email", "user_id", "org_id")]
+    return [F.col(c) for c in ("id", "ingest_seq", "timestamp", "session_id", "prompt_id", "user_email", "user_id", "org_id")]
 
 
 def _usage(a: Column) -> list[Column]:
     """cost, input and output tokens of an api_request (B11 fallbacks)."""
     return [
-        to_num(present(a, ["cost_usd", "cost", "cost.usd", "claude_code.cost.usage"])).alias("cost_usd"),
-        to_int(present(a, ["gen_ai.usage.input_tokens", "input_tokens", "llm.usage.prompt_tokens",
-                           "gen_ai.usage.prompt_tokens", "tokens.input", "input"])).alias("input_tokens"),
-        to_int(present(a, ["gen_ai.usage.output_tokens", "output_tokens", "llm.usage.completion_tokens",
-                           "gen_ai.usage.completion_tokens", "tokens.output", "output"])).alias("output_tokens"),
+        to_num(present(a, COST_KEYS)).alias("cost_usd"),
+        to_int(present(a, INPUT_KEYS)).alias("input_tokens"),
+        to_int(present(a, OUTPUT_KEYS)).alias("output_tokens"),
     ]
 
 
@@ -282,16 +368,14 @@ def to_api_requests(df: DataFrame) -> DataFrame:
     a = F.col("attrs")
     return df.select(
         *_common(),
-        truthy(a, ["gen_ai.request.model", "model", "modelID", "model_id"]).alias("model"),
+        truthy(a, MODEL_KEYS).alias("model"),
         *_usage(a),
-        to_int(present(a, ["cache_read_input_tokens", "gen_ai.usage.cache_read_input_tokens",
-                           "cache_read_tokens", "tokens.cacheRead"])).alias("cache_read_tokens"),
-        to_int(present(a, ["cache_creation_input_tokens", "gen_ai.usage.cache_creation_input_tokens",
-                           "cache_creation_tokens", "tokens.cacheCreation"])).alias("cache_creation_tokens"),
-        to_int(present(a, ["duration_ms", "duration"])).alias("duration_ms"),
+        to_int(present(a, CACHE_READ_KEYS)).alias("cache_read_tokens"),
+        to_int(present(a, CACHE_CREATION_KEYS)).alias("cache_creation_tokens"),
+        to_int(present(a, DURATION_KEYS)).alias("duration_ms"),
         truthy(a, ["app.version"]).alias("app_version"),
         truthy(a, ["terminal.type"]).alias("terminal_type"),
-        truthy(a, ["response.content", "gen_ai.response.content"]).alias("response_content"),
+        truthy(a, RESPONSE_KEYS).alias("response_content"),
         "source",
         F.lit(None).cast("string").alias("aws_request_id"),
     )
@@ -302,9 +386,9 @@ def to_tool_uses(df: DataFrame) -> DataFrame:
     a = F.col("attrs")
     return df.select(
         *_common(),
-        truthy(a, ["tool.name", "tool_name"]).alias("tool_name"),
+        truthy(a, TOOL_KEYS).alias("tool_name"),
         F.when(present(a, ["tool.success"]) == "true", 1).otherwise(0).alias("success"),
-        to_int(truthy(a, ["tool.duration_ms", "duration_ms"])).alias("duration_ms"),
+        to_int(truthy(a, TOOL_DURATION_KEYS)).alias("duration_ms"),
         truthy(a, ["tool.error"]).alias("error"),
     )
 
@@ -314,8 +398,8 @@ def to_user_prompts(df: DataFrame) -> DataFrame:
     a = F.col("attrs")
     return df.select(
         *_common(),
-        to_int(present(a, ["prompt.length", "prompt_length"])).alias("prompt_length"),
-        truthy(a, ["prompt", "prompt.content"]).alias("prompt_content"),
+        to_int(present(a, PROMPT_LENGTH_KEYS)).alias("prompt_length"),
+        truthy(a, PROMPT_KEYS).alias("prompt_content"),
     )
 
 
@@ -325,8 +409,8 @@ def to_api_errors(df: DataFrame) -> DataFrame:
     return df.select(
         *_common(),
         truthy(a, ["error.message"]).alias("error_message"),
-        to_int(present(a, ["http.status_code"])).cast("int").alias("status_code"),
-        to_int(present(a, ["retry.count"])).cast("int").alias("retries"),
+        to_int(present(a, ["http.status_code"])).alias("status_code"),
+        to_int(present(a, ["retry.count"])).alias("retries"),
     )
 
 
@@ -355,6 +439,18 @@ def route(records: DataFrame) -> dict[str, DataFrame]:
     return {table: PROJECTIONS[table](ok.filter(F.col("event") == ev)) for ev, table in EVENTS.items()}
 
 
+def ingest_otlp(records: DataFrame, root: str, ingest: str | None = None) -> str:
+    """A1 -> A7: ``records`` into the five fact tables below ``root``. The
+    payloads are parsed once; the tables are written from the kept records."""
+    from usagelens.sources.facts import write_facts
+
+    kept = records.persist()
+    try:
+        return write_facts(route(kept), root, ingest)
+    finally:
+        kept.unpersist()
+
+
 # ── diagnostics ─────────────────────────────────────────────────────────────
 def ingest_counts(records: DataFrame) -> DataFrame:
     """Stored records per target table (unknown events store 0)."""

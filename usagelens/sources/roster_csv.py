@@ -4,8 +4,7 @@ Header cells are trimmed and matched case-insensitively (name, email, role,
 status, seat tier, billing model); blank lines are skipped; cells are
 trimmed; commas split naively (no quoting); rows without an email are
 skipped; a file without an Email column is an error. Each file is read
-whole (one task per file) because the merge needs its line order; files
-are capped at 1 MB as in the reference, which bounds that task.
+whole (one task per file) because the merge needs its line order.
 """
 
 from __future__ import annotations
@@ -13,22 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.operators.joins import checked_broadcast
 
-MAX_FILE_BYTES = 1 << 20
 HEADERS = {"name": "name", "email": "email", "role": "role", "status": "status",
            "seat tier": "seat_tier", "billing model": "billing_model_raw"}
 
 
-def read_roster_lines(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def read_roster_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) for every line of the CSV files under ``path``."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"), "value")
-    checked = raw.select(
-        "file",
-        F.when(F.col("_size") > max_bytes, F.raise_error(F.lit("roster CSV larger than the 1 MB limit")))
-        .otherwise(F.col("value")).alias("value"))
-    return checked.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
 def _js_trim(c):
@@ -46,7 +38,7 @@ def parse_roster_lines(lines: DataFrame) -> DataFrame:
     nonblank = lines.filter(_js_trim(F.col("value")) != "")
     headers = nonblank.groupBy("file").agg(F.min_by("value", "line").alias("_h"), F.min("line").alias("_hline"))
     headers = headers.select(F.col("file").alias("_hfile"), "_hline", _cells(F.lower("_h")).alias("_cols"))
-    j = nonblank.join(checked_broadcast(headers), F.col("file") == F.col("_hfile"))
+    j = nonblank.join(headers, F.col("file") == F.col("_hfile"))
     pos = {k: F.array_position("_cols", k) for k in HEADERS}
     body = j.filter(F.col("line") > F.col("_hline")).withColumn("_cells", _cells(F.col("value")))
 
@@ -55,7 +47,7 @@ def parse_roster_lines(lines: DataFrame) -> DataFrame:
 
     out = body.select(
         "file", "line",
-        F.when(pos["email"] == 0, F.raise_error(F.lit("CSV missing Email column"))).otherwise(cell("email"))
+        F.when(pos["email"] == 0, F.raise_error(F.lit("roster file without an email column"))).otherwise(cell("email"))
         .alias("email"),
         *[F.nullif(cell(k), F.lit("")).alias(v) for k, v in HEADERS.items() if k not in ("email", "billing model")],
         cell("billing model").alias("billing_model_raw"),

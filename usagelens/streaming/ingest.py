@@ -1,33 +1,44 @@
 """Continuous ingest (O1, O2, O5) with Structured Streaming.
 
 The micro-batch body is the batch transform, unchanged. Output goes through
-``foreachBatch`` into ``batch_id=N`` folders with overwrite, so a batch
-replayed after a failure replaces its own files; offsets live in the
-checkpoint, which replaces the reference's sync high-water mark and is only
-committed after the batch succeeded.
+``foreachBatch`` into the fact tables' own layout under the name of the stream
+and the batch, so a batch replayed after a failure replaces its own rows and
+nothing else. The stream's name is the id Spark keeps in the checkpoint: a
+second stream, or one with a fresh checkpoint, never overwrites earlier rows.
+Offsets live in the checkpoint, which replaces the reference's sync high-water
+mark and is only committed after the batch succeeded.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from usagelens.operators.aliases import assign_aliases
-from usagelens.session import configure
+from usagelens.operators.aliases import new_aliases
+from usagelens.session import configure, path_exists
 from usagelens.sources import facts, invocations, otlp
 
+ALIASES = "email string, alias string, created_at timestamp, ingest string"
+
 
 def _trigger(writer, trigger: dict | None):
     return writer.trigger(**(trigger or {"availableNow": True}))
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark has stored in a started stream's checkpoint."""
+    line = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return json.loads(line)["id"]
+
+
 def otlp_stream(spark: SparkSession, source_dir: str, one_per_file: bool = False,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """A2: payload files arriving in ``source_dir`` as a stream of
-    (file, value)."""
+    (file, block, row, value)."""
     configure(spark)
     r = spark.readStream.format("text")
     if one_per_file:
@@ -35,80 +46,61 @@ def otlp_stream(spark: SparkSession, source_dir: str, one_per_file: bool = False
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.load(source_dir)
-    return df.select(F.col("_metadata.file_path").alias("file"), "value")
+    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
 stream_otlp = otlp_stream  # A2 under its inventory name
 
 
-def _with_record_key(batch: DataFrame) -> DataFrame:
-    """Payload key = file + a position that is deterministic for the batch's
-    files (so a replayed batch gets the same record ids)."""
-    return batch.select(F.concat_ws("#", "file", F.monotonically_increasing_id().cast("string")).alias("file"),
-                        "value")
+def read_aliases(spark: SparkSession, path: str | None, without: str | None = None) -> DataFrame | None:
+    """All aliases stored under ``path`` (appended by one write after the
+    other), without those of one ingest; None if nothing was stored yet."""
+    if not path or not path_exists(spark, path):
+        return None
+    a = spark.read.schema(ALIASES).parquet(path)
+    if without is not None:
+        a = a.where(F.col("ingest") != without)
+    return a.select("email", "alias", "created_at")
 
 
-def read_aliases(spark: SparkSession, path: str | None, before: int | None = None) -> DataFrame | None:
-    """The latest committed version of a versioned alias table
-    (``path/version=N``, each a complete table with a _SUCCESS marker)."""
-    if not path:
-        return None
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return None
-    versions = []
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name.split("=", 1)[1])
-            if before is None or v < before:
-                versions.append(v)
-    if not versions:
-        return None
-    return spark.read.parquet(f"{path.rstrip('/')}/version={max(versions)}")
+def _counts_row(spark: SparkSession, values: dict, path: str, ingest: str) -> None:
+    schema = ", ".join(f"{k} bigint" for k in values)
+    spark.createDataFrame([tuple(int(v) for v in values.values())], schema).coalesce(1) \
+        .write.mode("overwrite").json(f"{path.rstrip('/')}/ingest={ingest}")
 
 
-def otlp_batch_writer(sink_root: str, as_of: dt.datetime | None = None, alias_path: str | None = None):
+def otlp_batch_writer(sink_root: str, checkpoint: str, as_of: dt.datetime | None = None, alias_path: str | None = None):
     """The foreachBatch body of O1 (+ O5 when ``alias_path`` is given)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql import Observation
-
         spark = batch.sparkSession
         configure(spark)
+        ingest = f"{stream_id(spark, checkpoint)}-{batch_id}"
+        now = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         # B20 per batch: counts gathered while the batch is first computed
         # (no extra pass), stored as one row next to the facts.
         obs = Observation(f"ingest_{batch_id}")
-        counts = [F.count_if((F.col("event") == ev) & ~F.col("quarantined")).alias(tb)
-                  for ev, tb in otlp.EVENTS.items()]
-        known = F.col("event").isin(*otlp.EVENTS)
-        records = otlp.flatten_otlp(_with_record_key(batch), as_of).observe(
-            obs, *counts, F.count_if(~known & ~F.col("quarantined")).alias("unknown"),
-            F.count_if("quarantined").alias("quarantined"), F.count(F.lit(1)).alias("records")).persist()
+        ok = ~F.col("quarantined")
+        counts = [F.count_if((F.col("event") == ev) & ok).alias(tb) for ev, tb in otlp.EVENTS.items()]
+        known = F.coalesce(F.col("event").isin(*otlp.EVENTS), F.lit(False))
+        not_json = F.coalesce(F.col("reason") == otlp.BAD_JSON, F.lit(False))
+        records = otlp.flatten_otlp(batch.withColumn("row", F.monotonically_increasing_id()), now).observe(
+            obs, *counts, F.count_if(~known & ok).alias("unknown"), F.count_if(~ok).alias("quarantined"),
+            F.count_if(~not_json).alias("records"), F.count_if(not_json).alias("bad_payloads")).persist()
+        root = sink_root.rstrip("/")
         try:
             records.count()  # materialise once; the observation fires here
-            facts.write_facts(otlp.route(records), sink_root, batch_id=batch_id, parallel=True)
+            facts.write_facts(otlp.route(records), root, ingest, parallel=True)
             m = obs.get
-            spark.createDataFrame([(batch_id, *[int(m[k]) for k in (*otlp.EVENTS.values(), "unknown", "quarantined",
-                                                                     "records")])],
-                                  "batch_id bigint, " + ", ".join(f"{k} bigint" for k in (*otlp.EVENTS.values(),
-                                                                                          "unknown", "quarantined",
-                                                                                          "records"))) \
-                .coalesce(1).write.mode("overwrite").json(f"{sink_root.rstrip('/')}/_ingest_counts/batch_id={batch_id}")
-            bad = records.filter("quarantined").select("id", "ingest_pos", "event_name", "timestamp")
-            if not bad.isEmpty():  # a cheap probe of the persisted batch
-                bad.write.mode("overwrite").parquet(f"{sink_root.rstrip('/')}/_quarantine/batch_id={batch_id}")
+            _counts_row(spark, {k: m[k] for k in (*otlp.EVENTS.values(), "unknown", "quarantined", "records", "bad_payloads")},
+                        f"{root}/_ingest_counts", ingest)
+            if m["quarantined"]:
+                otlp.quarantined(records).write.mode("overwrite").parquet(f"{root}/_quarantine/ingest={ingest}")
             if alias_path:
-                # One writer assigns aliases to first-seen emails. Each
-                # batch writes a complete new version into its own folder, so
-                # a failed or replayed batch never damages the previous one.
-                current = read_aliases(spark, alias_path, before=batch_id)
-                seen = records.filter(~F.col("quarantined") & F.col("user_email").isNotNull()) \
-                    .select(F.col("user_email").alias("email")).distinct()
-                now = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-                assign_aliases(seen, current, now).write.mode("overwrite") \
-                    .parquet(f"{alias_path.rstrip('/')}/version={batch_id}")
+                # One writer assigns aliases to first-seen emails and
+                # appends them; a replayed batch replaces its own.
+                seen = records.filter(ok & F.col("user_email").isNotNull()).select(F.col("user_email").alias("email")).distinct()
+                new_aliases(seen, read_aliases(spark, alias_path, without=ingest), now).write.mode("overwrite") \
+                    .parquet(f"{alias_path.rstrip('/')}/ingest={ingest}")
         finally:
             records.unpersist()
     return run
@@ -118,52 +110,67 @@ def stream_ingest_otlp(spark: SparkSession, source_dir: str, sink_root: str, che
                        as_of: dt.datetime | None = None, alias_path: str | None = None,
                        trigger: dict | None = None, max_files_per_trigger: int | None = None,
                        one_per_file: bool = False) -> StreamingQuery:
-    """O1: payload files -> five fact tables (+ quarantine, + aliases)."""
+    """O1: payload files -> five fact tables (+ quarantine with the rejected
+    text, + aliases)."""
     s = otlp_stream(spark, source_dir, one_per_file, max_files_per_trigger)
-    w = s.writeStream.foreachBatch(otlp_batch_writer(sink_root, as_of, alias_path)) \
+    w = s.writeStream.foreachBatch(otlp_batch_writer(sink_root, checkpoint, as_of, alias_path)) \
         .option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
 
 
-def invocation_batch_writer(sink_path: str, last_sync: dt.datetime | None, as_of: dt.datetime | None):
-    """O2 body: parse, keep, first-per-id, anti join against everything
-    stored so far (exact, no state expiry), append this batch."""
+def read_quarantine(spark: SparkSession, sink_root: str) -> DataFrame:
+    """Everything the stream has rejected: file, reason, id, payload."""
+    path = f"{sink_root.rstrip('/')}/_quarantine"
+    schema = "file string, reason string, id bigint, payload string, ingest string"
+    df = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+    return df.drop("ingest")
+
+
+def invocation_batch_writer(sink_root: str, checkpoint: str, last_sync: dt.datetime | None, as_of: dt.datetime | None):
+    """O2 body: parse, keep, first-per-id, anti join against the stored ids
+    (exact, no state expiry; only the hash buckets this batch falls into are
+    read), append to the api_requests table. An error while reading the stored
+    ids fails the batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         configure(spark)
+        ingest = f"{stream_id(spark, checkpoint)}-{batch_id}"
         ev = invocations.parse_invocation_events(batch.withColumn("pos", F.monotonically_increasing_id()))
         if as_of is not None:
             ev = invocations.invocation_window(ev, last_sync, as_of)
-        try:
-            # Everything stored by earlier batches (this batch's own folder
-            # is pruned, so a replay does not read what it overwrites).
-            stored = spark.read.parquet(sink_path).filter(F.col("batch_id") != batch_id).select("aws_request_id")
-        except Exception:  # noqa: BLE001 - first batch, nothing stored
-            stored = None
-        from pyspark.sql import Observation
-
-        # C7 per batch: valid and inserted counts observed during the write.
+        # C7 per batch: valid and inserted counts observed on the way.
         valid, inserted = Observation(f"valid_{batch_id}"), Observation(f"inserted_{batch_id}")
-        kept = invocations.keep_invocations(ev).observe(valid, F.count(F.lit(1)).alias("n"))
-        rows = invocations.invocations_to_requests(invocations.dedup_by_request_id(kept, stored)) \
-            .observe(inserted, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
-        n_in = int(inserted.get["n"])
-        spark.createDataFrame([(batch_id, n_in, int(valid.get["n"]) - n_in)],
-                              "batch_id bigint, inserted bigint, skipped bigint") \
-            .coalesce(1).write.mode("overwrite").json(f"{sink_path.rstrip('/')}/_sync_stats/batch_id={batch_id}")
+        kept = invocations.keep_invocations(ev)
+        first = invocations.dedup_by_request_id(kept.observe(valid, F.count(F.lit(1)).alias("n")), None).persist()
+        try:
+            # at most ID_BUCKETS numbers
+            buckets = [r[0] for r in first.select(facts.id_bucket("log.requestId")).distinct().collect()]
+            stored = facts.read_request_ids(spark, sink_root, buckets, without=ingest)
+            new = first if stored is None else invocations.without_stored(first, stored)
+            rows = invocations.invocations_to_requests(new).observe(inserted, F.count(F.lit(1)).alias("n")).persist()
+            try:
+                facts.write_facts({"api_requests": rows}, sink_root, ingest)
+                facts.write_request_ids(rows, sink_root, ingest)
+                n_in = int(inserted.get["n"])
+            finally:
+                rows.unpersist()
+            _counts_row(spark, {"inserted": n_in, "skipped": int(valid.get["n"]) - n_in},
+                        f"{sink_root.rstrip('/')}/_sync_stats", ingest)
+        finally:
+            first.unpersist()
     return run
 
 
-def stream_ingest_invocations(spark: SparkSession, source_dir: str, sink_path: str, checkpoint: str,
+def stream_ingest_invocations(spark: SparkSession, source_dir: str, sink_root: str, checkpoint: str,
                               last_sync: dt.datetime | None = None, as_of: dt.datetime | None = None,
                               trigger: dict | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """O2: landed invocation-log files, polled on a trigger."""
+    """O2: landed invocation-log files, polled on a trigger, into the
+    api_requests table below ``sink_root``."""
     configure(spark)
     r = spark.readStream.schema(invocations.EVENT)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     s = r.json(source_dir).select("timestamp", "message", F.col("_metadata.file_path").alias("file"))
-    w = s.writeStream.foreachBatch(invocation_batch_writer(sink_path, last_sync, as_of)) \
+    w = s.writeStream.foreachBatch(invocation_batch_writer(sink_root, checkpoint, last_sync, as_of)) \
         .option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()

@@ -1,44 +1,67 @@
-"""Live analytics over a request stream."""
+"""Live analytics over a request stream.
+
+A stream keeps small pre-aggregates: per (user, time bucket one gap wide) for
+the gap windows, per day for the daily cost. Rows are combined before the
+shuffle and the state has a row per bucket, whatever a user's number of
+requests, so a user (or the NULL user) with a third of all rows is no hot key.
+Changed buckets are written under the batch's number; reading takes the newest
+version of each bucket and, for the gap windows, runs the batch rule over the
+buckets. There is no watermark: a row counts whenever it arrives.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from usagelens.operators import windows
 from usagelens.operators.windows import SESSION_GAP_SECONDS
+from usagelens.session import configure, path_exists
+from usagelens.streaming.ingest import _trigger, stream_id
+
+
+def _start(rollup: DataFrame, sink: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    """Write every batch's changed rows to ``sink/stream=S/batch=N``. A sink
+    belongs to one stream: its state is the sum of all it has read."""
+    def run(changed: DataFrame, batch_id: int) -> None:
+        spark = changed.sparkSession
+        name = stream_id(spark, checkpoint)
+        if path_exists(spark, sink) and not path_exists(spark, f"{sink.rstrip('/')}/stream={name}"):
+            raise ValueError(f"{sink} holds the result of another stream")
+        changed.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/stream={name}/batch={batch_id}")
+
+    configure(rollup.sparkSession)
+    w = rollup.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
+
+
+def _newest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
+    rows = spark.read.parquet(sink).drop("stream")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return best.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
+def stream_usage_windows(requests: DataFrame, sink: str, checkpoint: str, gap_seconds: int = SESSION_GAP_SECONDS,
+                         trigger: dict | None = None) -> StreamingQuery:
+    """O3: keep the buckets of the gap windows for a streaming request table."""
+    return _start(windows.buckets(requests, gap_seconds), sink, checkpoint, trigger)
+
+
+def read_usage_windows(spark: SparkSession, sink: str, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+    """O3: the gap windows of everything the stream has read so far."""
+    return windows.bucket_windows(_newest(spark, sink, ["user_email", "bucket"]), gap_seconds)
+
+
+def stream_daily_cost(requests: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """E2 per UTC day over a stream."""
+    daily = requests.groupBy(F.to_date("timestamp").alias("day")).agg(
+        F.sum("cost_usd").alias("cost"), F.sum("input_tokens").cast("bigint").alias("input_tokens"),
+        F.sum("output_tokens").cast("bigint").alias("output_tokens"), F.count(F.lit(1)).alias("requests"))
+    return _start(daily, sink, checkpoint, trigger)
 
 
-def gap_width(gap_seconds: int) -> str:
-    """Session-window gap equal to "rounded gap <= threshold" for
-    microsecond timestamps: gaps up to threshold + 0.499999 s merge (the
-    session_window boundary is inclusive)."""
-    return f"{gap_seconds} seconds 499 milliseconds 999 microseconds"
-
-
-def stream_usage_windows(requests: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
-                         watermark: str = "1 hour") -> DataFrame:
-    """O3: gap windows per user over a streaming request table (append mode
-    emits a window once the watermark passes its end)."""
-    return (
-        requests.withWatermark("timestamp", watermark)
-        .groupBy(F.session_window("timestamp", gap_width(gap_seconds)).alias("w"), "user_email")
-        .agg(F.sum("cost_usd").alias("total_cost"),
-             F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
-             .cast("bigint").alias("total_tokens"),
-             F.count(F.lit(1)).alias("request_count"),
-             F.min("timestamp").alias("window_start"),
-             F.max("timestamp").alias("window_end"))
-        .select("user_email", "total_cost", "total_tokens", "request_count", "window_start", "window_end",
-                ((F.unix_micros("window_end") - F.unix_micros("window_start")) / F.lit(3.6e9)).alias("duration_hours"))
-    )
-
-
-def stream_daily_cost(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """E2 per UTC day over a stream (tumbling one-day windows)."""
-    return (
-        requests.withWatermark("timestamp", watermark)
-        .groupBy(F.window("timestamp", "1 day").alias("w"))
-        .agg(F.sum("cost_usd").alias("cost"), F.sum("input_tokens").cast("bigint").alias("input_tokens"),
-             F.sum("output_tokens").cast("bigint").alias("output_tokens"), F.count(F.lit(1)).alias("requests"))
-        .select(F.to_date("w.start").alias("day"), "cost", "input_tokens", "output_tokens", "requests")
-    )
+def read_daily_cost(spark: SparkSession, sink: str) -> DataFrame:
+    """The daily sums of everything the stream has read so far."""
+    return _newest(spark, sink, ["day"])
