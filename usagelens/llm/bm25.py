@@ -66,12 +66,12 @@ class Shard:
         n, rows = len(ids), np.flatnonzero(size >= DENSE)
         self.row = np.full(len(size), -1, dtype=np.int64)
         self.row[rows] = np.arange(len(rows))
-        self.table = np.zeros((n, len(rows)))
+        self.table = np.zeros((len(rows), n))  # a frequent term's impacts lie side by side
         for r, t in enumerate(rows):
-            self.table[self.docs[self.starts[t]:self.ends[t]], r] = self.value[self.starts[t]:self.ends[t]]
+            self.table[r, self.docs[self.starts[t]:self.ends[t]]] = self.value[self.starts[t]:self.ends[t]]
         pad = (-n) % BLOCK
-        self.block_max = np.pad(self.table, ((0, pad), (0, 0))).reshape((n + pad) // BLOCK, BLOCK, len(rows)).max(axis=1)
-        self.most = self.table.max(axis=0) if n else np.zeros(len(rows))
+        self.block_max = np.pad(self.table, ((0, 0), (0, pad))).reshape(len(rows), (n + pad) // BLOCK, BLOCK).max(axis=2)
+        self.most = self.table.max(axis=1)
 
     def search(self, terms: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of every document that scores at least ``bar`` and may be among the k best."""
@@ -86,13 +86,15 @@ class Shard:
         if spans:
             score += np.bincount(np.concatenate([self.docs[s] for s in spans]), minlength=len(score),
                                  weights=np.concatenate([self.value[s] for s in spans]))
-        if len(strong):
-            score += self.table[:, strong].sum(axis=1)
+        for r in strong:
+            score += self.table[r]
         found = np.flatnonzero(score > 0)
         if len(weak) and len(found):
-            rest = self.block_max[:, weak].sum(axis=1)
+            rest = np.zeros(self.block_max.shape[1])
+            for r in weak:
+                rest += self.block_max[r]
             found = found[score[found] + rest[found // BLOCK] >= bar - _SLACK]
-            total = score[found] + self.table[np.ix_(found, weak)].sum(axis=1)
+            total = score[found] + self.table[np.ix_(weak, found)].sum(axis=0)
         else:
             total = score[found]
         good = total >= max(bar, 0) - _SLACK
