@@ -31,7 +31,7 @@ from usagelens.llm.common import col, stored
 from usagelens.llm.decontam import words
 
 K, K1, B = 10, 1.2, 0.75
-SHARD, BLOCK, DENSE = 8192, 64, 256
+SHARD, BLOCK, DENSE = 16384, 64, 512
 QUERY_BYTES = 48 << 20
 _SLACK = 1e-9
 
@@ -82,7 +82,8 @@ class Shard:
         free = int(np.searchsorted(np.cumsum(self.most[rows]), bar - _SLACK)) if bar > 0 else 0
         weak, strong = rows[:free], rows[free:]
         score = np.zeros(len(self.ids))
-        spans = [slice(a, b) for a, b in zip(self.starts[sparse], self.ends[sparse]) if b > a]
+        some = sparse[self.ends[sparse] > self.starts[sparse]]
+        spans = [slice(a, b) for a, b in zip(self.starts[some].tolist(), self.ends[some].tolist())]
         if spans:
             score += np.bincount(np.concatenate([self.docs[s] for s in spans]), minlength=len(score),
                                  weights=np.concatenate([self.value[s] for s in spans]))
@@ -182,9 +183,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
                             F.array_distinct(words(col(queries, query_text))).alias("terms")).where("query_id is not null")
     wanted = wanted.where(F.size("terms") > 0).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     df = stored(texts.select(F.explode(F.array_distinct("ws")).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "bm25-df")
+    # a query costs the same overhead in every shard: tasks are made large enough to fill one
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-stats["n"] // SHARD))
     found = None
     for block in _blocks(wanted, df, stats["n"], max(stats["mean"] or 0.0, 1e-9)):
-        rows = texts.where("id is not null").mapInPandas(_search_partition(block, k), kind)
+        rows = texts.where("id is not null").coalesce(tasks).mapInPandas(_search_partition(block, k), kind)
         found = rows if found is None else found.union(rows)
     rank = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
