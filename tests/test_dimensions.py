@@ -121,3 +121,14 @@ def test_mask_and_natural_sort(spark, tables):
     assert got == [("USER-1", "USER-1"), ("b@x", "Bob")]
     strict = sorted(str(r["user_email"]) for r in aliases.mask(df, al, strict=True).collect())
     assert strict == ["None", "USER-1"]
+
+
+def test_alias_lookup_and_new_ids(spark):
+    from usagelens.sources import invocations
+
+    df = spark.createDataFrame([("a@x", 1), ("b@x", 2), (None, 3)], "user_email string, n int")
+    al = spark.createDataFrame([("a@x", "USER-1")], "email string, alias string")
+    assert {r["n"]: r["alias"] for r in aliases.alias_lookup(df, al).collect()} == {1: "USER-1", 2: None, 3: None}
+    new = spark.createDataFrame([("r1",), ("r2",)], "aws_request_id string")
+    old = spark.createDataFrame([("r1",), (None,)], "aws_request_id string")
+    assert [r[0] for r in invocations.new_ids_only(new, old).collect()] == ["r2"]

@@ -45,12 +45,3 @@ def test_feed_limit(raw, want):
     from usagelens.operators.feed import feed_limit
 
     assert feed_limit(raw) == want
-
-
-def test_first_present_and_truthy(spark):
-    from usagelens.functions import first_present, first_truthy
-
-    df = spark.createDataFrame([({"a": "", "b": "x"},), ({"b": "y"},), ({},)], "m map<string,string>")
-    got = [(r[0], r[1]) for r in df.select(first_present(F.col("m"), ["a", "b"]),
-                                           first_truthy(F.col("m"), ["a", "b"])).collect()]
-    assert got == [("", "x"), ("y", "y"), (None, None)]

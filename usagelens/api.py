@@ -1,7 +1,7 @@
 """Public entry points, grouped as in the blueprint's operator inventory."""
 
 from usagelens.functions import (  # noqa: F401
-    arn_user, backfill_model_id, first_present, first_truthy, js_round, list_price, money_sum, normalize_model,
+    arn_user, backfill_model_id, js_round, list_price, money_sum, normalize_model,
     to_int, to_num,
 )
 from usagelens.operators.aliases import alias_lookup, all_identities, assign_aliases, mask  # noqa: F401
@@ -15,7 +15,7 @@ from usagelens.operators.filters import (  # noqa: F401
 )
 from usagelens.operators.report import reported_cost_by_user  # noqa: F401
 from usagelens.operators.roster import (  # noqa: F401
-    merge_roster, patch_roster, roster_listing, roster_with_telemetry, validate_patches,
+    merge_roster, patch_roster, roster_listing, roster_with_telemetry, upserted_count, validate_patches,
 )
 from usagelens.operators.sessions import (  # noqa: F401
     session_conversation, session_timeline, session_timeline_tools, sessions,
@@ -35,12 +35,14 @@ from usagelens.sources.invocations import (  # noqa: F401
 )
 from usagelens.sources.otlp import (  # noqa: F401
     attr_map, attribute_profile, canonical_event, event_name, flatten_otlp, flatten_records, identity_cols,
-    ingest_counts, merge_attrs, missing_usage_report, nanos_to_ts, otlp_schema, quarantine, read_otlp, route,
+    ingest_counts, ingest_otlp, merge_attrs, missing_usage_report, nanos_to_ts, otlp_schema, quarantine, read_otlp, route,
     source_of, to_api_errors, to_api_requests, to_tool_decisions, to_tool_uses, to_user_prompts,
 )
 from usagelens.sources.roster_csv import parse_roster_lines, read_roster_csv  # noqa: F401
 from usagelens.sources.usage_report import parse_usage_pages, read_usage_report  # noqa: F401
 from usagelens.streaming.ingest import (  # noqa: F401
-    stream_ingest_invocations, stream_ingest_otlp, stream_otlp,
+    read_aliases, read_quarantine, stream_ingest_invocations, stream_ingest_otlp, stream_otlp,
+)
+from usagelens.streaming.live import (  # noqa: F401
+    read_daily_cost, read_usage_windows, stream_daily_cost, stream_usage_windows,
 )
-from usagelens.streaming.live import stream_daily_cost, stream_usage_windows  # noqa: F401

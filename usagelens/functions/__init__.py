@@ -1,6 +1,4 @@
 from usagelens.functions.jsvalues import (
-    first_present,
-    first_truthy,
     js_round,
     money_sum,
     to_int,
@@ -9,6 +7,6 @@ from usagelens.functions.jsvalues import (
 from usagelens.functions.models import arn_user, backfill_model_id, list_price, normalize_model
 
 __all__ = [
-    "arn_user", "backfill_model_id", "first_present", "first_truthy", "js_round", "money_sum",
+    "arn_user", "backfill_model_id", "js_round", "money_sum",
     "list_price", "normalize_model", "to_int", "to_num",
 ]

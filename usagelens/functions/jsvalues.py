@@ -36,16 +36,6 @@ def to_int(v: Column) -> Column:
     return F.when(digits != "", digits.try_cast("bigint"))
 
 
-def first_present(m: Column, keys: list[str]) -> Column:
-    """a[k1] ?? a[k2] ?? ...: first key that is present (even if '')."""
-    return F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in keys])
-
-
-def first_truthy(m: Column, keys: list[str]) -> Column:
-    """a[k1] || a[k2] || ... || null: first non-empty value."""
-    return F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in keys])
-
-
 MONEY_DECIMAL = "decimal(38,10)"
 
 

@@ -31,12 +31,6 @@ PAGE = T.StructType([
 ])
 
 
-def report_days(start: dt.date, end: dt.date) -> list[dt.date]:
-    """Days in [start, end); empty when start >= end."""
-    n = (end - start).days
-    return [start + dt.timedelta(days=i) for i in range(max(0, n))]
-
-
 def parse_usage_pages(pages: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """(date, value) pages -> one row per record: (date, email, tokens,
     cents). Per-record sums are taken inside the record (``aggregate``),
