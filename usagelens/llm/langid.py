@@ -95,6 +95,10 @@ def _kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / np.sqrt(np.maximum(nx, 1)[:, None] * np.maximum(ny, 1)[None, :])
 
 
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model; None if there is nothing to learn from."""
     rows = sorted((r["lang"], r["k"], bytes(r["bits"])) for r in sample(docs, id_col, text_col, lang_col).collect()) \
@@ -102,7 +106,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
-    x = np.unpackbits(np.array([np.frombuffer(r[2], dtype=np.uint8) for r in rows]), axis=1).astype(np.float32)
+    bits = np.array([np.frombuffer(r[2], dtype=np.uint8) for r in rows])
     y = np.array([[1.0 if r[0] == g else -1.0 for g in langs] for r in rows])
     seen: dict[str, int] = {}
     marks = []
@@ -110,15 +114,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         seen[lang] = seen.get(lang, 0) + 1
         if seen[lang] <= LANDMARKS_PER_LANG:
             marks.append(i)
-    own = _kernel(x[marks], x[marks]).astype(np.float64)
+    y0 = _unpacked(bits[marks])
+    own = _kernel(y0, y0).astype(np.float64)
     values, vectors = np.linalg.eigh(own)
     values = np.maximum(values, 1e-6 * values.max())
     root = vectors / np.sqrt(values) @ vectors.T
-    phi = _kernel(x, x[marks]).astype(np.float64) @ root
+    phi = np.vstack([_kernel(_unpacked(bits[i:i + 128]), y0) for i in range(0, len(rows), 128)]).astype(np.float64) @ root
     weight = 1.0 / np.array([sum(r[0] == s[0] for s in rows) for r in rows])  # languages count alike
     a = (phi * weight[:, None]).T @ phi + RIDGE * np.eye(len(marks))
     w = np.linalg.solve(a, (phi * weight[:, None]).T @ y)
-    return Model(langs, np.packbits(x[marks].astype(bool), axis=1), (root @ w).astype(np.float32))
+    return Model(langs, bits[marks], (root @ w).astype(np.float32))
 
 
 def predict(text: Column, model: Model | None) -> Column:
@@ -130,7 +135,7 @@ def predict(text: Column, model: Model | None) -> Column:
 
     @F.pandas_udf(kind)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        y = np.unpackbits(packed, axis=1).astype(np.float32)
+        y = _unpacked(packed)
         for texts in batches:
             pred, best = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if has_letter(t)]
