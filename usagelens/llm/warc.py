@@ -85,15 +85,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     id or url leaves out its header, repeated rows get a record each."""
     html = F.coalesce(col(pages, html_col).cast("string"), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), col(pages, id_col).alias("page_id"),
-                        col(pages, url_col).alias("url"), html.alias("html"))
-    # stored once: the row ids that join headers and payloads must not change when a task is run again
-    rows = stored(rows.select("*", F.octet_length("html").cast("bigint").alias("payload_bytes"),
-                              base32_sha1(F.col("html").cast("binary")).alias("payload_digest")), "warc-rows")
-    heads = resolve(rows, min_bytes)
+                        col(pages, url_col).alias("url"), F.octet_length(html).cast("bigint").alias("payload_bytes"),
+                        base32_sha1(html.cast("binary")).alias("payload_digest"))
+    # headers are stored once: their row ids must not change when a task is run again
+    heads = resolve(stored(rows, "warc-heads"), min_bytes)
     revisits = heads.where("record_type = 'revisit'").select(_record(F.lit("")).alias("value"))
-    payloads = rows.select(F.col("row").alias("payload_row"), "html")
+    # equal digests have equal payloads, so one payload per digest is all that moves
+    payloads = pages.select(base32_sha1(html.cast("binary")).alias("digest"), html.alias("html")).groupBy("digest").agg(F.first("html").alias("html"))
     full = heads.where("record_type = 'response'")
-    responses = full.join(payloads, F.col("row") == F.col("payload_row")).select(_record(F.col("html")).alias("value"))
+    responses = full.join(payloads, F.col("payload_digest") == F.col("digest")).select(_record(F.col("html")).alias("value"))
     (responses.union(revisits).write.option("lineSep", _END).option("compression", "gzip")
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
