@@ -32,7 +32,7 @@ from usagelens.llm.decontam import words
 
 K, K1, B = 10, 1.2, 0.75
 SHARD, BLOCK, DENSE = 16384, 64, 512
-QUERY_BYTES = 48 << 20
+QUERY_BYTES = 160 << 20  # of query words, each occurrence counted; what is sent is a small part of it
 _SLACK = 1e-9
 
 
@@ -148,21 +148,24 @@ def _search_partition(block: QueryBlock, k: int):
 
 
 def _blocks(queries: DataFrame, df: DataFrame, n_docs: int, mean: float) -> Iterator[QueryBlock]:
-    """Query blocks within QUERY_BYTES, by running size in the order of ids."""
+    """Query blocks of about QUERY_BYTES at most, dealt by a hash of the query id."""
     size = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t) + 60)
     sized = stored(queries.withColumn("bytes", size), "bm25-queries")
-    # sizes of at most a few thousand id ranges reach the driver, never the queries as a whole
     total = sized.agg(F.sum("bytes")).first()[0] or 0
     parts = max(1, -(-int(total) * 5 // (4 * QUERY_BYTES)))
     for part in range(parts):
         own = sized.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        rows = own.select("query_id", "terms").orderBy("query_id", F.xxhash64("terms")).collect()
-        known = own.select(F.explode("terms").alias("term")).distinct().join(df, "term").collect()
-        vocab = {r["term"]: i for i, r in enumerate(known)}
-        n = np.array([r["n"] for r in known], dtype=np.float64)
+        # the words of the queries travel as hashes, the vocabulary as words: two words of one hash would be an error
+        known = own.select(F.explode("terms").alias("term")).distinct().join(df, "term").select("term", "n", F.xxhash64("term").alias("h")).toArrow()
+        place = {h: i for i, h in enumerate(known["h"].to_pylist())}
+        if len(place) != known.num_rows:
+            raise RuntimeError("two query words have the same hash")
+        vocab = {t: i for i, t in enumerate(known["term"].to_pylist())}
+        n = known["n"].to_numpy().astype(np.float64)
         idf = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
-        terms = [np.array(sorted(vocab[t] for t in r["terms"] if t in vocab), dtype=np.int64) for r in rows]
-        yield QueryBlock([r["query_id"] for r in rows], terms, vocab, idf, mean)
+        rows = own.select("query_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes")).orderBy("query_id").toArrow()
+        terms = [np.array(sorted(place[h] for h in hashes.as_py() if h in place), dtype=np.int32) for hashes in rows["hashes"]]
+        yield QueryBlock(rows["query_id"].to_pylist(), terms, vocab, idf, mean)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text",
