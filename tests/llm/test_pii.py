@@ -66,6 +66,35 @@ def test_boosting_adds_loose_spans_only_beside_base(spark):
         assert [tuple(s) for s in got[i].base] == brute.base_spans(t)
 
 
+LOOSE = [(1000, "write to joe [at] mail.example.com please"), (1001, "ip 10[dot]20[dot]30[dot]40"),
+         (1002, "ip 10[dot]20[dot]30[dot]400 or joe [at] 12"), (1003, "card 4111/1111/1111/1111 here")]
+CLEAN = [(1000, "write to [EMAIL] please"), (1001, "ip [IP]"), LOOSE[2], (1003, "card [CARD] here")]
+
+
+def test_loose_spans_in_small_tables(spark):
+    def redacted(rows):
+        return sorted((r.doc_id, r.text) for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id >= 1000").collect())
+    assert redacted(LOOSE) == CLEAN                                                    # no rule match at all
+    assert redacted(LOOSE + [(i, f"a{i}@mail.example.com") for i in range(5)]) == CLEAN   # few of one kind, none of the others
+    assert redacted(LOOSE + [(i, f"a{i}@mail.example.com") for i in range(400)]) == CLEAN
+
+
+def test_thresholds_go_past_rare_patterns(spark):
+    # contexts differ: the best patterns are rare, a lower one has the matches
+    rows = [(i, 0 if i % 40 else 3, True) for i in range(400)]
+    names = pii.FEATURES
+    mask = lambda *on: sum(1 << names.index(n) for n in on)
+    usual, rare = mask("left_edge", "right_edge", "is_email"), mask("left_edge", "right_edge", "cue", "is_email")
+    df = spark.createDataFrame([(i, True, 0, ok, rare if kind else usual) for i, kind, ok in rows],
+                               "id bigint, base boolean, kind int, accepted boolean, features int")
+    trees, thresholds, unsure = pii.train(df)
+    assert 0 in thresholds and unsure == [1, 2, 3]
+    x = pii.np.array([[c >> b & 1 for b in range(len(names))] for c in (usual, rare)], dtype=bool)
+    assert thresholds[0] <= min(pii._raw(x, trees))
+    wrong = df.withColumn("accepted", pii.F.col("id") % 3 == 0).withColumn("features", pii.F.lit(usual))
+    assert 0 not in pii.train(wrong)[1]
+
+
 def test_main_path_is_native(spark):
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string")
     plan = pii.candidates(df)._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,8 @@
    are calibrated on a held-out fold, and the trees are applied to all
    candidates as column expressions.
 4. Base spans always stay; a looser candidate is added if its score reaches the
-   threshold of its kind and it overlaps no base span.
+   threshold of its kind and it overlaps no base span. A kind with too few
+   held-out matches for a threshold adds what passes its own checks (``CHECKS``).
 """
 
 from __future__ import annotations
@@ -27,22 +28,24 @@ CONTEXT = 24          # characters of context on either side
 ROUNDS, RATE, L2 = 20, 0.4, 1.0
 PRECISION = 0.95      # wanted of added spans on the calibration fold
 CALIBRATION = 5       # one fold in so many is held out for the thresholds
+HELD = 19             # held-out matches below which a threshold says nothing: so many right ones alone show PRECISION
 
 # The four rules, written so that the engine never rescans a run it has failed on: possessive, and a
 # match may only start where a run starts or the last match ended.
 RULES = (
-    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    ("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", "."),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", ""),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
+    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",)),
+    ("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", (".",)),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", ()),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", ("+",)),
 )
 LOOSE = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++", "at"),
-    ("ip", r"(?<![0-9])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3}(?![0-9])", "."),
-    ("card", r"(?<![0-9])[0-9]{4}(?:[./_]|  )[0-9]{4}(?:[./_]|  )[0-9]{4}(?:[./_]|  )[0-9]{1,7}(?![0-9])", ""),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\) ?|00 ?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z])", ""),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++", ("at",)),
+    ("ip", r"(?<![0-9])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3}(?![0-9])", (".", "[dot]")),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[./_]|  )[0-9]{4}(?:[./_]|  )[0-9]{4}(?:[./_]|  )[0-9]{1,7}(?![0-9])", ()),
+    ("phone", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\) ?|00 ?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z])", ()),
 )
 FEATURES = ("left_edge", "right_edge", "cue", "count_fits", "check_passes", "grouped", "one_digit", "is_email", "is_ip", "is_card")
+CHECKS = ("left_edge", "right_edge", "count_fits", "check_passes")   # wanted of a kind without threshold
 CUES = r"(?i)(?:mail|contact|tel|telephone|phone|call|fax|mobile|card|visa|credit|ip|host|server|address)[^A-Za-z0-9]*$"
 # A number up to 255, leading zeros allowed.
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -58,8 +61,10 @@ def _matches(docs: DataFrame, text: str) -> DataFrame:
     gens = RULES + LOOSE
     digit = F.col(text).rlike("[0-9]")
     found = docs
-    for g, (kind, pattern, sign) in enumerate(gens):
-        gate = F.contains(F.col(text), F.lit(sign)) if sign else F.lit(True)
+    for g, (kind, pattern, signs) in enumerate(gens):
+        gate = F.lit(not signs)
+        for sign in signs:
+            gate = gate | F.contains(F.col(text), F.lit(sign))
         if kind != "email":
             gate = gate & digit
         none = F.array().cast("array<string>")
@@ -152,13 +157,14 @@ def _raw(x: np.ndarray, trees: list[tuple]) -> np.ndarray:
     return out
 
 
-def train(cands: DataFrame) -> tuple[list[tuple], dict[int, float]]:
-    """(trees, threshold by kind) from the rule matches among ``cands``. What
-    reaches the driver is one row per feature pattern, outcome and fold."""
+def train(cands: DataFrame) -> tuple[list[tuple], dict[int, float], list[int]]:
+    """(trees, threshold by kind, kinds with too few held-out matches for one)
+    from the rule matches among ``cands``. What reaches the driver is one row per
+    feature pattern, outcome and fold."""
     counts = (cands.where("base").groupBy("features", "kind", "accepted", (remainder(F.col("id"), CALIBRATION) == 0).alias("held"))
               .count().orderBy("features", "kind", "accepted", "held").collect())
     if not counts:
-        return [], {}
+        return [], {}, list(range(len(KINDS)))
     codes = sorted({r["features"] for r in counts})
     x = np.array([[c >> b & 1 for b in range(len(FEATURES))] for c in codes], dtype=bool)
     at = {c: i for i, c in enumerate(codes)}
@@ -167,16 +173,22 @@ def train(cands: DataFrame) -> tuple[list[tuple], dict[int, float]]:
         tally[int(bool(r["held"])), int(bool(r["accepted"])), at[r["features"]]] += r["count"]
     trees = _fit(x, tally[0, 1], tally[0, 0])
     score = _raw(x, trees)
-    thresholds = {}
-    for k in {r["kind"] for r in counts}:
+    thresholds, unsure = {}, []
+    for k in range(len(KINDS)):
         own = np.array([any(r["kind"] == k and r["features"] == c for r in counts) for c in codes])
-        for s in sorted(set(score[own]), reverse=True):
+        above = None           # patterns above the first score known to be too low
+        for s in sorted(set(score[own & (score > 0)]), reverse=True):
             top = own & (score >= s)
             good, bad = tally[1, 1, top].sum(), tally[1, 0, top].sum()
-            if s <= 0 or good < PRECISION * (good + bad + 1):
+            if good >= PRECISION * (good + bad + 1):
+                thresholds[k] = float(s)
+            elif good + bad >= HELD:
+                above = own & (score > s)
                 break
-            thresholds[k] = float(s)
-    return trees, thresholds
+        # nothing is added only where the best pattern itself is known to be wrong too often
+        if k not in thresholds and (above is None or above.any()):
+            unsure.append(k)
+    return trees, thresholds, unsure
 
 
 def _score(trees: list[tuple]) -> Column:
@@ -191,14 +203,16 @@ def _score(trees: list[tuple]) -> Column:
 def _selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Marks, base spans and added spans: row, id, key, kind, base, start, end."""
     cands = stored(candidates(docs, id_col, text_col).where("kind < 0 or not base or accepted is not null"), "pii")
-    trees, thresholds = train(cands)
+    trees, thresholds, unsure = train(cands)
     rules = cands.where("kind < 0 or accepted")
-    if not thresholds:
+    if not thresholds and not unsure:
         return rules.drop("accepted", "features")
     limit = F.lit(None).cast("double")
     for k, t in thresholds.items():
         limit = F.when(F.col("kind") == k, F.lit(t)).otherwise(limit)
-    added = cands.where(~F.col("base") & (F.col("kind") >= 0)).where(_score(trees) >= limit)
+    checks = sum(1 << FEATURES.index(name) for name in CHECKS)
+    passes = F.col("kind").isin(unsure) & (F.col("features").bitwiseAND(F.lit(checks)) == checks)
+    added = cands.where(~F.col("base") & (F.col("kind") >= 0)).where(F.coalesce(_score(trees) >= limit, F.lit(False)) | passes)
     both = rules.unionByName(added)
     before = W.partitionBy("row").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
     after = W.partitionBy("row").orderBy("start").rangeBetween(0, W.unboundedFollowing)
