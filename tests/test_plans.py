@@ -107,3 +107,15 @@ def test_request_dedup_limits_each_id_before_the_shuffle(spark):
     p = plan(d)
     assert "WindowGroupLimit" in p and p.rfind("WindowGroupLimit") > p.find("Exchange")
     assert d.count() == 1
+
+
+def test_places_are_numbered_by_ranges(spark):
+    from pyspark.sql import functions as F
+    from usagelens.plans import registry
+
+    df = spark.range(0, 5000, 1, 7).select(F.format_string("u%05d", (F.col("id") * 7919) % 5000).alias("name"))
+    placed = registry._placed(df.repartitionByRange(5, "name").sortWithinPartitions("name"))
+    assert "row_number" not in plan(placed)
+    assert sorted(map(tuple, placed.collect())) == [(i + 1, f"u{i:05d}") for i in range(5000)]
+    assert placed.dtypes == [("place", "int"), ("name", "string")]
+    assert registry._placed(df.limit(0).orderBy("name")).collect() == []

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from usagelens.operators import feed, filters, sessions, usage, windows
 from usagelens.params import Filters
 from usagelens.plans.output import stable
+from usagelens.session import ensure_checkpoint_dir
 from usagelens.sources import fixtures
 
 ALL = Filters()
@@ -48,12 +49,20 @@ def usage_tables(**tables):
 
 
 def _placed(df):
-    """A sorted result with each row's place (small results only: the place is
-    a count over the whole result)."""
+    """A sorted result with each row's place. A sorted result lies in ranges, one
+    per partition: the place is the rank within the range, which the running id
+    holds, plus the rows of the ranges before it. No task sees all rows."""
     from pyspark.sql import Window
 
-    at = F.row_number().over(Window.orderBy("_place")).alias("place")
-    return df.withColumn("_place", F.monotonically_increasing_id()).select(at, *df.columns)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: a tiny single-partition window.
+    offsets = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    at = F.col("_off") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(F.broadcast(offsets), "_range").select(at.cast("int").alias("place"), *df.columns)
 
 
 # ── flat aggregates ─────────────────────────────────────────────────────────
