@@ -143,3 +143,89 @@ def bm25(docs, queries, k=10, k1=1.2, b=0.75):
                 scored.append((-round(s, 9), i))
         out[q] = [(i, -s) for s, i in sorted(scored)[:k]]
     return out
+
+
+# ── n-gram Jaccard ──────────────────────────────────────────────────────────
+def shingle_set(text, k=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard_groups(docs, percent=80, k=5):
+    """(id, text) list -> (id, size, smallest id reachable) per row."""
+    sets = [shingle_set(t, k) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                root[find(i)] = find(j)
+    low = defaultdict(lambda: math.inf)
+    for i, (name, _) in enumerate(docs):
+        low[find(i)] = min(low[find(i)], math.inf if name is None else name)
+    return [(name, len(sets[i]), None if low[find(i)] == math.inf else low[find(i)]) for i, (name, _) in enumerate(docs)]
+
+
+# ── spelling variants ───────────────────────────────────────────────────────
+def corpus_words(docs, min_length=6, min_count=5, every=199):
+    n = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % every == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            n[run] += 1
+    return {w: c for w, c in n.items() if len(w) >= min_length and c >= min_count}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def spelling_variants(n, ratio=5):
+    """{word: count} -> {word: (form, root, n, n_near, form_n)}."""
+    near = {w: [v for v in n if abs(len(v) - len(w)) < 2 and one_edit(v, w)] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= ratio * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], len(near[w]), n[form[w]] if form[w] is not None else None)
+    return out
+
+
+# ── clustering ──────────────────────────────────────────────────────────────
+def kmeans(rows, dim=64, k=40, rounds=5, scale=256, seed=2):
+    """(id, vector) list -> (id, cluster, distance, cluster inertia, inertia, sha) per kept row, in Python integers."""
+    kept = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows
+            if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (sha(f"{seed}:{'' if r[0] is None else r[0]}"), r[1]))
+    cents = [v for _, v in order[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(cents)) for _, v in kept]
+
+    for _ in range(rounds):
+        members = defaultdict(list)
+        for (_, v), (_, j) in zip(kept, assign()):
+            members[j].append(v)
+        cents = [[sum(x) // len(members[j]) for x in zip(*members[j])] if j in members else c for j, c in enumerate(cents)]
+    last = assign()
+    part = Counter()
+    for d, j in last:
+        part[j] += d
+    return [(i, j, d, part[j], sum(part.values()), sha(",".join(map(str, cents[j])))) for (i, _), (d, j) in zip(kept, last)]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import bm25, bpe, chat, decontam, htmltext, langid, pii, quality, simhash, warc
+from usagelens.llm import bm25, bpe, chat, clustering, decontam, htmltext, jaccard, langid, pii, quality, simhash, spelling, sql, warc
 from usagelens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,27 @@ def op10(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register("op11_jaccard_groups")
+def op11(spark, sf_dir):
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_jaccard_groups"] = sql.JACCARD
+
+
+@register("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling.spelling_variants(spelling.corpus_words(table(spark, sf_dir, "documents")))
+
+
+@register("op13_centroid_clusters")
+def op13(spark, sf_dir):
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op13_centroid_clusters"] = sql.clusters(clustering.DIM, clustering.K, clustering.ROUNDS, clustering.SCALE, clustering.SEED)
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
