@@ -39,7 +39,9 @@ from usagelens.llm.components import components
 WORDS = 5
 PERCENT = 80
 # Tokens added to the prefix of order 0, in percent of a set's size.
-EXTRA = 15
+EXTRA = 10
+# Bits of the map of texts read a second time.
+MARKS = 1 << 23
 # Words of the parity sketch; members of an index list handled in one piece.
 SKETCH = 4
 PIECE = 512
@@ -104,33 +106,63 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, " + ", ".join(fields))
 
 
-def _survivors(reps: DataFrame, percent: int) -> DataFrame:
-    """Classes (row) that may have a partner by order 0: enough tokens of the
-    longer prefix occur in another class. A token of one class only is counted
-    for its owner, so common tokens are combined before the shuffle."""
-    flat = reps.select("row", F.explode("tokens").alias("t"))
+def _survivors(sets: DataFrame, percent: int) -> DataFrame:
+    """Texts (row) that may have a partner, or a copy, by order 0: enough tokens
+    of the longer prefix occur in another text. A token of one text only is
+    counted for its owner, so common tokens are combined before the shuffle."""
+    flat = sets.select("row", F.explode("tokens").alias("t"))
     single = (flat.groupBy("t").agg(F.count("*").alias("c"), F.min("row").alias("row")).where("c = 1")
               .groupBy("row").agg(F.count("*").alias("single")))
-    shared = F.size("tokens") - F.coalesce("single", F.lit(0))
-    return reps.select("row", "n", F.size("tokens").alias("m"), "id", "k1", "k2").join(single, "row", "left").where(
-        F.col("m") - F.coalesce("single", F.lit(0)) >= _extra(_need(F.col("n"), percent), percent)).select("row", "id", "k1", "k2")
+    return (sets.where("n > 0").select("row", "n", F.size("tokens").alias("m"), "id", "k1", "k2").join(single, "row", "left")
+            .where(F.col("m") - F.coalesce("single", F.lit(0)) >= _extra(_need(F.col("n"), percent), percent))
+            .select("row", "n", "id", "k1", "k2"))
+
+
+def _mark(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(MARKS))
+
+
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs whose id may be among ``wanted``: a bit map of MARKS bits at
+    most passes through the driver, whatever the size of the tables. It only
+    spares the join after it most of the texts."""
+    words = wanted.select(_mark(F.col("id")).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toArrow()
+    bits = np.zeros(MARKS // 64, dtype=np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    packed = bits.tobytes()
+
+    def run(batches):
+        there = np.frombuffer(packed, dtype=np.int64)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            keep = there[at >> 6] >> (at & 63) & 1 == 1
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["id", "text"])
+
+    return docs.select("id", "text", _mark(F.col("id")).alias("at")).mapInArrow(run, docs.schema)
 
 
 def _ordered(full: DataFrame, percent: int) -> DataFrame:
-    """Sets with their shared tokens (``core``, ascending) and prefixes of the
-    orders 1 to 3. Tokens of one set only lead the rarest-first orders, so they
-    shorten the prefix; sets with too few shared tokens have no partner."""
+    """Sets with their shared tokens (``core``) and the tokens' frequencies
+    (``df``), rarest first. Tokens of one set only lead the rarest-first orders,
+    so they shorten the prefix; sets with too few shared tokens have no partner."""
     flat = full.select("row", F.explode("tokens").alias("t"))
-    df = flat.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    df = flat.groupBy("t").agg(F.count("*").alias("df")).where("df > 1").select("t", F.col("df").cast("int").alias("df"))
     by_df = flat.join(df, "t").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("by_df"))
-    n, c = F.col("n"), F.size("by_df")
-    other = F.array_sort(F.transform("by_df", lambda x: F.struct(x["df"], F.xxhash64(x["t"]).alias("h"), x["t"].alias("t"))))
-    return (full.drop("tokens").join(by_df, "row").where(c >= _need(n, percent))
-            .select("row", "n", *[f"s{i}" for i in range(SKETCH)], c.alias("c"),
-                    F.array_sort(F.col("by_df")["t"]).alias("core"),
-                    F.slice("by_df", F.lit(1), c - _need(n, percent) + 1)["t"].alias("o1"),
-                    F.slice(other, F.lit(1), c - _need(n, percent) + 1)["t"].alias("o2"),
-                    F.slice(F.reverse("by_df"), F.lit(1), F.least(c, n - _need(n, percent) + 1))["t"].alias("o3")))
+    return (full.drop("tokens").join(by_df, "row").withColumn("c", F.size("by_df")).where(F.col("c") >= _need(F.col("n"), percent))
+            .select("row", "n", "c", *[f"s{i}" for i in range(SKETCH)], F.col("by_df")["t"].alias("core"), F.col("by_df")["df"].alias("df")))
+
+
+def _prefix(order: int, percent: int) -> Column:
+    """A set's shared tokens among the first n - need + 1 of its order."""
+    n, c = F.col("n"), F.col("c")
+    ahead = c - _need(n, percent) + 1
+    if order == 1:
+        return F.slice("core", F.lit(1), ahead)
+    if order == 3:
+        return F.slice(F.reverse("core"), F.lit(1), F.least(c, n - _need(n, percent) + 1))
+    other = F.array_sort(F.zip_with("df", "core", lambda d, t: F.struct(d.alias("d"), F.xxhash64(t).alias("h"), t.alias("t"))))
+    return F.slice(other, F.lit(1), ahead)["t"]
 
 
 def _overlap(a: Column, b: Column, percent: int) -> Column:
@@ -139,41 +171,46 @@ def _overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
-    """Size, shared-token and sketch bounds of a pair (all exact)."""
-    least = _overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+    """Whether sizes and shared tokens allow a link."""
+    return F.least(F.col(f"{x}.c"), F.col(f"{y}.c")) >= _overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+
+
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether the sketches allow a link."""
     bits = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    return (F.least(F.col(f"{x}.c"), F.col(f"{y}.c")) >= least) & (bits <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * least)
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return bits <= n - 2 * _overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose prefixes meet in the orders 2 and 3 as well and whose
     whole sets are similar enough."""
-    a, b = (sets.select(F.col("row").alias(r), *[F.col(c).alias(f"{r}_{c}") for c in ("n", "core", "o2", "o3")]) for r in "uv")
+    what = sets.select("row", "n", "core", _prefix(2, percent).alias("o2"), _prefix(3, percent).alias("o3"))
+    a, b = (what.select(F.col("row").alias(r), *[F.col(c).alias(f"{r}_{c}") for c in ("n", "core", "o2", "o3")]) for r in "uv")
     both = pairs.join(a, "u").join(b, "v").where(F.arrays_overlap("u_o2", "v_o2") & F.arrays_overlap("u_o3", "v_o3"))
     return both.where(F.size(F.array_intersect("u_core", "v_core")) >= _overlap(F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
 
 
 def _first_round(index: DataFrame, percent: int) -> DataFrame:
     """Every index list against its smallest member."""
-    what = ["row", "n", "c", *[f"s{i}" for i in range(SKETCH)]]
-    lead = (index.groupBy("t").agg(F.min(F.struct(*what)).alias("lead"), F.count("*").alias("m")).where("m > 1")
-            .select("t", F.col("lead.row").alias("lead_row"), *[F.col(f"lead.{c}") for c in what]))
+    lead = index.groupBy("t").agg(F.min(F.struct("row", "n", "c")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("t", "lead.*")
     x, y = index.alias("x"), lead.alias("y")
     return x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.row") > F.col("y.row")) & _possible("x", "y", percent)).select(
         F.col("x.row").alias("u"), F.col("y.row").alias("v")).distinct()
 
 
-def _second_round(index: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _second_round(index: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components within the lists that hold several,
     in pieces of about PIECE members against the list."""
-    placed = index.join(roots, index.row == roots.node, "left").withColumn("root", F.coalesce("root", "row")).drop("node")
-    open_ = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where(
+    placed = sets.drop("core", "df").join(roots, sets.row == roots.node, "left").withColumn("root", F.coalesce("root", "row")).drop("node")
+    lists = index.select("row", "t").join(placed.select("row", "root"), "row")
+    open_ = lists.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where(
         "lo <> hi").select("t", F.ceil(F.col("m") / PIECE).cast("int").alias("pieces"))
-    left = stored(placed.join(open_, "t"), "jaccard-open")
+    left = stored(index.select("row", "t").join(open_, "t").join(placed, "row"), "jaccard-open")
     x = left.withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int")).alias("x")
     y = left.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("y")
-    return x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.piece") == F.col("y.piece"))
-                  & (F.col("x.root") != F.col("y.root")) & (F.col("x.row") > F.col("y.row")) & _possible("x", "y", percent)).select(
+    return x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.root") != F.col("y.root"))
+                  & (F.col("x.row") > F.col("y.row")) & _possible("x", "y", percent) & _alike("x", "y", percent)).select(
         F.col("x.row").alias("u"), F.col("y.row").alias("v")).distinct()
 
 
@@ -197,20 +234,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = stored(_sets(plain, words, percent, False).withColumn("row", F.monotonically_increasing_id()), "jaccard-prefix")
     classes = stored(sets.where("n > 0").groupBy("k1", "k2").agg(
         F.min("row").alias("row"), F.min("id").alias("id"), F.count("*").alias("copies")), "jaccard-classes")
-    named = classes.select("k1", "k2", F.col("row").alias("first"), F.col("id").alias("named"))
-    copies = sets.join(named.join(classes.where("copies > 1").select("k1", "k2"), ["k1", "k2"]), ["k1", "k2"]).where("row > first")
-    reps = sets.where("n > 0").join(copies.select("row"), "row", "left_anti")
+    hold = _survivors(sets, percent).join(classes.select("row"), "row", "left_semi")
+    hold = stored(hold, "jaccard-hold")
     # A class is found again by the id of its first row; the identity decides.
-    hold = stored(_survivors(reps, percent), "jaccard-hold")
-    again = _sets(plain.join(hold.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi"),
-                  words, percent, True).drop("id")
-    full = stored(again.join(hold.select("k1", "k2", "row"), ["k1", "k2"]).drop("k1", "k2")
-                  .withColumn("copy", F.monotonically_increasing_id()), "jaccard-sets")
+    near = _marked(plain, hold).join(hold.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    again = _sets(near, words, percent, True).drop("id").join(hold.select("k1", "k2", "row"), ["k1", "k2"]).drop("k1", "k2")
+    full = stored(again.withColumn("copy", F.monotonically_increasing_id()), "jaccard-sets")
     full = full.join(full.groupBy("row").agg(F.min("copy").alias("copy")), ["row", "copy"], "left_semi").drop("copy")
     ordered = stored(_ordered(full, percent), "jaccard-ordered")
-    index = stored(ordered.select("row", "n", "c", *[f"s{i}" for i in range(SKETCH)], F.explode("o1").alias("t")), "jaccard-index")
+    index = stored(ordered.select("row", "n", "c", F.explode(_prefix(1, percent)).alias("t")), "jaccard-index")
     edges = stored(_verified(_first_round(index, percent), ordered, percent), "jaccard-links")
-    more = stored(_verified(_second_round(index, stored(components(edges), "jaccard-roots"), percent), ordered, percent), "jaccard-links")
+    roots = stored(components(edges), "jaccard-roots")
+    more = stored(_verified(_second_round(index, ordered, roots, percent), ordered, percent), "jaccard-links")
     roots = stored(components(edges.union(more)), "jaccard-roots")
     linked = classes.join(roots, classes.row == roots.node, "left").select(
         "k1", "k2", "copies", "id", F.coalesce("root", "row").alias("root"), F.col("root").isNotNull().alias("linked"))
