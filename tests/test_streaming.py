@@ -113,11 +113,11 @@ def test_failing_id_read_fails_the_batch(spark, tmp_path):
     run("ck1")
     run("ck2")  # R1 is stored already
     assert [r["aws_request_id"] for r in facts.read_fact(spark, root, "api_requests").collect()] == ["R1"]
-    (part,) = glob.glob(f"{root}/_request_ids/bucket=*/ingest=*/part-*")
-    with open(part, "wb") as f:
-        f.write(b"no parquet")
-    for crc in glob.glob(os.path.join(os.path.dirname(part), ".*.crc")):
-        os.truncate(crc, 0)
+    for part in glob.glob(f"{root}/_request_ids/run=0-*/part-*"):
+        with open(part, "wb") as f:
+            f.write(b"no parquet")
+        for crc in glob.glob(os.path.join(os.path.dirname(part), ".*.crc")):
+            os.truncate(crc, 0)
     with pytest.raises(Exception):
         run("ck3")
     assert facts.read_fact(spark, root, "api_requests").count() == 1

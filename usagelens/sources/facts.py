@@ -4,6 +4,13 @@ One layout for batch and streaming writers: ``table/event_date=D/ingest=K``.
 ``ingest`` names the write (a stream and its batch, or one batch call), so a
 replayed write replaces exactly its own folders and writers never touch each
 other's. ``event_date`` is outermost, so time filters prune whole days.
+
+``compact_facts`` merges the folders of a day into one, ``ingest=compacted-N``,
+whose rows keep the name of their write in ``origin``. Two rules make every
+state in between readable: of several compacted folders of a day only the one
+with the largest N counts, and a folder ``ingest=K`` takes the place of the
+compacted rows with origin K. So a crash between writing and deleting shows no
+row twice, and a batch replayed after its compaction changes nothing.
 """
 
 from __future__ import annotations
@@ -16,13 +23,24 @@ from pyspark.sql import types as T
 
 from usagelens import schemas
 from usagelens.session import configure, path_exists
+from usagelens.sources import folders
 
 PARTITIONS = T.StructType([T.StructField("event_date", T.DateType()), T.StructField("ingest", T.StringType())])
-# Stored request ids lie in so many hash buckets: a sync reads only the
-# buckets its own ids fall into.
-ID_BUCKETS = 32
-ID_INDEX = T.StructType([T.StructField("aws_request_id", T.StringType()), T.StructField("bucket", T.IntegerType()),
-                         T.StructField("ingest", T.StringType())])
+ORIGIN = T.StructField("origin", T.StringType())
+COMPACTED = "compacted-"
+# Folders of a day from which on they are merged into one.
+MIN_WRITES = 8
+
+ID_INDEX = T.StructType([T.StructField("aws_request_id", T.StringType()), T.StructField("ingest", T.StringType())])
+# Runs of a level that are merged into one of the next level.
+MERGED_RUNS = 8
+# A batch of at most so many ids names them to the scan (session.py lets lists of
+# this length reach the readers); a larger one is joined with all stored ids.
+PROBED_IDS = 10_000
+# Row groups of stored ids: small, sorted, with a Bloom filter tight enough that
+# a batch of thousands of new ids still skips nearly all of them.
+ID_FILES = {"parquet.bloom.filter.enabled#aws_request_id": "true", "parquet.bloom.filter.fpp#aws_request_id": "0.0000001",
+            "parquet.bloom.filter.expected.ndv#aws_request_id": "200000", "parquet.block.size": str(8 << 20)}
 
 
 def align_schema(df: DataFrame, schema: T.StructType, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -72,17 +90,84 @@ def write_facts(tables: dict[str, DataFrame], root: str, ingest: str | None = No
     return ingest
 
 
+def _writes(spark: SparkSession, path: str) -> dict[str | None, list[str]]:
+    """The folders of a fact table: day -> names of its writes."""
+    out: dict[str | None, list[str]] = {}
+    for p in folders.matching(spark, f"{path}/event_date=*/ingest=*"):
+        out.setdefault(folders.value(p, "event_date"), []).append(folders.value(p, "ingest"))
+    return out
+
+
+def _hidden(writes: dict[str | None, list[str]]):
+    """The rows that the rules of compaction leave out, as a condition; None if
+    there are none. Names only days with folders besides their compacted one."""
+    out = None
+    for day, names in writes.items():
+        compacted = sorted(n for n in names if n.startswith(COMPACTED))
+        if not compacted or len(names) == 1:
+            continue
+        others = [n for n in names if not n.startswith(COMPACTED)]
+        # No name is an empty list's: isin() of nothing is false.
+        rows = F.col("ingest").isin(compacted[:-1]) | ((F.col("ingest") == compacted[-1]) & F.col("origin").isin(others))
+        rows = F.col("event_date").eqNullSafe(F.lit(day).cast("date")) & rows
+        out = rows if out is None else out | rows
+    return out
+
+
+def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The current rows of a fact table with event_date, ingest and origin."""
+    schema = T.StructType([*schemas.FACTS[name].fields, ORIGIN, *PARTITIONS.fields])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    hidden = _hidden(_writes(spark, path))
+    df = spark.read.schema(schema).parquet(path)
+    return df if hidden is None else df.where(~F.coalesce(hidden, F.lit(False)))
+
+
 def read_fact(spark: SparkSession, root: str, name: str, keep_partition_date: bool = False) -> DataFrame:
     """A stored fact table, read with its declared schema (no footer is opened
     for it; columns that older files lack are NULL). A table nothing was
     written to is empty. With ``keep_partition_date`` the ``event_date``
     partition column stays, so time filters prune partitions."""
-    path = f"{root.rstrip('/')}/{name}"
-    schema = T.StructType(schemas.FACTS[name].fields + PARTITIONS.fields)
-    df = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+    df = _stored(spark, f"{root.rstrip('/')}/{name}", name)
     return align_schema(df, schemas.FACTS[name], extra=("event_date",) if keep_partition_date else ())
 
 
+def stored_days(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Days (ISO dates, newest first) a fact table has folders for; rows without
+    a time lie outside any day."""
+    days = {folders.value(p, "event_date") for p in folders.matching(spark, f"{root.rstrip('/')}/{name}/event_date=*")}
+    return sorted(days - {None}, reverse=True)
+
+
+def compact_facts(spark: SparkSession, root: str, names: tuple[str, ...] = tuple(schemas.FACTS), min_writes: int = MIN_WRITES) -> dict[str, int]:
+    """Merge the folders of every day that has ``min_writes`` or more into one,
+    in files that follow the bytes of the day, sorted by time. Days per table.
+    One job of this kind at a time may work on a table; writers may go on, but a
+    read that is under way when its files go has to be repeated."""
+    done = {}
+    for name in names:
+        path = f"{root.rstrip('/')}/{name}"
+        writes = {d: ks for d, ks in _writes(spark, path).items() if len(ks) >= min_writes}
+        done[name] = len(writes)
+        if not writes:
+            continue
+        dated = F.col("event_date").cast("string").isin([d for d in writes if d is not None])
+        rows = _stored(spark, path, name).where(dated | F.col("event_date").isNull() if None in writes else dated)
+        new = folders.aside(path)
+        (rows.withColumn("origin", F.coalesce("origin", "ingest")).drop("ingest").hint("rebalance", F.col("event_date"))
+         .sortWithinPartitions("event_date", "timestamp").write.partitionBy("event_date").parquet(new))
+        for p in folders.matching(spark, f"{new}/event_date=*"):
+            day = p.rsplit("/", 1)[1]
+            names_ = writes[folders.value(p, "event_date")]
+            last = max((int(n[len(COMPACTED):]) for n in names_ if n.startswith(COMPACTED)), default=0)
+            folders.move(spark, p, f"{path}/{day}/ingest={COMPACTED}{last + 1:09d}")
+            for n in names_:
+                folders.discard(spark, f"{path}/{day}/ingest={n}")
+        folders.discard(spark, new)
+    return done
+
+
 def load_stored_tables(spark: SparkSession, facts_root: str, dims: dict | None = None):
     """Tables over the sink's fact tables (partition pruning enabled) plus
     optional dimension DataFrames (org_members, user_aliases, teams,
@@ -91,32 +176,64 @@ def load_stored_tables(spark: SparkSession, facts_root: str, dims: dict | None =
 
     configure(spark)
     f = {n: read_fact(spark, facts_root, n, keep_partition_date=True) for n in schemas.FACTS}
-    return Tables(**f, **(dims or {}))
+    return Tables(**f, **(dims or {}), extra={"days": {n: stored_days(spark, facts_root, n) for n in schemas.FACTS}})
 
 
 # ── ids of synced requests ──────────────────────────────────────────────────
-def id_bucket(c="aws_request_id"):
-    return F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int")
+def _write_run(rows: DataFrame, root: str, run: str, replace: bool = False) -> None:
+    """One sorted run of ids. ``replace``: a run of this name may be there."""
+    spark, path = rows.sparkSession, f"{root.rstrip('/')}/_request_ids"
+    new = folders.aside(path)
+    w = rows.select(*ID_INDEX.names).repartitionByRange("aws_request_id").sortWithinPartitions("aws_request_id").write
+    for key, option in ID_FILES.items():
+        w = w.option(key, option)
+    w.parquet(new)
+    if replace:
+        folders.discard(spark, f"{path}/run={run}")
+    folders.move(spark, new, f"{path}/run={run}")
 
 
 def write_request_ids(ids: DataFrame, root: str, ingest: str) -> None:
-    """Note the request ids (``aws_request_id``) that ``ingest`` has stored."""
-    rows = ids.select("aws_request_id").where("aws_request_id is not null")
-    _write(rows.withColumn("bucket", id_bucket()).withColumn("ingest", F.lit(ingest)),
-           f"{root.rstrip('/')}/_request_ids", "bucket", "ingest")
-
-
-def read_request_ids(spark: SparkSession, root: str, buckets: list[int] | None = None,
+    """Note the request ids (``aws_request_id``) that ``ingest`` has stored: a run
+    of level 0, which the same ingest replaces."""
+    rows = ids.select("aws_request_id", F.lit(ingest).alias("ingest")).where("aws_request_id is not null")
+    _write_run(rows, root, f"0-{ingest}", replace=True)
+
+
+def id_runs(spark: SparkSession, root: str) -> dict[int, list[str]]:
+    """The runs of stored ids by level."""
+    out: dict[int, list[str]] = {}
+    for p in folders.matching(spark, f"{root.rstrip('/')}/_request_ids/run=*"):
+        out.setdefault(int(folders.value(p, "run").split("-", 1)[0]), []).append(p)
+    return out
+
+
+def merge_request_ids(spark: SparkSession, root: str, runs: int = MERGED_RUNS) -> None:
+    """Size-tiered merging: ``runs`` runs of a level become one of the next, so
+    their number grows with the logarithm of the batches and an id is rewritten
+    as seldom. Ids keep the name of their ingest. After a crash between the move
+    and the deletions some ids are stored twice, which changes no answer."""
+    level, now = 0, id_runs(spark, root)
+    while len(now.get(level, [])) >= runs:
+        rows = spark.read.schema(ID_INDEX).parquet(*now[level])
+        _write_run(rows, root, f"{level + 1}-{uuid.uuid4().hex[:16]}")
+        for p in now[level]:
+            folders.discard(spark, p)
+        level, now = level + 1, id_runs(spark, root)
+
+
+def read_request_ids(spark: SparkSession, root: str, ids: list[str] | None = None,
                      without: str | None = None) -> DataFrame | None:
-    """Stored request ids, of some buckets only, without those of one ingest
-    (its replay replaces them); None if none were ever stored. A folder that
-    exists but cannot be read is an error."""
+    """Stored request ids, without those of one ingest (its replay replaces
+    them); None if none were ever stored. With ``ids`` only those: row groups
+    whose range or Bloom filter excludes all of them are not read. A folder
+    that exists but cannot be read is an error."""
     path = f"{root.rstrip('/')}/_request_ids"
-    if not path_exists(spark, path):
+    if not id_runs(spark, root):
         return None
-    ids = spark.read.schema(ID_INDEX).parquet(path)
-    if buckets is not None:
-        ids = ids.where(F.col("bucket").isin(buckets))
+    stored = spark.read.schema(ID_INDEX).parquet(path)
+    if ids is not None:
+        stored = stored.where(F.col("aws_request_id").isin(ids))
     if without is not None:
-        ids = ids.where(F.col("ingest") != without)
-    return ids.select("aws_request_id")
+        stored = stored.where(F.col("ingest") != without)
+    return stored.select("aws_request_id")

@@ -22,6 +22,8 @@ from usagelens.operators.aliases import new_aliases
 from usagelens.session import configure, path_exists
 from usagelens.sources import facts, invocations, otlp
 
+# Batches after which days with many small folders are merged.
+COMPACT_EVERY = 16
 ALIASES = "email string, alias string, created_at timestamp, ingest string"
 
 
@@ -69,7 +71,8 @@ def _counts_row(spark: SparkSession, values: dict, path: str, ingest: str) -> No
         .write.mode("overwrite").json(f"{path.rstrip('/')}/ingest={ingest}")
 
 
-def otlp_batch_writer(sink_root: str, checkpoint: str, as_of: dt.datetime | None = None, alias_path: str | None = None):
+def otlp_batch_writer(sink_root: str, checkpoint: str, as_of: dt.datetime | None = None, alias_path: str | None = None,
+                      compact_every: int | None = COMPACT_EVERY):
     """The foreachBatch body of O1 (+ O5 when ``alias_path`` is given)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -103,17 +106,20 @@ def otlp_batch_writer(sink_root: str, checkpoint: str, as_of: dt.datetime | None
                     .parquet(f"{alias_path.rstrip('/')}/ingest={ingest}")
         finally:
             records.unpersist()
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            facts.compact_facts(spark, root)
     return run
 
 
 def stream_ingest_otlp(spark: SparkSession, source_dir: str, sink_root: str, checkpoint: str,
                        as_of: dt.datetime | None = None, alias_path: str | None = None,
                        trigger: dict | None = None, max_files_per_trigger: int | None = None,
-                       one_per_file: bool = False) -> StreamingQuery:
+                       one_per_file: bool = False, compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """O1: payload files -> five fact tables (+ quarantine with the rejected
-    text, + aliases)."""
+    text, + aliases). Every ``compact_every`` batches (None: never) days with
+    many small folders are merged."""
     s = otlp_stream(spark, source_dir, one_per_file, max_files_per_trigger)
-    w = s.writeStream.foreachBatch(otlp_batch_writer(sink_root, checkpoint, as_of, alias_path)) \
+    w = s.writeStream.foreachBatch(otlp_batch_writer(sink_root, checkpoint, as_of, alias_path, compact_every)) \
         .option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
 
@@ -126,11 +132,12 @@ def read_quarantine(spark: SparkSession, sink_root: str) -> DataFrame:
     return df.drop("ingest")
 
 
-def invocation_batch_writer(sink_root: str, checkpoint: str, last_sync: dt.datetime | None, as_of: dt.datetime | None):
+def invocation_batch_writer(sink_root: str, checkpoint: str, last_sync: dt.datetime | None, as_of: dt.datetime | None,
+                            compact_every: int | None = COMPACT_EVERY):
     """O2 body: parse, keep, first-per-id, anti join against the stored ids
-    (exact, no state expiry; only the hash buckets this batch falls into are
-    read), append to the api_requests table. An error while reading the stored
-    ids fails the batch."""
+    (exact, no state expiry; of the sorted runs only row groups that may hold
+    an id of this batch are read), append to the api_requests table. An error
+    while reading the stored ids fails the batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         configure(spark)
@@ -143,14 +150,17 @@ def invocation_batch_writer(sink_root: str, checkpoint: str, last_sync: dt.datet
         kept = invocations.keep_invocations(ev)
         first = invocations.dedup_by_request_id(kept.observe(valid, F.count(F.lit(1)).alias("n")), None).persist()
         try:
-            # at most ID_BUCKETS numbers
-            buckets = [r[0] for r in first.select(facts.id_bucket("log.requestId")).distinct().collect()]
-            stored = facts.read_request_ids(spark, sink_root, buckets, without=ingest)
+            # Names of at most PROBED_IDS ids reach the scan; a larger batch reads all stored ids.
+            ids = [r[0] for r in first.select("log.requestId").limit(facts.PROBED_IDS + 1).collect()]
+            stored = facts.read_request_ids(spark, sink_root, ids if len(ids) <= facts.PROBED_IDS else None, without=ingest)
             new = first if stored is None else invocations.without_stored(first, stored)
             rows = invocations.invocations_to_requests(new).observe(inserted, F.count(F.lit(1)).alias("n")).persist()
             try:
                 facts.write_facts({"api_requests": rows}, sink_root, ingest)
                 facts.write_request_ids(rows, sink_root, ingest)
+                facts.merge_request_ids(spark, sink_root)
+                if compact_every and (batch_id + 1) % compact_every == 0:
+                    facts.compact_facts(spark, sink_root, ("api_requests",))
                 n_in = int(inserted.get["n"])
             finally:
                 rows.unpersist()
@@ -163,7 +173,8 @@ def invocation_batch_writer(sink_root: str, checkpoint: str, last_sync: dt.datet
 
 def stream_ingest_invocations(spark: SparkSession, source_dir: str, sink_root: str, checkpoint: str,
                               last_sync: dt.datetime | None = None, as_of: dt.datetime | None = None,
-                              trigger: dict | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                              trigger: dict | None = None, max_files_per_trigger: int | None = None,
+                              compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """O2: landed invocation-log files, polled on a trigger, into the
     api_requests table below ``sink_root``."""
     configure(spark)
@@ -171,6 +182,6 @@ def stream_ingest_invocations(spark: SparkSession, source_dir: str, sink_root: s
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     s = r.json(source_dir).select("timestamp", "message", F.col("_metadata.file_path").alias("file"))
-    w = s.writeStream.foreachBatch(invocation_batch_writer(sink_root, checkpoint, last_sync, as_of)) \
+    w = s.writeStream.foreachBatch(invocation_batch_writer(sink_root, checkpoint, last_sync, as_of, compact_every)) \
         .option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
