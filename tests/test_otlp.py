@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import os
+import re
 
 import pytest
 
@@ -196,3 +198,61 @@ def test_a_null_value_is_quarantined_once_with_its_payload(spark):
     recs, t = ingest(spark, [text])
     assert t["user_prompts"].count() == 0
     assert [(r["reason"], r["payload"]) for r in otlp.quarantined(recs).collect()] == [("attribute without value", text)]
+
+
+BIG = """
+import datetime as dt, json, sys
+from pyspark.sql import SparkSession, functions as F
+spark = (SparkSession.builder.master("local[2]").config("spark.driver.memory", "1g").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", 4).getOrCreate())
+from usagelens.session import configure, ensure_checkpoint_dir
+from usagelens.sources import facts, otlp
+from usagelens.streaming import ingest
+configure(spark), ensure_checkpoint_dir(spark)
+src, out = sys.argv[1:]
+as_of = dt.datetime(2024, 5, 1)
+recs = otlp.read_otlp(spark, src, as_of)
+got = recs.groupBy("quarantined").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max(F.length("payload")).alias("longest")).collect()
+odd = recs.where(~F.col("quarantined")).select(F.col("attrs")["odd"]["v"].alias("v")).where("v is not null")
+ingest.stream_ingest_otlp(spark, src, out + "/facts", out + "/ck", as_of=as_of).awaitTermination()
+print("GOT", json.dumps({"batch": {str(r.quarantined): [r.n, r.ids, r.longest] for r in got}, "odd": odd.distinct().count(),
+      "stream": facts.read_fact(spark, out + "/facts", "api_requests").count(), "rejected": ingest.read_quarantine(spark, out + "/facts").count()}))
+"""
+
+
+def test_large_payloads_fit_into_a_small_heap(tmp_path):
+    """One payload of 10 MB with 20,000 records, every third with a value kept as JSON, every tenth rejected: 1 GB of heap."""
+    import subprocess
+    import sys
+
+    def record(i):
+        attrs = [{"key": k, "value": {"stringValue": f"{k}-{i}-{'x' * 30}"}} for k in ("session.id", "prompt.id", "user.email", "model")]
+        attrs += [{"key": "input_tokens", "value": {"intValue": str(i)}}, {"key": "cost_usd", "value": {"doubleValue": 0.25}}]
+        attrs += [{"key": "odd", "value": {"otherValue": {"a": [1, i]}}}] if i % 3 == 0 else []
+        attrs += [{"key": "lost"}] if i % 10 == 0 else []
+        return {"timeUnixNano": str(1704067200000000000 + i * 10 ** 9), "body": {"stringValue": "claude_code.api_request"}, "attributes": attrs}
+
+    text = json.dumps({"resourceLogs": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "claude-code"}}]},
+                                         "scopeLogs": [{"logRecords": [record(i) for i in range(20000)]}]}]})
+    assert len(text) > 10_000_000
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "p.json").write_text(text + "\n")
+    done = subprocess.run([sys.executable, "-c", BIG, str(src), str(tmp_path / "out")], capture_output=True, text=True, timeout=600,
+                          cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = json.loads(next(line for line in done.stdout.splitlines() if "GOT" in line).split("GOT ")[1])
+    assert got["batch"]["False"][:2] == [18000, 18000]
+    assert got["batch"]["True"][:2] == [2000, 2000] and got["batch"]["True"][2] < 2000
+    assert (got["stream"], got["rejected"], got["odd"]) == (18000, 2000, 6000)
+
+
+def test_a_rejected_record_can_be_sent_again_alone(spark):
+    recs = [{"timeUnixNano": "1704067200000000000", "body": {"stringValue": "user_prompt"},
+             "attributes": [{"key": "prompt.length", "value": {"intValue": str(i)}}] + ([{"key": "lost"}] if i == 1 else [])} for i in range(3)]
+    text = json.dumps({"resource_logs": [{"resource": {"attributes": [{"key": "session.id", "value": {"stringValue": "s"}}]},
+                                          "scope_logs": [{"log_records": recs}]}]})
+    df = spark.createDataFrame([("f", text)], "file string, value string")
+    (row,) = otlp.quarantined(otlp.flatten_otlp(df, AS_OF)).collect()
+    mended = re.sub(r'\{"key": ?"lost"\}', '{"key":"found","value":{"boolValue":true}}', row.payload)
+    again = otlp.route(otlp.flatten_otlp(spark.createDataFrame([("f", mended)], "file string, value string"), AS_OF))["user_prompts"].collect()
+    assert [(r.session_id, r.prompt_length) for r in again] == [("s", 1)]

@@ -2,9 +2,10 @@
 
 A payload is ``{resourceLogs: [{resource: {attributes}, scopeLogs:
 [{logRecords: [...]}]}]}``; every level may also be snake_case. One fixed
-schema covers both spellings, so the payload is parsed once (no schema
-inference) and the whole transform is narrow: parse, three posexplodes,
-map building and five projections -- no shuffle.
+schema covers both spellings (no schema inference) and the whole transform is
+narrow: the payload is cut into records by three posexplodes, each record is
+parsed once, maps are built, five projections follow -- no shuffle, and no row
+holds more than one record and its resource.
 
 Attribute values keep JavaScript semantics: each attribute becomes
 ``struct(v, f)`` where ``v`` is the first of string/int/double/bool value
@@ -47,16 +48,13 @@ LOG_RECORD = T.StructType([
     T.StructField("body", BODY),
     T.StructField("attributes", ATTRIBUTES),
 ])
-SCOPE_LOGS = T.StructType([T.StructField("logRecords", T.ArrayType(LOG_RECORD)),
-                           T.StructField("log_records", T.ArrayType(LOG_RECORD))])
-RESOURCE_LOGS = T.StructType([
-    T.StructField("resource", T.StructType([T.StructField("attributes", ATTRIBUTES)])),
-    T.StructField("scopeLogs", T.ArrayType(SCOPE_LOGS)),
-    T.StructField("scope_logs", T.ArrayType(SCOPE_LOGS)),
-])
-PAYLOAD = T.StructType([T.StructField("resourceLogs", T.ArrayType(RESOURCE_LOGS)),
-                        T.StructField("resource_logs", T.ArrayType(RESOURCE_LOGS)),
-                        T.StructField(CORRUPT, S)])
+RESOURCE = T.StructType([T.StructField("attributes", ATTRIBUTES)])
+# Whole payloads are only cut up: a resource and a record stay JSON text until
+# they stand alone in a row.
+SCOPE_LOGS = _st("logRecords", "log_records", t=T.ArrayType(S))
+RESOURCE_LOGS = T.StructType([T.StructField("resource", S), T.StructField("scopeLogs", T.ArrayType(SCOPE_LOGS)),
+                              T.StructField("scope_logs", T.ArrayType(SCOPE_LOGS))])
+PAYLOAD = T.StructType([*_st("resourceLogs", "resource_logs", t=T.ArrayType(RESOURCE_LOGS)).fields, T.StructField(CORRUPT, S)])
 
 # Event names routed to the five fact tables.
 EVENT_PREFIX = "claude_code."
@@ -107,10 +105,11 @@ def _unread(v: Column) -> Column:
     return v.isNull() | F.coalesce(*[v[k] for k in SCALAR_KINDS + OTHER_KINDS]).isNull()
 
 
-def _raw_value(text: Column, path: Column, i: Column) -> Column:
-    """JSON of the i-th attribute's value, from the payload text (only read for
-    values that the schema could not hold); NULL if it has none."""
-    raw = F.call_function("get_json_object", text, F.concat(path, F.lit("["), i.cast("string"), F.lit("].value")))
+def _raw_value(text: Column, i: Column) -> Column:
+    """JSON of the i-th attribute's value, from the text of its record or
+    resource (only read for values that the schema could not hold); NULL if it
+    has none."""
+    raw = F.call_function("get_json_object", text, F.concat(F.lit("$.attributes["), i.cast("string"), F.lit("].value")))
     return F.when(raw.rlike(r"^([\[{].*|-?[0-9][0-9.eE+-]*|true|false)$"), raw).otherwise(F.concat(F.lit('"'), raw, F.lit('"')))
 
 
@@ -136,16 +135,15 @@ def _attr_value(v: Column, raw: Column) -> Column:
     return F.struct(val.alias("v"), falsy.alias("f"))
 
 
-def attr_map(attrs: Column, text: Column | None = None, path: Column | None = None) -> Column:
+def attr_map(attrs: Column, text: Column | None = None) -> Column:
     """Attribute list -> map<key, struct(v, f)>; a repeated key keeps
     the last value (session conf mapKeyDedupPolicy=LAST_WIN). NULL when an
-    attribute has no key (malformed; such records are quarantined). ``text``
-    and ``path`` say where the list lies in the payload, for values that are
-    kept as JSON."""
+    attribute has no key (malformed; such records are quarantined). ``text``:
+    the JSON object whose ``attributes`` these are, for values kept as JSON."""
     a = F.coalesce(attrs, F.array().cast(ATTRIBUTES))
 
     def value(v, i):
-        raw = F.lit(None).cast("string") if text is None else F.when(_unread(v), _raw_value(text, path, i))
+        raw = F.lit(None).cast("string") if text is None else F.when(_unread(v), _raw_value(text, i))
         return _attr_value(v, raw)
 
     return F.when(~_any(a["key"], lambda k: k.isNull()), F.map_from_arrays(a["key"], F.transform(a["value"], value)))
@@ -238,70 +236,90 @@ BAD_JSON, NO_VALUE = "invalid JSON", "attribute without value"
 
 
 # ── flatten ─────────────────────────────────────────────────────────────────
+def _resources(p: Column) -> Column:
+    return F.coalesce(p["resourceLogs"], p["resource_logs"])
+
+
+def _scopes(rl: Column) -> Column:
+    return F.coalesce(rl["scopeLogs"], rl["scope_logs"])
+
+
+def _records(sl: Column) -> Column:
+    return F.coalesce(sl["logRecords"], sl["log_records"])
+
+
+def _once(value: Column) -> Column:
+    """A value out of a generator: computed once a row, whatever reads it."""
+    return F.explode_outer(F.array(value))
+
+
 def parse_payloads(payloads: DataFrame) -> DataFrame:
-    """(file, value[, block, row]) -> (file, block, row, value, p, bad_json).
-    ``value`` is one payload; text that is not JSON lands in the corrupt-record
-    field (no second parse). A payload in which only some value has another
-    type than declared is kept: the parser leaves that value NULL."""
+    """(file, value[, block, row]) -> (file, block, row, content, p, bad_json,
+    text). ``value`` is one payload, ``content`` its hash; text that is not JSON
+    lands in the corrupt-record field (no second parse). ``text`` is kept of
+    payloads that are no JSON or hold a single record, which make one row."""
     none = F.lit(None).cast("bigint")
     place = [F.col(c) if c in payloads.columns else none.alias(c) for c in ("block", "row")]
-    p = payloads.select("file", *place, "value", F.explode_outer(F.array(
-        F.from_json("value", PAYLOAD, {"columnNameOfCorruptRecord": CORRUPT}))).alias("p"))
-    unread = F.coalesce("p.resourceLogs", "p.resource_logs").isNull() & F.col(f"p.{CORRUPT}").isNotNull()
-    return p.select("file", "block", "row", "value", "p", (F.col("p").isNull() | unread).alias("bad_json"))
+    p = payloads.select("file", *place, "value", _once(F.struct(
+        F.from_json("value", PAYLOAD, {"columnNameOfCorruptRecord": CORRUPT}).alias("p"), F.xxhash64("value").alias("content"))).alias("once"))
+    all_ = _resources(F.col("once.p"))
+    bad = F.col("once.p").isNull() | (all_.isNull() & F.col(f"once.p.{CORRUPT}").isNotNull())
+    scopes = _scopes(F.get(all_, F.lit(0)))
+    single = (F.size(all_) == 1) & (F.size(scopes) == 1) & (F.size(_records(F.get(scopes, F.lit(0)))) == 1)
+    return p.select("file", "block", "row", "once.content", all_.alias("resources"), bad.alias("bad_json"), F.when(bad | single, F.col("value")).alias("text"))
 
 
 def flatten_records(parsed: DataFrame) -> DataFrame:
     """B2: resourceLogs -> scopeLogs -> logRecords (empty levels give no
     rows). Text that is not JSON gives one row without a record, so that it
-    reaches the quarantine in the same pass. Positions are kept for the record
-    id and the arrival order, paths for values that are kept as JSON."""
-    def level(bad, camel, snake):
-        return F.when(bad, F.array(F.lit(None))).otherwise(F.coalesce(camel, snake))
+    reaches the quarantine in the same pass.
 
-    def path(before, pos, camel, name, snake):
-        key = F.when(F.col(camel).isNotNull(), F.lit(name)).otherwise(F.lit(snake))
-        return F.concat(before, key, F.lit("["), pos.cast("string"), F.lit("]"))
-
-    keep = ["file", "block", "row", "value", "bad_json"]
+    A row holds its own record, its resource and its place, nothing of the rest
+    of the payload: a generator buffers all rows of a payload, so anything
+    larger would count once for each of its records."""
     bad = F.col("bad_json")
-    rl = parsed.select(*keep, "p", F.posexplode(level(bad, "p.resourceLogs", "p.resource_logs")).alias("rl_pos", "rl"))
-    rl = rl.select(*keep, "rl_pos", "rl", path(F.lit("$."), F.col("rl_pos"), "p.resourceLogs", "resourceLogs", "resource_logs").alias("rl_path"))
-    sl = rl.select(*keep, "rl_pos", "rl", "rl_path", F.posexplode(level(bad, "rl.scopeLogs", "rl.scope_logs")).alias("sl_pos", "sl"))
-    sl = sl.select(*keep, "rl_pos", "rl_path", F.col("rl.resource.attributes").alias("res_attrs"), "sl_pos", "sl",
-                   path(F.concat("rl_path", F.lit(".")), F.col("sl_pos"), "rl.scopeLogs", "scopeLogs", "scope_logs").alias("sl_path"))
-    rec = sl.select(*keep, "rl_pos", "rl_path", "res_attrs", "sl_pos", "sl", "sl_path",
-                    F.posexplode(level(bad, "sl.logRecords", "sl.log_records")).alias("rec_pos", "rec"))
-    return rec.select(*keep, "rl_pos", "rl_path", "res_attrs", "sl_pos", "rec_pos", "rec",
-                      path(F.concat("sl_path", F.lit(".")), F.col("rec_pos"), "sl.logRecords", "logRecords", "log_records").alias("rec_path"))
+    keep = ["file", "block", "row", "content", "bad_json", "text"]
+
+    def level(elements):
+        return F.posexplode(F.when(bad, F.array(F.lit(None))).otherwise(elements))
+
+    rl = parsed.select(*keep, level(F.col("resources")).alias("rl_pos", "rl"))
+    rl = rl.select(*keep, "rl_pos", F.col("rl.resource").alias("resource"), _scopes(F.col("rl")).alias("scopes"))
+    rl = rl.select(*keep, "rl_pos", "resource", "scopes", _once(F.from_json("resource", RESOURCE)["attributes"]).alias("attributes"))
+    rl = rl.select(*keep, "rl_pos", "resource", "scopes", "attributes", _once(attr_map(F.col("attributes"), F.col("resource"))).alias("map"))
+    rl = rl.select(*keep, "rl_pos", "resource", "scopes", "map", malformed_attrs(F.col("attributes"), F.col("map")).alias("res_bad"))
+    keep += ["rl_pos", "resource", "map", "res_bad"]
+    sl = rl.select(*keep, level(F.col("scopes")).alias("sl_pos", "sl")).select(*keep, "sl_pos", _records(F.col("sl")).alias("records"))
+    keep += ["sl_pos"]
+    rec = sl.select(*keep, level(F.col("records")).alias("rec_pos", "record"))
+    return rec.select(*keep, "rec_pos", "record", _once(F.from_json("record", LOG_RECORD)).alias("rec"))
 
 
 def normalize_records(records: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row per log record with the event, timestamp, merged
     attributes, source and identity columns. ``reason`` says why a row is
-    quarantined (NULL: it is not), ``payload`` then holds its text.
+    quarantined (NULL: it is not). ``payload`` then holds a payload with this
+    record alone (the payload itself, if it has no other), so that a mended
+    record can be sent again without the rest.
 
     ``id`` hashes the file, the payload's content and the place inside the
     payload: it does not depend on how the file was split (a payload line that
     is repeated in one file repeats its ids). ``ingest_seq`` is the arrival
     order. The maps come out of a generator, so each is built once and not
     inlined into every expression that looks something up."""
-    text = F.col("value")
-    recs = records.select("*", F.explode_outer(F.array(F.struct(
-        attr_map(F.col("rec.attributes"), text, F.concat("rec_path", F.lit(".attributes"))).alias("rec"),
-        attr_map(F.col("res_attrs"), text, F.concat("rl_path", F.lit(".resource.attributes"))).alias("res")))).alias("maps"))
-    no_value = malformed_attrs(F.col("rec.attributes"), F.col("maps.rec")) | malformed_attrs(F.col("res_attrs"), F.col("maps.res"))
+    recs = records.select("*", _once(attr_map(F.col("rec.attributes"), F.col("record"))).alias("own"))
+    no_value = malformed_attrs(F.col("rec.attributes"), F.col("own")) | F.col("res_bad")
     reason = F.when(F.col("bad_json"), BAD_JSON).when(no_value, NO_VALUE)
-    recs = recs.withColumn("reason", reason).withColumn("attrs", F.explode_outer(F.array(
-        merge_attrs(F.col("maps.res"), F.col("maps.rec")))))
-    name = event_name(F.col("rec.body"), F.col("maps.rec"))
+    recs = recs.withColumn("reason", reason).withColumn("attrs", _once(merge_attrs(F.col("map"), F.col("own"))))
+    alone = F.concat(F.lit('{"resourceLogs":[{"resource":'), F.coalesce("resource", F.lit("{}")), F.lit(',"scopeLogs":[{"logRecords":['),
+                     F.coalesce("record", F.lit("null")), F.lit("]}]}]}"))
+    name = event_name(F.col("rec.body"), F.col("own"))
     nanos = _first_nonempty(F.col("rec.timeUnixNano"), F.col("rec.time_unix_nano"),
                             F.col("rec.observedTimeUnixNano"), F.col("rec.observed_time_unix_nano"))
     at = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-    content = F.xxhash64(text)
     out = recs.select(
-        F.xxhash64(F.col("file"), content, F.col("rl_pos"), F.col("sl_pos"), F.col("rec_pos")).alias("id"),
-        F.struct("file", content.alias("payload"), "rl_pos", "sl_pos", "rec_pos").alias("ingest_pos"),
+        F.xxhash64("file", "content", "rl_pos", "sl_pos", "rec_pos").alias("id"),
+        F.struct("file", F.col("content").alias("payload"), "rl_pos", "sl_pos", "rec_pos").alias("ingest_pos"),
         F.struct(at.alias("at"), "file", "block", "row", F.col("rl_pos").alias("rl"), F.col("sl_pos").alias("sl"),
                  F.col("rec_pos").alias("rec")).alias("ingest_seq"),
         nanos_to_ts(nanos, as_of).alias("timestamp"),
@@ -309,7 +327,7 @@ def normalize_records(records: DataFrame, as_of: dt.datetime) -> DataFrame:
         "attrs",
         "reason",
         F.col("reason").isNotNull().alias("quarantined"),
-        F.when(F.col("reason").isNotNull(), text).alias("payload"),
+        F.when(F.col("reason").isNotNull(), F.coalesce(F.col("text"), alone)).alias("payload"),
     )
     a = F.col("attrs")
     return out.select("*", canonical_event(F.col("event_name")).alias("event"), source_of(a).alias("source"),
@@ -344,8 +362,8 @@ def quarantine(payloads: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 
 def quarantined(records: DataFrame) -> DataFrame:
-    """The quarantined rows among ``records``: file, reason, id, payload (a
-    rejected payload can be replayed from its text)."""
+    """The quarantined rows among ``records``: file, reason, id, payload (what was
+    rejected can be replayed from it)."""
     return records.filter("quarantined").select(F.col("ingest_pos.file").alias("file"), "reason", "id", "payload")
 
 
