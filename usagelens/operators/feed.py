@@ -59,9 +59,31 @@ def newest_first() -> list:
     return [F.desc("timestamp"), F.asc("type"), F.desc("id")]
 
 
+def _since(t: Tables, day: str) -> Tables:
+    facts = ("api_requests", "tool_uses", "user_prompts", "api_errors")
+    return t.with_(**{n: getattr(t, n).where(F.col("event_date") >= F.lit(day).cast("date")) for n in facts})
+
+
+def _last_days(spark: SparkSession, t: Tables, f: Filters, k: int) -> Tables:
+    """``t`` cut to the newest days that hold ``k`` events (days double until
+    they do). Every event outside lies before these days, so the newest k are
+    all within; with fewer than k events in all days nothing is cut."""
+    days, n = t.extra["days"], 1
+    while n < len(days):
+        cut = _since(t, days[n - 1])
+        if events_union(spark, cut, f).limit(k).count() >= k:
+            return cut
+        n *= 2
+    return t
+
+
 def recent_events(spark: SparkSession, t: Tables, f: Filters, limit=DEFAULT_LIMIT) -> DataFrame:
-    """H3: newest ``limit`` events (a top-k: each task keeps its own k)."""
+    """H3: newest ``limit`` events (a top-k: each task keeps its own k). Stored
+    tables (``load_stored_tables``) are read from the newest day on, and only as
+    far back as the answer reaches."""
     k = feed_limit(limit)
+    if t.extra.get("days"):
+        t = _last_days(spark, t, f, k)
     out = events_union(spark, t, f).orderBy(*newest_first()).limit(k)
     if f.masked:
         out = mask(out, t.user_aliases).orderBy(*newest_first())

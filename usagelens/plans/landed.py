@@ -59,6 +59,24 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_land(spark, sf_dir, "identities", write))
 
 
+def facts_root(spark: SparkSession, sf_dir: str) -> str:
+    """The fact tables in the sink's layout, with rollups: one write, the rollups
+    built from it, then two more with rows of the same (by then past) days; compacted
+    after the second."""
+    from usagelens import schemas
+    from usagelens.sources import facts
+
+    def write(t, path):
+        for part in range(3):
+            rows = {n: getattr(t, n).where(F.pmod(F.xxhash64("id"), F.lit(3)) == part) for n in schemas.FACTS}
+            facts.write_facts(rows, path, f"w{part}")
+            if part == 0:
+                facts.build_rollups(spark, path)
+            if part == 1:
+                facts.compact_facts(spark, path, min_writes=2)
+    return _land(spark, sf_dir, "facts", write)
+
+
 HOT_USER = "hot@example.com"
 
 

@@ -822,3 +822,37 @@ def q_windows_hot(spark, sf_dir):
     r = t.api_requests.withColumn(
         "user_email", F.when(F.col("id") % 3 == 0, F.lit(HOT_USER)).otherwise(F.col("user_email")))
     return stable(windows.session_windows(spark, t, ALL, requests=r))
+
+
+# ── stored facts: newest days first, hourly rollups ─────────────────────────
+def _stored_tables(spark, sf_dir):
+    from usagelens.plans import landed
+    from usagelens.sources import facts
+
+    t = _t(spark, sf_dir)
+    return facts.load_stored_tables(spark, landed.facts_root(spark, sf_dir), dims={
+        n: getattr(t, n) for n in ("org_members", "user_aliases", "teams", "team_members")})
+
+
+@register("recent_events_stored")
+def q_recent_stored(spark, sf_dir):
+    return stable(feed.recent_events(spark, _stored_tables(spark, sf_dir), ALL), keep=RAW)
+
+
+@register("recent_events_stored_audience")
+def q_recent_stored_aud(spark, sf_dir):
+    return stable(feed.recent_events(spark, _stored_tables(spark, sf_dir), AUDIENCE_CLEAR, limit=200), keep=RAW)
+
+
+def _register_rollups():
+    from usagelens.operators import rollups
+
+    for name in ("summary", "cost_over_time", "by_model", "tool_stats", "hourly_activity"):
+        for suffix, f in (("", ALL), ("_filtered", MIXED)):
+            def run(spark, sf_dir, name=name, f=f):
+                return stable(getattr(rollups, name)(spark, _stored_tables(spark, sf_dir), f))
+            run.__doc__ = f"{name} from hourly rollups of the stored facts."
+            register(f"rollup_{name}{suffix}")(run)
+
+
+_register_rollups()

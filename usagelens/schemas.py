@@ -40,6 +40,18 @@ FACTS = {
     "tool_decisions": TOOL_DECISIONS,
 }
 
+# Hourly sums stored next to the facts (``timestamp`` is the start of the hour).
+ROLLUPS = {
+    "hourly_requests": _struct(
+        ("timestamp", TS), ("user_email", S), ("session_id", S), ("model", S), ("source", S), ("requests", L), ("cost_usd", D),
+        ("input_tokens", L), ("output_tokens", L), ("cache_read_tokens", L), ("cache_creation_tokens", L)),
+    "hourly_prompts": _struct(("timestamp", TS), ("user_email", S), ("events", L)),
+    "hourly_errors": _struct(("timestamp", TS), ("user_email", S), ("events", L)),
+    "hourly_tools": _struct(("timestamp", TS), ("user_email", S), ("tool_name", S), ("uses", L), ("successes", L), ("failures", L),
+                            ("duration_ms", L), ("timed", L)),
+}
+STORED = FACTS | ROLLUPS
+
 ORG_MEMBERS = _struct(
     ("email", S), ("name", S), ("role", S), ("status", S), ("seat_tier", S),
     ("billing_model", S), ("imported_at", TS),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagelens import schemas
+from usagelens.operators.rollups import HOURLY
 from usagelens.session import configure, path_exists
 from usagelens.sources import folders
 
@@ -69,12 +70,16 @@ def write_facts(tables: dict[str, DataFrame], root: str, ingest: str | None = No
     """One parquet table per fact. ``ingest`` names this write (default: a
     new name); the same name again replaces the earlier write's days. With
     ``parallel`` the independent table writes are submitted as concurrent jobs
-    (useful when one batch is too small to fill the cluster)."""
+    (useful when one batch is too small to fill the cluster). A root with
+    rollups (``build_rollups``) gets those of the written rows as well."""
     ingest = ingest or new_ingest()
+    first = next(iter(tables.values()), None)
+    if first is not None and has_rollups(first.sparkSession, root):
+        tables = tables | {roll: sums(align_schema(tables[fact], schemas.FACTS[fact])) for roll, (fact, sums) in HOURLY.items() if fact in tables}
 
     def write(item):
         name, df = item
-        out = align_schema(df, schemas.FACTS[name])
+        out = align_schema(df, schemas.STORED[name])
         out = out.withColumn("event_date", F.to_date("timestamp")).withColumn("ingest", F.lit(ingest))
         _write(out, f"{root.rstrip('/')}/{name}", "event_date", "ingest")
 
@@ -98,25 +103,32 @@ def _writes(spark: SparkSession, path: str) -> dict[str | None, list[str]]:
     return out
 
 
+def _among(column: str, values: list[str]) -> str:
+    """SQL: whether a column is one of the texts."""
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return f"{column} IN ({', '.join(quoted)})" if values else "false"
+
+
 def _hidden(writes: dict[str | None, list[str]]):
     """The rows that the rules of compaction leave out, as a condition; None if
-    there are none. Names only days with folders besides their compacted one."""
-    out = None
+    there are none. Names only days with folders besides their compacted one,
+    days with the same folders together."""
+    alike: dict[tuple[str, ...], list[str | None]] = {}
     for day, names in writes.items():
-        compacted = sorted(n for n in names if n.startswith(COMPACTED))
-        if not compacted or len(names) == 1:
-            continue
+        if len(names) > 1 and any(n.startswith(COMPACTED) for n in names):
+            alike.setdefault(tuple(sorted(names)), []).append(day)
+    rules = []
+    for names, days in alike.items():
+        *older, newest = [n for n in names if n.startswith(COMPACTED)]
         others = [n for n in names if not n.startswith(COMPACTED)]
-        # No name is an empty list's: isin() of nothing is false.
-        rows = F.col("ingest").isin(compacted[:-1]) | ((F.col("ingest") == compacted[-1]) & F.col("origin").isin(others))
-        rows = F.col("event_date").eqNullSafe(F.lit(day).cast("date")) & rows
-        out = rows if out is None else out | rows
-    return out
+        dated = _among("CAST(event_date AS STRING)", [d for d in days if d is not None]) + (" OR event_date IS NULL" if None in days else "")
+        rules.append(f"({dated}) AND ({_among('ingest', older)} OR ({_among('ingest', [newest])} AND {_among('origin', others)}))")
+    return F.expr(" OR ".join(f"({r})" for r in rules)) if rules else None
 
 
 def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The current rows of a fact table with event_date, ingest and origin."""
-    schema = T.StructType([*schemas.FACTS[name].fields, ORIGIN, *PARTITIONS.fields])
+    schema = T.StructType([*schemas.STORED[name].fields, ORIGIN, *PARTITIONS.fields])
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     hidden = _hidden(_writes(spark, path))
@@ -130,7 +142,7 @@ def read_fact(spark: SparkSession, root: str, name: str, keep_partition_date: bo
     written to is empty. With ``keep_partition_date`` the ``event_date``
     partition column stays, so time filters prune partitions."""
     df = _stored(spark, f"{root.rstrip('/')}/{name}", name)
-    return align_schema(df, schemas.FACTS[name], extra=("event_date",) if keep_partition_date else ())
+    return align_schema(df, schemas.STORED[name], extra=("event_date",) if keep_partition_date else ())
 
 
 def stored_days(spark: SparkSession, root: str, name: str) -> list[str]:
@@ -140,13 +152,27 @@ def stored_days(spark: SparkSession, root: str, name: str) -> list[str]:
     return sorted(days - {None}, reverse=True)
 
 
-def compact_facts(spark: SparkSession, root: str, names: tuple[str, ...] = tuple(schemas.FACTS), min_writes: int = MIN_WRITES) -> dict[str, int]:
+def has_rollups(spark: SparkSession, root: str) -> bool:
+    return path_exists(spark, f"{root.rstrip('/')}/hourly_requests")
+
+
+def build_rollups(spark: SparkSession, root: str) -> None:
+    """Hourly rollups of all facts stored below ``root``, under the names of the
+    writes they sum up. From then on every write adds its own. To be run while
+    nothing else writes there; again after a failure."""
+    for roll, (fact, sums) in HOURLY.items():   # hourly_requests, the sign that all are there, comes last
+        rows = _stored(spark, f"{root.rstrip('/')}/{fact}", fact).withColumn("ingest", F.coalesce("origin", "ingest"))
+        out = align_schema(sums(rows, "ingest"), schemas.ROLLUPS[roll], extra=("ingest",))
+        _write(out.withColumn("event_date", F.to_date("timestamp")), f"{root.rstrip('/')}/{roll}", "event_date", "ingest")
+
+
+def compact_facts(spark: SparkSession, root: str, names: tuple[str, ...] | None = None, min_writes: int = MIN_WRITES) -> dict[str, int]:
     """Merge the folders of every day that has ``min_writes`` or more into one,
     in files that follow the bytes of the day, sorted by time. Days per table.
     One job of this kind at a time may work on a table; writers may go on, but a
     read that is under way when its files go has to be repeated."""
     done = {}
-    for name in names:
+    for name in names or (*schemas.FACTS, *(schemas.ROLLUPS if has_rollups(spark, root) else ())):
         path = f"{root.rstrip('/')}/{name}"
         writes = {d: ks for d, ks in _writes(spark, path).items() if len(ks) >= min_writes}
         done[name] = len(writes)
@@ -176,7 +202,10 @@ def load_stored_tables(spark: SparkSession, facts_root: str, dims: dict | None =
 
     configure(spark)
     f = {n: read_fact(spark, facts_root, n, keep_partition_date=True) for n in schemas.FACTS}
-    return Tables(**f, **(dims or {}), extra={"days": {n: stored_days(spark, facts_root, n) for n in schemas.FACTS}})
+    extra = {"days": sorted({d for n in schemas.FACTS for d in stored_days(spark, facts_root, n)}, reverse=True)}
+    if has_rollups(spark, facts_root):
+        extra["rollups"] = {n: read_fact(spark, facts_root, n, keep_partition_date=True) for n in schemas.ROLLUPS}
+    return Tables(**f, **(dims or {}), extra=extra)
 
 
 # ── ids of synced requests ──────────────────────────────────────────────────

@@ -18,10 +18,11 @@ def _at(spark: SparkSession, path: str):
 
 
 def matching(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths of the visible folders that match a glob pattern, sorted."""
+    """Paths of the visible folders that match a glob pattern of ``key=value``
+    names, sorted. One call to the JVM brings all of them."""
     hpath, fs = _at(spark, pattern)
-    found = [s.getPath() for s in fs.globStatus(hpath) or [] if s.isDirectory()]
-    return sorted(p.toString() for p in found if p.getName()[0] not in "_.")
+    text = spark.sparkContext._jvm.org.apache.spark.deploy.SparkHadoopUtil.get().globPath(fs, hpath).mkString("\n")
+    return sorted(p for p in text.split("\n") if p and p.rsplit("/", 1)[1][0] not in "_.")
 
 
 def value(path: str, key: str) -> str | None:

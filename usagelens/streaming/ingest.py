@@ -160,7 +160,7 @@ def invocation_batch_writer(sink_root: str, checkpoint: str, last_sync: dt.datet
                 facts.write_request_ids(rows, sink_root, ingest)
                 facts.merge_request_ids(spark, sink_root)
                 if compact_every and (batch_id + 1) % compact_every == 0:
-                    facts.compact_facts(spark, sink_root, ("api_requests",))
+                    facts.compact_facts(spark, sink_root)
                 n_in = int(inserted.get["n"])
             finally:
                 rows.unpersist()
