@@ -54,3 +54,25 @@ def test_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(bm25, "QUERY_BYTES", 60)  # several query blocks
     assert as_dict(bm25.search(df, queries).collect()) == got
     assert bm25.search(df.limit(0), queries).count() == 0 and bm25.search(df, queries.limit(0)).count() == 0
+
+
+def test_bounds_pass_over_documents():
+    """Long and short texts of two topics: most blocks of the other topic are never scored, and nothing is lost."""
+    import numpy as np
+
+    rng = random.Random(3)
+    vocab = {f"{topic}{i}": 40 * topic_no + i for topic_no, topic in enumerate("ab") for i in range(40)}
+    docs = [(i, rng.choices([w for w in vocab if w[0] == ("a" if rng.random() < 0.1 else "b")], k=rng.choice([5, 40]))) for i in range(4000)]
+    df = {w: sum(w in ws for _, ws in docs) for w in vocab}
+    idf = np.log(1 + (len(docs) - np.array(list(df.values())) + 0.5) / (np.array(list(df.values())) + 0.5))
+    mean = sum(len(ws) for _, ws in docs) / len(docs)
+    query = np.array([vocab[w] for w in ("a1", "a2", "a3", "b1")], dtype=np.int32)
+    block = bm25.QueryBlock([1], [query], vocab, idf, mean)
+    counts = [{w: ws.count(w) for w in ws} for _, ws in docs]
+    shard = bm25.Shard(block, [i for i, _ in docs], [np.full(len(c), n, dtype=np.int32) for n, c in enumerate(counts)],
+                       [np.array([vocab[w] for w in c], dtype=np.int32) for c in counts], [np.array(list(c.values())) for c in counts], [len(ws) for _, ws in docs])
+    at, score = shard.search(query, 10, 0.0)
+    got = sorted(zip((-np.round(score, 9)).tolist(), shard.ids[at].tolist()))[:10]
+    want = brute.bm25([(i, " ".join(ws)) for i, ws in docs], [(1, "a1 a2 a3 b1")])[1]
+    assert [i for _, i in got] == [i for i, _ in want]
+    assert shard.seen == 4000 and shard.scored < 1000

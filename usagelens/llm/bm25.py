@@ -3,14 +3,16 @@
 Global statistics (documents, mean length, document frequencies) come from one
 aggregation, so shard scores are comparable and the merge is exact. Documents
 are indexed where they lie, in shards of ``SHARD`` documents; a shard holds
-postings of impacts for the query terms, the largest impact of each term, and
-for frequent terms a table of the largest impact in every block of ``BLOCK``
-documents. A query walks a shard as in block-max WAND: terms are ordered by their
-largest impact; those that together cannot lift a document over the k-th best
-score so far are non-essential; only documents of the other lists are
-candidates, they are dropped when their partial score plus the block maxima of
-the rest stays below that score, and the survivors are scored in full. Nothing
-is estimated, so the k best are exact.
+postings of impacts for the query terms, and for frequent terms a table of
+their impacts and of the largest impact in every block of ``BLOCK``
+documents, which are ordered by length so that neighbours are alike. A query
+walks a shard as in block-max WAND: a block's bound is the sum of its frequent
+terms' block maxima and the largest sum of rare impacts in it. The blocks with
+the highest bounds are scored first, which lifts the k-th best score (the bar)
+at once; blocks and then documents whose bound stays below the bar are passed
+over, the others are scored in full. Where the bounds leave more than a third of
+the shard, adding up all impacts side by side is cheaper than picking these
+documents, and is done instead. Nothing is estimated, so the k best are exact.
 
 Queries travel in blocks whose size is bounded (``QUERY_BYTES``), each broadcast
 against all shards.
@@ -31,7 +33,8 @@ from usagelens.llm.common import col, stored
 from usagelens.llm.decontam import words
 
 K, K1, B = 10, 1.2, 0.75
-SHARD, BLOCK, DENSE = 16384, 64, 512
+SHARD, BLOCK, DENSE = 16384, 8, 512
+LEAD = 16  # blocks that are scored first
 QUERY_BYTES = 160 << 20  # of query words, each occurrence counted; what is sent is a small part of it
 _SLACK = 1e-9
 
@@ -50,55 +53,72 @@ def _impacts(tf, length, mean):
 
 class Shard:
     """Postings of one shard for the terms of a query block, with impacts that
-    already hold the idf. Frequent terms (DENSE or more documents) also have a
-    row of a dense table and block maxima."""
+    already hold the idf. Documents lie by falling length. Frequent terms (DENSE
+    or more documents) also have a row of a dense table and block maxima.
+    ``seen`` and ``scored`` count documents of all searches: in the shard, and
+    not passed over by their bounds."""
 
     def __init__(self, block: QueryBlock, ids, docs, terms, tfs, lengths):
-        self.ids = np.array(ids, dtype=np.int64)
+        lengths = np.array(lengths, dtype=np.float64)
+        by_length = np.argsort(-lengths, kind="stable")
+        place = np.empty(len(ids), dtype=np.int32)
+        place[by_length] = np.arange(len(ids), dtype=np.int32)
+        self.ids = np.array(ids, dtype=np.int64)[by_length]
         docs, terms = np.concatenate(docs), np.concatenate(terms)
-        tfs = np.concatenate(tfs).astype(np.float64)
-        value = _impacts(tfs, np.array(lengths, dtype=np.float64)[docs], block.mean) * block.idf[terms]
+        value = _impacts(np.concatenate(tfs).astype(np.float64), lengths[docs], block.mean) * block.idf[terms]
         order = np.argsort(terms, kind="stable")
-        self.docs, self.value = docs[order], value[order]
+        self.docs, self.value = place[docs[order]], value[order]
         size = np.bincount(terms, minlength=len(block.vocab))
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
-        n, rows = len(ids), np.flatnonzero(size >= DENSE)
-        self.row = np.full(len(size), -1, dtype=np.int64)
+        self.padded, rows = len(ids) + (-len(ids)) % BLOCK, np.flatnonzero(size >= DENSE)
+        self.row = np.full(len(size), -1, dtype=np.int32)
         self.row[rows] = np.arange(len(rows))
-        self.table = np.zeros((len(rows), n))  # a frequent term's impacts lie side by side
+        self.table = np.zeros((len(rows), self.padded))  # a frequent term's impacts lie side by side
         for r, t in enumerate(rows):
             self.table[r, self.docs[self.starts[t]:self.ends[t]]] = self.value[self.starts[t]:self.ends[t]]
-        pad = (-n) % BLOCK
-        self.block_max = np.pad(self.table, ((0, 0), (0, pad))).reshape(len(rows), (n + pad) // BLOCK, BLOCK).max(axis=2)
-        self.most = self.table.max(axis=1)
+        self.block_max = self.table.reshape(len(rows), self.padded // BLOCK, BLOCK).max(axis=2)
+        self.seen = self.scored = 0
+
+    def _frequent(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(at))
+        for r in rows:
+            total += self.table[r][at]
+        return total
+
+    def _left(self, partial: np.ndarray, rows: np.ndarray, k: int, bar: float) -> np.ndarray:
+        """Documents that the bounds do not exclude from the k best."""
+        bound = np.zeros(len(partial) // BLOCK)
+        for r in rows:
+            bound += self.block_max[r]
+        reach = bound + partial.reshape(-1, BLOCK).max(axis=1)
+        lead = np.argpartition(reach, -LEAD)[-LEAD:] if len(reach) > LEAD else np.arange(len(reach))
+        at = (lead[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        first = partial[at] + self._frequent(rows, at)
+        if len(first) >= k:
+            bar = max(bar, np.partition(first, -k)[-k])
+        at = (np.flatnonzero(reach >= bar - _SLACK)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        return at[partial[at] + bound[at // BLOCK] >= bar - _SLACK]
 
     def search(self, terms: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of every document that scores at least ``bar`` and may be among the k best."""
         dense = self.row[terms]
         sparse, rows = terms[dense < 0], dense[dense >= 0]
-        rows = rows[np.argsort(self.most[rows], kind="stable")]
-        # non-essential: the longest run of weak frequent terms whose maxima together stay below the bar
-        free = int(np.searchsorted(np.cumsum(self.most[rows]), bar - _SLACK)) if bar > 0 else 0
-        weak, strong = rows[:free], rows[free:]
-        score = np.zeros(len(self.ids))
+        partial = np.zeros(self.padded)
         some = sparse[self.ends[sparse] > self.starts[sparse]]
         spans = [slice(a, b) for a, b in zip(self.starts[some].tolist(), self.ends[some].tolist())]
         if spans:
-            score += np.bincount(np.concatenate([self.docs[s] for s in spans]), minlength=len(score),
-                                 weights=np.concatenate([self.value[s] for s in spans]))
-        for r in strong:
-            score += self.table[r]
-        found = np.flatnonzero(score > 0)
-        if len(weak) and len(found):
-            rest = np.zeros(self.block_max.shape[1])
-            for r in weak:
-                rest += self.block_max[r]
-            found = found[score[found] + rest[found // BLOCK] >= bar - _SLACK]
-            total = score[found] + self.table[np.ix_(weak, found)].sum(axis=0)
+            partial += np.bincount(np.concatenate([self.docs[s] for s in spans]), minlength=len(partial),
+                                   weights=np.concatenate([self.value[s] for s in spans]))
+        found = self._left(partial, rows, k, bar)
+        self.seen, self.scored = self.seen + len(self.ids), self.scored + len(found)
+        if len(found) * 3 > self.padded:
+            for r in rows:
+                partial += self.table[r]
+            total = partial[found]
         else:
-            total = score[found]
-        good = total >= max(bar, 0) - _SLACK
+            total = partial[found] + self._frequent(rows, found)
+        good = (total > 0) & (total >= bar - _SLACK)
         found, total = found[good], total[good]
         if len(found) > k:
             limit = np.partition(total, -k)[-k] - _SLACK  # ties with the k-th stay
@@ -132,9 +152,9 @@ def _search_partition(block: QueryBlock, k: int):
                 known = [(t, n) for w, n in counts.items() if (t := get(w)) is not None]
                 if not known:
                     continue
-                docs.append(np.full(len(known), len(ids), dtype=np.int64))
-                terms.append(np.array([t for t, _ in known], dtype=np.int64))
-                tfs.append(np.array([n for _, n in known], dtype=np.int64))
+                docs.append(np.full(len(known), len(ids), dtype=np.int32))
+                terms.append(np.array([t for t, _ in known], dtype=np.int32))
+                tfs.append(np.array([n for _, n in known], dtype=np.int32))
                 ids.append(doc)
                 lengths.append(len(ws))
                 if len(ids) == SHARD:
@@ -180,12 +200,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
     queries with equal ids are merged (the union of their words); an empty table
     gives an empty result."""
     texts = docs.select(col(docs, id_col).cast("bigint").alias("id"), words(col(docs, text_col)).alias("ws"))
-    stats = texts.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("mean")).first()
     kind = "query_id bigint, doc_id bigint, score double"
     wanted = queries.select(col(queries, query_id).cast("bigint").alias("query_id"),
                             F.array_distinct(words(col(queries, query_text))).alias("terms")).where("query_id is not null")
     wanted = wanted.where(F.size("terms") > 0).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    df = stored(texts.select(F.explode(F.array_distinct("ws")).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "bm25-df")
+    # Document frequencies, and in a row of their own under a term no text has, the number of documents and of words.
+    whole = F.lit("\0")
+    terms = texts.select(F.explode(F.concat(F.array_distinct("ws"), F.array(whole))).alias("term"), F.size("ws").alias("words"))
+    df = stored(terms.groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == whole, F.col("words"))).alias("words")), "bm25-df")
+    stats = df.where(F.col("term") == whole).select("n", (F.col("words") / F.col("n")).alias("mean")).first() or {"n": 0, "mean": 0.0}
+    df = df.where(F.col("term") != whole).select("term", "n")
     # a query costs the same overhead in every shard: tasks are made large enough to fill one
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-stats["n"] // SHARD))
     found = None
