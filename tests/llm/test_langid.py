@@ -37,3 +37,32 @@ def test_edge_cases(spark):
     assert langid.train(df.limit(0)) is None
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
     assert langid.identify(df.limit(0), model).count() == 0
+
+
+def test_only_letters_have_a_language(spark):
+    rows = [(1, "½ ²"), (2, "①②③"), (3, "Ⅷ ⅷ"), (4, "½ ² a"), (5, "Ⅷ字"), (6, "ʰ"), (7, "٣٤"), (8, "_9_")]
+    assert [langid.has_letter(t) for _, t in rows] == [False, False, False, True, True, True, False, False]
+    train = [(i, "the cat and the dog" if i % 2 else "der Hund und die Katze", "en" if i % 2 else "de") for i in range(100, 140)]
+    model = langid.train(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in langid.identify(df, model).collect() if r.lang_pred == "und"} == {1, 2, 3, 7, 8}
+    assert sorted(r.doc_id for r in langid.keep_identified(df, model).collect()) == [4, 5, 6]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """250 languages and a sample that allows 4 texts and 2 landmarks of each."""
+    import random
+
+    monkeypatch.setattr(langid, "SAMPLE", 1000)
+    monkeypatch.setattr(langid, "LANDMARKS", 500)
+    rows = []
+    for k in range(250):
+        rng = random.Random(k)
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)]
+        rows += [(k * 100 + i, " ".join(rng.choices(words, k=25)), f"l{k}") for i in range(12 + (k == 0) * 80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(df)
+    assert len(model.langs) == 250 and len(model.landmarks) <= 500
+    lang = {r[0]: r[2] for r in rows}
+    got = [(lang[r.doc_id], r.lang_pred) for r in langid.identify(df, model).collect() if r.held_out]
+    assert {p for _, p in got} == {g for g, _ in got} and sum(g == p for g, p in got) >= 0.98 * len(got)

@@ -7,9 +7,10 @@ training texts of each language turns kernel rows into features, and one ridge
 regression per language (one against the rest) is fitted on them. A batch of
 texts is scored by two matrix products.
 
-Only presence bit sets of a bounded sample (``PER_LANG`` texts of each of the
-``MAX_LANGS`` most frequent languages) reach the driver; every text is scored
-whole, where it lies.
+Only presence bit sets of a bounded sample reach the driver: ``PER_LANG`` texts
+of each language, fewer where there are so many languages that this would be
+more than ``SAMPLE`` texts (or ``LANDMARKS`` landmarks), yet at least one. Every
+language that occurs is learned, and every text is scored whole, where it lies.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from usagelens.llm.common import col, fresh, remainder
 ORDERS = (1, 2, 3)
 BITS = 14
 PER_LANG = 300
-MAX_LANGS = 200
-LANDMARKS_PER_LANG = 16
+SAMPLE = 24_000
+LANDMARKS_PER_LANG, LANDMARKS = 16, 1_600
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -40,7 +41,9 @@ _STEP = 1 << 18
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character of a Unicode letter category (L*) occurs; numerals
+    like a half or a Roman eight are none."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def presence(text: str) -> np.ndarray:
@@ -64,22 +67,22 @@ def _presence_bits(texts: pd.Series) -> pd.Series:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, bits): at most PER_LANG texts of each language outside the held-out
-    fold, those with the smallest hashes of id and text."""
+    """(lang, bits): a bounded number of texts of each language outside the
+    held-out fold, those with the smallest hashes of id and text. One row per
+    distinct language passes through the driver."""
     rows = docs.select(col(docs, id_col).alias("id"), col(docs, lang_col).alias("lang"), col(docs, text_col).alias("text"))
     rows = rows.where("lang is not null and text is not null").where(
         F.coalesce(remainder(F.col("id"), FOLDS), F.lit(HELD_OUT)) != HELD_OUT)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return rows.select("lang", F.lit(None).cast("binary").alias("bits")).limit(0)
-    # A hash threshold per language leaves a few times PER_LANG rows, whatever the table's size; only they are ranked.
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4.0 * PER_LANG / r["count"]))).otherwise(rate)
-    rows = rows.withColumn("h", F.xxhash64("id", F.lit("langid")))
-    rows = rows.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < rate)
+    each = max(1, min(PER_LANG, SAMPLE // len(counts)))
+    # A hash threshold per language leaves a few times its share, whatever the table's size; only they are ranked.
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (4.0 * each + 12) / r["count"])) for r in counts], "lang string, rate double")
+    rows = rows.join(F.broadcast(rates), "lang").withColumn("h", F.xxhash64("id", F.lit("langid")))
+    rows = rows.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("rate")).drop("rate")
     best = W.partitionBy("lang").orderBy("h", F.xxhash64("text"))
-    picked = rows.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PER_LANG)
+    picked = rows.withColumn("k", F.row_number().over(best)).where(F.col("k") <= each)
     return picked.select("lang", "k", _presence_bits("text").alias("bits")).where("bits is not null")
 
 
@@ -109,10 +112,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bits = np.array([np.frombuffer(r[2], dtype=np.uint8) for r in rows])
     y = np.array([[1.0 if r[0] == g else -1.0 for g in langs] for r in rows])
     seen: dict[str, int] = {}
-    marks = []
+    marks, most = [], max(1, min(LANDMARKS_PER_LANG, LANDMARKS // len(langs)))
     for i, (lang, _, _) in enumerate(rows):
         seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= LANDMARKS_PER_LANG:
+        if seen[lang] <= most:
             marks.append(i)
     y0 = _unpacked(bits[marks])
     own = _kernel(y0, y0).astype(np.float64)
@@ -120,7 +123,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     values = np.maximum(values, 1e-6 * values.max())
     root = vectors / np.sqrt(values) @ vectors.T
     phi = np.vstack([_kernel(_unpacked(bits[i:i + 128]), y0) for i in range(0, len(rows), 128)]).astype(np.float64) @ root
-    weight = 1.0 / np.array([sum(r[0] == s[0] for s in rows) for r in rows])  # languages count alike
+    weight = 1.0 / np.array([seen[r[0]] for r in rows])  # languages count alike
     a = (phi * weight[:, None]).T @ phi + RIDGE * np.eye(len(marks))
     w = np.linalg.solve(a, (phi * weight[:, None]).T @ y)
     return Model(langs, bits[marks], (root @ w).astype(np.float32))
@@ -156,7 +159,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """One row per document: doc_id, held_out, lang_pred, score.
 
     ``und`` with score 0 where the text is null or has no letter (or nothing
-    could be learned); ties go to the first language in alphabetical order; ids
+    could be learned); texts of any length are read whole, though very long ones
+    fill most of the gram buckets and tell less apart; ties go to the first language in alphabetical order; ids
     may be null or repeat (a null id is not held out); other columns, whatever
     their names, are ignored; an empty table gives an empty result."""
     rows = docs.select(col(docs, id_col).alias("doc_id"), predict(col(docs, text_col), model).alias("p"))
