@@ -41,3 +41,11 @@ def test_edge_cases(spark):
     blank = quality.train(df, lab.limit(0))
     assert {r.score for r in quality.classify(df, blank).collect()} == {0.5}
     assert quality.classify(df.limit(0), model).count() == 0
+
+
+def test_labels_of_no_document_use_up_nothing(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 200)
+    docs = spark.createDataFrame([(i, "good prose flows well" if i % 2 else "zzz spam spam buy", 20) for i in range(100)], "doc_id bigint, text string, n_chars int")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(100), *range(10 ** 6, 10 ** 6 + 5000)]], "doc_id bigint, quality int")
+    got = quality.classify(docs, quality.train(docs, labels)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)

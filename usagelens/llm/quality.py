@@ -97,10 +97,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, length_col: str | None) -> DataFrame:
     """(quality, at, x): features of at most TRAIN_ROWS labelled texts (ids are
-    labelled by the mean of their labels; null ids and labels teach nothing)."""
+    labelled by the mean of their labels; null ids and labels teach nothing,
+    labels of no document take no place in the sample)."""
     own = labels.select(col(labels, id_col).alias("label_id"), col(labels, label_col).cast("double").alias("quality"))
     own = own.where("label_id is not null and quality is not null").where(remainder(F.col("label_id"), FOLDS) != HELD_OUT)
     own = own.groupBy("label_id").agg((F.avg("quality") >= 0.5).cast("double").alias("quality"))
+    own = own.join(docs.select(col(docs, id_col).alias("there")), F.col("label_id") == F.col("there"), "left_semi")
     own = own.orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_ROWS)
     length = col(docs, length_col).cast("double") if length_col else F.lit(None).cast("double")
     texts = docs.select(col(docs, id_col).alias("id"), col(docs, text_col).alias("text"), length.alias("n"))
