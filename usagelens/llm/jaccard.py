@@ -15,9 +15,9 @@ holds for *every* order, so a candidate pair has to pass all of these:
   the pair's prefixes must meet in them too.
 
 Only then are whole sets intersected. Equal sets are one class from the start.
-Candidates come in two rounds: every index list against its first member, and
-then, between the components this leaves, all pairs of the lists that still
-hold more than one component. A large group of near copies thus costs a
+Candidates come in two rounds: every index list against one member, and then,
+between the components this leaves, all pairs of the lists that still hold more
+than one component. A large group of near copies thus costs a
 comparison each instead of all its pairs, and no link between components is
 lost. Long lists are dealt out in salted pieces.
 
@@ -192,11 +192,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _first_round(index: DataFrame, percent: int) -> DataFrame:
-    """Every index list against its smallest member."""
-    lead = index.groupBy("t").agg(F.min(F.struct("row", "n", "c")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("t", "lead.*")
+    """Every index list against the member with the fewest tokens of its own: in
+    a group of edited copies that is the one closest to all others."""
+    alone = (F.col("n") - F.col("c")).alias("alone")
+    lead = index.groupBy("t").agg(F.min(F.struct(alone, "row", "n", "c")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("t", "lead.*")
     x, y = index.alias("x"), lead.alias("y")
-    return x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.row") > F.col("y.row")) & _possible("x", "y", percent)).select(
-        F.col("x.row").alias("u"), F.col("y.row").alias("v")).distinct()
+    return x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.row") != F.col("y.row")) & _possible("x", "y", percent)).select(
+        F.greatest("x.row", "y.row").alias("u"), F.least("x.row", "y.row").alias("v")).distinct()
 
 
 def _second_round(index: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
