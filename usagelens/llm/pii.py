@@ -6,16 +6,21 @@
 2. Format and context give every candidate a few yes/no features. Spark counts
    the feature patterns of the rule matches by outcome (validated or not), at
    most 2 ** len(FEATURES) patterns whatever the corpus size.
+   Rule matches hold no looser spelling and few wrong ones, so worked examples
+   (``examples``: looser spellings and decoys in telling contexts) are run
+   through the same generators and counted beside them.
 3. Boosted depth-two trees are fitted to those counts on the driver, thresholds
-   are calibrated on a held-out fold, and the trees are applied to all
-   candidates as column expressions.
+   are calibrated on a held-out part, and the trees are applied to all
+   candidates as column expressions. Both kinds of evidence weigh the same
+   whatever the table's size, so no rule changes with it.
 4. Base spans always stay; a looser candidate is added if its score reaches the
-   threshold of its kind and it overlaps no base span. A kind with too few
-   held-out matches for a threshold adds what passes its own checks (``CHECKS``).
+   threshold of its kind and it overlaps no base span.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,10 +30,9 @@ from usagelens.llm.common import col, fresh, remainder, stored
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 24          # characters of context on either side
-ROUNDS, RATE, L2 = 20, 0.4, 1.0
+ROUNDS, RATE, L2 = 40, 0.4, 1.0
 PRECISION = 0.95      # wanted of added spans on the calibration fold
 CALIBRATION = 5       # one fold in so many is held out for the thresholds
-HELD = 19             # held-out matches below which a threshold says nothing: so many right ones alone show PRECISION
 
 # The four rules, written so that the engine never rescans a run it has failed on: possessive, and a
 # match may only start where a run starts or the last match ended.
@@ -42,11 +46,29 @@ LOOSE = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++", ("at",)),
     ("ip", r"(?<![0-9])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3}(?![0-9])", (".", "[dot]")),
     ("card", r"(?<![0-9])[0-9]{4}(?:[./_]|  )[0-9]{4}(?:[./_]|  )[0-9]{4}(?:[./_]|  )[0-9]{1,7}(?![0-9])", ()),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\) ?|00 ?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z])", ()),
+    ("phone", r"(?<![0-9A-Za-z+])(?:(?:\([0-9]{2,4}\) ?|00 ?)[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}|[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4})(?![0-9A-Za-z])", ()),
+)
+FEATURES = ("left_edge", "right_edge", "cue", "count_fits", "check_passes", "grouped", "one_digit", "is_email", "is_ip", "is_card",
+            "loose", "decoy")
+# Words just before a span that speak for its kind (in the order of KINDS), and against any.
+CUES = ("mail|contact|address|write to", "ip|host|server|address", "card|visa|credit|debit", "contact|tel|telephone|phone|call|fax|mobile|dial")
+DECOYS = "version|release|build|order|invoice|ticket|article|serial|part|section|page|date|score|isbn"
+# Worked examples by kind: right spellings, right ones only behind a cue, wrong ones.
+SPELLED = (
+    (("joe [at] mail.example.com", "anna.b(at)example(dot)org", "kim_1 {at} host.example.net", "lee[at]example [dot] com"), (),
+     ("room [at] 12.30", "two(at)a.1", "seat {at} 7.b.2", "x[at]9.9")),
+    (("10[.]20[.]30[.]40", "192 (.) 168 (.) 1 (.) 9", "172[dot]16[dot]0[dot]254", "8(.)8(.)4(.)4"), (),
+     ("300[.]2[.]3[.]4", "10(.)20(.)30(.)999", "1[dot]2[dot]3[dot]256", "700 [.] 1 [.] 1 [.] 1")),
+    (("4111/1111/1111/1111", "5500.0055.5555.5559", "4012_8888_8888_1881", "6011  1111  1111  1117"), (),
+     ("4111/1111/1111/1112", "5500.0055.5555.5550", "1234_5678_9012_3456", "2024  1231  2359  5901")),
+    (("(030) 1234 5678", "00 49 30 1234 5678", "0171-555-0199", "(0221) 555.019.922"), ("555-010-9999", "212 555 0199", "415.555.0133", "30 12 34 56 78"),
+     ("2024-01-02", "12 34 56", "1990 1991 1992 1993 1994", "10.20.30")),
 )
-FEATURES = ("left_edge", "right_edge", "cue", "count_fits", "check_passes", "grouped", "one_digit", "is_email", "is_ip", "is_card")
-CHECKS = ("left_edge", "right_edge", "count_fits", "check_passes")   # wanted of a kind without threshold
-CUES = r"(?i)(?:mail|contact|tel|telephone|phone|call|fax|mobile|card|visa|credit|ip|host|server|address)[^A-Za-z0-9]*$"
+# (before, after, whether it speaks for or against a span; {} is a cue of the kind)
+CONTEXTS = (("", "", "open"), ("and then ", " please", "open"), ("they have ", ".", "open"), ("see (", ")", "open"),
+            ("{}: ", ", thanks", "cue"), ("my {} ", " now", "cue"), ("{} = ", "", "cue"), ("the {} is: ", "", "open"),
+            ("version ", ".", "against"), ("order: ", " came", "against"), ("invoice #", "", "against"), ("serial ", ", new", "against"),
+            ("@", "", "against"), ("say @", " so", "against"), ("", "@x", "against"), ("use ", "_y", "against"))
 # A number up to 255, leading zeros allowed.
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -107,12 +129,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     flags = {
         "left_edge": ~F.col("before").rlike("[A-Za-z0-9@_]$"),
         "right_edge": ~F.col("after").rlike("^[A-Za-z0-9@_]"),
-        "cue": F.col("before").rlike(CUES),
+        "cue": by_kind(*[F.col("before").rlike(rf"(?i)(?:{words})[^A-Za-z0-9]*$") for words in CUES]),
         "count_fits": by_kind(F.col("value").rlike("[A-Za-z]"), F.col("n").between(4, 12), F.col("n").between(14, 19), F.col("n").between(10, 15)),
         "check_passes": by_kind(F.col("value").rlike("[A-Za-z]{2,24}$"), octets_ok, luhn, F.col("value").rlike(r"^[+(0]")),
         "grouped": F.col("value").rlike("[0-9][ ().-]+[0-9]"),
         "one_digit": F.col("digits").rlike(r"^([0-9])\1*$"),
         "is_email": F.col("kind") == 0, "is_ip": F.col("kind") == 1, "is_card": F.col("kind") == 2,
+        "loose": F.col("gen") >= len(RULES), "decoy": F.col("before").rlike(rf"(?i)(?<![A-Za-z])(?:{DECOYS})[^A-Za-z0-9]*$"),
     }
     mask = F.lit(0)
     for b, name in enumerate(FEATURES):
@@ -157,38 +180,61 @@ def _raw(x: np.ndarray, trees: list[tuple]) -> np.ndarray:
     return out
 
 
-def train(cands: DataFrame) -> tuple[list[tuple], dict[int, float], list[int]]:
-    """(trees, threshold by kind, kinds with too few held-out matches for one)
-    from the rule matches among ``cands``. What reaches the driver is one row per
-    feature pattern, outcome and fold."""
-    counts = (cands.where("base").groupBy("features", "kind", "accepted", (remainder(F.col("id"), CALIBRATION) == 0).alias("held"))
-              .count().orderBy("features", "kind", "accepted", "held").collect())
-    if not counts:
-        return [], {}, list(range(len(KINDS)))
-    codes = sorted({r["features"] for r in counts})
+def examples() -> list[tuple[str, int, bool, bool]]:
+    """(text, kind, whether its span is one, held out): every spelling of
+    ``SPELLED`` in every context, each cue of the kind in turn."""
+    out = []
+    for k, (right, with_cue, wrong) in enumerate(SPELLED):
+        cues = CUES[k].split("|")
+        for i, value in enumerate(right + with_cue + wrong):
+            for j, (before, after, says) in enumerate(CONTEXTS):
+                good = says == "cue" or (says == "open" and value in right)
+                out.append((before.replace("{}", cues[(i + j) % len(cues)]) + value + after, k, good and value not in wrong, (i + j) % 2 == 0))
+    return out
+
+
+def _tally(rows, at: dict[int, int]) -> np.ndarray:
+    """Counts by (held out, kind, right, pattern)."""
+    out = np.zeros((2, len(KINDS), 2, len(at)))
+    for r in rows:
+        out[int(bool(r["held"])), r["kind"], int(bool(r["accepted"])), at[r["features"]]] += r["count"]
+    return out
+
+
+def train(cands: DataFrame) -> tuple[list[tuple], dict[int, float]]:
+    """(trees, threshold by kind) from the rule matches among ``cands`` and the
+    worked examples. What reaches the driver is one row per feature pattern,
+    kind, outcome and fold. The rule matches of a kind are scaled to weigh as
+    much as its examples: a table's size plays no part, only its proportions.
+    A kind whose best pattern is wrong too often gets no threshold."""
+    by = ["features", "kind", "accepted", "held"]
+    rules = cands.where("base").withColumn("held", remainder(F.col("id"), CALIBRATION) == 0).groupBy(by).count().orderBy(by).collect()
+    # number, kind, held and right in one id, the only thing that a candidate keeps of its text
+    told = json.dumps([{"id": ((n * 4 + k) * 2 + held) * 2 + good, "text": text} for n, (text, k, good, held) in enumerate(examples())])
+    told = cands.sparkSession.range(1).select(F.inline(F.from_json(F.lit(told), "array<struct<id bigint, text string>>")))
+    shown = candidates(told, "id", "text").where("not base and kind >= 0")
+    meant = F.shiftright("id", 2).bitwiseAND(F.lit(3)) == F.col("kind")
+    shown = (shown.withColumn("accepted", meant & (F.col("id").bitwiseAND(F.lit(1)) == 1))
+             .withColumn("held", F.col("id").bitwiseAND(F.lit(2)) == 2).groupBy(by).count().orderBy(by).collect())
+    codes = sorted({r["features"] for r in [*rules, *shown]})
     x = np.array([[c >> b & 1 for b in range(len(FEATURES))] for c in codes], dtype=bool)
     at = {c: i for i, c in enumerate(codes)}
-    tally = np.zeros((2, 2, len(codes)))
-    for r in counts:
-        tally[int(bool(r["held"])), int(bool(r["accepted"])), at[r["features"]]] += r["count"]
-    trees = _fit(x, tally[0, 1], tally[0, 0])
+    seen, made = _tally(rules, at), _tally(shown, at)
+    for k in range(len(KINDS)):
+        for held in (0, 1):
+            if seen[held, k].sum():
+                seen[held, k] *= made[held, k].sum() / seen[held, k].sum()
+    both = seen + made
+    trees = _fit(x, both[0, :, 1].sum(0), both[0, :, 0].sum(0))
     score = _raw(x, trees)
-    thresholds, unsure = {}, []
+    thresholds = {}
     for k in range(len(KINDS)):
-        own = np.array([any(r["kind"] == k and r["features"] == c for r in counts) for c in codes])
-        above = None           # patterns above the first score known to be too low
-        for s in sorted(set(score[own & (score > 0)]), reverse=True):
-            top = own & (score >= s)
-            good, bad = tally[1, 1, top].sum(), tally[1, 0, top].sum()
-            if good >= PRECISION * (good + bad + 1):
+        own = made[:, k].sum((0, 1)) > 0     # patterns of looser spellings: those a threshold decides about
+        for s in sorted(set(score[own]), reverse=True):
+            good, bad = made[1, k, 1, score >= s].sum(), made[1, k, 0, score >= s].sum()
+            if good and good >= PRECISION * (good + bad):
                 thresholds[k] = float(s)
-            elif good + bad >= HELD:
-                above = own & (score > s)
-                break
-        # nothing is added only where the best pattern itself is known to be wrong too often
-        if k not in thresholds and (above is None or above.any()):
-            unsure.append(k)
-    return trees, thresholds, unsure
+    return trees, thresholds
 
 
 def _score(trees: list[tuple]) -> Column:
@@ -203,16 +249,14 @@ def _score(trees: list[tuple]) -> Column:
 def _selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Marks, base spans and added spans: row, id, key, kind, base, start, end."""
     cands = stored(candidates(docs, id_col, text_col).where("kind < 0 or not base or accepted is not null"), "pii")
-    trees, thresholds, unsure = train(cands)
+    trees, thresholds = train(cands)
     rules = cands.where("kind < 0 or accepted")
-    if not thresholds and not unsure:
+    if not thresholds:
         return rules.drop("accepted", "features")
     limit = F.lit(None).cast("double")
     for k, t in thresholds.items():
         limit = F.when(F.col("kind") == k, F.lit(t)).otherwise(limit)
-    checks = sum(1 << FEATURES.index(name) for name in CHECKS)
-    passes = F.col("kind").isin(unsure) & (F.col("features").bitwiseAND(F.lit(checks)) == checks)
-    added = cands.where(~F.col("base") & (F.col("kind") >= 0)).where(F.coalesce(_score(trees) >= limit, F.lit(False)) | passes)
+    added = cands.where(~F.col("base") & (F.col("kind") >= 0)).where(F.coalesce(_score(trees) >= limit, F.lit(False)))
     both = rules.unionByName(added)
     before = W.partitionBy("row").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
     after = W.partitionBy("row").orderBy("start").rangeBetween(0, W.unboundedFollowing)
