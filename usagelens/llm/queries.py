@@ -34,6 +34,9 @@ def op4(spark, sf_dir):
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+ORACLE["op4_decontamination"] = sql.contamination(decontam.WINDOW)
+
+
 def _written(spans):
     kinds = F.array(*[F.lit(k) for k in pii.KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
@@ -124,6 +127,9 @@ def op10(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+ORACLE["op10_warc_revisits"] = sql.revisits(warc.ALPHABET)
+
+
 @register("op11_jaccard_groups")
 def op11(spark, sf_dir):
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))

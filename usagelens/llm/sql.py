@@ -41,3 +41,38 @@ SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITI
        CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
 FROM a{rounds} JOIN c{rounds} USING (cluster)
 """
+
+
+def contamination(window: int) -> str:
+    """Item windows met by document windows of the same length, joined as texts."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    gram = "array_to_string(ws[i:i + n - 1], ' ')"
+    return f"""
+WITH b AS (SELECT item_id, {words} AS ws FROM benchmark),
+bn AS (SELECT item_id, ws, least(len(ws), {window}) AS n FROM b WHERE len(ws) > 0),
+bi AS (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM bn),
+wins AS MATERIALIZED (SELECT DISTINCT item_id, n, {gram} AS gram FROM bi),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents),
+dn AS (SELECT rid, ws, n FROM d, (SELECT DISTINCT n FROM wins) WHERE len(ws) >= n),
+di AS (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM dn),
+hits AS MATERIALIZED (SELECT rid, i, n, item_id FROM (SELECT rid, i, n, {gram} AS gram FROM di) JOIN wins USING (n, gram)),
+hit AS (SELECT rid, count(DISTINCT w) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS w FROM (SELECT DISTINCT rid, i, n FROM hits)) GROUP BY rid),
+items AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (item_id IS NOT NULL)) AS ids FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def revisits(alphabet: str) -> str:
+    """Records by payload; the digest's base32 in groups of five hex digits, four letters each."""
+    letters = " || ".join(f"substr('{alphabet}', ((CAST('0x' || substr(hex, {5 * g + 1}, 5) AS BIGINT) >> {s}) & 31) + 1, 1)"
+                          for g in range(8) for s in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+r AS (SELECT page_id, strlen(payload) AS n, hex, row_number() OVER same AS place, first_value(page_id) OVER same AS to_page
+      FROM p WINDOW same AS (PARTITION BY payload ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {letters} AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN to_page END AS refers_to
+FROM r
+"""
