@@ -34,7 +34,7 @@ def rotate(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     Messages follow (turn, speaker, text), nulls first. Speakers named "system"
     set the scene and are no participants; a null speaker is "unknown", a null
-    text empty; messages without a conversation id form one conversation;
+    text empty; line breaks in a name become one space in its header; messages without a conversation id form one conversation;
     repeated rows are repeated messages; a conversation of system messages only
     has no participant and no rows; an empty table gives an empty result."""
     rows = messages.select(col(messages, conv_col).alias("conv_id"), col(messages, turn_col).alias("turn"),
@@ -43,7 +43,7 @@ def rotate(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     order = ["conv_id", "turn", "speaker", "text"]
     # a conversation with many messages spans several ranges; stored, so that the ranges stay as they are
     rows = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "chat")
-    name = _broken(F.col("speaker"))
+    name = F.regexp_replace(_broken(F.col("speaker")), "[\\r\\n]+", " ")  # a name stays within its header line
     system = F.col("speaker") == SYSTEM
     user_head = F.when(system, F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), name, F.lit("\n")))
     own_head = F.lit(f"{START}assistant\n")
@@ -62,11 +62,6 @@ def rotate(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     people = rows.where(~system).select(F.col("conv_id").alias("pc"), F.col("speaker").alias("perspective")).distinct()
 
-    each = rows.join(people, F.col("conv_id").eqNullSafe(F.col("pc"))).drop("pc")
-    own = F.col("speaker") == F.col("perspective")
-    own_gain = F.when(own, F.col("gain")).otherwise(F.lit(0))
-    view = W.partitionBy("part", "conv_id", "perspective").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    each = each.withColumn("own_before", F.coalesce(F.sum(own_gain).over(view), F.lit(0)))
     gains = rows.where(~system).groupBy("conv_id", "part", "speaker").agg(F.sum("gain").alias("g"))
     # every (part, perspective) of a conversation, so that a part in which somebody is silent keeps the running sum
     grid = parts.join(people, F.col("c").eqNullSafe(F.col("pc"))).select("c", "p", "base", "perspective")
@@ -74,7 +69,12 @@ def rotate(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     grid = grid.join(gains, F.col("c").eqNullSafe(F.col("gc")) & (F.col("p") == F.col("gp")) & (F.col("perspective") == F.col("gs")), "left")
     ahead = W.partitionBy("c", "perspective").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
     grid = grid.select("c", "p", F.col("perspective").alias("who"), "base", F.coalesce(F.sum("g").over(ahead), F.lit(0)).alias("own_base"))
-    each = each.join(grid, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("perspective") == F.col("who")))
+    # messages meet the perspectives by (conversation, part): a long conversation stays split
+    each = rows.join(grid, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).withColumnRenamed("who", "perspective")
+    own = F.col("speaker") == F.col("perspective")
+    own_gain = F.when(own, F.col("gain")).otherwise(F.lit(0))
+    view = W.partitionBy("part", "conv_id", "perspective").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    each = each.withColumn("own_before", F.coalesce(F.sum(own_gain).over(view), F.lit(0)))
 
     start = F.col("base") + F.col("own_base") + F.col("before") + F.col("own_before")
     learned = start + len(f"{START}assistant\n")
