@@ -4,12 +4,15 @@ Payloads are digested where they lie; only headers (digest, length, page id, a
 row id) are shuffled. Per digest the response is the record with the largest
 page id, found by a pre-aggregated maximum, and the headers of the others are
 joined to it and become revisit records. Archives hold one full payload per
-digest and are read back record by record, by Content-Length.
+digest and are read back record by record, by Content-Length: an archive goes
+through a task as a stream of pieces, so no more than some records of it are in
+memory at a time, however large the archive and however long its payloads.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ MIN_REVISIT_BYTES = 0
 RECORDS_PER_FILE = 4_000
 # The base32 alphabet.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_END = "\r\n\r\n"
+END = "\r\n\r\n"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -39,7 +42,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def resolve(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Headers with their decision. ``pages`` has row, page_id, url, payload_bytes,
-    payload_digest; adds record_type, refers_to, refers_url. Rows without a
+    payload_digest; adds record_type, refers_to, refers_url, refers_row. Rows without a
     page id count as the smallest; of equal page ids the smallest (url, row) responds."""
     heads = pages.select("row", "page_id", "url", "payload_bytes", "payload_digest")
     linked = F.col("payload_bytes") >= min_bytes
@@ -52,7 +55,8 @@ def resolve(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     revisit = F.coalesce(F.col("to_row") != F.col("row"), F.lit(False)) & linked
     return both.select("row", "page_id", "url", "payload_bytes", "payload_digest",
                        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-                       F.when(revisit, F.col("to_page")).alias("refers_to"), F.when(revisit, F.col("to_url")).alias("refers_url"))
+                       F.when(revisit, F.col("to_page")).alias("refers_to"), F.when(revisit, F.col("to_url")).alias("refers_url"),
+                       F.when(revisit, F.col("to_row")).alias("refers_row"))
 
 
 def _header(name: str, value: Column) -> Column:
@@ -60,15 +64,23 @@ def _header(name: str, value: Column) -> Column:
     return F.when(value.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n")))
 
 
-def _record(payload: Column) -> Column:
+def _record_id(row: Column) -> Column:
+    """The name of the record of row ``row``: a revisit can name its response
+    by the response's row, as equal payloads have equal digests. Null for null."""
+    name = F.sha2(F.concat(row.cast("string"), F.lit(":"), F.col("payload_digest")).cast("binary"), 256)
+    parts = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(row.isNotNull(), F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">")))
+
+
+def _record(payload: Column, date: Column) -> Column:
     """The text of one record, without the two line ends behind it."""
     body = F.when(F.col("record_type") == "response", payload).otherwise(F.lit(""))
-    name = F.sha2(F.concat_ws(":", F.col("row").cast("string"), "payload_digest").cast("binary"), 256)
-    uuid = F.concat_ws("-", *[F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.concat(
         F.lit("WARC/1.1\r\n"), _header("WARC-Type", F.col("record_type")),
-        _header("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))),
-        _header("WARC-Date", F.lit("1970-01-01T00:00:00Z")), _header("WARC-Target-URI", F.col("url")),
+        _header("WARC-Record-ID", _record_id(F.col("row"))),
+        _header("WARC-Date", date), _header("WARC-Target-URI", F.col("url")),
+        _header("WARC-Refers-To", _record_id(F.col("refers_row"))),
+        _header("WARC-Refers-To-Date", F.when(F.col("refers_row").isNotNull(), date)),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
         _header("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         _header("WARC-Refers-To-Target-URI", F.col("refers_url")),
@@ -79,22 +91,24 @@ def _record(payload: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                   min_bytes: int = MIN_REVISIT_BYTES) -> None:
+                   min_bytes: int = MIN_REVISIT_BYTES, as_of: dt.datetime | None = None) -> None:
     """Writes a record per row of ``pages`` to gzip-compressed archives under
-    ``path`` (any folder Spark can write). Null html is an empty payload, a null
-    id or url leaves out its header, repeated rows get a record each."""
+    ``path`` (any folder Spark can write), dated ``as_of`` (UTC; now if not
+    given). Null html is an empty payload, a null id or url leaves out its
+    header, repeated rows get a record each, and very long payloads stay whole."""
+    date = F.lit((as_of or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ"))
     html = F.coalesce(col(pages, html_col).cast("string"), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), col(pages, id_col).alias("page_id"),
                         col(pages, url_col).alias("url"), F.octet_length(html).cast("bigint").alias("payload_bytes"),
                         base32_sha1(html.cast("binary")).alias("payload_digest"))
     # headers are stored once: their row ids must not change when a task is run again
     heads = resolve(stored(rows, "warc-heads"), min_bytes)
-    revisits = heads.where("record_type = 'revisit'").select(_record(F.lit("")).alias("value"))
+    revisits = heads.where("record_type = 'revisit'").select(_record(F.lit(""), date).alias("value"))
     # equal digests have equal payloads, so one payload per digest is all that moves
     payloads = pages.select(base32_sha1(html.cast("binary")).alias("digest"), html.alias("html")).groupBy("digest").agg(F.first("html").alias("html"))
     full = heads.where("record_type = 'response'")
-    responses = full.join(payloads, F.col("payload_digest") == F.col("digest")).select(_record(F.col("html")).alias("value"))
-    (responses.union(revisits).write.option("lineSep", _END).option("compression", "gzip")
+    responses = full.join(payloads, F.col("payload_digest") == F.col("digest")).select(_record(F.col("html"), date).alias("value"))
+    (responses.union(revisits).write.option("lineSep", END).option("compression", "gzip")
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
@@ -106,53 +120,73 @@ def _field(head: bytes, name: bytes) -> str | None:
     return None
 
 
-def _records(data) -> Iterator[tuple[bytes, bytes]]:
-    """(header, block) of every record of an open archive, in order."""
-    while True:
-        head = b""
-        while not head.endswith(b"\r\n\r\n"):
-            line = data.readline()
-            if not line:
-                if head.strip():
-                    raise ValueError("archive ends inside a header")
+class _Archive:
+    """The records of one archive, fed with its bytes piece by piece."""
+
+    def __init__(self):
+        self.head, self.block, self.missing = None, [], 0
+
+    def feed(self, piece: bytes) -> Iterator[tuple[bytes, bytes]]:
+        """Takes the bytes up to the next two line ends (they are not part of
+        ``piece``); gives the (header, block) they complete, if any."""
+        if self.head is None:
+            piece = piece.lstrip(b"\r\n")
+            if not piece:
                 return
-            head = head + line if head or line.strip() else b""
-        size = int(_field(head, b"Content-Length"))
-        block = data.read(size)
-        if len(block) != size:
+            self.head, self.block = piece, []
+            self.missing = int(_field(piece, b"Content-Length"))
+            if self.missing:
+                return
+        else:
+            part = (piece + END.encode())[:self.missing]
+            self.block.append(part)
+            self.missing -= len(part)
+        if not self.missing:
+            yield self.head, b"".join(self.block)
+            self.head = None
+
+    def close(self) -> None:
+        if self.head is not None:
             raise ValueError("archive ends inside a record")
-        yield head, block
+
+
+def _fields(head: bytes, block: bytes) -> tuple:
+    number = lambda x: None if x is None else int(x)
+    kind = _field(head, b"WARC-Type")
+    digest = _field(head, b"WARC-Payload-Digest").removeprefix("sha1:")
+    size = int(_field(head, b"X-Payload-Length"))
+    if kind == "response":
+        size, found = len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
+        if found != digest:
+            raise ValueError(f"payload digest {found} differs from the header's {digest}")
+    return (number(_field(head, b"X-Page-Id")), _field(head, b"WARC-Target-URI"), kind, size, digest,
+            number(_field(head, b"X-Refers-To-Page")))
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """Every record below ``path``: page_id, url, record_type, payload_bytes and
     payload_digest (of the block for responses, as declared for revisits),
-    refers_to. The digest of every response is computed anew and compared."""
+    refers_to. The digest of every response is computed anew and compared; a
+    record that is cut short fails the read. A file is one task's stream, so
+    its pieces arrive in order."""
     prepare(spark)
-    kind = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
+    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+    kinds = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-        import io
-
-        number = lambda x: None if x is None else int(x)
-        for files in batches:
-            for content in files["content"]:
-                rows = []
-                for head, block in _records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))):
-                    kind = _field(head, b"WARC-Type")
-                    digest = _field(head, b"WARC-Payload-Digest").removeprefix("sha1:")
-                    size = int(_field(head, b"X-Payload-Length"))
-                    if kind == "response":
-                        size, found = len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
-                        if found != digest:
-                            raise ValueError(f"payload digest {found} differs from the header's {digest}")
-                    rows.append((number(_field(head, b"X-Page-Id")), _field(head, b"WARC-Target-URI"), kind, size, digest,
-                                 number(_field(head, b"X-Refers-To-Page"))))
-                frame = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInPandas(parse, kind)
+        file, archive = None, _Archive()
+        for batch in batches:
+            rows = []
+            for name, piece in zip(batch["file"], batch["value"]):
+                if name != file:
+                    archive.close()
+                    file, archive = name, _Archive()
+                rows.extend(_fields(*record) for record in archive.feed(piece.encode("utf-8")))
+            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        archive.close()
+
+    pieces = spark.read.option("lineSep", END).option("pathGlobFilter", "part-*").text(path)
+    return pieces.select(F.col("_metadata.file_name").alias("file"), "value").mapInPandas(parse, kinds)
 
 
 def roundtrip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, **columns) -> DataFrame:
