@@ -229,3 +229,11 @@ def kmeans(rows, dim=64, k=40, rounds=5, scale=256, seed=2):
     for d, j in last:
         part[j] += d
     return [(i, j, d, part[j], sum(part.values()), sha(",".join(map(str, cents[j])))) for (i, _), (d, j) in zip(kept, last)]
+
+
+def word_counts(texts, pattern):
+    import collections
+
+    import regex
+
+    return dict(collections.Counter(w for t in texts for w in regex.findall(pattern, t or "")))

@@ -50,6 +50,19 @@ def test_edge_cases(spark, tiktoken):
     assert bpe.tokenize(df.limit(0), vocab).count() == 0 and bpe.frequent_words(df.limit(0), "text", vocab) == {}
 
 
+def test_words_are_counted_over_all_whole_texts(spark, monkeypatch):
+    vocab = vocabulary(spark)
+    # the word of the far end of a long text, and of the last of many texts, counts like any other
+    texts = ["a " * 30_000 + "farend farend", None, "", *["plain words"] * 600, "farend"]
+    df = spark.createDataFrame([(t, 1) for t in texts], "text string, n int").repartition(5)
+    want = brute.word_counts(texts, P.PATTERN)
+    for cache in (bpe.CACHE_WORDS, 2):
+        monkeypatch.setattr(bpe, "CACHE_WORDS", cache)
+        assert {r.word: r.n for r in bpe.count_words(df, "text", P.PATTERN).collect()} == want
+    top = sorted(want, key=lambda w: (-want[w], w.encode()))
+    assert " farend" in top[:4] and set(bpe.frequent_words(df, "text", vocab, 4)) == set(top[:4])
+
+
 def test_higher_order_fold(spark, tiktoken):
     rng = random.Random(4)
     words = {"".join(rng.choices("abcdehinorstu", k=rng.randint(1, 14))) for _ in range(60)} | {" the", "é", "ñandú", "中文", " 12", "...", "", "x" * 40}

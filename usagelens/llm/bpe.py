@@ -7,8 +7,8 @@ rank map (an array of hash buckets, so a look-up does not scan the map).
 A corpus has millions of distinct words, so sending every (document, word) pair
 to a dictionary and back costs several times the input in shuffle, and the fold
 costs some hundred microseconds a word (README has the figures). ``encode``
-therefore uses the fold for a bounded dictionary of frequent words, which covers
-most occurrences, and merges the rare rest by the same rule inside the task that
+therefore uses the fold for a bounded dictionary of the most frequent words of all
+whole texts, and merges the rare rest by the same rule inside the task that
 holds the document. The dictionary only saves work: ids never depend on it.
 """
 
@@ -18,6 +18,7 @@ import base64
 import json
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from usagelens.llm.common import col
 
 FREQUENT_WORDS = 4_000     # size of the dictionary
-SAMPLE_TEXTS = 400         # texts its words are counted in
-SAMPLE_CHARS = 20_000      # of each (the dictionary only; texts are always encoded whole)
+FOLDED_CHARS = 64          # longest word the fold takes: its work grows with the square of the length
 CACHE_WORDS = 500_000      # words a task remembers before it starts anew
+ROWS_OUT = 10_000          # counted words handed on at a time
 
 
 class Vocabulary:
@@ -96,25 +97,39 @@ def encode_words(words: DataFrame, word_col: str, vocab: Vocabulary) -> DataFram
     return rows.select("word", F.transform("merged", lambda t: _rank(ranks, t)).alias("ids"))
 
 
-def frequent_words(docs: DataFrame, text_col: str, vocab: Vocabulary, n: int = FREQUENT_WORDS) -> dict[str, list[int]]:
-    """At most ``n`` frequent words with their ids, counted in a bounded sample
-    of texts and encoded by ``encode_words``."""
-    texts = docs.select(col(docs, text_col).alias("text")).where("text is not null").limit(SAMPLE_TEXTS)
-
-    split = F.pandas_udf(_splitter(vocab.pattern), "array<string>")
-    words = texts.select(F.explode(split(F.substring("text", 1, SAMPLE_CHARS))).alias("word"))
-    words = words.where(F.char_length("word") <= 64)
-    top = [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(n).collect()]
-    frame = docs.sparkSession.createDataFrame([(w,) for w in top], "word string")
-    return {r["word"]: list(r["ids"]) for r in encode_words(frame, "word", vocab.within(top)).collect()}
+def count_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
+    """(word, n): the distinct words of all whole texts with their occurrences.
+    A task hands on one row per word and ``CACHE_WORDS`` distinct words, so
+    what is shuffled follows distinct words, not occurrences."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, seen = regex.compile(pattern).findall, Counter()
 
+        def rows():
+            words, counts = list(seen), list(seen.values())
+            for i in range(0, len(words), ROWS_OUT):
+                yield pd.DataFrame({"word": words[i:i + ROWS_OUT], "n": counts[i:i + ROWS_OUT]})
+
+        for batch in batches:
+            for text in batch["text"]:
+                seen.update(split(text))
+                if len(seen) > CACHE_WORDS:
+                    yield from rows()
+                    seen.clear()
+        yield from rows()
 
-def _splitter(pattern: str):
-    def split(batch: pd.Series) -> pd.Series:
-        found = regex.compile(pattern)
-        return batch.map(found.findall)
+    texts = docs.select(col(docs, text_col).cast("string").alias("text")).where("text <> ''")
+    parts = texts.mapInPandas(count, "word string, n bigint")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
-    return split
+
+def frequent_words(docs: DataFrame, text_col: str, vocab: Vocabulary, n: int = FREQUENT_WORDS) -> dict[str, list[int]]:
+    """The ``n`` most frequent words (ties: smallest first) of at most
+    ``FOLDED_CHARS`` characters with their ids: counted over all whole texts,
+    encoded by ``encode_words``."""
+    short = count_words(docs, text_col, vocab.pattern).where(F.char_length("word") <= FOLDED_CHARS)
+    top = [r["word"] for r in short.orderBy(F.desc("n"), "word").limit(n).collect()]
+    frame = docs.sparkSession.createDataFrame([(w,) for w in top], "word string")
+    return {r["word"]: list(r["ids"]) for r in encode_words(frame, "word", vocab.within(top)).collect()}
 
 
 def _merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
