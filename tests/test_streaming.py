@@ -167,3 +167,45 @@ def test_invocation_stream_stats_equal_batch(spark):
     s = spark.read.json(f"{sink}/_sync_stats").agg(F.sum("inserted"), F.sum("skipped")).first()
     b = REGISTRY["invocation_sync_stats"](spark, SF_SMALL).first()
     assert (s[0], s[1]) == (b["inserted"], b["skipped"])
+
+
+def _emails(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "email string")
+
+
+def test_aliases_are_appended_by_what_a_batch_names(spark, tmp_path):
+    path = str(tmp_path / "aliases")
+    stored = lambda: {r["email"]: r["alias"] for r in ingest.read_aliases(spark, path).collect()}
+    assert ingest.append_aliases(_emails(spark, "b", "a", "b", None), path, "s-0", AS_OF) == 2
+    assert ingest.append_aliases(_emails(spark, "c", "a"), path, "s-1", AS_OF) == 1
+    assert ingest.append_aliases(_emails(spark, "a", "c"), path, "s-2", AS_OF) == 0
+    assert not os.path.exists(f"{path}/ingest=s-2")  # a batch without new users stores nothing
+    want = {"a": "USER-1", "b": "USER-2", "c": "USER-3"}
+    assert stored() == want and ingest.highest_alias(spark, path) == 3
+    # a replay gives the same numbers, and the next batch goes on without a gap
+    assert ingest.append_aliases(_emails(spark, "c", "a"), path, "s-1", AS_OF) == 1 and stored() == want
+    assert ingest.append_aliases(_emails(spark, "d"), path, "s-3", AS_OF) == 1 and stored()["d"] == "USER-4"
+    # a table written without notes is read for its numbers
+    other = _emails(spark, "z").selectExpr("email", "'USER-9' as alias", "timestamp'2024-01-01' as created_at")
+    other.write.parquet(f"{path}/ingest=elsewhere")
+    assert ingest.append_aliases(_emails(spark, "e", "z"), path, "s-4", AS_OF) == 1
+    assert stored()["e"] == "USER-10" and ingest.highest_alias(spark, path, without="s-4") == 9
+
+
+def test_a_crash_before_the_aliases_gives_no_number_twice(spark, tmp_path):
+    path = str(tmp_path / "aliases")
+    ingest.append_aliases(_emails(spark, "a"), path, "s-0", AS_OF)
+    ingest._counts_row(spark, {"highest": 2}, f"{path}/{ingest.NUMBERS}", "s-1")  # noted, then died
+    assert ingest.append_aliases(_emails(spark, "b"), path, "t-0", AS_OF) == 1  # a fresh checkpoint takes over
+    assert {r["alias"] for r in ingest.read_aliases(spark, path).collect()} == {"USER-1", "USER-3"}
+
+
+def test_alias_lookup_reads_only_matching_row_groups(spark, tmp_path):
+    path = str(tmp_path / "aliases")
+    for b in range(12):
+        ingest.append_aliases(_emails(spark, *(f"u{i:04d}-{b}@x" for i in range(200))), path, f"s-{b}", AS_OF)
+    probe = ingest.read_aliases(spark, path, emails=["u0007-3@x", "new@x"])
+    assert [r["email"] for r in probe.collect()] == ["u0007-3@x"]
+    scan = spark.read.schema(ingest.ALIASES).parquet(path).where(F.col("email").isin(["u0007-3@x", "new@x"]))
+    assert "PushedFilters: [In(email" in scan._jdf.queryExecution().executedPlan().toString()
+    assert ingest.highest_alias(spark, path) == 12 * 200

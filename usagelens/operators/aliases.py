@@ -38,9 +38,11 @@ def assign_aliases(
 
 
 def new_aliases(
-    identities: DataFrame, current: DataFrame | None, as_of: dt.datetime, n_ranges: int | None = None
+    identities: DataFrame, current: DataFrame | None, as_of: dt.datetime, n_ranges: int | None = None,
+    highest: int | None = None,
 ) -> DataFrame:
-    """The aliases L1 adds to ``current``.
+    """The aliases L1 adds to ``current``. With ``highest``, the number to go on
+    from, ``current`` need only hold the aliases of ``identities``.
 
     Numbering is a global rank, computed without a single-task window:
     range-partition the new emails, checkpoint (so the ranges are stable if
@@ -52,6 +54,9 @@ def new_aliases(
     new = identities.select("email").filter(F.col("email").isNotNull()).distinct()
     if current is not None:
         new = new.join(current.select("email"), "email", "left_anti")
+    if highest is not None:
+        start = spark.createDataFrame([(-1, highest)], "_range int, _n bigint")
+    elif current is not None:
         # The running sum below starts from the highest existing number.
         start = current.agg(
             F.lit(-1).alias("_range"),

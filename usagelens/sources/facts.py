@@ -38,10 +38,17 @@ MERGED_RUNS = 8
 # A batch of at most so many ids names them to the scan (session.py lets lists of
 # this length reach the readers); a larger one is joined with all stored ids.
 PROBED_IDS = 10_000
-# Row groups of stored ids: small, sorted, with a Bloom filter tight enough that
-# a batch of thousands of new ids still skips nearly all of them.
-ID_FILES = {"parquet.bloom.filter.enabled#aws_request_id": "true", "parquet.bloom.filter.fpp#aws_request_id": "0.0000001",
-            "parquet.bloom.filter.expected.ndv#aws_request_id": "200000", "parquet.block.size": str(8 << 20)}
+
+
+def probed_files(column: str, values: int) -> dict[str, str]:
+    """Options of sorted files that are asked for single values of ``column``:
+    small row groups, with a Bloom filter tight enough that thousands of unknown
+    values still skip nearly all of them. ``values``: distinct ones to expect."""
+    return {f"parquet.bloom.filter.enabled#{column}": "true", f"parquet.bloom.filter.fpp#{column}": "0.0000001",
+            f"parquet.bloom.filter.expected.ndv#{column}": str(min(max(values, 1), 200_000)), "parquet.block.size": str(8 << 20)}
+
+
+ID_FILES = probed_files("aws_request_id", 200_000)
 
 
 def align_schema(df: DataFrame, schema: T.StructType, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from usagelens.operators.aliases import new_aliases
+from usagelens.operators.aliases import alias_number, new_aliases
 from usagelens.session import configure, path_exists
-from usagelens.sources import facts, invocations, otlp
+from usagelens.sources import facts, folders, invocations, otlp
 
 # Batches after which days with many small folders are merged.
 COMPACT_EVERY = 16
 ALIASES = "email string, alias string, created_at timestamp, ingest string"
+# Beside the aliases: the highest number after each write.
+NUMBERS = "_numbers"
 
 
 def _trigger(writer, trigger: dict | None):
@@ -54,17 +56,59 @@ def otlp_stream(spark: SparkSession, source_dir: str, one_per_file: bool = False
 stream_otlp = otlp_stream  # A2 under its inventory name
 
 
-def read_aliases(spark: SparkSession, path: str | None, without: str | None = None) -> DataFrame | None:
+def read_aliases(spark: SparkSession, path: str | None, without: str | None = None,
+                 emails: list[str] | None = None) -> DataFrame | None:
     """All aliases stored under ``path`` (appended by one write after the
-    other), without those of one ingest; None if nothing was stored yet."""
+    other), without those of one ingest; None if nothing was stored yet. With
+    ``emails`` only theirs: row groups whose range or Bloom filter excludes
+    all of them are not read."""
     if not path or not path_exists(spark, path):
         return None
     a = spark.read.schema(ALIASES).parquet(path)
+    if emails is not None:
+        a = a.where(F.col("email").isin(emails))
     if without is not None:
         a = a.where(F.col("ingest") != without)
     return a.select("email", "alias", "created_at")
 
 
+def highest_alias(spark: SparkSession, path: str, without: str | None = None) -> int:
+    """The highest number given by any write but ``without``: as the writes have
+    noted it. Only aliases of writes without a note are read."""
+    root = path.rstrip("/")
+    names, noted = ({folders.value(p, "ingest") for p in folders.matching(spark, f"{d}/ingest=*")} - {without}
+                    for d in (root, f"{root}/{NUMBERS}"))
+    highest = 0
+    if noted:
+        notes = spark.read.schema("highest bigint, ingest string").json(f"{root}/{NUMBERS}")
+        highest = notes.where(F.col("ingest").isin(list(noted))).agg(F.max("highest")).first()[0] or 0
+    if names - noted:
+        others = spark.read.schema(ALIASES).parquet(root).where(F.col("ingest").isin(list(names - noted)))
+        highest = max(highest, others.agg(F.max(alias_number(F.col("alias")))).first()[0] or 0)
+    return highest
+
+
+def append_aliases(seen: DataFrame, path: str, ingest: str, as_of: dt.datetime) -> int:
+    """Aliases for the ``email``s of ``seen`` that have none, stored as the
+    write ``ingest``; gives their number. One writer at a time. What is read
+    follows the emails seen, not the aliases stored. The new highest number is
+    noted before the aliases, so that a crash in between leaves a gap at worst,
+    never a number twice; a replay replaces its own aliases and note."""
+    spark, root = seen.sparkSession, path.rstrip("/")
+    emails = [r[0] for r in seen.select("email").where("email is not null").distinct().limit(facts.PROBED_IDS + 1).collect()]
+    stored = read_aliases(spark, path, ingest, emails if len(emails) <= facts.PROBED_IDS else None)
+    highest = highest_alias(spark, path, ingest)
+    added = new_aliases(seen, stored, as_of, highest=highest)
+    n = added.count()
+    if n or path_exists(spark, f"{root}/ingest={ingest}"):
+        _counts_row(spark, {"highest": highest + n}, f"{root}/{NUMBERS}", ingest)
+        w = added.repartitionByRange("email").sortWithinPartitions("email").write.mode("overwrite")
+        for key, option in facts.probed_files("email", n).items():
+            w = w.option(key, option)
+        w.parquet(f"{root}/ingest={ingest}")
+    return n
+
+
 def _counts_row(spark: SparkSession, values: dict, path: str, ingest: str) -> None:
     schema = ", ".join(f"{k} bigint" for k in values)
     spark.createDataFrame([tuple(int(v) for v in values.values())], schema).coalesce(1) \
@@ -99,11 +143,8 @@ def otlp_batch_writer(sink_root: str, checkpoint: str, as_of: dt.datetime | None
             if m["quarantined"]:
                 otlp.quarantined(records).write.mode("overwrite").parquet(f"{root}/_quarantine/ingest={ingest}")
             if alias_path:
-                # One writer assigns aliases to first-seen emails and
-                # appends them; a replayed batch replaces its own.
                 seen = records.filter(ok & F.col("user_email").isNotNull()).select(F.col("user_email").alias("email")).distinct()
-                new_aliases(seen, read_aliases(spark, alias_path, without=ingest), now).write.mode("overwrite") \
-                    .parquet(f"{alias_path.rstrip('/')}/ingest={ingest}")
+                append_aliases(seen, alias_path, ingest, now)
         finally:
             records.unpersist()
         if compact_every and (batch_id + 1) % compact_every == 0:
