@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "byte_bpe"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES) and "pipeline" in QUERIES and corpus_pipeline.ORACLE_SQL is None
 
 
