@@ -17,9 +17,10 @@ RUNTIME_CONFS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Lists of up to so many values reach the parquet readers as they are, so
-    # that Bloom filters can answer them (the ids of a sync batch).
-    "spark.sql.parquet.pushdown.inFilterThreshold": "10000",
+    # Lists of up to so many values reach the parquet readers as nested ORs, one
+    # level a value, which overflow a task's stack when long; longer ones (the
+    # ids of a sync batch) as one IN, which Bloom filters answer as well.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "10",
 }
 
 
