@@ -120,3 +120,13 @@ def test_places_are_numbered_by_ranges(spark):
     assert sorted(map(tuple, placed.collect())) == [(i + 1, f"u{i:05d}") for i in range(5000)]
     assert placed.dtypes == [("place", "int"), ("name", "string")]
     assert registry._placed(df.limit(0).orderBy("name")).collect() == []
+
+
+def test_payload_texts_are_not_shuffled(tables):
+    # they were, twice, and sorted twice: at size that spilled several times the text
+    from usagelens.plans import derived
+
+    plan = derived.otlp_payloads(tables, 4)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "rangepartitioning(payload" in exchanges[0]
+    assert "rl#" not in plan[plan.index("Exchange"):]  # the text is made above it

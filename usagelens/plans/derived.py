@@ -132,20 +132,23 @@ SNAKE_KEYS = [
 ]
 
 
-def otlp_payloads(t) -> DataFrame:
-    """(payload, file, value): one JSON payload per group of PAYLOAD_GROUP ids;
-    odd groups use snake_case keys throughout. Some records hold values that
-    must not stop an ingest, and some lines are no JSON."""
+def otlp_payloads(t, files: int) -> DataFrame:
+    """(payload, value) in the order of payload and value: one JSON payload per
+    group of PAYLOAD_GROUP ids; odd groups use snake_case keys throughout. Some
+    records hold values that must not stop an ingest, and some lines are no JSON.
+
+    The plain columns are dealt out by ranges and sorted; the JSON, several times
+    as large, is made behind that and never shuffled or sorted."""
     i = F.col("id")
-    parts = []
-    for df, event, attrs_fn in _records(t):
-        src = F.col("source") if "source" in df.columns else F.lit(None).cast("string")
-        parts.append(df.select(
-            "id", "timestamp", "session_id", "prompt_id", "user_email", src.alias("source"),
-            F.lit(event).alias("event"), F.array(*attrs_fn(False)).alias("extra")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    payload = (i / PAYLOAD_GROUP).cast("bigint")
+    records = _records(t)
+    rows = None
+    for df, event, _ in records:
+        part = df.drop("user_id", "org_id").withColumn("event", F.lit(event))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    rows = rows.withColumn("payload", payload).repartitionByRange(files, "payload").sortWithinPartitions("payload")
+    extra = F.coalesce(*[F.when(F.col("event") == event, F.array(*attrs_fn(False))) for _, event, attrs_fn in records])
+    rows = rows.withColumn("extra", extra)
     rec_level_email = i % 2 == 1
     ev = F.col("event")
     base_attrs = F.array(
@@ -175,22 +178,19 @@ def otlp_payloads(t) -> DataFrame:
         F.struct(F.array_compact(res_attrs).alias("attributes")).alias("resource"),
         F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"),
     )
-    snake = (i / PAYLOAD_GROUP).cast("bigint") % 2 == 1
+    snake = F.col("payload") % 2 == 1
     js = F.regexp_replace(F.to_json(rl), r'\{"stringValue":"' + BARE + r'([^"]*)"\}', '"$1"')
     snake_js = js
     for camel, sn in SNAKE_KEYS:
         snake_js = F.regexp_replace(snake_js, f'"{camel}":', f'"{sn}":')
-    rows = rows.select("id", snake.alias("snake"), F.when(snake, snake_js).otherwise(js).alias("rl"))
-    g = rows.groupBy((i / PAYLOAD_GROUP).cast("bigint").alias("payload"), "snake").agg(
-        F.array_sort(F.collect_list(F.struct("id", "rl"))).alias("rls"))
-    key = F.when(F.col("snake"), F.lit("resource_logs")).otherwise(F.lit("resourceLogs"))
-    value = F.concat(F.lit('{"'), key, F.lit('":['), F.array_join(F.transform("rls", lambda x: x["rl"]), ","), F.lit("]}"))
-    good = g.select("payload", F.concat(F.lit("payload-"), F.col("payload").cast("string")).alias("file"), value.alias("value"))
     # text that is not JSON, or breaks off
-    bad = fixtures.user_prompts(t.extra["base"]).filter((i % 17).isin(0, 1)).select(
-        (i / PAYLOAD_GROUP).cast("bigint").alias("payload"), F.concat(F.lit("bad-"), i.cast("string")).alias("file"),
-        F.concat(F.when(i % 17 == 0, F.lit("not json {")).otherwise(F.lit('{"resourceLogs":[{"scopeLogs":[{"')), i.cast("string")).alias("value"))
-    return good.unionByName(bad)
+    bad = F.when((ev == "user_prompt") & (i % 17).isin(0, 1), F.concat(
+        F.when(i % 17 == 0, F.lit("not json {")).otherwise(F.lit('{"resourceLogs":[{"scopeLogs":[{"')), i.cast("string")))
+    rows = rows.select("id", "payload", F.when(snake, snake_js).otherwise(js).alias("rl"), bad.alias("bad"))
+    g = rows.groupBy("payload").agg(F.array_sort(F.collect_list(F.struct("id", "rl"))).alias("rls"), F.collect_list("bad").alias("bad"))
+    key = F.when(snake, F.lit("resource_logs")).otherwise(F.lit("resourceLogs"))
+    value = F.concat(F.lit('{"'), key, F.lit('":['), F.array_join(F.transform("rls", lambda x: x["rl"]), ","), F.lit("]}"))
+    return g.select("payload", F.explode(F.array_sort(F.concat(F.array(value), F.col("bad")))).alias("value"))
 
 
 def _uid(email: Column) -> Column:

@@ -12,6 +12,8 @@ from usagelens.session import scratch_path
 from usagelens.sources import fixtures
 
 _LANDED: dict = {}
+# A payload file holds at most about so many events.
+EVENTS_PER_FILE = 1_000_000
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -31,8 +33,15 @@ def _land(spark: SparkSession, sf_dir: str, name: str, write) -> str:
 def otlp_payload_dir(spark: SparkSession, sf_dir: str) -> str:
     """NDJSON files, one OTLP payload per line, in the order of the rows' ids."""
     def write(t, path):
-        derived.otlp_payloads(t).repartitionByRange(_tasks(spark), "payload", "value").sortWithinPartitions("payload", "value") \
-            .select("value").write.text(path)
+        files = max(_tasks(spark), -(-t.extra["events"].count() // EVENTS_PER_FILE))
+        # The rows come sorted: payloads are put together as they are read, none is held.
+        in_order = "spark.sql.execution.replaceHashWithSortAgg"
+        before = spark.conf.get(in_order)
+        spark.conf.set(in_order, "true")
+        try:
+            derived.otlp_payloads(t, files).select("value").write.text(path)
+        finally:
+            spark.conf.set(in_order, before)
     return _land(spark, sf_dir, "otlp", write)
 
 
