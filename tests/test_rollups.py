@@ -98,3 +98,30 @@ def test_feed_reads_the_newest_days(spark, sixty_days):
         assert got == [tuple(r) for r in feed.recent_events(spark, plain, f, k).collect()]
     assert rows_read(feed.recent_events(spark, sixty_days, Filters(), 50)) < 200
     assert rows_read(feed.recent_events(spark, plain, Filters(), 50)) > 8000
+
+
+def test_stored_facts_are_landed_from_one_reading_of_the_events(spark, tmp_path):
+    from usagelens import schemas
+    from usagelens.plans import landed
+    from usagelens.sources import fixtures
+
+    kinds = ["view", "purchase", "click", "signup", "error", None]
+    rows = [(None if i % 50 == 7 else i % 120, None if i % 40 == 3 else T0 + dt.timedelta(minutes=37 * i), None if i % 30 == 9 else i % 11,
+             kinds[i % 6], i / 4, None if i % 25 == 4 else '{"k": %d}' % (i % 100)) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    orders = spark.createDataFrame([], "o_orderkey bigint, o_custkey bigint, o_orderdate date, o_totalprice double")
+    sf = str(tmp_path)
+    events.coalesce(1).write.parquet(f"{sf}/events.parquet")
+    orders.write.parquet(f"{sf}/orders.parquet")
+    t = fixtures.load_tables(spark, sf)
+    key = (fixtures.session_key(spark), sf, "facts")
+    stored = facts.load_stored_tables(spark, landed.facts_root(spark, sf))
+    for name in schemas.FACTS:
+        want = facts.align_schema(getattr(t, name), schemas.FACTS[name])
+        got = getattr(stored, name).drop("event_date")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 0, name
+    assert answers(spark, rollups, stored, Filters()) == answers(spark, usage, t, Filters())
+    # every write reads its own part, no write goes back to the events and their JSON
+    dealt = landed._dealt_base(t, f"{sf}/base")
+    assert rows_read(fixtures.api_requests(dealt.where("part = 1").drop("part"))) == dealt.where("part = 1").count() < len(rows) / 2
+    assert sum(dealt.where(f"part = {p}").count() for p in range(landed.FACT_WRITES)) == len(rows) and key in landed._LANDED
