@@ -114,3 +114,26 @@ def test_runs_go_only_if_long_and_on_several_contents(spark):
     quotes = {2: f" {quoted}", 3: f" {quoted}"}
     rows = [page(i, f"<p>{body[i]}{quotes.get(i, '')}</p>" + (f"<div>{notice}</div>" if i < 4 else "")) for i in range(16)]
     assert {i: t for (i, _), t in texts(spark, rows).items()} == {i: body[i] + quotes.get(i, "") for i in range(16)}
+
+
+def test_notices_inside_articles_go_by_the_host(spark):
+    notice, quoted, short = words("notice", 30), words("quoted", 40), words("short", ht.RUN - 1)
+    own = [words(f"own{i}x", 60) for i in range(32)]
+
+    def article(i, host="h.example"):
+        inside = [own[i]] + [notice] * (i < 8) + [quoted] * (8 <= i < 15) + [short] + [f"{notice} said {i}"] * (i == 20)
+        return page(i, "<article>" + "".join(f"<p>{t}</p>" for t in inside) + "</article>", host), "\n\n".join(t for t in inside if t != notice)
+
+    made = [article(i) for i in range(32)]
+    assert {i: t for (i, _), t in texts(spark, [r for r, _ in made]).items()} == {r[0]: t for r, t in made}
+    # page 20 counts as well: seven contents, or nine of 37, are too few
+    few = [article(i)[0] for i in range(2, 32)]
+    assert all((notice in t) == (i < 8 or i == 20) for (i, _), t in texts(spark, few).items())
+    more = [r for r, _ in made] + [page(i, f"<article><p>another one {i}</p></article>") for i in range(90, 95)]
+    assert all((notice in t) == (i < 8 or i == 20) for (i, _), t in texts(spark, more).items())
+
+
+def test_near_copies_of_an_article_stay_whole(spark):
+    told = [words("told", 50), words("then", 50), words("last", 30)]
+    rows = [page(i, "<article>" + "".join(f"<p>{t}</p>" for t in [*told, words(f"mine{i}x", 40)]) + "</article>") for i in range(12)]
+    assert {i: t for (i, _), t in texts(spark, rows).items()} == {i: "\n\n".join([*told, words(f"mine{i}x", 40)]) for i in range(12)}
