@@ -96,3 +96,19 @@ def test_sketch_is_a_lower_bound():
         b = np.concatenate([a[:rng.randrange(80)], np.array(rng.sample(range(10 ** 9), 20), dtype=np.int64) * 104729])
         flips = sum((x ^ y) % (1 << 64) and ((x ^ y) % (1 << 64)).bit_count() for x, y in zip(jc.sketch(a), jc.sketch(b)))
         assert flips <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_whole_texts_and_sets_cross_one_shuffle(spark, monkeypatch):
+    """Texts are not joined by their ids, nor whole sets to find repeated rows: copies meet where they are grouped."""
+    plans, kept = {}, jc.stored
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(jc, "stored", noted)
+    docs = corpus(6, 60)
+    docs += docs[:20] + [(i + 5000, t) for i, t in docs[:20]]
+    assert found(spark.createDataFrame(docs, SCHEMA)) == wanted(docs)
+    for name in ("jaccard-sets", "jaccard-ordered"):
+        assert "LeftSemi" not in plans[name], name

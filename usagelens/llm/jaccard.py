@@ -40,8 +40,8 @@ WORDS = 5
 PERCENT = 80
 # Tokens added to the prefix of order 0, in percent of a set's size.
 EXTRA = 10
-# Bits of the map of texts read a second time.
-MARKS = 1 << 23
+# Bits, at most, of the map of texts read a second time.
+MARKS = 1 << 26
 # Words of the parity sketch; members of an index list handled in one piece.
 SKETCH = 4
 PIECE = 512
@@ -118,17 +118,18 @@ def _survivors(sets: DataFrame, percent: int) -> DataFrame:
             .select("row", "n", "id", "k1", "k2"))
 
 
-def _mark(ids: Column) -> Column:
-    return F.pmod(F.xxhash64(ids), F.lit(MARKS))
+def _mark(ids: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(bits))
 
 
 def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs whose id may be among ``wanted``: a bit map of MARKS bits at
-    most passes through the driver, whatever the size of the tables. It only
-    spares the join after it most of the texts."""
-    words = wanted.select(_mark(F.col("id")).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+    """Rows of docs whose id may be among ``wanted``: a bit map of 16 to 32 bits
+    for each of them, MARKS at most, passes through the driver, whatever the size
+    of the tables. It only spares the join after it most of the texts."""
+    marks = min(MARKS, max(64, 1 << (16 * wanted.count()).bit_length()))
+    words = wanted.select(_mark(F.col("id"), marks).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toArrow()
-    bits = np.zeros(MARKS // 64, dtype=np.int64)
+    bits = np.zeros(marks // 64, dtype=np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     packed = bits.tobytes()
 
@@ -139,7 +140,7 @@ def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             keep = there[at >> 6] >> (at & 63) & 1 == 1
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["id", "text"])
 
-    return docs.select("id", "text", _mark(F.col("id")).alias("at")).mapInArrow(run, docs.schema)
+    return docs.select("id", "text", _mark(F.col("id"), marks).alias("at")).mapInArrow(run, docs.schema)
 
 
 def _ordered(full: DataFrame, percent: int) -> DataFrame:
@@ -153,15 +154,16 @@ def _ordered(full: DataFrame, percent: int) -> DataFrame:
             .select("row", "n", "c", *[f"s{i}" for i in range(SKETCH)], F.col("by_df")["t"].alias("core"), F.col("by_df")["df"].alias("df")))
 
 
-def _prefix(order: int, percent: int) -> Column:
+def _prefix(order: int, percent: int, n: Column | None = None, core: Column | None = None) -> Column:
     """A set's shared tokens among the first n - need + 1 of its order."""
-    n, c = F.col("n"), F.col("c")
+    n, core = F.col("n") if n is None else n, F.col("core") if core is None else core
+    c = F.size(core)
     ahead = c - _need(n, percent) + 1
     if order == 1:
-        return F.slice("core", F.lit(1), ahead)
+        return F.slice(core, F.lit(1), ahead)
     if order == 3:
-        return F.slice(F.reverse("core"), F.lit(1), F.least(c, n - _need(n, percent) + 1))
-    other = F.array_sort(F.zip_with("df", "core", lambda d, t: F.struct(d.alias("d"), F.xxhash64(t).alias("h"), t.alias("t"))))
+        return F.slice(F.reverse(core), F.lit(1), F.least(c, n - _need(n, percent) + 1))
+    other = F.array_sort(F.zip_with(F.col("df"), core, lambda d, t: F.struct(d.alias("d"), F.xxhash64(t).alias("h"), t.alias("t"))))
     return F.slice(other, F.lit(1), ahead)["t"]
 
 
@@ -185,9 +187,12 @@ def _alike(x: str, y: str, percent: int) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose prefixes meet in the orders 2 and 3 as well and whose
     whole sets are similar enough."""
-    what = sets.select("row", "n", "core", _prefix(2, percent).alias("o2"), _prefix(3, percent).alias("o3"))
-    a, b = (what.select(F.col("row").alias(r), *[F.col(c).alias(f"{r}_{c}") for c in ("n", "core", "o2", "o3")]) for r in "uv")
-    both = pairs.join(a, "u").join(b, "v").where(F.arrays_overlap("u_o2", "v_o2") & F.arrays_overlap("u_o3", "v_o3"))
+    what = sets.select("row", "n", "core", _prefix(2, percent).alias("o2"))
+    a, b = (what.select(F.col("row").alias(r), *[F.col(c).alias(f"{r}_{c}") for c in ("n", "core", "o2")]) for r in "uv")
+    both = pairs.join(a, "u").join(b, "v")
+    # order 3 is the core read backwards: it need not travel
+    u, v = (_prefix(3, percent, both[f"{r}_n"], both[f"{r}_core"]) for r in "uv")
+    both = both.where(F.arrays_overlap("u_o2", "v_o2") & F.arrays_overlap(u, v))
     return both.where(F.size(F.array_intersect("u_core", "v_core")) >= _overlap(F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
 
 
@@ -238,11 +243,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("row").alias("row"), F.min("id").alias("id"), F.count("*").alias("copies")), "jaccard-classes")
     hold = _survivors(sets, percent).join(classes.select("row"), "row", "left_semi")
     hold = stored(hold, "jaccard-hold")
-    # A class is found again by the id of its first row; the identity decides.
-    near = _marked(plain, hold).join(hold.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    again = _sets(near, words, percent, True).drop("id").join(hold.select("k1", "k2", "row"), ["k1", "k2"]).drop("k1", "k2")
-    full = stored(again.withColumn("copy", F.monotonically_increasing_id()), "jaccard-sets")
-    full = full.join(full.groupBy("row").agg(F.min("copy").alias("copy")), ["row", "copy"], "left_semi").drop("copy")
+    # A class is found again by its least id; the identity decides. Its copies meet in one shuffle.
+    again = _sets(_marked(plain, hold), words, percent, True)
+    whole = again.groupBy("k1", "k2").agg(F.first(F.struct("n", "tokens", *[f"s{i}" for i in range(SKETCH)])).alias("set"))
+    full = stored(whole.join(hold.select("k1", "k2", "row"), ["k1", "k2"]).select("row", "set.*"), "jaccard-sets")
     ordered = stored(_ordered(full, percent), "jaccard-ordered")
     index = stored(ordered.select("row", "n", "c", F.explode(_prefix(1, percent)).alias("t")), "jaccard-index")
     edges = stored(_verified(_first_round(index, percent), ordered, percent), "jaccard-links")
