@@ -76,3 +76,68 @@ def test_bounds_pass_over_documents():
     want = brute.bm25([(i, " ".join(ws)) for i, ws in docs], [(1, "a1 a2 a3 b1")])[1]
     assert [i for _, i in got] == [i for i, _ in want]
     assert shard.seen == 4000 and shard.scored < 1000
+
+
+def block_and_shard(n_docs, n_queries, seed=5):
+    """Texts over one vocabulary without any order, whole texts as queries."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    weights = 1 / np.arange(1, 3001)
+    texts = [rng.choice(3000, rng.integers(50, 400), p=weights / weights.sum()) for _ in range(n_docs)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=3000)
+    idf, mean = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), sum(map(len, texts)) / n_docs
+    queries = [np.unique(t).astype(np.int32) for t in texts[:n_queries]]
+    block = bm25.QueryBlock(np.arange(n_queries), queries, range(3000), idf, mean)
+    counted = [np.unique(t, return_counts=True) for t in texts]
+    shard = bm25.Shard(block, range(n_docs), [np.full(len(w), i, dtype=np.int32) for i, (w, _) in enumerate(counted)],
+                       [w.astype(np.int32) for w, _ in counted], [c.astype(np.int32) for _, c in counted], [len(t) for t in texts])
+    return block, shard, texts
+
+
+def test_whole_texts_as_queries_score_few_documents():
+    """Bounds are those of single documents, so hardly more than the k best are scored in full, and these are exact."""
+    import numpy as np
+
+    block, shard, texts = block_and_shard(2000, 40)
+    best = {i: sorted(zip((-np.round(s, 9)).tolist(), shard.ids[at].tolist()))[:10]
+            for i, at, s in shard.search_all(block.terms, 10, np.zeros(40))}
+    want = brute.bm25([(i, " ".join(f"w{w}" for w in t)) for i, t in enumerate(texts)],
+                      [(i, " ".join(f"w{w}" for w in t)) for i, t in enumerate(texts[:40])])
+    same({i: [(d, -s) for s, d in found] for i, found in best.items()}, want)
+    assert shard.scored < 0.02 * shard.seen
+    before = shard.scored
+    assert not list(shard.search_all(block.terms, 10, np.full(40, 1e6))) and shard.scored == before  # a bar out of reach
+
+
+def test_a_query_has_one_answer_alone_and_among_others():
+    import numpy as np
+
+    block, shard, _ = block_and_shard(300, 30)
+    bars = np.linspace(0, 60, 30)
+    together = {i: (at.tolist(), s.tolist()) for i, at, s in shard.search_all(block.terms, 3, bars)}
+    alone = {i: shard.search(block.terms[i], 3, bars[i]) for i in range(30)}
+    assert {i: (np.sort(at).tolist(), np.sort(s).tolist()) for i, (at, s) in alone.items() if len(at)} == {
+        i: (sorted(at), sorted(s)) for i, (at, s) in together.items()}
+
+
+def test_texts_are_read_once_for_many_queries(spark, monkeypatch):
+    """A block counts what its queries take, places of four bytes, not the length of their words."""
+    monkeypatch.setattr(bm25, "QUERY_BYTES", 30000)
+    queries = spark.createDataFrame([(i, [f"some longer word {(i + j) % 90}" for j in range(60)]) for i in range(50)], "query_id bigint, terms array<string>")
+    df = spark.createDataFrame([(f"some longer word {j}", 1 + j) for j in range(80)], "term string, n bigint")
+    blocks = list(bm25._blocks(queries, df, 100, 60.0))
+    assert len(blocks) == 1 and sorted(blocks[0].ids.tolist()) == list(range(50))
+    assert sorted(q for c in blocks[0].chunks for q in c.tolist()) == list(range(50))
+    assert sorted(len(t) for t in blocks[0].terms) == sorted(sum((i + j) % 90 < 80 for j in range(60)) for i in range(50))
+
+
+def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = bm25._hash
+    monkeypatch.setattr(bm25, "_hash", lambda word, salt: F.length(word).cast("bigint") if salt == 0 else real(word, salt))
+    docs = spark.createDataFrame([(1, "aa bb"), (2, "bb cc"), (3, "dd")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(7, "aa"), (8, "zz"), (9, "dd bb")], "doc_id bigint, text string")
+    same(as_dict(bm25.search(docs, queries).collect()),
+         brute.bm25([(1, "aa bb"), (2, "bb cc"), (3, "dd")], [(7, "aa"), (8, "zz"), (9, "dd bb")]))
