@@ -3,7 +3,7 @@
 Global statistics (documents, mean length, document frequencies) come from one
 aggregation, so shard scores are comparable and the merge is exact. Queries of
 like words form chunks of ``CHUNK``; documents go by the same groups into shards
-of some ``SHARD`` documents, so that a chunk and a shard share either many words
+of up to ``SHARD`` documents, so that a chunk and a shard share either many words
 or few. A shard holds postings of impacts for the query terms, the largest impact
 of every term, and for frequent terms (``DENSE`` documents of ``SHARD``, or as
 large a share) a table of their impacts.
@@ -38,7 +38,7 @@ from usagelens.llm.common import col, stored
 from usagelens.llm.decontam import words
 
 K, K1, B = 10, 1.2, 0.75
-SHARD, BLOCK, DENSE = 16384, 8, 512
+SHARD, BLOCK, DENSE = 16384, 8, 1024
 CHUNK = 256  # queries that are scored at once
 HELD = 8 << 20  # postings that a task holds of documents not yet in a shard
 STEP = 16 << 20  # of them, what the driver takes at once
@@ -331,7 +331,7 @@ def _search_partition(block: QueryBlock, k: int):
             for g in np.unique(group):
                 own, word = group == g, group[rows] == g
                 groups[g].add(ids[own], sizes[own], terms[word], tfs[word], lengths[own])
-            while sum(g.n for g in groups) * 2 >= SHARD * 3 or sum(g.postings for g in groups) >= HELD:
+            while sum(g.n for g in groups) >= SHARD or sum(g.postings for g in groups) >= HELD:
                 largest = max(range(len(groups)), key=lambda g: groups[g].postings)
                 held, groups[largest] = groups[largest], _Waiting()
                 close(held)
@@ -408,8 +408,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
     df = stored(terms.groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == whole, F.col("words"))).alias("words")), "bm25-df")
     stats = df.where(F.col("term") == whole).select("n", (F.col("words") / F.col("n")).alias("mean")).first() or {"n": 0, "mean": 0.0}
     df = df.where(F.col("term") != whole).select("term", "n")
-    # a query costs the same overhead in every shard and brings k rows from every task: tasks fill several shards
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-stats["n"] // (8 * SHARD)))
+    # a query costs the same overhead in every shard and brings k rows from every task: tasks fill several shards, all cores tasks
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-stats["n"] // (8 * SHARD * cores)))
     found = None
     for block in _blocks(wanted, df, stats["n"], max(stats["mean"] or 0.0, 1e-9)):
         hashed = texts.where("id is not null").select("id", F.transform("ws", lambda w: _hash(w, block.salt)).alias("hs"))
